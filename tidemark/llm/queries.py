@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, secrets
+from . import bpe, exact_dedup, html_extract, mixing, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
+    "op5_warc": warc.op5_warc,
     "op6_bpe": bpe.op6_bpe,
     "op7_secrets": secrets.op7_secrets,
+    "op8_html_text": html_extract.op8_html_text,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op1_quality": quality.OP1_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
