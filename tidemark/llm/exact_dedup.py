@@ -28,6 +28,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(norm).alias("n"), norm.alias("t"))
     # Length: counted with map-side combine, so a length that a third of the rows have is no hot task.
     lengths = rows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n")
+    lengths = materialize(lengths, "lengths")
     prefix = F.xxhash64("n", F.substring("t", 1, prefix_chars)).alias("p")
     # The key holds the length too, so equal keys are equal lengths and prefixes.
     prefixes = rows.select("n", prefix).join(lengths, "n", "left_semi").groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("p")
