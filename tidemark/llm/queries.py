@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, mixing, near_dedup, quality, secrets, warc
+from . import bpe, exact_dedup, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_repeats": suffix_dedup.op4_repeats,
     "op5_warc": warc.op5_warc,
     "op6_bpe": bpe.op6_bpe,
     "op7_secrets": secrets.op7_secrets,
