@@ -1,16 +1,77 @@
-"""A corpus pipeline of five stages: quality rules, exact dedup, near dedup, mixing, tokens."""
+"""A corpus pipeline of five stages: quality rules, exact dedup, near dedup, mixing, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
+last return the columns of ``documents``. Rows are known by ``doc_id``: rows
+that share one share a stage's verdict.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm._common import materialize, scratch
+from tidemark.llm.bpe import decode, encode, vocabulary
+from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.mixing import mix
+from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.quality import quality
+
+
+def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The documents that a verdict keeps."""
+    ids = materialize(verdict.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie near their language's histograms."""
+    return _kept(docs, quality(docs))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _kept(docs, exact_dedup(docs))
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    return _kept(docs, near_duplicates(docs))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it."""
+    taken = mix(docs).where("repeats > 0").groupBy(F.col("doc_id").alias("_taken_id")).agg(F.max("repeats").alias("_repeats"))
+    taken = materialize(taken, "taken")
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")))
+    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, ids, n_tokens, decoded_sha256`` of every row: its tokens, and the digest of what they decode to."""
+    path, pattern = vocabulary()
+    encoded = encode(docs, path, pattern, offsets=False)
+    whole = decode(encoded.select(F.struct("doc_id", "ids").alias("doc_id"), "ids"), path)
+    return whole.select("doc_id.doc_id", "doc_id.ids", F.size("doc_id.ids").cast("long").alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_duplicates),
+    ("near_dedup", near_duplicate_groups),
+    ("mixing", mixture),
+    ("bpe", tokens),
+]
 
-#: The last stages can't be told in SQL: signatures and byte-pair merges; tests hold them against plain versions.
+#: Signatures, seeded draws and byte-pair merges can't be told in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
-STAGES: list = []
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, warc
+from . import bpe, exact_dedup, html_extract, mixing, near_dedup, pitman_yor, quality, secrets, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_pitman_yor": pitman_yor.op2_pitman_yor,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_repeats": suffix_dedup.op4_repeats,
     "op5_warc": warc.op5_warc,
