@@ -24,8 +24,6 @@ from .components import components
 
 CHUNKS, SYMBOLS = 12, 6
 WIDTH, PERCENT = 5, 80
-#: Rounds in which each bucket links its members to one of them, before the pairs left are tried one by one.
-STARS = 3
 SEED = 20_240_229
 
 
@@ -136,45 +134,49 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("s") >= percent * (F.col("p") + F.col("q") - F.col("s"))).select("a", "b")
 
 
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of ``node, comp, n`` rows of different components that may share enough.
+
+    Sets that share ``percent`` of their union have more than a bounded number
+    of shingles in common, so they share one among the first few of either in
+    any fixed order (the prefix filter). In order of how many sets hold them,
+    shingles of a single set come first; a set with enough of those is in no
+    pair. The first shingle that a pair shares also bounds what they share by
+    what comes after it in either (the positional filter).
+    """
+    shingle = sets.join(nodes, "node").select("node", "comp", "n", F.explode("shingles").alias("s"))
+    shared = materialize(shingle.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    ordered = shingle.join(shared, "s").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("l"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("l"))
+    rows = ordered.where(first > 0).select("node", "comp", "n", F.size("l").alias("c"), F.posexplode(F.slice("l", F.lit(1), first.cast("int"))["s"]).alias("i", "s"))
+    # ``after``: how many shingles from this one on.
+    rows = materialize(rows.select("s", "node", "comp", "n", (F.col("c") - F.col("i")).alias("after")), "first")
+    other = rows.select("s", F.col("node").alias("h"), F.col("comp").alias("hcomp"), F.col("n").alias("hn"), F.col("after").alias("hafter"))
+    enough = (100 + percent) * F.least("after", "hafter") >= percent * (F.col("n") + F.col("hn"))
+    return rows.join(other, "s").where((F.col("node") < F.col("h")) & (F.col("comp") != F.col("hcomp")) & enough).select(F.col("node").alias("a"), F.col("h").alias("b")).distinct()
+
+
 def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, comp`` over the links among ``key, node, n`` rows, n being the set's size.
 
     Only links between nodes that aren't connected yet matter, so no bucket
-    makes all its pairs: in each of a few rounds every bucket that holds
-    several components tries one member, by a seeded hash, against the members
-    of other components. The pairs of different components that then still
-    share a bucket are tried one by one. So every pair that shares a bucket is
-    connected, or tried, or too different in size.
+    makes all its pairs. First every bucket tries one member, by a seeded hash,
+    against the others. Nodes of buckets that then still hold several
+    components are paired by their rarest shingles, which finds every link
+    among them.
     """
-    like = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    edges = rows.sparkSession.createDataFrame([], "a bigint, b bigint")
-    tried = edges
-    live, labels, found = rows.withColumn("comp", F.col("node")), None, True
-    for turn in range(STARS + 1):
-        last = turn == STARS or not found
-        if not last:
-            hub = F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", "key", F.lit(turn)))
-            hubs = materialize(live.groupBy("key").agg(hub.alias("hub")).select("key", F.col("hub.node").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.comp").alias("hc")), "hubs")
-            pairs = live.join(hubs, "key").where((F.col("hc") != F.col("comp")) & like(F.col("n"), F.col("hn"))).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
-        else:
-            other = live.select("key", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("comp").alias("hc"))
-            pairs = live.join(other, "key").where((F.col("node") < F.col("h")) & (F.col("hc") != F.col("comp")) & like(F.col("n"), F.col("hn"))).select(F.col("node").alias("a"), F.col("h").alias("b"))
-        pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = materialize(confirmed(pairs, sets, percent), "links")
-        found = not new.isEmpty()
-        if found:
-            edges = edges.unionByName(new)
-            labels = components(edges)
-        if last:
-            break
-        tried = tried.unionByName(pairs)
-        known = rows if labels is None else rows.join(labels, "node", "left")
-        known = known.withColumn("comp", F.col("node") if labels is None else F.coalesce("comp", "node"))
-        mixed = materialize(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
-        live = materialize(known.join(mixed, "key").select("key", "node", "n", "comp"), "live")
-        if live.isEmpty():
-            break
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    like = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
+    hubs = rows.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("hub"))
+    hubs = materialize(hubs.select("key", F.col("hub.node").alias("h"), F.col("hub.n").alias("hn")), "hubs")
+    stars = rows.join(hubs, "key").where((F.col("node") != F.col("h")) & like).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
+    edges = materialize(confirmed(materialize(stars, "pairs"), sets, percent), "links")
+    labels = components(edges)
+    known = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = materialize(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
+    live = materialize(known.join(mixed, "key").select("node", "comp", "n").distinct(), "live")
+    pairs = materialize(rare_pairs(live, sets, percent), "pairs")
+    more = materialize(confirmed(pairs, sets, percent), "links")
+    return labels if more.isEmpty() else components(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
