@@ -1,6 +1,6 @@
 """All queries of the panel library; importing the modules fills the registry."""
 
-from tidemark.plans import data, evaluation, features
+from tidemark.plans import analytics, data, evaluation, features
 from tidemark.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "data", "evaluation", "features"]
+__all__ = ["QUERIES", "SQL", "analytics", "data", "evaluation", "features"]
