@@ -52,9 +52,9 @@ def covered_count(ordered: Column, width: int = WINDOW) -> Column:
 def common_words(docs: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     """``lang, lang_words, words, counts``: each language's words, and those of at least ``share``, by the word."""
     words = docs.select("lang", F.explode(words_of(F.col("t"))).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
-    totals = counts.groupBy("lang").agg(F.sum("c").alias("lang_words")).withColumnRenamed("lang", "of")
-    # Both sides come from one exchange of the counts.
+    counts = materialize(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")), "counts")
+    totals = materialize(counts.groupBy(F.col("lang").alias("of")).agg(F.sum("c").alias("lang_words")), "totals")
+    totals = broadcast_within(totals, BROADCAST_LANGUAGES)
     common = counts.join(totals, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("c") >= F.col("lang_words") * share)
     listed = common.groupBy("lang", "lang_words").agg(F.array_sort(F.collect_list(F.struct("word", "c"))).alias("x"))
     return listed.select("lang", "lang_words", F.col("x.word").alias("words"), F.col("x.c").alias("counts"))
