@@ -50,6 +50,11 @@ def descending_percentile(value: Column | str, entity: Column | str, *by: Column
     return F.coalesce(F.try_divide((n - place).cast("double"), (n - 1).cast("double")), F.lit(1.0))
 
 
+def growth_log(r: Column | str) -> Column:
+    """log(1 + r); a loss of all or more counts as all but 1e-9."""
+    return F.log(F.greatest(1 + col(r), F.lit(1e-9)))
+
+
 def signed_log(c: Column | str) -> Column:
     return F.signum(col(c)) * F.log1p(F.abs(col(c)))
 

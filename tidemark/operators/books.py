@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import ordinal_rank, ratio, safe_corr
+from tidemark.functions.stats import growth_log, ordinal_rank, ratio, safe_corr
 
 
 def legs(df: DataFrame, x: str, q: float | None = None, k: int | None = None, *by: str, date: str = "t", entity: str = "entity") -> DataFrame:
@@ -61,10 +61,10 @@ def weight_turnover(weights: DataFrame, date: str = "t", entity: str = "entity",
 def performance(stream: DataFrame, x: str = "ret", order: str = "t", periods: int = 12, *by: str) -> DataFrame:
     """Annual growth, volatility, Sharpe, Sortino, deepest drawdown (at most 0) and hit rate."""
     upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    e = stream.where(F.col(x).isNotNull()).withColumn("_e", F.exp(F.sum(F.log1p(F.col(x))).over(upto)))
+    e = stream.where(F.col(x).isNotNull()).withColumn("_e", F.exp(F.sum(growth_log(x)).over(upto)))
     e = e.withColumn("_dd", F.col("_e") / F.greatest(F.lit(1.0), F.max("_e").over(upto)) - 1)
     low = F.when(F.col(x) < 0, F.col(x) * F.col(x)).otherwise(0.0)
-    out = e.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.sum(F.log1p(F.col(x))).alias("_g"), F.sqrt(F.avg(low)).alias("_down"), F.min("_dd").alias("max_drawdown"), F.avg((F.col(x) > 0).cast("double")).alias("hit"))
+    out = e.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.sum(growth_log(x)).alias("_g"), F.sqrt(F.avg(low)).alias("_down"), F.min("_dd").alias("max_drawdown"), F.avg((F.col(x) > 0).cast("double")).alias("hit"))
     root = periods**0.5
     return out.select(*by, "n", "max_drawdown", "hit", (F.exp(F.col("_g") * periods / F.col("n")) - 1).alias("cagr"), (F.col("std") * root).alias("vol"), (ratio("mean", F.nullif(F.col("std"), F.lit(0.0))) * root).alias("sharpe"), (ratio("mean", F.nullif(F.col("_down"), F.lit(0.0))) * root).alias("sortino"))
 

@@ -11,12 +11,12 @@ from tidemark.functions.stats import average_rank, ordinal_rank, ratio, safe_cor
 
 
 def rank_ic(df: DataFrame, x: str, y: str, *by: str, date: str = "t", ties: str = "average", entity: str = "entity", least: int = 1) -> DataFrame:
-    """``by, date, names, ic``: rank correlation by date, of complete pairs; null without variance."""
+    """``by, date, names, ic``: rank correlation by date, of complete pairs; null without variance. Rounded to 12 digits, so that none is zero but for the last bits."""
     keys = (*by, date)
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rank = (lambda c: average_rank(c, *keys)) if ties == "average" else (lambda c: ordinal_rank(c, entity, *keys))
     ranked = pairs.select(*keys, rank(x).alias("_x"), rank(y).alias("_y"))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("names"), safe_corr("_x", "_y").alias("ic")).where(F.col("names") >= least)
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("names"), F.round(safe_corr("_x", "_y"), 12).alias("ic")).where(F.col("names") >= least)
 
 
 def ic_summary(ics: DataFrame, *by: str, x: str = "ic") -> DataFrame:

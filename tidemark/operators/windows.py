@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import col, ratio, safe_corr
+from tidemark.functions.stats import col, growth_log, ratio, safe_corr
 
 
 def back(entity: str, t: str, width: int, end: int = 0) -> WindowSpec:
@@ -192,7 +192,7 @@ def prior_events(df: DataFrame, value: str, k: int, entity: str = "entity", orde
 def equity_curve(stream: DataFrame, value: str = "ret", order: str = "t", *by: str) -> DataFrame:
     """Compounded ``equity``, its running ``peak`` and ``drawdown`` (at most 0) of a date-level stream."""
     upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = stream.withColumn("equity", F.exp(F.sum(F.log1p(F.col(value))).over(upto)))
+    out = stream.withColumn("equity", F.exp(F.sum(growth_log(value)).over(upto)))
     out = out.withColumn("peak", F.max("equity").over(upto))
     return out.withColumn("drawdown", ratio("equity", F.greatest("peak", F.lit(1.0))) - 1)
 

@@ -63,7 +63,7 @@ def t7(spark, sf):
     return I.regime_split(a1(spark, sf).join(F.broadcast(bench), "t"), "ic", "bench")
 
 
-@register("t8_gates", "SELECT signal, concat_ws(',', CASE WHEN NOT coalesce(abs(t_stat) >= 1, false) THEN 'weak' END, CASE WHEN NOT coalesce(hit >= 0.55, false) THEN 'unstable' END) AS reasons FROM (SELECT signal, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS t_stat, CASE WHEN avg(ic) >= 0 THEN avg((ic > 0)::INT) ELSE 1 - avg((ic > 0)::INT) END AS hit FROM (SELECT signal, t, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) AS ic FROM (SELECT signal, t, rank() OVER (PARTITION BY signal, t ORDER BY x) + (count(*) OVER (PARTITION BY signal, t, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY signal, t ORDER BY y) + (count(*) OVER (PARTITION BY signal, t, y) - 1) / 2.0 AS b FROM (SELECT t, unnest(['mom', 'rev', 'rev3']) AS signal, unnest([mom, rev, rev3]) AS x, fwd AS y FROM el) WHERE x IS NOT NULL) GROUP BY signal, t) GROUP BY signal)", "")
+@register("t8_gates", "SELECT signal, concat_ws(',', CASE WHEN NOT coalesce(abs(t_stat) >= 1, false) THEN 'weak' END, CASE WHEN NOT coalesce(hit >= 0.55, false) THEN 'unstable' END) AS reasons FROM (SELECT signal, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS t_stat, CASE WHEN avg(ic) >= 0 THEN avg((ic > 0)::INT) ELSE 1 - avg((ic > 0)::INT) END AS hit FROM (SELECT signal, t, round(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0), 12) AS ic FROM (SELECT signal, t, rank() OVER (PARTITION BY signal, t ORDER BY x) + (count(*) OVER (PARTITION BY signal, t, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY signal, t ORDER BY y) + (count(*) OVER (PARTITION BY signal, t, y) - 1) / 2.0 AS b FROM (SELECT t, unnest(['mom', 'rev', 'rev3']) AS signal, unnest([mom, rev, rev3]) AS x, fwd AS y FROM el) WHERE x IS NOT NULL) GROUP BY signal, t) GROUP BY signal)", "")
 def t8(spark, sf):
     return I.gated(a13(spark, sf), {"weak": F.abs("t_stat") >= 1, "unstable": F.col("hit") >= 0.55}).select("signal", "reasons")
 

@@ -62,7 +62,7 @@ rk AS (
          rank() OVER (PARTITION BY t ORDER BY fwd) + (count(*) OVER (PARTITION BY t, fwd) - 1) / 2.0 AS ry,
          row_number() OVER (PARTITION BY t ORDER BY mom, entity) AS ox, row_number() OVER (PARTITION BY t ORDER BY fwd, entity) AS oy FROM el
 ), ic AS (
-  SELECT t, count(*) AS names, covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) AS ic FROM rk GROUP BY t
+  SELECT t, count(*) AS names, round(covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0), 12) AS ic FROM rk GROUP BY t
 ), legs AS (
   SELECT *, CASE WHEN ox > names - greatest(1, names // 5) THEN 1 WHEN ox <= greatest(1, names // 5) THEN -1 END AS side FROM rk
 ), book AS (SELECT t, entity, side, fwd, sector FROM legs WHERE side IS NOT NULL),

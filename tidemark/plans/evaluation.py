@@ -12,7 +12,7 @@ from tidemark.plans.base import eligible, register, returns_with_bench, signals
 
 SUMMARY = "count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, avg((ic > 0)::INT) AS positive, avg(ic) / stddev_samp(ic) AS ir, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS t_stat, CASE WHEN avg(ic) >= 0 THEN avg((ic > 0)::INT) ELSE 1 - avg((ic > 0)::INT) END AS hit"
 SUMMED = "mean std positive ir t_stat hit"
-ICS = lambda cte, keys, x="x", y="y": f"SELECT {keys}, t, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) AS ic FROM (SELECT *, rank() OVER (PARTITION BY {keys}, t ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, t, {x}) - 1) / 2.0 AS a, rank() OVER (PARTITION BY {keys}, t ORDER BY {y}) + (count(*) OVER (PARTITION BY {keys}, t, {y}) - 1) / 2.0 AS b FROM {cte} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY {keys}, t"
+ICS = lambda cte, keys, x="x", y="y": f"SELECT {keys}, t, round(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0), 12) AS ic FROM (SELECT *, rank() OVER (PARTITION BY {keys}, t ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, t, {x}) - 1) / 2.0 AS a, rank() OVER (PARTITION BY {keys}, t ORDER BY {y}) + (count(*) OVER (PARTITION BY {keys}, t, {y}) - 1) / 2.0 AS b FROM {cte} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY {keys}, t"
 
 
 @register("flagship", f"SELECT {SUMMARY} FROM ic", SUMMED)
@@ -26,7 +26,7 @@ def a1(spark, sf):
     return A.rank_ic(eligible(spark, sf), "mom", "fwd")
 
 
-@register("a2_rank_ic_ordinal", "SELECT t, count(*) AS names, covar_pop(ox, oy) / nullif(sqrt(var_pop(ox) * var_pop(oy)), 0) AS ic FROM rk GROUP BY t", "ic")
+@register("a2_rank_ic_ordinal", "SELECT t, count(*) AS names, round(covar_pop(ox, oy) / nullif(sqrt(var_pop(ox) * var_pop(oy)), 0), 12) AS ic FROM rk GROUP BY t", "ic")
 def a2(spark, sf):
     return A.rank_ic(eligible(spark, sf), "mom", "fwd", ties="ordinal")
 
@@ -267,7 +267,7 @@ def b5_break_even(spark, sf):
     return B.break_even(b1(spark, sf))
 
 
-@register("b6_performance", "SELECT count(*) AS n, min(e / greatest(1, p) - 1) AS max_drawdown, avg((gross > 0)::INT) AS hit, exp(sum(ln(1 + gross)) * 12 / count(*)) - 1 AS cagr, stddev_samp(gross) * sqrt(12) AS vol, avg(gross) / stddev_samp(gross) * sqrt(12) AS sharpe, avg(gross) / sqrt(avg(CASE WHEN gross < 0 THEN gross * gross ELSE 0 END)) * sqrt(12) AS sortino FROM (SELECT gross, e, max(e) OVER (ORDER BY t) AS p FROM (SELECT t, gross, exp(sum(ln(1 + gross)) OVER (ORDER BY t)) AS e FROM stream))", "max_drawdown hit cagr vol sharpe sortino")
+@register("b6_performance", "SELECT count(*) AS n, min(e / greatest(1, p) - 1) AS max_drawdown, avg((gross > 0)::INT) AS hit, exp(sum(ln(greatest(1 + gross, 1e-9))) * 12 / count(*)) - 1 AS cagr, stddev_samp(gross) * sqrt(12) AS vol, avg(gross) / stddev_samp(gross) * sqrt(12) AS sharpe, avg(gross) / sqrt(avg(CASE WHEN gross < 0 THEN gross * gross ELSE 0 END)) * sqrt(12) AS sortino FROM (SELECT gross, e, max(e) OVER (ORDER BY t) AS p FROM (SELECT t, gross, exp(sum(ln(greatest(1 + gross, 1e-9))) OVER (ORDER BY t)) AS e FROM stream))", "max_drawdown hit cagr vol sharpe sortino")
 def b6(spark, sf):
     return B.performance(b1(spark, sf), "gross")
 

@@ -150,7 +150,7 @@ def w24(spark, sf):
     return df.select("t", ratio(F.col("d") - F.avg("d").over(before), F.nullif(F.stddev_samp("d").over(before), F.lit(0.0))).alias("z"))
 
 
-@register("w25_equity_curve", "SELECT t, equity, equity / greatest(max(equity) OVER (ORDER BY t), 1) - 1 AS drawdown FROM (SELECT t, exp(sum(ln(1 + gross)) OVER (ORDER BY t)) AS equity FROM stream)", "equity drawdown")
+@register("w25_equity_curve", "SELECT t, equity, equity / greatest(max(equity) OVER (ORDER BY t), 1) - 1 AS drawdown FROM (SELECT t, exp(sum(ln(greatest(1 + gross, 1e-9))) OVER (ORDER BY t)) AS equity FROM stream)", "equity drawdown")
 def w25(spark, sf):
     from tidemark.operators.books import legs, long_short
 
