@@ -128,6 +128,22 @@ def test_seats_follow_their_conditional():
     assert ((large >= 5000 / 64) & (large <= 5000)).all()
 
 
+@pytest.mark.parametrize("new", [0.01, 1.0, 10.0, 100.0, 1000.0])
+@pytest.mark.parametrize("c", [65, 300, 2000])
+def test_tables_of_many_customers_follow_the_exact_weights(c, new):
+    import numpy as np
+
+    t = np.arange(1, c + 1)
+    weights = pitman_yor.log_seatings(pitman_yor.DISCOUNT, c)[c, 1:] + t * np.log(new)
+    weights = np.exp(weights - weights.max())
+    mean = (weights @ t) / weights.sum()
+    spread = np.sqrt((weights @ (t - mean) ** 2) / weights.sum())
+    n = 10_000
+    drawn = pitman_yor.seat(np.full(n, c), np.full(n, new), pitman_yor.mix(np.arange(n, dtype=np.uint64)), 5)
+    assert abs(drawn.mean() - mean) < 0.05 * spread + 0.002
+    assert abs(drawn.std() - spread) < 0.05 * spread + 0.01
+
+
 def test_model_without_training_rows(spark):
     got = pitman_yor.score_texts(docs(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in sorted(got)] == [(3, 0, 0), (1, 0, 0)]

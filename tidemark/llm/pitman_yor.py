@@ -37,13 +37,13 @@ TOKENS, POSTINGS, SUMMED = 1_000_000, 500_000, 65_536
 #: Discount and strength of the restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 3, 5
-#: Customers of a dish that are seated jointly; a dish with more is seated in parts of so many, each with its own tables.
-PART = 64
-#: Draws of full parts that are made one by one; the sum of further ones is drawn from its normal limit.
-SINGLE = 8
+#: Up to so many customers of a dish have a table of exact weights; above, weights are those of the saddlepoint, set right by the table's last row.
+EXACT = 256
+#: Numbers of tables, and what they spread over in square roots of the mean, at which the weights of a dish with more customers are taken.
+NODES, SPREAD = 128, 8.0
 
 
-def log_seatings(discount: float, most: int = PART) -> np.ndarray:
+def log_seatings(discount: float, most: int = EXACT) -> np.ndarray:
     """Log weight of all seatings of c customers at t tables: (c - 1)-step sums of new tables, and of joining with weight n - discount."""
     out = np.full((most + 1, most + 1), -np.inf)
     out[1, 1] = 0.0
@@ -54,7 +54,31 @@ def log_seatings(discount: float, most: int = PART) -> np.ndarray:
     return out
 
 
+def newton(value, slope, target: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where a concave function that falls from infinity at -infinity is ``target``, below 0."""
+    z = np.minimum(start, -1e-3)
+    for _ in range(8):
+        z = np.minimum(z - (value(z) - target) / slope(z), z / 16)
+    return z
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    return n * np.log(n) - n + np.log(2 * np.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5)
+
+
+def saddlepoint(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``log_seatings`` of many customers by the saddlepoint of c! / (t! discount^t) [x^c] (1 - (1 - x)^discount)^t; z is log(1 - x)."""
+    d = DISCOUNT
+    slope = lambda z: np.exp(z) / np.expm1(z) + d - 1 - d * np.exp(d * z) / np.expm1(d * z)
+    z = newton(lambda z: np.log(d * np.expm1(z) / np.expm1(d * z)) + (d - 1) * z, slope, np.log(c / t), np.log(c / t / d) / (d - 1))
+    x = -np.expm1(z)
+    spread = -c * slope(z) * x / np.exp(z)
+    return log_factorial(c) - log_factorial(t) + t * np.log(-np.expm1(d * z) / d) - c * np.log1p(-np.exp(z)) - np.log(2 * np.pi * spread) / 2
+
+
 SEATINGS = log_seatings(DISCOUNT)
+#: What the saddlepoint lacks, and log t more (which is flat for small t): a function of t / c^discount, for many customers.
+LACKS = np.log(np.arange(1, EXACT // 2) / EXACT**DISCOUNT) + SEATINGS[EXACT, 1 : EXACT // 2] - saddlepoint(np.full(EXACT // 2 - 1, float(EXACT)), np.arange(1.0, EXACT // 2))
 
 
 def uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -62,47 +86,49 @@ def uniform(key: np.ndarray, salt: int) -> np.ndarray:
     return ((mix(key + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def seat(customers: np.ndarray, new: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
-    """Tables of each dish, drawn given its customers and the weight of a new table."""
-    tables = np.minimum(customers, 1).astype(np.float64)
-    rest, parts = customers % PART, customers // PART
-    log_new = np.log(new)
+def drawn(log_weights: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A column for each row, by its weights."""
+    weights = np.exp(log_weights - log_weights.max(1, keepdims=True)).cumsum(1)
+    return (weights < (u * weights[:, -1])[:, None]).sum(1)
 
-    def draw(at: np.ndarray, c: int, u: np.ndarray) -> np.ndarray:
-        t = np.arange(1, c + 1)
-        weights = log_new[at, None] * t + SEATINGS[c, 1 : c + 1]
-        weights = np.exp(weights - weights.max(1, keepdims=True)).cumsum(1)
-        return (weights < (u * weights[:, -1])[:, None]).sum(1) + 1.0
 
+def seat(customers: np.ndarray, new: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """Tables of each dish, all its customers seated jointly, drawn given its customers and the weight of a new table."""
+    tables = np.minimum(customers, 1).astype(np.float64)
     many = np.flatnonzero(customers > 1)
-    order = many[np.argsort(rest[many], kind="stable")]
-    edges = np.searchsorted(rest[order], np.arange(PART + 1))
-    tables[many] = 0
-    for c in range(1, PART):
-        for a in range(edges[c], edges[c + 1], 50_000):
-            at = order[a : min(a + 50_000, edges[c + 1])]
-            tables[at] += draw(at, c, uniform(key[at], salt)) if c > 1 else 1.0
-    large = np.flatnonzero(parts > 0)
-    for j in range(SINGLE):
-        for a in range(0, len(large), 50_000):
-            at = large[a : a + 50_000]
-            at = at[parts[at] > j]
-            if len(at):
-                tables[at] += draw(at, PART, uniform(key[at], salt + 7919 * (j + 1)))
-    huge = np.flatnonzero(parts > SINGLE)
-    if len(huge):
-        t = np.arange(1, PART + 1)
-        weights = log_new[huge, None] * t + SEATINGS[PART, 1:]
-        weights = np.exp(weights - weights.max(1, keepdims=True))
-        weights /= weights.sum(1, keepdims=True)
-        mean = weights @ t
-        spread = np.sqrt(np.maximum(weights @ (t * t) - mean**2, 0))
-        normal = np.sqrt(-2 * np.log(uniform(key[huge], salt + 104_729))) * np.cos(2 * np.pi * uniform(key[huge], salt + 224_737))
-        n = (parts[huge] - SINGLE).astype(np.float64)
-        tables[huge] += np.clip(np.rint(n * mean + np.sqrt(n) * spread * normal), n, n * PART)
+    order = many[np.argsort(customers[many], kind="stable")]
+    counts, edges = np.unique(customers[order], return_index=True)
+    for c, a, b in zip(counts.tolist(), edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        if c > EXACT:
+            break
+        for at in np.split(order[a:b], range(1_000_000 // c, b - a, 1_000_000 // c)):
+            tables[at] = 1 + drawn(np.log(new[at])[:, None] * np.arange(1, c + 1) + SEATINGS[c, 1 : c + 1], uniform(key[at], salt))
+    large = np.flatnonzero(customers > EXACT)
+    for at in np.split(large, range(8192, len(large), 8192)):
+        if len(at):
+            tables[at] = seat_many(customers[at].astype(np.float64), new[at], uniform(key[at], salt), uniform(key[at], salt + 104_729))
     return tables
 
 
+def seat_many(c: np.ndarray, new: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Tables of dishes with many customers: a node by its weight, then a number about the node."""
+    d = DISCOUNT
+    z = newton(lambda z: np.log(-np.expm1(z)) + (d - 1) * z, lambda z: np.exp(z) / np.expm1(z) + d - 1, np.log(c / new), np.where(c < new, -c / new, np.log(c / new) / (d - 1)))
+    mean = np.maximum(-np.expm1(d * z) * new / d, 1.0)  # of the tables, but for the 1 that is there at least
+    low = np.clip(np.floor(mean - SPREAD * np.sqrt(mean) - 2), 1, c - 1)
+    high = np.clip(np.ceil(mean + SPREAD * np.sqrt(mean) + 12), low, c - 1)
+    step = np.ceil((high - low + 1) / NODES)
+    t = low[:, None] + step[:, None] * np.arange(NODES)
+    inside = t <= high[:, None]
+    t = np.where(inside, t, high[:, None])
+    share = np.log(t) - d * np.log(c)[:, None]
+    known = np.log(np.arange(1, EXACT // 2) / EXACT**d)
+    lacks = np.interp(share, known, LACKS) - np.minimum(share, known[-1])
+    weights = np.log(new)[:, None] * t + saddlepoint(np.broadcast_to(c[:, None], t.shape), t) + lacks
+    node = t[np.arange(len(c)), drawn(np.where(inside, weights, -np.inf), u)]
+    return np.clip(node + np.floor((v - 0.5) * step + 0.5), 1, c)
+
+
 @dataclass
 class Totals:
     """Of all words: customers and tables of each context's restaurant, tables of the parent, number of words."""
