@@ -144,6 +144,16 @@ def test_tables_of_many_customers_follow_the_exact_weights(c, new):
     assert abs(drawn.std() - spread) < 0.05 * spread + 0.01
 
 
+def test_every_preceding_word_is_a_context(spark):
+    # Each of 600 words, all rare, is followed by a word of its own.
+    rows = [(i, " ".join(f"a{(i * 7 + j * 11) % 600} b{(i * 7 + j * 11) % 600}" for j in range(50))) for i in range(140)]
+    indexed = pitman_yor.index(docs(spark, rows).select(F.col("doc_id").alias("row"), "doc_id", F.lit(False).alias("held_out"), F.transform(F.split(F.concat("text", F.lit(" \n")), " "), lambda w: F.xxhash64(w)).alias("h")))
+    assert indexed.where("w is not null").agg(F.count_distinct("ctx")).first()[0] == 1201
+    got = pitman_yor.score_texts(docs(spark, rows), F.col("doc_id") % 7 == 2).where("held_out").collect()
+    # A word that follows for certain costs little, so a pair costs little more than its first word.
+    assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
+
+
 def test_model_without_training_rows(spark):
     got = pitman_yor.score_texts(docs(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in sorted(got)] == [(3, 0, 0), (1, 0, 0)]

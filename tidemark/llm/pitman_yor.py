@@ -1,39 +1,37 @@
-"""Language-model scores by a hierarchical Pitman-Yor model.
-
-A token's context is the nearest context word before it in the text (a word
-with a fixed share of all training tokens), or the start of the text. Each
-context is a restaurant whose customers are the training tokens after it; all
-restaurants share one parent, whose customers are their tables, and whose base
-is uniform over the known words and one unknown. A Gibbs sweep seats the
-customers of every dish of every restaurant anew, given all others: how many
-tables a dish has is drawn from its full conditional, whose weights are those
-of all seatings with so many tables. Predictive probabilities are averaged over
-the last sweeps.
-
-Restaurants are coupled by their parent's dishes, which stay together with the
-word, and by their table counts, which a sweep over all words takes from the
-sweep before. So the work is dealt out by word. Words with a fixed share of all
-tokens would be hot keys; there is a bounded number of them, so their counts
-are small, and their tokens never leave their document's row.
+"""Language-model scores by a hierarchical Pitman-Yor model of word pairs.
+
+A token's context is the word before it, whichever it is, or the start of the
+text. Each context is a restaurant whose customers are the training tokens
+after it; all restaurants share one parent, whose customers are their tables,
+and whose base is uniform over the known words and one unknown. A Gibbs sweep
+seats the customers of every dish of every restaurant anew, given all others as
+the sweep before left them: how many tables a dish has is drawn from its full
+conditional, whose weights are those of all seatings with so many tables.
+Predictive probabilities are averaged over the last states.
+
+A sweep is a pass over the pairs of context and word: its dishes' tables are
+written, and the next sums them by context and by word. So all probabilities of
+a state come from the tables of that state, and sum to one. Sums are combined
+within tasks first; those of the bounded number of words with a fixed share of
+all tokens are joined by broadcast, and their pairs are spread over all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, materialize, scratch, table, text_of, words_of
+from ._common import lower_ascii, materialize, table, text_of, words_of
 from .near_dedup import mix
 
-#: A context word, and a frequent word, has at least this share of the training tokens; so there are at most 200 and 10,000.
-CONTEXT_SHARE, FREQUENT_SHARE = 0.005, 0.0001
-#: Tokens that a worker counts, postings that it scores, and postings whose scores it sums by text, at a time.
-TOKENS, POSTINGS, SUMMED = 1_000_000, 500_000, 65_536
+#: A frequent word has at least this share of the training tokens; so there are at most 1,000.
+FREQUENT_SHARE = 0.001
+#: Tokens that a worker indexes, pairs that it seats, and postings whose scores it sums by text, at a time.
+TOKENS, PAIRS, SUMMED = 1_000_000, 200_000, 65_536
 #: Discount and strength of the restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 3, 5
@@ -98,7 +96,7 @@ def seat(customers: np.ndarray, new: np.ndarray, key: np.ndarray, salt: int) ->
     many = np.flatnonzero(customers > 1)
     order = many[np.argsort(customers[many], kind="stable")]
     counts, edges = np.unique(customers[order], return_index=True)
-    for c, a, b in zip(counts.tolist(), edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+    for c, a, b in zip(counts.tolist(), edges.tolist(), [*edges.tolist(), len(order)][1:], strict=True):
         if c > EXACT:
             break
         for at in np.split(order[a:b], range(1_000_000 // c, b - a, 1_000_000 // c)):
@@ -129,97 +127,14 @@ def seat_many(c: np.ndarray, new: np.ndarray, u: np.ndarray, v: np.ndarray) -> n
     return np.clip(node + np.floor((v - 0.5) * step + 0.5), 1, c)
 
 
-@dataclass
-class Totals:
-    """Of all words: customers and tables of each context's restaurant, tables of the parent, number of words."""
-
-    customers: np.ndarray
-    tables: np.ndarray
-    parent_tables: float
-    words: int
-
-    def new(self) -> np.ndarray:
-        return STRENGTH + DISCOUNT * self.tables
-
-    def base(self) -> float:
-        """The weight of a new table of the parent, for each word."""
-        return (STRENGTH + DISCOUNT * self.parent_tables) / (self.words + 1)
-
-    def back_off(self) -> np.ndarray:
-        return self.new() / (STRENGTH + self.customers)
-
-
-def sweeps(word: np.ndarray, context: np.ndarray, count: np.ndarray, name: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Averaged probability of each dish and of each word at the parent; last tables of each dish, and of the parent.
-
-    Dishes are ``word`` (place in ``name``, the words' hashes), ``context``, ``count``.
-    """
-    key = mix(name)[word] + context.astype(np.uint64)
-    tables = np.minimum(count, 1).astype(np.float64)
-    dish, parent = np.zeros(len(word)), np.zeros(len(name))
-    parent_customers, top = totals.tables.sum(), np.zeros(len(name))
-    new, all_ = totals.new()[context], (STRENGTH + totals.customers)[context]
-    for sweep in range(BURN_IN + SAMPLES):
-        guests = np.bincount(word, tables, len(name))
-        top = seat(guests.astype(np.int64), np.full(len(name), totals.base()), mix(name), 2 * sweep)
-        share = (guests - DISCOUNT * top + totals.base()) / (STRENGTH + parent_customers)
-        tables = seat(count, new * share[word], key, 2 * sweep + 1)
-        if sweep >= BURN_IN:
-            parent += share / SAMPLES
-            dish += (count - DISCOUNT * tables + new * share[word]) / all_ / SAMPLES
-    return dish, parent, tables, top
-
-
 def flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def heavy_words(hashes: DataFrame, share: float) -> tuple[int, list[tuple[int, int]]]:
-    """The number of tokens, and words of at least ``share`` of all tokens, with counts, of ``h`` (arrays of hashes); at most 1 / share.
-
-    Workers pass on words that have an eighth of the share in what they count
-    at a time, so a word whose share is just above may be passed over.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(flat(batch.column(0)))
-            n += len(held[-1])
-            if n >= TOKENS:
-                yield counted(np.concatenate(held))
-                held, n = [], 0
-        if n:
-            yield counted(np.concatenate(held))
-
-    def counted(tokens: np.ndarray) -> pa.RecordBatch:
-        words, counts = np.unique(tokens, return_counts=True)
-        kept = counts >= share / 8 * len(tokens)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(words[kept], 0)), pa.array(np.append(counts[kept], 0)), pa.array(np.append(np.zeros(kept.sum(), np.int64), len(tokens)))], ["w", "c", "n"])
-
-    found = materialize(hashes.select("h").mapInArrow(run, "w bigint, c bigint, n bigint").groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "heavy")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    return total, [(r.w, r.c) for r in found.where((F.col("c") > 0) & (F.col("c") >= share * total)).collect()]
-
-
-def contexts_of(tokens: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The context of each token: 0 at the start of a text, else one more than its place in the sorted context words."""
-    n = len(tokens)
-    place = np.minimum(np.searchsorted(words, tokens), max(0, len(words) - 1))
-    is_context = words[place] == tokens if len(words) else np.zeros(n, bool)
-    last = np.maximum.accumulate(np.where(is_context, np.arange(n), -1))
-    before = np.append(-1, last[:-1])
-    begin = np.repeat(starts, np.diff(np.append(starts, n)))
-    return np.where(before >= begin, place[before] + 1, 0)
-
-
-def index(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """A row per text (``row, doc_id, held_out, n_tokens``) with its frequent words, and rows per other word with the texts that have it."""
+def index(docs: DataFrame) -> DataFrame:
+    """A row per text (``row, doc_id, held_out, n_tokens``), and rows per pair with its training tokens, and the texts that have it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = {"w": pa.int64(), "row": pa.int64(), "doc_id": None, "held_out": pa.bool_(), "n_tokens": pa.int64(), "rows": pa.list_(pa.int64()), "ids": pa.list_(pa.int32()), "ctx": pa.list_(pa.int32()), "n": pa.list_(pa.int32())}
-
-    def nested(values: np.ndarray, edges: np.ndarray, t: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, t))
+    columns = ["ctx", "w", "row", "doc_id", "held_out", "n_tokens", "c", "rows", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -238,76 +153,133 @@ def index(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> DataFr
             yield from made(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     def made(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, tokens = batch.column(0).to_numpy(), flat(batch.column(3))
+        rows, words = batch.column(0).to_numpy(), flat(batch.column(3))
         sizes = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
-        text = np.repeat(np.arange(len(rows)), sizes)
-        sign = np.where(batch.column(2).to_numpy(zero_copy_only=False), -1, 1)
-        ctx = contexts_of(tokens, np.cumsum(sizes) - sizes, contexts)
-        place = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
-        common = frequent[place] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-        width = len(contexts) + 1
-        keys, counts = np.unique((text[common] * (len(frequent) + 1) + place[common]) * width + ctx[common], return_counts=True)
-        edges = np.searchsorted(keys // width // (len(frequent) + 1), np.arange(len(rows) + 1))
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.nulls(len(rows), columns["rows"]), nested(keys // width % (len(frequent) + 1), edges, pa.int32()), nested(keys % width, edges, pa.int32()), nested(counts, edges, pa.int32())], list(columns))
-        words, inverse = np.unique(tokens[~common], return_inverse=True)
-        keys, counts = np.unique((inverse * len(rows) + text[~common]) * width + ctx[~common], return_counts=True)
-        edges = np.searchsorted(keys // width // len(rows), np.arange(len(words) + 1))
-        none = lambda t: pa.nulls(len(words), t)
-        counts *= sign[keys // width % len(rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(words), none(pa.int64()), none(batch.schema.types[1]), none(pa.bool_()), none(pa.int64()), nested(rows[keys // width % len(rows)], edges, pa.int64()), none(columns["ids"]), nested(keys % width, edges, pa.int32()), nested(counts, edges, pa.int32())], list(columns))
-
-    schema = f"w bigint, row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, rows array<bigint>, ids array<int>, ctx array<int>, n array<int>"
+        none = lambda n, t: pa.nulls(n, t)
+        big, many, few = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([none(n, big), none(n, big), *batch.columns[:3], pa.array(sizes), none(n, big), none(n, many), none(n, few)], columns)
+        # All texts end alike, so the first word's context is the end of a text.
+        ctx, text = np.roll(words, 1), np.repeat(np.arange(len(rows)), sizes)
+        order = np.lexsort((text, words, ctx))
+        ctx, words, text = ctx[order], words[order], text[order]
+        pair = np.append(True, (ctx[1:] != ctx[:-1]) | (words[1:] != words[:-1]))
+        first = np.flatnonzero(pair | np.append(True, text[1:] != text[:-1]))
+        counts, heads = np.diff(np.append(first, len(words))), np.flatnonzero(pair)
+        edges = pa.array(np.append(np.searchsorted(first, heads), len(first)), pa.int32())
+        train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        c = np.add.reduceat(train[text].astype(np.int64), heads)
+        n = len(heads)
+        for at in range(0, n, SUMMED):
+            k = slice(at, at + SUMMED)
+            own = edges[at : at + SUMMED + 1]
+            lists = [pa.ListArray.from_arrays(own, pa.array(x, t)) for x, t in ((rows[text[first]], big), (counts, pa.int32()))]
+            size = len(own) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[heads[k]]), pa.array(words[heads[k]]), none(size, big), none(size, batch.schema.types[1]), none(size, pa.bool_()), none(size, big), pa.array(c[k]), *lists], columns)
+
+    schema = f"ctx bigint, w bigint, row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, c bigint, rows array<bigint>, n array<int>"
     return docs.select("row", "doc_id", "held_out", "h").mapInArrow(run, schema)
 
 
-def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Words, and their postings (place of the word, row, context, count), in lots that hold all of each word's.
-
-    Rows come sorted by word, all of a word's in one task.
-    """
-    held: list[tuple[np.ndarray, ...]] = []
-    n = 0
+def in_lots(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
     for batch in batches:
-        words = batch.column(0).to_numpy()
-        sizes = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-        if n >= POSTINGS:
-            # What is held goes, but for the last word, which may go on.
-            names, *lists = (np.concatenate(x) for x in zip(*held, strict=True))
-            others = np.flatnonzero(names != names[-1])
-            cut = int(others[-1]) + 1 if len(others) else 0
-            if cut:
-                yield lot(names[:cut], *(x[:cut] for x in lists))
-                held = [(names[cut:], *(x[cut:] for x in lists))]
-                n = len(names) - cut
-        held.append((np.repeat(words, sizes), *(flat(batch.column(k)) for k in (1, 2, 3))))
-        n += len(held[-1][0])
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
     if n:
-        yield lot(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def attach(pairs: DataFrame, sums: DataFrame, key: str, frequent: list[int]) -> DataFrame:
+    """``pairs`` with the columns of ``sums`` by ``key``: those of frequent words by broadcast, their pairs spread over all tasks."""
+    often = F.col(key).isin(frequent)
+    names = [c for c in sums.columns if c != key]
+    few = F.broadcast(sums.where(often).select(F.col(key).alias("_few"), *[F.col(c).alias(f"_{c}") for c in names]))
+    rest = sums.where(~often).select(F.col(key).alias("_rest"), *names)
+    spread = pairs.withColumn("_often", often).withColumn("_key", F.when(often, F.xxhash64("ctx", "w")).otherwise(F.col(key)))
+    joined = spread.join(rest, (F.col("_key") == F.col("_rest")) & ~F.col("_often"), "left").join(few, F.col(key) == F.col("_few"), "left")
+    return joined.select(*pairs.columns, *[F.coalesce(c, f"_{c}").alias(c) for c in names])
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialize`` wrote and nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()  # Spark deletes shuffle files of plans that are gone
+
+
+def seatings(pairs: DataFrame) -> tuple[DataFrame, int, int]:
+    """``pairs`` (``ctx, w, c``, one row each) with ``p``, the mean probability of the word after the context, and ``known``, the word's training tokens; the number of those, and of known words."""
+    state = materialize(pairs.select("ctx", "w", "c", F.least("c", F.lit(1)).alias("t"), F.lit(0.0).alias("p")), "state")
+    counts = materialize(state.groupBy("w").agg(F.sum("c").alias("known")), "counts")
+    total, words = counts.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
+    frequent = [r.w for r in counts.where((F.col("known") > 0) & (F.col("known") >= FREQUENT_SHARE * total)).collect()]
+    remove(counts)
+    parent_tables, last = float(words), BURN_IN + SAMPLES - 1
+    for sweep in range(last + 1):
+        contexts = materialize(state.groupBy("ctx").agg(F.sum("c").alias("all"), F.sum("t").alias("tables")), "contexts")
+        guests = state.groupBy("w").agg(F.sum("c").alias("known"), F.sum("t").alias("guests"))
+        parents = materialize(guests.mapInArrow(seated_parents((STRENGTH + DISCOUNT * parent_tables) / (words + 1), 2 * sweep), "w bigint, known bigint, guests bigint, top double"), "parents")
+        all_guests, parent_tables = parents.agg(F.coalesce(F.sum("guests"), F.lit(0)), F.coalesce(F.sum("top"), F.lit(0.0))).first()
+        base = (STRENGTH + DISCOUNT * parent_tables) / (words + 1)
+        share = (F.col("guests") - DISCOUNT * F.col("top") + base) / (STRENGTH + all_guests)
+        joined = attach(attach(state, contexts, "ctx", frequent), parents.select("w", "known", share.alias("share")), "w", frequent)
+        old = [state, contexts, parents]
+        if sweep < last:
+            state = materialize(joined.mapInArrow(seated(2 * sweep + 1, sweep >= BURN_IN), state.schema), "state")
+        else:
+            new = STRENGTH + DISCOUNT * F.col("tables")
+            p = (F.col("c") - DISCOUNT * F.col("t") + new * F.col("share")) / (STRENGTH + F.col("all"))
+            state = materialize(joined.select("ctx", "w", ((F.col("p") + p) / SAMPLES).alias("p"), "known"), "chances")
+        for df in old:
+            remove(df)
+    return state, total, words
+
+
+def seated_parents(base: float, salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in in_lots(batches, PAIRS):
+            w, guests = lot.column(0).to_numpy().view(np.uint64), lot.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*lot.columns, pa.array(seat(guests, np.full(len(w), base), mix(w), salt))], ["w", "known", "guests", "top"])
+
+    return run
 
 
-def lot(names: np.ndarray, rows: np.ndarray, ctx: np.ndarray, n: np.ndarray):
-    words, place = np.unique(names, return_inverse=True)
-    return words, place, rows, ctx.astype(np.int64), n.astype(np.int64)
+def seated(salt: int, sampled: bool):
+    """A sweep: the tables of each pair drawn anew; with ``sampled`` the probability under those before is added to ``p``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in in_lots(batches, PAIRS):
+            ctx, w, c, t, p, all_, tables, _, share = (x.to_numpy() for x in lot.columns)
+            new = (STRENGTH + DISCOUNT * tables) * share
+            if sampled:
+                p = p + (c - DISCOUNT * t + new) / (STRENGTH + all_)
+            t = seat(c, new, mix(mix(w.view(np.uint64)) + ctx.view(np.uint64)), salt).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(t), pa.array(p)], ["ctx", "w", "c", "t", "p"])
+
+    return run
 
-def dishes(place: np.ndarray, ctx: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(place * width + ctx, return_inverse=True)
-    return keys // width, keys % width, np.bincount(inverse, n, len(keys)).astype(np.int64)
 
+def scores(total: int, words: int):
+    """Sums by text, in small lots, of what its pairs' tokens score; Spark's partial aggregation combines those of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            rows, n = flat(batch.column(0)), flat(batch.column(1)).astype(np.int64)
+            p, known = (np.repeat(x.to_numpy(), sizes) for x in batch.columns[2:])
+            for at in range(0, len(rows), SUMMED):
+                k = slice(at, at + SUMMED)
+                texts, inverse = np.unique(rows[k], return_inverse=True)
+                sums = [np.bincount(inverse, n[k] * x, len(texts)) for x in (np.log10((known[k] + 1) / (total + words + 1)), np.log10(p[k]), known[k] > 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["of", "base", "score", "known"])
 
-def scores(words: np.ndarray, place: np.ndarray, ctx: np.ndarray, n: np.ndarray, train: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each posting: base score, score, known tokens."""
-    width = len(totals.customers)
-    word, context, count = dishes(place[train], ctx[train], n[train], width)
-    dish, parent, _, _ = sweeps(word, context, count, words.astype(np.uint64), totals)
-    known = np.bincount(word, count, len(words))
-    keys, want = word * width + context, place * width + ctx
-    at = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-    unseen = totals.back_off()[ctx] * parent[place]
-    chance = np.where(keys[at] == want, dish[at], unseen) if len(keys) else unseen
-    base = np.log10((known[place] + 1) / (totals.customers.sum() + totals.words + 1))
-    return n * base, n * np.log10(chance), n * (known[place] > 0)
+    return run
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,95 +295,19 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     end = F.array(F.lit("\n"))  # no word holds a line feed
     hashes = F.transform(F.concat(words_of(lower_ascii(text_of(text_col))), end), lambda w: F.xxhash64(w))
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), hashes.alias("h"))
-    total, heavy = heavy_words(read.where("not held_out"), FREQUENT_SHARE)
-    frequent = np.array(sorted(w for w, _ in heavy), np.int64)
-    contexts = np.array(sorted(w for w, c in heavy if c >= CONTEXT_SHARE * total), np.int64)
-    width = len(contexts) + 1
-    indexed = materialize(index(read, contexts, frequent), "index")
-    texts = indexed.where("w is null").select("row", "doc_id", "held_out", "n_tokens", "ids", "ctx", "n")
-    postings = dealt_by_word(indexed.where("w is not null").select("w", "rows", "ctx", "n"))
-
-    # Frequent words: a bounded table of counts by word and context.
-    pairs = texts.where("not held_out").select(F.explode(F.arrays_zip("ids", "ctx", "n")).alias("x")).groupBy("x.ids", "x.ctx").agg(F.sum("x.n").alias("c")).collect()
-    pairs = np.array(sorted((r.ids, r.ctx, r.c) for r in pairs), np.int64).reshape(-1, 3)
-
-    def run_of(totals: Totals | None, final: bool):
-        return lambda batches: swept(batches, width, totals, final)
-
-    def gathered(totals: Totals | None) -> Totals:
-        """Totals over all words, after sweeps with ``totals``; without, each dish has one table."""
-        sums = postings.mapInArrow(run_of(totals, False), "ctx int, customers bigint, tables double").groupBy("ctx").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
-        customers, tables, parent, words = np.zeros(width), np.zeros(width), 0.0, 0
-        for r in sums:
-            if r.ctx < 0:
-                parent, words = parent + r.t, words + r.c
-            else:
-                customers[r.ctx], tables[r.ctx] = r.c, r.t
-        np.add.at(customers, pairs[:, 1], pairs[:, 2])
-        seated, top = np.ones(len(pairs)), np.ones(len(frequent))
-        if totals:
-            _, _, seated, top = sweeps(pairs[:, 0], pairs[:, 1], pairs[:, 2], frequent.view(np.uint64), totals)
-        np.add.at(tables, pairs[:, 1], seated)
-        return Totals(customers, tables, parent + top.sum(), words + len(frequent))
-
-    totals = gathered(gathered(None))
-    rare = postings.mapInArrow(run_of(totals, True), "of bigint, base double, score double, known bigint")
-    rare = rare.groupBy("of").agg(F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("known").alias("known"))
-
-    dish, parent, _, _ = sweeps(pairs[:, 0], pairs[:, 1], pairs[:, 2], frequent.view(np.uint64), totals)
-    chance = parent[:, None] * totals.back_off()
-    chance[pairs[:, 0], pairs[:, 1]] = dish
-    known = np.bincount(pairs[:, 0], pairs[:, 2], len(frequent))
-    tables = docs.sparkSession.sparkContext.broadcast((np.log10(chance), np.log10((known + 1) / (totals.customers.sum() + totals.words + 1))))
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            logs, bases = tables.value
-            ids, ctx, n = (flat(batch.column(k)).astype(np.int64) for k in (4, 5, 6))
-            n = np.abs(n)
-            text = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))
-            sums = [np.bincount(text, x, batch.num_rows) for x in (n * bases[ids], n * logs[ids, ctx], n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(np.int64))], ["row", "doc_id", "held_out", "n_tokens", "own_base", "own_score", "own_known"])
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    scored = texts.mapInArrow(own, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, own_base double, own_score double, own_known bigint")
-    scored = scored.join(rare, F.col("row") == F.col("of"), "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", plus("own_known", "known").cast("bigint").alias("n_known"), F.lit(int(totals.customers.sum())).cast("bigint").alias("train_tokens"),
-        plus("own_base", "base").alias("base_score"), plus("own_score", "score").alias("score"), F.pow(F.lit(10.0), -plus("own_score", "score") / F.col("n_tokens")).alias("perplexity"),
+    indexed = materialize(index(read), "index")
+    postings = indexed.where("w is not null")
+    chances, total, words = seatings(postings.groupBy("ctx", "w").agg(F.sum("c").alias("c")))
+    found = postings.select("ctx", "w", "rows", "n").join(chances, ["ctx", "w"]).select("rows", "n", "p", "known")
+    sums = found.mapInArrow(scores(total, words), "of bigint, base double, score double, known bigint")
+    sums = sums.groupBy("of").agg(F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("known").alias("known"))
+    texts = indexed.where("w is null").select("row", "doc_id", "held_out", "n_tokens")
+    return texts.join(sums, F.col("row") == F.col("of"), "left").select(
+        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 
-def dealt_by_word(postings: DataFrame) -> DataFrame:
-    """Postings in files sorted by word, all of a word's in one file; a file is one row group, so one task reads it whole."""
-    spark, path = postings.sparkSession, scratch(postings.sparkSession, "postings")
-    postings.repartition("w").sortWithinPartitions("w").write.option("compression", "zstd").option("parquet.block.size", 1 << 30).parquet(path)
-    return spark.read.schema(postings.schema).parquet(path)
-
-
-def swept(batches: Iterator[pa.RecordBatch], width: int, totals: Totals | None, final: bool) -> Iterator[pa.RecordBatch]:
-    """For each lot of words the sums by context, or with ``final`` the scores by text; held-out counts are negative."""
-    for words, place, rows, ctx, n in by_word(batches):
-        train, n = n > 0, np.abs(n)
-        if final:
-            base, score, known = scores(words, place, ctx, n, train, totals)
-            # Small sums at once; Spark's partial aggregation combines those of a task.
-            for at in range(0, len(rows), SUMMED):
-                part = slice(at, at + SUMMED)
-                texts, inverse = np.unique(rows[part], return_inverse=True)
-                sums = [np.bincount(inverse, x[part], len(texts)) for x in (base, score, known)]
-                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(np.int64))], ["of", "base", "score", "known"])
-            continue
-        word, context, count = dishes(place[train], ctx[train], n[train], width)
-        known = np.bincount(word, minlength=len(words)) > 0
-        tables, top = np.ones(len(word)), known.astype(float)
-        if totals:
-            _, _, tables, top = sweeps(word, context, count, words.view(np.uint64), totals)
-        customers, tables = np.bincount(context, count, width), np.bincount(context, tables, width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, width), pa.int32()), pa.array(np.append(known.sum(), customers).astype(np.int64)), pa.array(np.append(top.sum(), tables).astype(float))], ["ctx", "customers", "tables"])
-
-
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
     return scored.drop("perplexity")
