@@ -154,6 +154,17 @@ def test_every_preceding_word_is_a_context(spark):
     assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
 
 
+def test_probabilities_sum_to_one_with_large_counts(spark):
+    counts = [(x, w, 0 if (x + w) % 50 == 7 else 1 + 200_000 // ((x + 1) * (w + 1))) for x in range(20) for w in range(400)]
+    pairs = spark.createDataFrame(counts, "ctx bigint, w bigint, c bigint")
+    # A word that no context knows stands for the one unknown.
+    unknown = spark.createDataFrame([(x, 1000, 0) for x in range(20)], "ctx bigint, w bigint, c bigint")
+    chances, total, words = pitman_yor.seatings(pairs.union(unknown))
+    assert (total, words) == (sum(c for _, _, c in counts), 400)
+    sums = [r.p for r in chances.groupBy("ctx").agg(F.sum("p").alias("p")).collect()]
+    assert len(sums) == 20 and all(x == pytest.approx(1, abs=1e-9) for x in sums)
+
+
 def test_model_without_training_rows(spark):
     got = pitman_yor.score_texts(docs(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in sorted(got)] == [(3, 0, 0), (1, 0, 0)]
