@@ -51,6 +51,15 @@ def test_exact(spark):
     assert (got[3].group_size, got[3].kept, got[None].kept, got[8].keep_id) == (2, True, True, 9)
 
 
+def test_exact_query_has_a_row_per_document_with_null_and_repeated_ids(spark, tmp_path):
+    import hashlib
+
+    docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = exact_dedup.op9_exact_dedup(spark, str(tmp_path)).collect()
+    digest = lambda t: hashlib.sha256((t or "").lower().encode()).hexdigest()
+    assert sorted((str(r.doc_id), r.text_sha256) for r in got) == sorted((str(i), digest(t)) for i, t in TEXTS)
+
+
 def test_near(spark):
     got = by_id(near_dedup.near_duplicates(docs(spark), width=2))
     assert {got[i].component_id for i in (4, 5, 6)} == {4} and got[6].n_shingles == 12

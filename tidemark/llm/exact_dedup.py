@@ -15,14 +15,15 @@ from ._common import lower_ascii, materialize, table, text_of
 PREFIX_CHARS = 128
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_col: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept``.
 
     Texts are equal when identical after lower-casing A-Z; a null text is the
     empty text. The largest id of a group stays. Rows that repeat an id count
     each in ``group_size`` and share one verdict; an id that is null loses to
     any other, and stays where its group has no other. An empty table gives no
-    rows. Other columns are ignored, whatever their names.
+    rows. Other columns are ignored, whatever their names. With ``digest_col``
+    each row has the SHA-256 of its lower-cased text in a column of that name.
     """
     norm = lower_ascii(text_of(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(norm).alias("n"), norm.alias("t"))
@@ -36,15 +37,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rows.withColumn("p", prefix)
     hashed = materialize(keyed.join(prefixes, "p", "left_semi").select("doc_id", F.unhex(F.sha2("t", 256)).alias("h")), "hashed")
     groups = hashed.groupBy("h").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    single = keyed.select("doc_id", "p").join(prefixes, "p", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    survivors = hashed.join(groups, "h", "left").select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
+    digest = lambda c: [] if digest_col is None else [c.alias(digest_col)]
+    single = keyed.join(prefixes, "p", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *digest(F.sha2("t", 256)))
+    survivors = hashed.join(groups, "h", "left").select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), *digest(F.lower(F.hex("h"))))
     return survivors.unionByName(single).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    digests = docs.select("doc_id", F.sha2(lower_ascii(text_of("text")), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(digests, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(table(spark, sf_dir, "documents"), digest_col="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP9_SQL = """
