@@ -105,16 +105,22 @@ def hysteresis(df: DataFrame, x: str, k: int, buffer: float, strategy: str = "st
     return placed.select(strategy, date, entity, "_i").groupBy(strategy).applyInPandas(walk, f"{strategy} {kinds[strategy]}, {date} {kinds[date]}, {entity} {kinds[entity]}")
 
 
-def capped_weights(df: DataFrame, score: str, cap: float, *by: str, rounds: int = 8) -> DataFrame:
-    """Adds ``weight``: score shares, cut at ``cap`` with the excess given to the others by score; what can't be placed is cash."""
+def capped_weights(df: DataFrame, score: str, cap: float, *by: str) -> DataFrame:
+    """Adds ``weight``: score shares, cut at ``cap`` with the excess given to the others by score; what can't be placed is cash.
+
+    From the largest score on, a name is cut if its share of what the names
+    before it leave reaches the cap, so one ordered pass finds the fixed point
+    of cutting and sharing again. Scores are positive.
+    """
     over = Window.partitionBy(*by)
-    out = df.withColumn("weight", ratio(score, F.sum(score).over(over))).withColumn("_full", F.lit(False))
-    for _ in range(rounds):
-        out = out.withColumn("_full", F.col("_full") | (F.col("weight") >= cap - 1e-12))
-        spent = F.sum(F.when(F.col("_full"), cap).otherwise(0.0)).over(over)
-        free = F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col(score))).over(over)
-        out = out.withColumn("weight", F.when(F.col("_full"), cap).otherwise(ratio(F.col(score), F.nullif(free, F.lit(0.0))) * F.greatest(F.lit(0.0), 1 - spent)))
-    return out.withColumn("weight", F.least("weight", F.lit(cap))).drop("_full")
+    down = over.orderBy(F.desc(score))
+    i = F.row_number().over(down) - 1
+    rest = F.sum(score).over(down.rowsBetween(0, Window.unboundedFollowing))
+    out = df.withColumns({"_i": i, "_rest": rest}).withColumn("_full", F.col(score) * (1 - cap * F.col("_i")) >= cap * F.col("_rest"))
+    spent = cap * F.sum(F.col("_full").cast("int")).over(over)
+    free = F.sum(F.when(~F.col("_full"), F.col(score))).over(over)
+    share = F.coalesce(ratio(score, free), F.lit(0.0)) * F.greatest(F.lit(0.0), 1 - spent)
+    return out.withColumn("weight", F.when(F.col("_full"), F.lit(cap)).otherwise(share)).drop("_i", "_rest", "_full")
 
 
 def normalized(df: DataFrame, kind: str, x: str, *by: str, entity: str = "entity") -> DataFrame:
@@ -131,12 +137,14 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, seed: str, entity: st
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy(key, entity))).where(F.col("_i") <= n).drop("_i")
 
 
-def book_risk(book: DataFrame, returns: DataFrame, date: str = "t", entity: str = "entity") -> DataFrame:
-    """Variance, beta and systematic share of fixed weights; the variance of the weighted sum by date, so no matrix is made. Dates where a name lacks its return are left out."""
-    names = book.agg(F.count(F.lit(1)).alias("_names"))
-    daily = returns.join(book.select(entity, "weight"), entity).where(F.col("ret").isNotNull() & F.col("bret").isNotNull())
-    daily = daily.groupBy(date).agg(F.sum(F.col("weight") * F.col("ret")).alias("r"), F.max("bret").alias("b"), F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(names)).where("c = _names")
-    return daily.agg(F.count(F.lit(1)).alias("dates"), F.var_pop("r").alias("variance"), F.try_divide(F.covar_pop("r", "b"), F.var_pop("b")).alias("beta"), F.pow(safe_corr("r", "b"), F.lit(2.0)).alias("systematic"))
+def book_risk(book: DataFrame, returns: DataFrame, *by: str, date: str = "t", entity: str = "entity") -> DataFrame:
+    """Variance, beta and systematic share of each book's fixed weights; the variance of the weighted sum by date, so no matrix is made. Dates where a name lacks its return are left out."""
+    held = book.withColumn("_names", F.count(F.lit(1)).over(Window.partitionBy(*by))).select(*by, entity, "weight", "_names")
+    daily = returns.where(F.col("ret").isNotNull() & F.col("bret").isNotNull()).join(held, entity)
+    daily = daily.groupBy(*by, date).agg(F.sum(F.col("weight") * F.col("ret")).alias("r"), F.max("bret").alias("b"), F.count(F.lit(1)).alias("c"), F.max("_names").alias("_names")).where("c = _names")
+    out = daily.groupBy(*by).agg(F.count(F.lit(1)).alias("dates"), F.var_pop("r").alias("variance"), F.covar_pop("r", "b").alias("_c"), F.var_pop("b").alias("_v"))
+    shared = F.when(F.col("dates") > 1, ratio(F.col("_c") * F.col("_c"), F.nullif(F.col("variance") * F.col("_v"), F.lit(0.0))))
+    return out.select(*by, "dates", "variance", ratio("_c", F.nullif(F.col("_v"), F.lit(0.0))).alias("beta"), shared.alias("systematic"))
 
 
 def attribution_of_exits(book: DataFrame, panel: DataFrame, date: str = "t", entity: str = "entity") -> DataFrame:

@@ -100,3 +100,14 @@ def union_by_priority(a: DataFrame, b: DataFrame, keys: list[str], value: str) -
 
 def coverage_gap(universe: DataFrame, covered: DataFrame, key: str) -> DataFrame:
     return universe.select(key).distinct().join(covered.select(key).distinct(), key, "left_anti")
+
+
+def holdings_changes(book: DataFrame, entity: str = "entity", t: str = "t") -> DataFrame:
+    """``t, kind, entity``: who is in a month and the month before (``both``), only in it (``entering``), or only in the one before (``leaving``)."""
+    order = Window.partitionBy(entity).orderBy(t)
+    was, stays = F.lag(t).over(order) == F.col(t) - 1, F.lead(t).over(order) == F.col(t) + 1
+    ends = F.broadcast(book.agg(F.min(t).alias("_first"), F.max(t).alias("_last")))
+    rows = book.withColumns({"_was": F.coalesce(was, F.lit(False)), "_stays": F.coalesce(stays, F.lit(False))}).crossJoin(ends)
+    here = F.when(F.col(t) > F.col("_first"), F.struct(F.col(t).alias(t), F.when(F.col("_was"), "both").otherwise("entering").alias("kind")))
+    gone = F.when((F.col(t) < F.col("_last")) & ~F.col("_stays"), F.struct((F.col(t) + 1).alias(t), F.lit("leaving").alias("kind")))
+    return rows.select(entity, F.explode(F.array_compact(F.array(here, gone))).alias("x")).select("x.*", entity)

@@ -132,19 +132,12 @@ def weight_stability(model: DataFrame, features: list[str]) -> DataFrame:
 
 
 def isotonic(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``x, fitted`` at each distinct score: pooled adjacent violators by the max-min rule over distinct scores.
+    """``x, fitted`` at each distinct score: Spark ML's isotonic fit of the mean outcome, weighted by how often the score comes."""
+    from pyspark.ml.regression import IsotonicRegression
 
-    Equal scores are pooled first. Scores are rounded to a bounded grid by the
-    caller, so the table of distinct ones is small.
-    """
-    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("w"))
-    cum = points.withColumns({"i": F.row_number().over(Window.orderBy("x")), "cs": F.sum("s").over(Window.orderBy("x")), "cw": F.sum("w").over(Window.orderBy("x"))})
-    low = cum.select(F.col("i").alias("a"), (F.col("cs") - F.col("s")).alias("s0"), (F.col("cw") - F.col("w")).alias("w0"))
-    high = cum.select(F.col("i").alias("b"), F.col("cs").alias("s1"), F.col("cw").alias("w1"))
-    means = low.join(F.broadcast(high), F.col("a") <= F.col("b")).withColumn("m", (F.col("s1") - F.col("s0")) / (F.col("w1") - F.col("w0")))
-    # fitted(k) = max over a <= k of min over b >= k of the mean from a to b
-    inner = means.withColumn("least", F.min("m").over(Window.partitionBy("a").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0))).select("a", F.col("b").alias("k"), "least")
-    return inner.groupBy("k").agg(F.max("least").alias("fitted")).join(cum.select(F.col("i").alias("k"), "x"), "k").select("x", "fitted")
+    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.avg(F.col(y).cast("double")).alias("mean"), F.count(F.lit(1)).cast("double").alias("w"))
+    fit = IsotonicRegression(featuresCol="x", labelCol="mean", weightCol="w", predictionCol="fitted").fit(points)
+    return fit.transform(points).select("x", "fitted")
 
 
 def prior_folds(df: DataFrame, fold: str = "fold") -> DataFrame:

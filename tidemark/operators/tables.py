@@ -128,6 +128,30 @@ def synthetic_panel(spark: SparkSession, names: int, days: int, beta: float = 0.
     return grid.withColumn("signal", noise(1)).withColumn("fwd", beta * F.col("signal") + noise(3))
 
 
+def planted_signal(panel: DataFrame, y: str, noise: float, seed: str, entity: str = "entity", t: str = "t") -> DataFrame:
+    """Adds ``signal``: ``y`` and uniform noise, by a seeded hash of the row's keys, of width ``noise``."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(entity).cast("string"), F.col(t).cast("string")))
+    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
+    return panel.withColumn("signal", F.col(y) + noise * (unit - 0.5))
+
+
+def placed(df: DataFrame, x: str, entity: str, ranges: int = 64) -> DataFrame:
+    """Adds ``place``: rows by ``x`` from the largest on, nulls last, ties by entity; no task orders all rows.
+
+    Bounds of ranges are quantiles of a bounded sketch, and stand in the plan
+    as numbers: a row's range doesn't depend on where it is worked on. Places
+    are those within the range after the rows of the ranges before.
+    """
+    bounds = df.agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).first()[0] or []
+    above = F.when(F.col(x).isNull(), ranges).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b > F.col(x))))
+    rows = df.withColumn("_range", above)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc_nulls_last(x), entity))
+    return rows.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + own).drop("_range", "_start")
+
+
 def trigger(conditions: list[tuple[str, str, float]]) -> Column:
     """All conditions hold; a null is false."""
     ops = {">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, "==": lambda c, v: c == v, "abs>=": lambda c, v: F.abs(c) >= v}
@@ -230,10 +254,10 @@ def snapshots(facts: DataFrame, keys: list[str], field: str, value: str, availab
     return wide.join(facts.groupBy(*keys).agg(F.max(available).alias("as_of")), keys)
 
 
-def common_calendar(a: DataFrame, b: DataFrame, t: str) -> DataFrame:
-    """Sessions of either, up to the earlier of their last ones."""
-    ends = a.agg(F.max(t).alias("x")).crossJoin(b.agg(F.max(t).alias("y"))).select(F.least("x", "y").alias("_end"))
-    return a.select(t).union(b.select(t)).distinct().join(F.broadcast(ends), F.col(t) <= F.col("_end")).select(t)
+def common_calendar(panel: DataFrame, entity: str, t: str) -> DataFrame:
+    """The dates up to the least of all entities' latest ones."""
+    ends = panel.groupBy(entity).agg(F.max(t).alias("_last")).agg(F.min("_last").alias("_end"))
+    return panel.select(t).distinct().crossJoin(F.broadcast(ends)).where(F.col(t) <= F.col("_end")).select(t)
 
 
 def truncation_differences(full: DataFrame, again: DataFrame) -> DataFrame:

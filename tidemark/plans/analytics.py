@@ -132,7 +132,7 @@ def m8(spark, sf):
 
 @register("q1_isotonic")
 def q1(spark, sf):
-    df = eligible(spark, sf).select(F.round("mom", 1).alias("x"), (F.col("fwd") > 0).alias("y"))
+    df = eligible(spark, sf).select(F.col("mom").alias("x"), (F.col("fwd") > 0).alias("y"))
     return M.isotonic(df, "x", "y")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import ratio
+from tidemark.functions.stats import ratio, weighted_available
 from tidemark.operators import books as B
 from tidemark.operators import cross as C
 from tidemark.operators import evaluate as A
@@ -21,11 +21,10 @@ def s12(spark, sf):
     return prices(spark, sf).unpivot(["entity", "t"], ["close", "dvol"], "field", "value")
 
 
-@register("s14_file_inventory", "SELECT count(*) AS rows, count(DISTINCT l_orderkey * 10 + l_linenumber) >= 1 AS has_rows, CAST(min(CAST(l_shipdate AS DATE)) AS VARCHAR) AS first, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR) AS last FROM lineitem", "")
+@register("s14_file_inventory", "SELECT count(*) AS rows, CAST(min(CAST(l_shipdate AS DATE)) AS VARCHAR) AS first, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR) AS last, (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS distinct_rows FROM lineitem", "")
 def s14(spark, sf):
     files = T.file_inventory(panels.table(spark, sf, "lineitem"), "l_shipdate")
-    out = files.agg(F.sum("rows").alias("rows"), (F.sum("distinct_rows") >= 1).alias("has_rows"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return out.select("rows", "has_rows", *[F.to_date(c).cast("string").alias(c) for c in ("first", "last")])
+    return files.select("rows", *[F.to_date(c).cast("string").alias(c) for c in ("first", "last")], "distinct_rows")
 
 
 @register("p4_robustness_masks", "SELECT mask, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN rx > names / 3 THEN 'top_tertiles' END, CASE WHEN rx > names / 10 THEN 'not_illiquid' END, CASE WHEN age >= 12 THEN 'seasoned' END], lambda x: x IS NOT NULL)) AS mask FROM (SELECT e.*, rank() OVER (PARTITION BY e.t ORDER BY e.dvol) AS rx, age FROM el e JOIN (SELECT entity, t, row_number() OVER (PARTITION BY entity ORDER BY t) AS age FROM px_m) a ON a.entity = e.entity AND a.t = e.t)) GROUP BY mask", "")
@@ -106,12 +105,13 @@ def a34(spark, sf):
     return both.agg(F.avg(F.col("b") - F.col("a")).alias("gain"), F.avg((F.col("b") > F.col("a")).cast("double")).alias("better"), F.count(F.lit(1)).alias("months"))
 
 
-@register("b12_book_marks", "SELECT p.t, count(close) AS marked, avg(close / entry - 1) AS mean, median(close / entry - 1) AS mid, avg((close > entry)::INT) AS hit FROM (SELECT entity, close AS entry FROM px_m WHERE t = 23960 AND entity <= 20) b JOIN px_m p USING (entity) WHERE p.t > 23960 AND p.t <= 23970 GROUP BY p.t", "mean mid hit")
+@register("b12_book_marks", "SELECT b.t AS opened, p.t, count(p.close) AS marked, avg(p.close / entry - 1) AS mean, median(p.close / entry - 1) AS mid, avg((p.close > entry)::INT) AS hit FROM (SELECT book.t, book.entity, close AS entry FROM book JOIN px_m USING (t, entity) WHERE side = 1) b JOIN px_m p ON p.entity = b.entity AND p.t > b.t GROUP BY 1, 2", "mean mid hit")
 def b12(spark, sf):
-    px = prices(spark, sf)
-    book = px.where("t = 23960 and entity <= 20").select("entity", F.col("close").alias("entry"))
+    """Every month's long book, marked in all later months."""
+    book = B.legs(eligible(spark, sf), "mom", 0.2).where("side = 1").select("entity", F.col("t").alias("opened"), F.col("close").alias("entry"))
     gain = ratio("close", "entry") - 1
-    return px.where("t > 23960 and t <= 23970").join(F.broadcast(book), "entity").groupBy("t").agg(F.count("close").alias("marked"), F.avg(gain).alias("mean"), F.percentile(gain, F.lit(0.5)).alias("mid"), F.avg((F.col("close") > F.col("entry")).cast("double")).alias("hit"))
+    marks = prices(spark, sf).join(book, "entity").where("t > opened")
+    return marks.groupBy("opened", "t").agg(F.count("close").alias("marked"), F.avg(gain).alias("mean"), F.percentile(gain, F.lit(0.5)).alias("mid"), F.avg((F.col("close") > F.col("entry")).cast("double")).alias("hit"))
 
 
 @register("b13_head_to_head", "SELECT sum((a > b)::INT) AS wins, sum((a < b)::INT) AS losses, avg(a - b) AS mean FROM (SELECT t, avg(fwd) FILTER (side = 1) AS a, avg(fwd) FILTER (side = -1) AS b FROM book GROUP BY t)", "mean")
@@ -143,11 +143,13 @@ def f6(spark, sf):
     return df.select("entity", F.col("d").cast("string").alias("d"), ratio("value", 1000 + F.col("entity")).alias("yield"))
 
 
-@register("f11_composite_additivity", "SELECT count(*) AS rows, sum((abs(c - (0.5 * a + 0.5 * b)) > 1e-9)::INT) AS broken FROM (SELECT rx / names AS a, ry / names AS b, (rx + ry) / (2 * names) AS c FROM rk)", "")
+@register("f11_composite_additivity", "SELECT entity, t, top / nullif(w, 0) AS composite, CASE WHEN rev3 IS NOT NULL THEN 0.3 * rev3 / nullif(w, 0) END AS reversal_part, (top - coalesce(0.3 * rev3, 0)) / nullif(w - 0.3 * (rev3 IS NOT NULL)::INT, 0) AS without_reversal FROM (SELECT *, coalesce(0.5 * mom, 0) + coalesce(0.3 * rev3, 0) + coalesce(0.2 * ret, 0) AS top, 0.5 * (mom IS NOT NULL)::INT + 0.3 * (rev3 IS NOT NULL)::INT + 0.2 * (ret IS NOT NULL)::INT AS w FROM sig)", "composite reversal_part without_reversal")
 def f11(spark, sf):
-    df = eligible(spark, sf).withColumns({"a": C.percent_rank("mom", "t"), "b": C.percent_rank("fwd", "t")})
-    df = df.withColumn("c", (F.col("a") + F.col("b")) / 2)
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.abs(F.col("c") - (0.5 * F.col("a") + 0.5 * F.col("b"))) > 1e-9).cast("int")).alias("broken"))
+    """A weighted composite of what is there, one member's part of it, and the composite reweighted without that member."""
+    weights = {"mom": 0.5, "rev3": 0.3, "ret": 0.2}
+    there = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
+    rest = {c: w for c, w in weights.items() if c != "rev3"}
+    return signals(spark, sf).select("entity", "t", weighted_available(weights).alias("composite"), ratio(0.3 * F.col("rev3"), there).alias("reversal_part"), weighted_available(rest).alias("without_reversal"))
 
 
 @register("q9_prediction_outputs", "SELECT entity AS ticker, t AS as_of, round(rx / names, 9) AS prob, CASE WHEN abs(rx / names - 0.5) >= 0.3 THEN 'high' WHEN abs(rx / names - 0.5) >= 0.1 THEN 'medium' ELSE 'low' END AS confidence FROM rk", "prob")

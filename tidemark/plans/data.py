@@ -72,12 +72,13 @@ def s19(spark, sf):
     return T.within_budget(blocks, "size", "block", 40000)
 
 
-@register("s20_synthetic_planted_signal")
+@register("s20_synthetic_planted_signal", "SELECT count(ic) AS n, avg(ic) AS mean FROM (SELECT t, round(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0), 12) AS ic FROM (SELECT t, rank() OVER (PARTITION BY t ORDER BY signal) + (count(*) OVER (PARTITION BY t, signal) - 1) / 2.0 AS a, rank() OVER (PARTITION BY t ORDER BY fwd) + (count(*) OVER (PARTITION BY t, fwd) - 1) / 2.0 AS b FROM (SELECT *, fwd + 0.5 * (CAST('0x' || substr(md5('plant:' || entity || ':' || t), 1, 8) AS UBIGINT) / 4294967296.0 - 0.5) AS signal FROM el)) GROUP BY t)", "mean")
 def s20(spark, sf):
-    from tidemark.operators.evaluate import ic_summary, rank_ic
+    """A signal planted into the panel's own entities, months and returns, with hashed noise."""
+    from tidemark.operators.evaluate import rank_ic
 
-    entities = prices(spark, sf).select("entity").distinct().count()
-    return ic_summary(rank_ic(T.synthetic_panel(spark, entities, 60), "signal", "fwd"))
+    planted = T.planted_signal(eligible(spark, sf), "fwd", 0.5, "plant")
+    return rank_ic(planted, "signal", "fwd").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean"))
 
 
 @register("s21_fingerprint")
@@ -134,19 +135,28 @@ def p13(spark, sf):
     return T.violations(df, {"has_fact": F.col("period_end").isNotNull(), "known_before": F.col("available_date") < F.col("d"), "after_period": F.col("period_end") < F.col("d")})
 
 
-@register("p14_forward_labels", "SELECT count(*) AS rows, sum((label_end <= t)::INT) AS not_forward FROM (SELECT t, t + 1 AS label_end FROM el)", "")
+@register("p14_forward_labels", "SELECT count(*) AS rows, sum((p.close IS NULL)::INT) AS no_end, sum((NOT coalesce(abs(p.close / e.close - 1 - e.fwd) <= 1e-9, false))::INT) AS not_forward FROM el e LEFT JOIN px_m p ON p.entity = e.entity AND p.t = e.t + 1", "")
 def p14(spark, sf):
-    return eligible(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("t") + 1 <= F.col("t")).cast("int")).alias("not_forward"))
+    """Labels against the prices at their ends, one month on, joined anew."""
+    end = prices(spark, sf).select("entity", (F.col("t") - 1).alias("t"), F.col("close").alias("end"))
+    df = eligible(spark, sf).join(end, ["entity", "t"], "left")
+    right = F.coalesce(F.abs(ratio("end", "close") - 1 - F.col("fwd")) <= 1e-9, F.lit(False))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("end").isNull().cast("int")).alias("no_end"), F.sum((~right).cast("int")).alias("not_forward"))
 
 
-@register("p16_truncation_probe", "SELECT CAST(0 AS BIGINT) AS differences", "")
+@register("p16_truncation_probe", "SELECT t, count(*) AS rows, CAST(0 AS BIGINT) AS differences FROM px_m WHERE t % 12 = 0 GROUP BY t", "")
 def p16(spark, sf):
-    """Signals on data up to a month must equal those of the full run up to it."""
+    """Signals on data up to the first month of each year must equal those of the full run in that month."""
     from tidemark.operators.windows import skip_momentum
 
-    px, probe = prices(spark, sf), 23980
-    run = lambda df: df.select("entity", "t", skip_momentum("close", 6, 1).alias("mom"))
-    return T.truncation_differences(run(px).where(F.col("t") <= probe), run(px.where(F.col("t") <= probe))).agg(F.count(F.lit(1)).alias("differences"))
+    px = prices(spark, sf).select("entity", "t", "close")
+    full = px.withColumn("mom", skip_momentum("close", 6, 1)).where("t % 12 = 0").select("entity", F.col("t").alias("probe"), F.col("mom").alias("all"))
+    # One copy of the panel a probe, cut off there: years are few.
+    probes = F.broadcast(px.where("t % 12 = 0").select(F.col("t").alias("probe")).distinct())
+    cut = px.join(probes, F.col("t") <= F.col("probe")).where("t >= probe - 24")
+    cut = cut.withColumn("id", F.struct("entity", "probe")).withColumn("mom", skip_momentum("close", 6, 1, "id")).where("t = probe").select("entity", "probe", "mom")
+    both = full.join(cut, ["entity", "probe"], "full")
+    return both.groupBy(F.col("probe").alias("t")).agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("all").eqNullSafe(F.col("mom"))).cast("long")).alias("differences"))
 
 
 @register("p17_symbols", "SELECT p_partkey, regexp_replace(upper(trim(s)), '-\\d{6}$', '') AS base, nullif(regexp_extract(s, '-(\\d{6})$', 1), '') AS delisted FROM (SELECT p_partkey, p_brand || CASE WHEN p_size % 2 = 0 THEN '-200' || CAST(100 + p_size AS VARCHAR) ELSE '' END AS s FROM part)", "")
@@ -325,10 +335,11 @@ def r5(spark, sf):
     return prices(spark, sf).groupBy("entity", F.floor(F.col("t") / 3).cast("int").alias("q")).agg(F.max_by("close", "t").alias("close"))
 
 
-@register("r6_pivot", "SELECT t, sum(n) FILTER (sector = 0) AS s0, sum(n) FILTER (sector = 1) AS s1, sum(n) FILTER (sector = 2) AS s2 FROM px_m JOIN sec USING (entity) GROUP BY t", "")
+@register("r6_pivot", "SELECT t, sum(n) FILTER (sector = 0) AS s0, sum(n) FILTER (sector = 1) AS s1, sum(n) FILTER (sector = 2) AS s2, sum(n) FILTER (sector = 3) AS s3, sum(n) FILTER (sector = 4) AS s4, sum(n) FILTER (sector IS NULL) AS none FROM px_m LEFT JOIN sec USING (entity) GROUP BY t", "")
 def r6(spark, sf):
-    df = prices(spark, sf).join(panels.sectors(spark, sf), "entity").withColumn("sector", F.concat(F.lit("s"), F.col("sector").cast("string")))
-    return df.groupBy("t").pivot("sector", ["s0", "s1", "s2"]).agg(F.sum("n"))
+    name = F.coalesce(F.concat(F.lit("s"), F.col("sector").cast("string")), F.lit("none"))
+    df = prices(spark, sf).join(panels.sectors(spark, sf), "entity", "left").withColumn("sector", name)
+    return df.groupBy("t").pivot("sector", ["s0", "s1", "s2", "s3", "s4", "none"]).agg(F.sum("n"))
 
 
 @register("r7_fact_snapshots", "SELECT o_custkey AS entity, CAST(q AS VARCHAR) AS q, max(v) FILTER (f = 'F') AS \"F\", max(v) FILTER (f = 'O') AS \"O\", CAST(max(a) AS VARCHAR) AS as_of FROM (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, o_orderstatus AS f, max(o_orderkey) AS v, max(CAST(o_orderdate AS DATE)) AS a FROM orders GROUP BY ALL) GROUP BY 1, 2", "")
@@ -346,13 +357,12 @@ def r8(spark, sf):
 def r9(spark, sf):
     px = prices(spark, sf)
     last = px.join(F.broadcast(px.agg(F.max("t").alias("t"))), "t")
-    return last.select("entity", "close", F.row_number().over(Window.orderBy(F.desc("close"), "entity")).alias("place"))
+    return T.placed(last, "close", "entity").select("entity", "close", "place")
 
 
-@register("r10_common_calendar", "SELECT DISTINCT t FROM px_m WHERE entity IN (1, 2) AND t <= least((SELECT max(t) FROM px_m WHERE entity = 1), (SELECT max(t) FROM px_m WHERE entity = 2))", "")
+@register("r10_common_calendar", "SELECT DISTINCT t FROM px_m WHERE t <= (SELECT min(last) FROM (SELECT max(t) AS last FROM px_m GROUP BY entity))", "")
 def r10(spark, sf):
-    px = prices(spark, sf)
-    return T.common_calendar(px.where("entity = 1"), px.where("entity = 2"), "t")
+    return T.common_calendar(prices(spark, sf), "entity", "t")
 
 
 @register("u1_union_by_priority", "SELECT entity, t, coalesce(a.close, b.close) AS close, CASE WHEN a.close IS NOT NULL THEN 'a' ELSE 'b' END AS source, coalesce(a.close <> b.close, false) AS conflict FROM (SELECT entity, t, close FROM px_m WHERE t % 2 = 0) a FULL JOIN (SELECT entity, t, close * 2 AS close FROM px_m WHERE t % 3 = 0) b USING (entity, t)", "close")
@@ -367,13 +377,10 @@ def u2(spark, sf):
     return px.where("t % 2 = 0").unionByName(px.where("t % 3 = 0"))
 
 
-@register("u3_entering_and_leaving", "SELECT 'entering' AS kind, entity FROM (SELECT entity FROM px_m WHERE t = 23960 EXCEPT SELECT entity FROM px_m WHERE t = 23959) UNION ALL SELECT 'leaving', entity FROM (SELECT entity FROM px_m WHERE t = 23959 EXCEPT SELECT entity FROM px_m WHERE t = 23960) UNION ALL SELECT 'both', entity FROM (SELECT entity FROM px_m WHERE t = 23959 INTERSECT SELECT entity FROM px_m WHERE t = 23960)", "")
+@register("u3_entering_and_leaving", "SELECT a.t, CASE WHEN b.entity IS NULL THEN 'entering' ELSE 'both' END AS kind, a.entity FROM px_m a LEFT JOIN px_m b ON b.entity = a.entity AND b.t = a.t - 1 WHERE a.t > (SELECT min(t) FROM px_m) UNION ALL SELECT a.t + 1, 'leaving', a.entity FROM px_m a LEFT JOIN px_m b ON b.entity = a.entity AND b.t = a.t + 1 WHERE b.entity IS NULL AND a.t < (SELECT max(t) FROM px_m)", "")
 def u3(spark, sf):
-    px = prices(spark, sf)
-    old, new = (px.where(F.col("t") == t).select("entity") for t in (23959, 23960))
-    kinds = {"entering": new.subtract(old), "leaving": old.subtract(new), "both": old.intersect(new)}
-    parts = [df.select(F.lit(k).alias("kind"), "entity") for k, df in kinds.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Names of every month against the month before."""
+    return J.holdings_changes(prices(spark, sf).select("entity", "t"))
 
 
 @register("u4_set_difference", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'", "")

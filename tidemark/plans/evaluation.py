@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import ratio
 from tidemark.operators import books as B
 from tidemark.operators import evaluate as A
+from tidemark.operators import tables as T
 from tidemark.plans.base import eligible, register, returns_with_bench, signals
 
 SUMMARY = "count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, avg((ic > 0)::INT) AS positive, avg(ic) / stddev_samp(ic) AS ir, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS t_stat, CASE WHEN avg(ic) >= 0 THEN avg((ic > 0)::INT) ELSE 1 - avg((ic > 0)::INT) END AS hit"
@@ -190,7 +191,7 @@ def k3(spark, sf):
     return B.hysteresis(df, "score", 5, 1.0)
 
 
-@register("k4_capped_weights")
+@register("k4_capped_weights", "SELECT t, entity, CASE WHEN full_ THEN 0.3 WHEN free > 0 THEN score / free * greatest(0, 1 - 0.3 * n_full) ELSE 0 END AS weight FROM (SELECT *, count(*) FILTER (full_) OVER (PARTITION BY t) AS n_full, coalesce(sum(score) FILTER (NOT full_) OVER (PARTITION BY t), 0) AS free FROM (SELECT *, score * (1 - 0.3 * (i - 1)) >= 0.3 * rest AS full_ FROM (SELECT *, sum(score) OVER (PARTITION BY t ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC) AS i FROM (SELECT t, entity, exp(mom * 5) AS score FROM rk WHERE ox > names - 5)))))", "weight")
 def k4(spark, sf):
     df = B.legs(eligible(spark, sf), "mom", None, 5).where("side = 1").withColumn("score", F.exp(F.col("mom") * 5))
     return B.capped_weights(df, "score", 0.3, "t").select("t", "entity", "weight")
@@ -212,7 +213,7 @@ def k5(spark, sf):
 @register("k6_latest_rows", "SELECT entity, t, mom, row_number() OVER (ORDER BY mom DESC NULLS LAST, entity) AS place FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t DESC) AS i FROM sig) WHERE i = 1", "mom")
 def k6(spark, sf):
     last = signals(spark, sf).withColumn("_i", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("t")))).where("_i = 1")
-    return last.select("entity", "t", "mom", F.row_number().over(Window.orderBy(F.desc_nulls_last("mom"), "entity")).alias("place"))
+    return T.placed(last, "mom", "entity").select("entity", "t", "mom", "place")
 
 
 @register("k7_stratified_sample", "SELECT entity, sector FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY sha256('s:' || CAST(entity AS VARCHAR)), entity) AS i FROM sec) WHERE i <= 5", "")
@@ -319,9 +320,8 @@ def b16(spark, sf):
     return B.liquidity(book, "adv", "weight", 1e7, 0.1).select("entity", "bucket", "days")
 
 
-@register("b15_book_risk", "SELECT count(*) AS dates, var_pop(r) AS variance, covar_pop(r, b) / var_pop(b) AS beta, pow(corr(r, b), 2) AS systematic FROM (SELECT t, sum(0.2 * ret) AS r, any_value(bret) AS b, count(*) AS c FROM rb WHERE entity BETWEEN 1 AND 5 AND ret IS NOT NULL AND bret IS NOT NULL GROUP BY t) WHERE c = 5".replace("rb", "(SELECT p.entity, p.t, close / max(close) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) - 1 AS ret, bench / max(bench) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) - 1 AS bret FROM px_m p JOIN bench USING (t) WINDOW w AS (PARTITION BY p.entity ORDER BY p.t))"), "variance beta systematic")
+@register("b15_book_risk", "WITH w AS (SELECT t AS opened, entity, 1.0 / count(*) OVER (PARTITION BY t) AS weight, count(*) OVER (PARTITION BY t) AS k FROM book WHERE side = 1), r AS (SELECT w.opened, rb.t, sum(weight * ret) AS r, any_value(bret) AS m, count(*) AS c, any_value(k) AS k FROM w JOIN rb USING (entity) WHERE ret IS NOT NULL AND bret IS NOT NULL GROUP BY 1, 2) SELECT opened, count(*) AS dates, var_pop(r) AS variance, covar_pop(r, m) / nullif(var_pop(m), 0) AS beta, CASE WHEN count(*) > 1 THEN pow(covar_pop(r, m), 2) / nullif(var_pop(r) * var_pop(m), 0) END AS systematic FROM r WHERE c = k GROUP BY opened".replace("JOIN rb", "JOIN (SELECT p.entity, p.t, close / max(close) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) - 1 AS ret, bench / max(bench) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) - 1 AS bret FROM px_m p JOIN bench USING (t) WINDOW w AS (PARTITION BY p.entity ORDER BY p.t)) rb"), "variance beta systematic")
 def b15(spark, sf):
-    from tidemark.sources.panels import sectors
-
-    book = sectors(spark, sf).where("entity between 1 and 5").select("entity", F.lit(0.2).alias("weight"))
-    return B.book_risk(book, returns_with_bench(spark, sf))
+    """Every month's long book, at equal weights, over all months in which its names have returns."""
+    long_ = k4_equal_free(spark, sf).withColumnRenamed("t", "opened")
+    return B.book_risk(long_, returns_with_bench(spark, sf), "opened")
