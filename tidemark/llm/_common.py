@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of small columns (an id or a digest) that are broadcast at most: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+#: A key with this share of all rows is heavy.
+HEAVY_SHARE = 0.001
 
 
 def text_of(col: str) -> Column:
@@ -29,9 +33,15 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a new folder of this machine, which only a local
+    session can use; on a cluster it must be set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -50,10 +60,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()  # Spark deletes shuffle files of plans that are gone
+
+
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that Spark picks the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` left join ``groups`` (a row per key, with the ``count`` of its rows) without a task for a hot key.
+
+    At most 1 / ``HEAVY_SHARE`` groups have that share of the ``total`` of all
+    counts: those are joined by broadcast, where the rows are. The rest is
+    shuffled. A null key has no group. Both sides are read twice.
+    """
+    names = [c for c in groups.columns if c != key]
+    of = groups.withColumnRenamed(key, "_group")
+    heavy = F.broadcast(of.where(F.col(count) >= HEAVY_SHARE * total))
+    light = of.where(F.col(count) < HEAVY_SHARE * total)
+    same = F.col(key) == F.col("_group")
+    first = rows.join(heavy, same).drop("_group")
+    none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in names])
+    rest = rows.where(F.col(key).isNotNull()).join(heavy, same, "left_anti").join(light, same, "left").drop("_group")
+    return first.unionByName(rest).unionByName(none)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
