@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,118 +18,159 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose text is never content.
 SKIP = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input math menu nav noscript object option script select style svg template textarea title video".split())
-#: Elements that a region of content can be.
-REGION = frozenset("article body blockquote div main section td".split())
-#: Words of a class, id or role that mark what isn't content.
+#: Elements that don't gather lines of their own: a line belongs to the nearest other element around it.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre summary caption figcaption".split())
+#: Words of a class, id or role that mark what is seldom content: such a line's ratio counts for little.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies dialog disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 WORDS = re.compile(r"[a-z]+")
-#: Standard deviation of the smoothing in lines, share of the ratios' standard deviation that content exceeds, share of its text that a region must hold.
-SIGMA, CUT, HOLD = 2.0, 0.3, 0.85
+#: Standard deviation of the smoothing in lines; share of the ratios' standard deviation that content exceeds, and the ratio that is enough.
+SIGMA, CUT, ENOUGH = 2.0, 0.02, 1.0
+#: Share of the largest gathering's text that another one must have; weight of marked lines.
+GATHERED, MARKED = 0.25, 0.005
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int  # that stand before it and in it, since the line before
+    linked: int  # characters of it in links
+    marked: bool
+    gathering: int  # the element that it belongs to
 
 
 class Lines(HTMLParser):
-    """Collects ``text, tags, regions`` per line: a run of text between block-level tags that isn't skipped."""
+    """Collects a page's lines: runs of text between block-level tags that aren't skipped."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number of its region or 0, whether it is skipped
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = [""]
-        self.skipped, self.text, self.tags = 0, [], 0
+        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number of its gathering or 0, whether skipped, whether marked
+        self.lines: list[Line] = []
+        self.numbers = self.skipped = self.marked = self.links = self.tags = self.linked = self.articles = self.paragraphs = 0
+        self.text: list[str] = []
 
     def flush(self) -> None:
         words = "".join(self.text).split()
         if words:
-            self.lines.append((" ".join(words), self.tags, tuple(r for _, r, _ in self.open if r)))
-        self.text, self.tags = [], 0
+            gathering = next((n for _, n, _, _ in reversed(self.open) if n), 0)
+            self.lines.append(Line(" ".join(words), self.tags, self.linked, self.marked > 0, gathering))
+            self.tags = 0
+        self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
         self.tags += 1
+        self.links += tag == "a"
         if tag in VOID:
             return
-        if tag == "p" and self.open and any(t == "p" for t, _, _ in self.open[-6:]):
-            self.handle_endtag("p")
-        skip = tag in SKIP or (tag == "header" and not self.inside("article")) or (tag not in ("html", "body", "article", "main") and self.marked(attrs))
-        region = 0
-        if tag in REGION:
-            region = len(self.kinds)
-            self.kinds.append(tag)
-        if tag in INLINE and not skip:
+        if tag == "p" and self.paragraphs:
+            self.close_paragraph()
+        skip = tag in SKIP or (tag == "header" and not self.articles) or self.hidden(attrs)
+        mark = tag not in ("html", "body", "article", "main") and self.named(attrs)
+        if tag in INLINE and not skip and not mark:
             return
-        self.open.append((tag, region, skip))
+        if tag not in INLINE and tag not in FLOW:
+            self.numbers += 1
+        self.push(tag, 0 if tag in INLINE or tag in FLOW else self.numbers, skip, mark)
+
+    def push(self, tag: str, number: int, skip: bool, mark: bool) -> None:
+        self.open.append((tag, number, skip, mark))
         self.skipped += skip
+        self.marked += mark
+        self.articles += tag == "article"
+        self.paragraphs += tag == "p"
+
+    def close(self) -> None:
+        super().close()
+        self.flush()
+
+    def close_to(self, at: int) -> None:
+        for tag, _, skip, mark in self.open[at:]:
+            self.skipped -= skip
+            self.marked -= mark
+            self.articles -= tag == "article"
+            self.paragraphs -= tag == "p"
+        del self.open[at:]
+
+    def close_paragraph(self) -> None:
+        """A paragraph ends where another begins, unless an element that gathers lines stands between them."""
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == "p":
+                return self.close_to(at)
+            if self.open[at][1]:
+                return None
 
-    def inside(self, tag: str) -> bool:
-        return any(t == tag for t, _, _ in self.open)
+    @staticmethod
+    def hidden(attrs: list) -> bool:
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()) for name, value in attrs)
 
     @staticmethod
-    def marked(attrs: list) -> bool:
-        for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if name in ("class", "id", "role") and value and not MARKS.isdisjoint(WORDS.findall(value.lower())):
-                return True
-            if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+    def named(attrs: list) -> bool:
+        return any(name in ("class", "id", "role") and value and not MARKS.isdisjoint(WORDS.findall(value.lower())) for name, value in attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
         self.tags += 1
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        if tag == "p":
+            return self.close_paragraph()
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                self.skipped -= sum(s for _, _, s in self.open[at:])
-                del self.open[at:]
-                return
-            if tag == "p" and self.open[at][0] in REGION:
-                return
+                return self.close_to(at)
+        return None
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.text.append(data)
+            self.linked += len(data) * (self.links > 0)
+
 
+def smoothed(ratio: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """Means of the neighbours, weighted by a Gaussian; for ``weak`` ones the lesser of those to either side."""
+    reach = np.arange(-int(3 * SIGMA), int(3 * SIGMA) + 1)
+    kernel, half = np.exp(-(reach**2) / (2 * SIGMA**2)), len(reach) // 2
 
-def select(lines: list[tuple[str, int, tuple[int, ...]]], kinds: list[str]) -> list[str]:
-    """The lines of the region that holds the content.
+    def mean(weights: np.ndarray) -> np.ndarray:
+        total = np.convolve(np.ones(len(ratio)), weights)[half:][: len(ratio)]
+        return np.convolve(ratio, weights)[half:][: len(ratio)] / np.maximum(total, 1e-300)
 
-    Each line has its ratio of text to tags. Ratios smoothed by a Gaussian
-    that exceed a share of their standard deviation make the content cluster.
-    The region is the deepest element that holds nearly all of the cluster's
-    text, an article or main element before others; all its lines are kept,
-    short ones too.
+    return np.where(weak, np.minimum(mean(kernel * (reach < 0)), mean(kernel * (reach > 0))), mean(kernel))
+
+
+def content_lines(lines: list[Line]) -> np.ndarray:
+    """Whether each line is in the cluster of content.
+
+    A line's ratio is its text that isn't in links, to its tags; that of a
+    marked line counts for little. Smoothing is along the lines of a gathering,
+    so neighbours lift a short line among long ones, but not an advert beside
+    them; a marked or linked line must be lifted from both sides. What exceeds a share of the ratios' standard deviation, or has enough
+    text a tag in any case, is content.
     """
+    ratio = np.array([(len(x.text) - x.linked) * (MARKED if x.marked else 1) / max(1, x.tags) for x in lines])
+    weak, group = np.array([x.marked or 2 * x.linked > len(x.text) for x in lines]), np.array([x.gathering for x in lines])
+    smooth = np.zeros(len(lines))
+    for g in np.unique(group):
+        smooth[group == g] = smoothed(ratio[group == g], weak[group == g])
+    return smooth >= max(min(CUT * ratio.std(), ENOUGH), 1e-9)
+
+
+def select(lines: list[Line]) -> list[str]:
+    """The content lines of the elements that gather a fair share of the content."""
     if not lines:
         return []
-    ratio = np.array([len(t) / max(1, tags) for t, tags, _ in lines])
-    reach = np.arange(-int(3 * SIGMA), int(3 * SIGMA) + 1)
-    kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
-    n = len(ratio)
-    smooth = np.convolve(ratio, kernel)[len(reach) // 2 :][:n] / np.convolve(np.ones(n), kernel)[len(reach) // 2 :][:n]
-    content = smooth >= CUT * ratio.std()
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, regions), inside in zip(lines, content, strict=True):
-        if inside:
-            total += len(text)
-            for r in regions:
-                mass[r] = mass.get(r, 0) + len(text)
-    named = [r for r in mass if kinds[r] in ("article", "main")]
-    if named and (best := max(named, key=lambda r: (mass[r], r))) and mass[best] >= 0.3 * total:
-        held = best
-    else:
-        held = max((r for r, m in mass.items() if m >= HOLD * total), default=0)
-    return [t for t, _, regions in lines if not held or held in regions]
+    content, mass = content_lines(lines), {}
+    for x, inside in zip(lines, content, strict=True):
+        mass[x.gathering] = mass.get(x.gathering, 0) + len(x.text) * bool(inside)
+    least = GATHERED * max(mass.values())
+    return [x.text for x, inside in zip(lines, content, strict=True) if inside and mass[x.gathering] >= least]
 
 
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    parser.flush()
-    return "\n".join(select(parser.lines, parser.kinds))
+    return "\n".join(select(parser.lines))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
