@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table, text_of
+from ._common import broadcast_within, materialize, table, text_of
 
 #: Kinds in the order in which spans with equal starts are listed; the first three are reported wherever they stand.
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 BASE = KINDS[:3]
 #: Parts that stand at most so many code points apart belong to one scope.
 SCOPE = 240
+#: Rows with linked parts that are broadcast at most.
+BROADCAST_LINKED = 100_000
 #: What makes a part count: kind -> roles it has, and kind -> roles of which it needs one nearby.
 ROLES = {"assign": ("secret",), "access": ("access",), "hex": ("secret",), "weak_access": ("access",), "weak_secret": ("secret",), "endpoint": ("endpoint",)}
 NEEDS = {"weak_access": ("secret",), "weak_secret": ("access",), "endpoint": ("access", "secret")}
@@ -44,15 +48,17 @@ def parts(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    base = [x[:2] for x in found]
     weak = []
     if any(h in low for h in HINTS[1]):
         weak += [(*m.span(), "weak_access") for m in USER.finditer(text)]
     weak += [(*m.span(), "weak_secret") for m in OPAQUE.finditer(text) if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])]
     if "://" in low:
         weak += [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
-    if weak and base:
-        weak = [w for w in weak if not any(a < w[1] and w[0] < b for a, b in base)]
+    if weak and found:
+        # A base part that begins before a weak one's end overlaps it if the furthest end of those lies beyond its start.
+        base = sorted((a, b) for a, b, _ in found)
+        starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+        weak = [w for w in weak if not (k := bisect_left(starts, w[1])) or reach[k - 1] <= w[0]]
     return found + weak
 
 
@@ -97,22 +103,24 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, spans`` (array of start, kind number, kind, end, sorted), one row per input row.
 
-    A null or empty text has no spans. Rows that repeat an id have the union
-    of their spans linked as one document. A null id is a document of its own
-    name. Very long texts are read whole. Other columns are ignored.
+    A null or empty text has no spans. Each row is scanned and linked by
+    itself, also where ids repeat or are null. Very long texts are read whole,
+    by one pass a pattern. An empty table gives no rows; other columns are
+    ignored.
     """
-    found = materialize(find_parts(docs, id_col, text_col).where(F.size("parts") > 0), "parts")
     number = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    flat = found.select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*")
-    # A document without weak parts needs no join.
-    is_weak = F.exists("parts", lambda p: ~p["kind"].isin(*BASE))
-    weak_docs = found.where(is_weak).select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*")
-    linked = link(weak_docs, scope).where(~F.col("kind").isin(*BASE))
-    spans = flat.where(F.col("kind").isin(*BASE)).unionByName(linked)
-    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", number[F.col("kind")].alias("place"), "kind", "end"))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("of"), "spans")
-    all_ids = docs.select(F.col(id_col).alias("doc_id"))
-    return all_ids.join(spans, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+    shown = lambda p: F.struct(p["start"].alias("start"), number[p["kind"]].alias("place"), p["kind"].alias("kind"), p["end"].alias("end"))
+    # A row's number is written with its parts, so it stays the same from then on.
+    rows = materialize(find_parts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "parts")
+    is_weak = lambda p: ~p["kind"].isin(*BASE)
+    # Only rows with a weak part need the join.
+    parts_ = rows.where(F.exists("parts", is_weak)).select(F.col("row").alias("doc_id"), F.explode("parts").alias("p")).select("doc_id", "p.*")
+    linked = link(parts_, scope).where(~F.col("kind").isin(*BASE))
+    linked = linked.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", number[F.col("kind")].alias("place"), "kind", "end")).alias("more"))
+    linked = broadcast_within(materialize(linked, "linked"), BROADCAST_LINKED)
+    base = F.transform(F.filter("parts", lambda p: ~is_weak(p)), shown)
+    joined = rows.join(linked, F.col("row") == F.col("of"), "left")
+    return joined.select("doc_id", F.sort_array(F.when(F.col("more").isNull(), base).otherwise(F.concat(base, "more"))).alias("spans"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
