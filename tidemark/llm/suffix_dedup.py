@@ -13,6 +13,8 @@ into blocks of 64, then of 8, then single suffixes: a block whose common bytes
 stand nowhere else is done, one that is equal throughout elsewhere is repeated,
 any other is divided by the next pass. Of each group of equal runs or blocks
 one goes on as a witness for those that equal only a part of it.
+
+A text's symbols are its bytes, or 64-bit hashes of its words.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import broadcast_within, materialize, table, text_of
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ._common import BROADCAST_ROWS, broadcast_within, discard, lower_ascii, materialize, table, text_of, words_of
 from .near_dedup import mix
 
+#: Bytes of a repeated string and of its first digit; words of a repeated passage and of its first digit; widths of the blocks that the passes divide.
 DEPTH, GRAM = 400, 64
+PASSAGE, PASSAGE_GRAM = 50, 8
 WIDTHS = (64, 8, 1)
 #: Window starts of a text that are worked on at a time.
 SEGMENT = 1 << 20
@@ -48,8 +54,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def symbols(text: str | list[int]) -> np.ndarray:
+    """The bytes of a text, or the hashes of its words."""
+    return np.frombuffer(text.encode(), np.uint8) if isinstance(text, str) else np.array(text, np.int64).view(np.uint64)
+
+
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of each run of ``size`` bytes; equal runs have equal hashes wherever they stand."""
+    """A 64-bit hash of each run of ``size`` symbols; equal runs have equal hashes wherever they stand."""
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
@@ -67,11 +78,11 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def runs(data: bytes, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
+def runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
     """``low, high, anchor, hash``: windows from ``low`` to ``high`` have their first digit at ``anchor``."""
     place = np.uint64((1 << 24) - 1)
     for at in range(0, len(data) - depth + 1, SEGMENT):
-        part = np.frombuffer(data[at : at + SEGMENT + depth - 1], np.uint8)
+        part = data[at : at + SEGMENT + depth - 1]
         hashes = gram_hashes(part, gram)
         least = sliding_least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), depth - gram + 1) & place
         edges = np.flatnonzero(np.diff(least, prepend=least[:1] + np.uint64(1), append=least[-1:] + np.uint64(1)))
@@ -111,17 +122,26 @@ def first_digits(texts: DataFrame, depth: int, gram: int) -> DataFrame:
 
     def rows_of(batch):
         for r in batch:
-            data = r["t"].encode()
+            data = symbols(r["t"])
             for low, high, anchor, digit in runs(data, depth, gram):
-                yield r["doc_id"], r["v"], low, high, anchor, digit, key_of(anchor - low, anchor - high, data[low : high + depth])
+                yield r["doc_id"], r["v"], low, high, anchor, digit, key_of(anchor - low, anchor - high, data[low : high + depth].tobytes())
+
+    columns = id_type(texts) | {"v": pa.int64(), "low": pa.int64(), "high": pa.int64(), "anchor": pa.int64(), "digit": pa.int64(), "whole": pa.binary()}
+    return mapped(texts.select("doc_id", "v", "t"), rows_of, columns, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, digit bigint, whole binary")
+
+
+def id_type(df: DataFrame) -> dict[str, pa.DataType]:
+    return {"doc_id": to_arrow_type(df.schema["doc_id"].dataType)}
+
 
-    columns = {"doc_id": pa.int64(), "v": pa.int64(), "low": pa.int64(), "high": pa.int64(), "anchor": pa.int64(), "digit": pa.int64(), "whole": pa.binary()}
-    return mapped(texts, rows_of, columns, "doc_id bigint, v bigint, low bigint, high bigint, anchor bigint, digit bigint, whole binary")
+def id_schema(df: DataFrame) -> str:
+    return f"doc_id {df.schema['doc_id'].dataType.simpleString()}"
 
 
 def several(df: DataFrame, key: str) -> DataFrame:
     """The keys that more than one row has."""
-    return materialize(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(key), key)
+    found = materialize(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(key), key)
+    return broadcast_within(found, BROADCAST_ROWS)
 
 
 def same_doc(a: DataFrame, b: DataFrame):
@@ -146,16 +166,16 @@ def witnesses(equal: DataFrame, shared: str, rest: DataFrame, *columns: str) ->
     return some.join(rest.select(shared).distinct(), shared, "left_semi").select("x.*")
 
 
-def divide(pieces: DataFrame, depth: int) -> list[DataFrame]:
+def divide(pieces: DataFrame, depth: int, item: int) -> list[DataFrame]:
     """``doc_id, v, first, last``: the repeated windows among ``pieces``, by passes over ever smaller blocks.
 
     A block holds the windows in which the digit's place is from its start on.
 
-    ``pieces``: ``piece, doc_id, v, low, high, anchor, data``, the bytes from ``low`` on that the windows hold.
+    ``pieces``: ``piece, doc_id, v, low, high, anchor, data``, the symbols of ``item`` bytes from ``low`` on that the windows hold.
     """
     found, active = [], pieces.withColumn("blocks", F.lit(None).cast("array<bigint>"))
     outer = None
-    for width in WIDTHS:
+    for width in (w for w in WIDTHS if 2 * w <= depth):  # what a block's windows have in common is never empty
 
         def rows_of(batch, width=width, outer=outer):
             for r in batch:
@@ -165,15 +185,15 @@ def divide(pieces: DataFrame, depth: int) -> list[DataFrame]:
                     stop = far + 1 if outer is None else min(far + 1, start + outer)
                     for d in range(max(start, near // width * width), stop, width):
                         end = d + width - 1
-                        core = key_of(d, width, r["data"][at - d : at - end + depth])
+                        core = key_of(d, width, r["data"][(at - d) * item : (at - end + depth) * item])
                         inside = near <= d and end <= far
-                        yield r["piece"], d, core, key_of(d, -width, r["data"][at - end : at - d + depth]) if inside and width > 1 else None
+                        yield r["piece"], d, core, key_of(d, -width, r["data"][(at - end) * item : (at - d + depth) * item]) if inside and width > 1 else None
 
         columns = {"piece": pa.int64(), "block": pa.int64(), "core": pa.binary(), "whole": pa.binary()}
         keys = materialize(mapped(active.select("piece", "low", "high", "anchor", "data", "blocks"), rows_of, columns, "piece bigint, block bigint, core binary, whole binary"), "keys")
         left = materialize(keys.join(several(keys, "core"), "core", "left_semi"), "left")
         if width > 1:
-            equal = several(left, "whole").withColumn("equal", F.lit(True))
+            equal = broadcast_within(several(left, "whole").withColumn("equal", F.lit(True)), BROADCAST_ROWS)
             left = materialize(left.join(equal, "whole", "left").select("piece", "block", "core", "whole", F.coalesce("equal", F.lit(False)).alias("equal")), "left")
         else:
             left = left.withColumn("equal", F.lit(True))
@@ -187,47 +207,71 @@ def divide(pieces: DataFrame, depth: int) -> list[DataFrame]:
     return found
 
 
-def repeated_spans(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, v, first, last``: runs of starts of windows that start elsewhere too."""
-    digits = materialize(first_digits(texts.where(F.octet_length("t") >= depth), depth, gram), "digits")
+def repeated_spans(texts: DataFrame, depth: int, gram: int) -> DataFrame:
+    """``doc_id, v, first, last``: runs of starts of windows that start elsewhere too, of ``doc_id, v, t`` (a string, or an array of words' hashes)."""
+    words = texts.schema["t"].dataType.typeName() == "array"
+    long_ = texts.where((F.size("t") if words else F.octet_length("t")) >= depth)
+    digits = materialize(first_digits(long_, depth, gram), "digits")
     again = materialize(digits.join(several(digits, "digit"), "digit", "left_semi"), "again")
     wholes = several(again, "whole")
     equal = materialize(again.join(wholes, "whole", "left_semi"), "equal")
     rest = materialize(again.join(wholes, "whole", "left_anti"), "rest")
     run = ("doc_id", "v", "low", "high", "anchor")
     rest = materialize(by_doc(rest.select(*run).unionByName(witnesses(equal, "digit", rest, *run)), "low", "high", "anchor"), "rest")
+    discard(digits, again)
     equal = equal.select("doc_id", "v", F.col("low").alias("first"), F.col("high").alias("last"))
 
     def rows_of(batch):
         for r in batch:
-            data = r["t"].encode()
+            data = symbols(r["t"])
             for x in r["items"]:
-                yield r["doc_id"], r["v"], x["low"], x["high"], x["anchor"], data[x["low"] : x["high"] + depth]
+                yield r["doc_id"], r["v"], x["low"], x["high"], x["anchor"], data[x["low"] : x["high"] + depth].tobytes()
 
-    columns = {"doc_id": pa.int64(), "v": pa.int64(), "low": pa.int64(), "high": pa.int64(), "anchor": pa.int64(), "data": pa.binary()}
-    pieces = mapped(texts_with(texts, rest).select("doc_id", "v", "t", "items"), rows_of, columns, "doc_id bigint, v bigint, low bigint, high bigint, anchor bigint, data binary", 10_000)
+    columns = id_type(texts) | {"v": pa.int64(), "low": pa.int64(), "high": pa.int64(), "anchor": pa.int64(), "data": pa.binary()}
+    pieces = mapped(texts_with(long_, rest).select("doc_id", "v", "t", "items"), rows_of, columns, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, data binary", 10_000)
     pieces = materialize(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
-    for part in divide(pieces, depth):
+    for part in divide(pieces, depth, 8 if words else 1):
         equal = equal.unionByName(part)
+    discard(rest, pieces)
     return equal
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("v"), text.alias("t"))
+
+
+def repeated_words(docs: DataFrame, width: int = PASSAGE, gram: int = PASSAGE_GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, v, n_repeat_words``: words in runs of ``width`` words that start anywhere else too, for each distinct ``doc_id`` and text with any.
+
+    Words are lower-cased A-Z; white space between them doesn't count. ``v`` is
+    the 64-bit hash of the text. A passage of few bytes is found too, which
+    ``remove_repeats`` leaves alone. Rows that repeat are copies; texts of fewer
+    words, null ones and empty tables have no repeats; ids may be null.
+    """
+    texts = keyed(docs, id_col, text_col).withColumn("t", F.transform(words_of(lower_ascii(F.col("t"))), lambda w: F.xxhash64(w)))
+    spans = by_doc(repeated_spans(texts, width, gram), "first", "last").select("d", "dv", F.sort_array("items").alias("items"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["last"] + width - F.greatest(a["end"], x["first"]))).alias("n"), F.greatest(a["end"], x["last"] + width).alias("end"))
+    zero = F.lit(0).cast("bigint")
+    return spans.select(F.col("d").alias("doc_id"), F.col("dv").alias("v"), F.aggregate("items", F.struct(zero.alias("n"), zero.alias("end")), step)["n"].alias("n_repeat_words"))
+
+
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, spans, kept``.
+    """One row per input row: ``doc_id, v, n_bytes, spans, kept``.
 
     ``spans`` are the maximal runs of bytes (``start, end``, exclusive) that
     are covered by a string of ``depth`` bytes that starts anywhere else too;
-    ``kept`` are the other bytes. Matches never cross documents; texts are
-    UTF-8, so a span may split a character. Null texts are empty; texts shorter
-    than ``depth`` keep all. Rows that repeat are copies, and lose all that is
-    long enough; rows with one id and different texts are told apart. Ids must
-    be integers, and may be null. An empty table gives no rows; other columns
-    are ignored.
+    ``kept`` are the other bytes; ``v`` is the 64-bit hash of the text. Matches
+    never cross documents; texts are UTF-8, so a span may split a character.
+    Null texts are empty; texts shorter than ``depth`` keep all; very long ones
+    are read whole, a part at a time. Rows that repeat are copies, and lose all
+    that is long enough; rows with one id and different texts are told apart.
+    Ids may be of any type, and null. An empty table gives no rows; other
+    columns are ignored.
     """
-    text = text_of(text_col)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("v"), text.alias("t"))
+    texts = keyed(docs, id_col, text_col)
     spans = by_doc(repeated_spans(texts, depth, gram), "first", "last")
-    spans = materialize(spans.select("d", "dv", F.array_sort(F.array_distinct("items")).alias("items")), "spans")
+    spans = materialize(spans.select("d", "dv", F.sort_array("items").alias("items")), "spans")
 
     def rows_of(batch):
         for r in batch:
@@ -240,18 +284,23 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col
                     merged.append([a, b])
             edges = [0, *(e for m in merged for e in m), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            yield r["doc_id"], len(data), [{"start": a, "end": b} for a, b in merged], kept
+            yield r["doc_id"], r["v"], len(data), [{"start": a, "end": b} for a, b in merged], kept
 
-    columns = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
-    schema = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    changed = mapped(texts_with(texts, spans).select("doc_id", "t", "items"), rows_of, columns, schema, 1_000)
+    columns = id_type(texts) | {"v": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
+    schema = f"{id_schema(texts)}, v bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    changed = mapped(texts_with(texts, spans).select("doc_id", "v", "t", "items"), rows_of, columns, schema, 1_000)
     ids = broadcast_within(spans.select("d", "dv"), BROADCAST_IDS)
     whole = texts.join(ids, same_doc(texts, spans), "left_anti")
-    whole = whole.select("doc_id", F.octet_length("t").cast("bigint").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.col("t").cast("binary").alias("kept"))
+    whole = whole.select("doc_id", "v", F.octet_length("t").cast("bigint").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.col("t").cast("binary").alias("kept"))
     return changed.unionByName(whole)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    """The contract's columns, then the bytes that are left and the words in repeated passages of 50 words, which may have fewer than 400 bytes."""
+    docs = table(spark, sf_dir, "documents")
+    passages = materialize(repeated_words(docs), "passages").select(F.col("doc_id").alias("d"), F.col("v").alias("dv"), "n_repeat_words")
+    found = remove_repeats(docs)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = found.select("doc_id", "v", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    joined = found.join(broadcast_within(passages, BROADCAST_IDS), same_doc(found, passages), "left")
+    return joined.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_left"), F.coalesce("n_repeat_words", F.lit(0).cast("bigint")).alias("n_repeat_words"))
