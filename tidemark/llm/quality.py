@@ -19,6 +19,10 @@ BROADCAST_LANGUAGES = 1_000
 #: Character classes by pattern; the last two are bytes beyond a character's first, and all other characters.
 CLASSES = {"blank": r"\x20\x09-\x0D", "digit": "0-9", "upper": "A-Z", "symbol": "#*$%&|<>", "mark": r"!\x22'()+,./:;=?@\x5B-\x60{}~-"}
 
+SYMBOL, BEYOND = list(CLASSES).index("symbol"), len(CLASSES)
+#: Places of a language's table of common words.
+SLOTS = 512
+
 
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base 2, of two arrays of shares."""
@@ -49,19 +53,45 @@ def covered_count(ordered: Column, width: int = WINDOW) -> Column:
     return F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
-def common_words(docs: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
-    """``lang, lang_words, words, counts``: each language's words, and those of at least ``share``, by the word."""
-    words = docs.select("lang", F.explode(words_of(F.col("t"))).alias("word"))
-    counts = materialize(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")), "counts")
+def class_counts(text: Column) -> list[Column]:
+    """Characters of each class, then bytes beyond a character's first, then all other characters."""
+    n = F.length(text).cast("long")
+    found = [F.length(F.regexp_replace(text, f"[^{x}]+", "")).cast("long") for x in CLASSES.values()]
+    return [*found, F.octet_length(text).cast("long") - n, n - sum(found[1:], found[0])]
+
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
+def references(docs: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
+    """A row per language of ``lang, t``: its words and characters by class over all texts, and its common words.
+
+    ``words`` holds the common words as a hash table: in place ``h mod SLOTS``
+    the words (``h``, and their share ``q``) of that remainder, or null.
+    """
+    words = docs.select("lang", F.explode(word_hashes(F.col("t"))).alias("h"))
+    counts = materialize(words.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("c")), "counts")
     totals = materialize(counts.groupBy(F.col("lang").alias("of")).agg(F.sum("c").alias("lang_words")), "totals")
     totals = broadcast_within(totals, BROADCAST_LANGUAGES)
     common = counts.join(totals, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("c") >= F.col("lang_words") * share)
-    listed = common.groupBy("lang", "lang_words").agg(F.array_sort(F.collect_list(F.struct("word", "c"))).alias("x"))
-    return listed.select("lang", "lang_words", F.col("x.word").alias("words"), F.col("x.c").alias("counts"))
+    listed = common.groupBy("lang", "lang_words").agg(F.sort_array(F.collect_list(F.struct("h", (F.col("c") / F.col("lang_words")).alias("q")))).alias("x"))
+    slot = lambda i: F.filter("x", lambda w: F.pmod(w["h"], F.lit(SLOTS)) == i)
+    slots = F.transform(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot), lambda found: F.when(F.size(found) > 0, found))
+    common = listed.select(F.col("lang").alias("of"), "lang_words", slots.alias("words"), F.aggregate("x", F.lit(0.0), lambda n, w: n + w["q"]).alias("common_share"))
+    classes = docs.groupBy("lang").agg(F.array(*[F.sum(c) for c in class_counts(F.col("t"))]).alias("lang_classes"))
+    joined = classes.join(broadcast_within(common, BROADCAST_LANGUAGES), F.col("lang").eqNullSafe(F.col("of")), "left")
+    return joined.select(F.col("lang").alias("of"), F.coalesce("lang_words", F.lit(0).cast("long")).alias("lang_words"), "words", "common_share", "lang_classes")
+
+
+def divergence(p: Column, q: Column) -> Column:
+    """A word's part of twice the squared Jensen-Shannon distance."""
+    term = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
+    return term(p, q) + term(q, p)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: ``doc_id``, base measures, ``base_failed``, ``char_distance``, ``word_distance``, ``kept``.
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: str | None = None) -> DataFrame:
+    """One row per input row: ``doc_id``, base measures, ``base_failed``, ``kept``, ``char_distance``, ``word_distance``.
 
     A document fails the base rules with fewer than 20 words, or with more than
     30% of its words in repeated windows. Otherwise it goes if its histogram of
@@ -70,38 +100,47 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     fewer than 50 words, and those of languages of fewer than 2,000, aren't
     judged by distance; their distances are null, as are those of texts without
     words. A null text is empty and fails; a null language is a language of its
-    own. Rows may repeat; an empty table gives no rows; other columns are
-    ignored, whatever their names.
+    own. Very long texts are read whole, each by one task; their windows are
+    sorted only if one comes again. Rows may repeat; an empty table gives no
+    rows; other columns are ignored, whatever their names, or travel in a
+    struct column named ``carry``: a row is judged where it is read, so
+    nothing is joined to apply the verdict.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("t"))
-    common = materialize(common_words(base), "common").withColumnRenamed("lang", "of")
-    common = broadcast_within(common, BROADCAST_LANGUAGES)
-    n_chars, n_class = F.length("t").cast("long"), {k: F.length(F.regexp_replace("t", f"[^{x}]+", "")).cast("long") for k, x in CLASSES.items()}
+    carried = [] if carry is None else [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry)]
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("t"), *carried)
+    known = broadcast_within(materialize(references(base.select("lang", "t")), "references"), BROADCAST_LANGUAGES)
+    others = ["doc_id", *([carry] if carry else [])]
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    read = base.select("doc_id", "lang", "t", words_of(F.col("t")).alias("w"), n_chars.alias("n_chars"), (F.octet_length("t") - F.length("t")).cast("long").alias("beyond"), lines.alias("lines"), *[c.alias(k) for k, c in n_class.items()])
-    read = read.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
-    read = read.withColumns({"windows": window_hashes(F.col("hashes")), "n_words": F.size("w").cast("long"), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")}).drop("t", "lines", "hashes")
+    read = base.select(*others, "lang", word_hashes(F.col("t")).alias("hashes"), lines.alias("lines"), F.array(*class_counts(F.col("t"))).alias("classes"))
+    read = read.withColumns({"windows": window_hashes(F.col("hashes")), "n_words": F.size("hashes").cast("long"), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")}).drop("lines")
     # Only texts in which a window comes again sort theirs.
     again = F.size(F.array_distinct("windows")) < F.size("windows")
-    read = read.withColumn("ordered", F.when(again, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("windows")
+    read = read.withColumn("ordered", F.when(again, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("windows")
     read = read.withColumn("n_repeat_words", F.coalesce(covered_count(F.col("ordered")), F.lit(0).cast("long"))).drop("ordered")
-    rest = F.col("n_chars") - sum(F.col(k) for k in CLASSES)
-    read = read.withColumn("classes", F.array(*CLASSES, "beyond", rest))
-    read = read.join(common, F.col("lang").eqNullSafe(F.col("of")), "left")
-    found = F.transform("words", lambda c: (F.size("w") - F.size(F.array_remove("w", c))).cast("long"))
-    other = lambda counts, all_: F.array_append(counts, all_ - F.aggregate(counts, F.lit(0).cast("long"), lambda s, v: s + v))
-    features = read.select("doc_id", "lang", "n_words", (F.col("n_chars") - F.col("blank")).alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "classes", "lang_words", other(found, F.col("n_words")).alias("used"), other(F.col("counts"), F.col("lang_words")).alias("usual"))
-    features = materialize(features, "features")
-    classes = features.groupBy(F.col("lang").alias("of")).agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES) + 2)]).alias("lang_classes"))
-    judged = features.join(broadcast_within(materialize(classes, "classes"), BROADCAST_LANGUAGES), F.col("lang").eqNullSafe(F.col("of")))
-    fair = (F.col("n_words") >= GUARD_WORDS) & (F.coalesce("lang_words", F.lit(0)) >= GUARD_LANGUAGE_WORDS)
-    judged = judged.withColumns({
+    read = read.join(known, F.col("lang").eqNullSafe(F.col("of")), "left")
+    slot = lambda h: F.get("words", F.pmod(h, F.lit(SLOTS)).cast("int"))
+    # The text's common words in order; a word's first place, and the next one's, give its count.
+    read = read.withColumn("common", F.sort_array(F.filter("hashes", lambda h: F.exists(slot(h), lambda w: w["h"] == h)))).drop("hashes")
+    firsts = F.filter(F.sequence(F.lit(0), F.size("common")), lambda i: (i == 0) | (i == F.size("common")) | (F.get("common", i) != F.get("common", i - 1)))
+    read = read.withColumn("firsts", firsts)
+    used = F.transform(F.slice("firsts", F.lit(1), F.size("firsts") - 1), lambda i, k: F.struct((F.get("firsts", k + 1) - i).alias("c"), F.get(F.filter(slot(F.get("common", i)), lambda w: w["h"] == F.get("common", i)), F.lit(0))["q"].alias("q")))
+    read = read.withColumn("used", F.when(F.size("common") > 0, used).otherwise(F.array().cast("array<struct<c:int,q:double>>"))).drop("common", "firsts", "words")
+    n, total = F.col("n_words"), lambda term: F.aggregate("used", F.lit(0.0), lambda sum_, w: sum_ + term(w))
+    share = F.coalesce("common_share", F.lit(0.0))
+    read = read.withColumn("sums", F.struct(total(lambda w: divergence(w["c"] / n, w["q"])).alias("part"), total(lambda w: w["q"]).alias("q"), total(lambda w: w["c"] / n).alias("p")))
+    unused = F.greatest(F.lit(0.0), share - F.col("sums.q"))  # where p is 0, the part is q
+    rest = divergence(F.greatest(F.lit(0.0), 1 - F.col("sums.p")), F.greatest(F.lit(0.0), 1 - share))
+    fair = (n >= GUARD_WORDS) & (F.coalesce("lang_words", F.lit(0)) >= GUARD_LANGUAGE_WORDS)
+    judged = read.withColumns({
         "char_distance": F.when(fair, distance(shares(F.col("classes")), shares(F.col("lang_classes")))),
-        "word_distance": F.when(fair, distance(shares(F.col("used")), shares(F.col("usual")))),
-        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")),
+        "word_distance": F.when(fair, F.sqrt((F.col("sums.part") + unused + rest) / 2)),
+        "base_failed": (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * n),
     })
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")
+    # Always true, but not for the optimizer: it would push a filter on the verdict below all this, and work it out anew for each part.
+    kept = ~F.col("base_failed") & ~far & (F.monotonically_increasing_id() >= 0)
+    word_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda sum_, c: sum_ + c) - F.col("classes")[0] - F.col("classes")[BEYOND]
+    return judged.select(*others, "n_words", word_chars.alias("word_chars"), F.col("classes")[SYMBOL].alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
