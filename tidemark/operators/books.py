@@ -161,3 +161,15 @@ def liquidity(book: DataFrame, adv: str, weight: str, capital: float, participat
     """Adds ``days`` to liquidate and a bucket of them."""
     days = ratio(F.abs(F.col(weight)) * capital, F.nullif(F.col(adv) * participation, F.lit(0.0)))
     return book.withColumn("days", days).withColumn("bucket", F.when(days.isNull(), "unknown").when(days <= 1, "1d").when(days <= 5, "5d").when(days <= 20, "20d").otherwise("over"))
+
+
+def metric_battery(stream: DataFrame, ladder: list[int], date: str = "t") -> DataFrame:
+    """By cost in basis points a side: months, mean, yearly Sharpe ratio, hit rate, the thirds of the history, and the mean without the best month; ``stream`` has a row a date."""
+    rows = stream.withColumns({"_third": F.ntile(3).over(Window.orderBy(date)), "_best": F.max("gross").over(Window.partitionBy())})
+    rows = rows.withColumn("bps", F.explode(F.array(*map(F.lit, ladder)))).withColumn("net", F.col("gross") - 2 * F.col("turnover") * F.col("bps") / 10000.0)
+    part = lambda c: F.avg(F.when(c, F.col("net")))
+    names = ("first_third", "second_third", "last_third")
+    return rows.groupBy("bps").agg(
+        F.count(F.lit(1)).alias("months"), F.avg("net").alias("mean"), (ratio(F.avg("net"), F.nullif(F.stddev_samp("net"), F.lit(0.0))) * F.sqrt(F.lit(12.0))).alias("sharpe"), F.avg((F.col("net") > 0).cast("double")).alias("hit"),
+        *[part(F.col("_third") == i + 1).alias(c) for i, c in enumerate(names)], part(F.col("gross") < F.col("_best")).alias("without_best"),
+    )

@@ -146,3 +146,19 @@ def compile_feature(doc: dict, panel: DataFrame) -> DataFrame:
         return out.where("value is not null").select("entity", "t", "value")
 
     return build(doc)
+
+
+def execute_set(docs: dict[str, dict], panel: DataFrame, targets: tuple[str, ...] = ("fwd",)) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The valid documents' features side by side by entity and date, and the violations of those that aren't. Equal documents are computed once."""
+    fields = {c for c in panel.columns if c not in ("entity", "t")}
+    refused = {name: found for name, doc in docs.items() if (found := violations(doc, fields, targets))}
+    made: dict[str, DataFrame] = {}
+    out = None
+    for name, doc in docs.items():
+        if name in refused:
+            continue
+        key = signature(doc)
+        made[key] = made.get(key, compile_feature(doc, panel))
+        own = made[key].withColumnRenamed("value", name)
+        out = own if out is None else out.join(own, ["entity", "t"], "full")
+    return out, refused

@@ -178,3 +178,18 @@ def lift(df: DataFrame, trigger: str, y: str, *controls: str) -> DataFrame:
     control = df.where(~F.col(trigger)).groupBy(*controls).agg(F.avg(y).alias("_c"))
     hit = df.where(F.col(trigger)).join(control, list(controls)).withColumn("_l", F.col(y) - F.col("_c"))
     return hit.agg(F.count(F.lit(1)).alias("n"), F.avg("_l").alias("lift"), F.avg((F.col("_l") > 0).cast("double")).alias("hit"), ratio(F.avg(F.when(F.col(y) > 0, F.col(y))), F.abs(F.avg(F.when(F.col(y) < 0, F.col(y))))).alias("payoff"), F.percentile(y, F.lit(0.1)).alias("worst_decile"))
+
+
+def feature_diagnostics(df: DataFrame, features: list[str], y: str, base: str, sector: str, q: float, date: str = "t", entity: str = "entity") -> DataFrame:
+    """``feature, mean_ic, baseline_corr, spread, top_sector, coverage``: each feature's mean IC, mean rank correlation with a baseline, mean spread of its outer quantiles, the largest sector's share of its top ones, and how much of it is there; one job for all features."""
+    rows = df.select(date, entity, y, sector, F.col(base).alias("_base"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_v")) for f in features])).alias("f")).select(date, entity, y, sector, "_base", "f.*")
+    there = rows.where("_v is not null")
+    ics = rank_ic(there, "_v", y, "feature", date=date, entity=entity).groupBy("feature").agg(F.avg("ic").alias("mean_ic"))
+    alike = rank_ic(there, "_v", "_base", "feature", date=date, entity=entity).groupBy("feature").agg(F.avg("ic").alias("baseline_corr"))
+    spreads = quantile_spread(there, "_v", y, q, "feature", date=date, entity=entity).groupBy("feature").agg(F.avg("spread").alias("spread"))
+    keys = Window.partitionBy("feature", date)
+    n = F.count(F.lit(1)).over(keys)
+    top = there.withColumn("_top", F.row_number().over(keys.orderBy("_v", entity)) > n - F.greatest(F.lit(1), F.floor(n * q))).where("_top")
+    sectors = top.groupBy("feature", sector).agg(F.count(F.lit(1)).alias("c")).groupBy("feature").agg(ratio(F.max("c"), F.sum("c")).alias("top_sector"))
+    present = rows.groupBy("feature").agg(F.avg(F.col("_v").isNotNull().cast("double")).alias("coverage"))
+    return ics.join(alike, "feature").join(spreads, "feature").join(sectors, "feature").join(present, "feature")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import ratio
@@ -45,3 +45,20 @@ def merged_statements(statements: dict[str, tuple[DataFrame, str]], keys: list[s
         out = out.unionByName(p)
     return out.groupBy(*keys).agg(*[F.first(F.when(F.col("_k") == k, F.col("_v")), ignorenulls=True).alias(k) for k in statements], F.max("_a").alias(available))
 
+
+
+def as_filed_factors(merged: DataFrame, factors: dict[str, tuple[Column, Column]], needed: list[str]) -> DataFrame:
+    """Factors (``name: (numerator, denominator)``) of statements that have all items needed; they are known when the last of these was."""
+    rows = merged.where(" and ".join(f"`{c}` is not null" for c in needed))
+    return rows.withColumns({name: ratio(a, F.nullif(b, F.lit(0.0))) for name, (a, b) in factors.items()})
+
+
+def single_quarters(filed: DataFrame, entity: str = "entity", year: str = "year", quarter: str = "quarter") -> DataFrame:
+    """``entity, year, quarter, single, source`` of filed values by ``kind``: a ``clean`` quarter first, then the first quarter's total, then a total less the one before, then the year less three quarters; others can't be told."""
+    pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("value")))
+    wide = filed.groupBy(entity, year, quarter).agg(pick("clean").alias("_clean"), F.coalesce(pick("total"), pick("annual")).alias("_total"))
+    before = F.max("_total").over(Window.partitionBy(entity, year).orderBy(quarter).rangeBetween(-1, -1))
+    rows = wide.withColumn("_before", before)
+    ways = [("clean", F.col("_clean")), ("first", F.when(F.col(quarter) == 1, F.col("_total"))), ("difference", F.when(F.col(quarter) < 4, F.col("_total") - F.col("_before"))), ("annual_less", F.when(F.col(quarter) == 4, F.col("_total") - F.col("_before")))]
+    source = F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for k, v in ways])
+    return rows.select(entity, year, quarter, F.coalesce(*[v for _, v in ways]).alias("single"), source.alias("source")).where("single is not null")

@@ -176,3 +176,96 @@ def direction_score(parts: dict[str, tuple[str, float, float]]) -> Column:
     """Weighted mean of tanh(scale * x) over the parts that are there: ``name: (column, scale, weight)``."""
     top = [F.coalesce(F.tanh(F.col(c) * s) * w, F.lit(0.0)) for c, s, w in parts.values()]
     return ratio(reduce(lambda a, b: a + b, top), reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, _, w in parts.values()]))
+
+
+def year_folds(dates: DataFrame, embargo: int, least_years: int, t: str = "t") -> DataFrame:
+    """``fold, train_end, test_start, test_end`` (places in the calendar): each calendar year is tested once, after ``least_years`` and with ``embargo`` sessions before it left out."""
+    calendar = dates.select(t).distinct().withColumn("_i", F.row_number().over(Window.orderBy(t)) - 1)  # a row a date
+    years = calendar.groupBy(F.floor(F.col(t) / 12).cast("int").alias("fold")).agg(F.min("_i").alias("test_start"), F.max("_i").alias("test_end"))
+    first = F.min("fold").over(Window.partitionBy())
+    out = years.withColumn("_first", first).withColumn("train_end", F.col("test_start") - embargo - 1)
+    return out.where((F.col("fold") - F.col("_first") >= least_years) & (F.col("train_end") >= 0)).select("fold", *[F.col(c).cast("int").alias(c) for c in ("train_end", "test_start", "test_end")])
+
+
+def chosen_strength(df: DataFrame, features: list[str], y: str, strengths: list[float], inner: float = 0.75, fold: str = "fold", date: str = "t", entity: str = "entity") -> DataFrame:
+    """``fold, strength, ic, best``: each fold's training dates are split again in time; models of the earlier part are measured on the later one by their mean rank IC.
+
+    All folds and strengths are fitted and ranked in one job; ties go to the least strength.
+    """
+    from tidemark.operators.evaluate import rank_ic
+
+    train = df.where(~F.col("is_test"))
+    dates = train.select(fold, date).distinct()
+    place = F.row_number().over(Window.partitionBy(fold).orderBy(date))
+    dates = dates.withColumn("_late", place > F.ceil(F.count(F.lit(1)).over(Window.partitionBy(fold)) * inner))
+    rows = train.join(F.broadcast(dates), [fold, date]).withColumn("is_test", F.col("_late"))
+    scored_ = []
+    for s in strengths:
+        model = ridge(rows, features, y, s, fold)
+        scored_.append(scored(rows, model, features, fold).select(fold, date, entity, "score", y, F.lit(float(s)).alias("strength")))
+    every = reduce(lambda a, b: a.unionByName(b), scored_)
+    ics = rank_ic(every, "score", y, fold, "strength", date=date, entity=entity).groupBy(fold, "strength").agg(F.round(F.avg("ic"), 12).alias("ic"))
+    best = F.row_number().over(Window.partitionBy(fold).orderBy(F.desc_nulls_last("ic"), "strength")) == 1
+    return ics.withColumn("best", best)
+
+
+def routed(df: DataFrame, feature: str, y: str, state: str, least: int, strength: float = 10.0, fold: str = "fold") -> DataFrame:
+    """Test rows with ``score`` and ``model``: the one-feature ridge of the row's own ``state`` in its fold, or that of the whole fold where the state has fewer than ``least`` training rows."""
+    train = df.where(~F.col("is_test") & F.col(y).isNotNull() & F.col(feature).isNotNull())
+    n = F.count(F.lit(1))
+    slope = ratio(F.covar_pop(y, feature) * n, F.var_pop(feature) * n + strength)
+    fit = [n.alias("_n"), slope.alias("_b"), F.avg(y).alias("_y"), F.avg(feature).alias("_x")]
+    own = train.groupBy(fold, state).agg(*fit).where(F.col("_n") >= least)
+    whole = train.groupBy(fold).agg(*fit)
+    rows = df.where("is_test").join(F.broadcast(own), [fold, state], "left")
+    whole = whole.select(fold, *[F.col(c).alias(f"{c}w") for c in ("_b", "_y", "_x")])
+    rows = rows.join(F.broadcast(whole), fold, "left")
+    line = lambda w: F.col(f"_y{w}") + F.col(f"_b{w}") * (F.col(feature) - F.col(f"_x{w}"))
+    return rows.select(*df.columns, F.when(F.col("_n").isNotNull(), line("")).otherwise(line("w")).alias("score"), F.when(F.col("_n").isNotNull(), "own").otherwise("whole").alias("model"))
+
+
+def calibrated(df: DataFrame, score: str, y: str, least: int, fold: str = "fold", entity: str = "entity") -> DataFrame:
+    """Rows with ``p`` and ``kind``: a logistic fit on earlier folds' scores; their base rate where that would fall with the score, or is too thin; in the first fold the score's rank over n + 1.
+
+    Folds are few: each has a fit of its own by Spark ML, on standardized scores.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select(fold, F.col(score).alias("_s"), F.col(y).cast("double").alias("_y"))
+    stats = {r["for_fold"]: r for r in prior_folds(known, fold).groupBy("for_fold").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("base"), F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("std")).collect()}
+    fits = []
+    for f in folds[1:]:
+        r = stats.get(f)
+        a = b = None
+        if r and r.n >= least and 0 < r.base < 1 and r.std > 0:
+            z = known.where(F.col(fold) < f).select(((F.col("_s") - r["mean"]) / r["std"]).alias("z"), F.col("_y").alias("label"))
+            model = LogisticRegression(standardization=False, tol=1e-10, maxIter=100).fit(VectorAssembler(inputCols=["z"], outputCol="features").transform(z))
+            a, b = float(model.coefficients[0]), float(model.intercept)
+        fits.append((int(f), a, b, float(r.base) if r else None, float(r["mean"]) if r else None, float(r["std"]) if r else None))
+    table = F.broadcast(df.sparkSession.createDataFrame(fits, "_fold int, a double, b double, base double, mean double, std double"))
+    within = Window.partitionBy(fold)
+    rank = F.row_number().over(within.orderBy(score, entity)) / (F.count(F.lit(1)).over(within) + 1)
+    rows = df.withColumn("_rank", rank).join(table, F.col(fold) == F.col("_fold"), "left")
+    kind = F.when(F.col("_fold").isNull(), "rank").when(F.col("a") >= 0, "logistic").otherwise("base_rate")
+    logistic_p = 1 / (1 + F.exp(-(F.col("a") * (F.col(score) - F.col("mean")) / F.col("std") + F.col("b"))))
+    return rows.withColumn("kind", kind).select(*df.columns, F.when(F.col("kind") == "rank", F.col("_rank")).when(F.col("kind") == "logistic", logistic_p).otherwise(F.col("base")).alias("p"), "kind")
+
+
+def boosted(df: DataFrame, features: list[str], y: str, rounds: int = 20, depth: int = 1, rate: float = 0.1, seed: int = 7) -> DataFrame:
+    """Test rows of one fold with ``score``: Spark ML's gradient-boosted trees (stumps by default) on its training rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df)
+    model = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="score", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(rows.where(~F.col("is_test") & F.col(y).isNotNull()))
+    return model.transform(rows.where("is_test")).drop("_x")
+
+
+def direction_label(expected: Column, agreement: Column, confidence: Column, least_agreement: float, least_confidence: float, strong: float, weak: float) -> tuple[Column, Column]:
+    """The label of an expected return, gated by agreement and confidence, and why it is a hold."""
+    open_ = (F.coalesce(agreement, F.lit(0.0)) >= least_agreement) & (F.coalesce(confidence, F.lit(0.0)) >= least_confidence)
+    label = F.when(open_ & (expected >= strong), "Strong Buy").when(open_ & (expected >= weak), "Buy").when(open_ & (expected <= -strong), "Strong Sell").when(open_ & (expected <= -weak), "Sell").otherwise("Hold")
+    reason = F.when(label != "Hold", "actionable").when(agreement.isNull() | confidence.isNull(), "insufficient_eligible_models").when(agreement < least_agreement, "low_agreement").when(confidence < least_confidence, "low_confidence").when(F.abs(expected) < weak, "below_direction_band").otherwise("hold_other")
+    return label, reason

@@ -37,3 +37,29 @@ def driver_sensitivities(returns: DataFrame, drivers: DataFrame, width: int, lea
     y, x = F.when(both, F.col("ret")), F.when(both, F.col("change"))
     beta = F.when(F.count(x).over(over) >= least, F.try_divide(F.covar_samp(y, x).over(over), F.var_samp(x).over(over)))
     return rows.withColumn("beta", beta).select(entity, t, "driver", "beta", (F.col("beta") * F.col("change")).alias("impact"))
+
+
+def macro_pack(series: DataFrame, x: str, width: int, least: int, t: str = "t") -> DataFrame:
+    """``t, x, change, threshold, above``: a date-level series with its change and its trailing median, from ``least`` dates on."""
+    order = Window.orderBy(t)
+    back = order.rowsBetween(-(width - 1), 0)
+    threshold = F.when(F.count(x).over(back) >= least, F.percentile(F.col(x), F.lit(0.5)).over(back))
+    return series.select(t, x, (F.col(x) / F.lag(x).over(order) - 1).alias("change"), threshold.alias("threshold")).withColumn("above", F.col(x) >= F.col("threshold"))
+
+
+def event_grid(grid: DataFrame, x: str, known: str, d: str, days: int, large: float, entity: str = "entity") -> DataFrame:
+    """A grid whose as-of events count for ``days``: ``has_event``, ``large``, and ``ever_large``, which stays from the first large one on."""
+    fresh = F.when(F.datediff(d, known) <= days, F.col(x))
+    rows = grid.withColumn("_x", fresh).withColumns({"has_event": F.col("_x").isNotNull(), "large": F.coalesce(F.col("_x") > large, F.lit(False))})
+    return rows.withColumn("ever_large", F.max("large").over(Window.partitionBy(entity).orderBy(d))).drop("_x")
+
+
+def price_context(panel: DataFrame, bench: DataFrame, momentum: int, width: int, least: int, stress: float, entity: str = "entity", t: str = "t") -> DataFrame:
+    """``entity, t, mom<k>, vol, liquidity, stressed`` of every panel row; joined to events by equality."""
+    from tidemark.operators import windows as W
+
+    down = bench.select(t, (F.col("bench") / F.max("bench").over(Window.orderBy(t).rangeBetween(-(width - 1), 0)) - 1).alias("_down"))
+    back = lambda k: Window.partitionBy(entity).orderBy(t).rangeBetween(-(k - 1), 0)
+    vol = F.when(F.count("ret").over(back(width)) >= least, F.stddev_pop("ret").over(back(width)))
+    rows = panel.withColumns({f"mom{momentum}": W.trailing_return("close", momentum), "vol": vol, "liquidity": F.avg("dvol").over(back(6))})
+    return rows.join(F.broadcast(down), t).select(entity, t, f"mom{momentum}", "vol", "liquidity", (F.col("_down") <= stress).alias("stressed"))

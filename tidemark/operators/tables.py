@@ -263,3 +263,72 @@ def common_calendar(panel: DataFrame, entity: str, t: str) -> DataFrame:
 def truncation_differences(full: DataFrame, again: DataFrame) -> DataFrame:
     """Rows that a run on truncated data has and the full run hasn't, and the other way."""
     return full.exceptAll(again).withColumn("only_in", F.lit("full")).unionByName(again.exceptAll(full).withColumn("only_in", F.lit("truncated")))
+
+
+#: Header layouts of price files by vendor: the columns that tell them, what they mean, and the pattern of their dates.
+LAYOUTS = {
+    "bracketed": ({"<TICKER>": "ticker", "<DATE>": "date", "<CLOSE>": "close"}, "yyyyMMdd"),
+    "day_first": ({"Symbol": "ticker", "Date": "date", "Price": "close"}, "dd.MM.yyyy"),
+}
+
+
+def layout_of(columns: list[str]) -> str | None:
+    """The name of the layout whose columns are all there."""
+    return next((name for name, (names, _) in LAYOUTS.items() if set(names) <= set(columns)), None)
+
+
+def import_prices(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``layout, ticker, date, close, reason``: rows of price files whose headers tell their layout; ``reason`` says why a row is rejected, null if it isn't."""
+    parts = []
+    for path in paths:
+        raw = spark.read.option("header", True).csv(path)
+        if (layout := layout_of(raw.columns)) is None:
+            raise ValueError(f"no known layout has the columns {raw.columns}")
+        names, pattern = LAYOUTS[layout]
+        rows = raw.select(F.lit(layout).alias("layout"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        date, close = F.to_date(F.try_to_timestamp("date", F.lit(pattern))), finite(F.col("close").try_cast("double"))
+        rows = rows.withColumns({"date": date, "close": close})
+        reason = F.when(F.col("ticker").isNull(), "no_ticker").when(F.col("date").isNull(), "bad_date").when(F.col("close").isNull(), "bad_price").when(F.col("close") <= 0, "not_positive")
+        parts.append(rows.withColumn("reason", reason))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def read_news(docs: DataFrame, json_col: str) -> DataFrame:
+    """``ticker, available_date, feature`` of nested news documents: one row for each ticker of an item, known the day after."""
+    schema = "struct<feed:array<struct<time_published:string,ticker_sentiment:array<struct<ticker:string,score:string>>>>>"
+    items = docs.select(F.explode(F.from_json(json_col, schema)["feed"]).alias("i"))
+    rows = items.select(F.to_date(F.try_to_timestamp("i.time_published", F.lit("yyyyMMdd'T'HHmmss"))).alias("d"), F.explode("i.ticker_sentiment").alias("s"))
+    found = rows.select(F.upper("s.ticker").alias("ticker"), F.date_add("d", 1).alias("available_date"), finite(F.col("s.score").try_cast("double")).alias("feature"))
+    return found.where("ticker is not null and available_date is not null and feature is not null")
+
+
+def cached_columns(spark: SparkSession, path: str, columns: dict[str, str], cache: str) -> DataFrame:
+    """The needed columns (name: type) of a large delimited file, converted once to a columnar copy at ``cache``."""
+    wanted = spark.read.option("header", True).csv(path).select(*[F.col(f"`{c}`").try_cast(kind).alias(c) for c, kind in columns.items()])
+    wanted.write.mode("ignore").parquet(cache)
+    return spark.read.parquet(cache)
+
+
+def publish(report: DataFrame, path: str) -> DataFrame:
+    """Replaces the report at ``path`` as a whole, by the committer of the file system, and reads it back; for small reports, in one file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+    return report.sparkSession.read.schema(report.schema).json(path)
+
+
+#: Endings of column names that tell when a value was known, and prefixes of columns that identify a row.
+KNOWN_ENDINGS, KEY_PREFIXES = ("available_date", "filed", "ts", "date"), ("entity", "ticker", "symbol")
+
+
+def column_classes(df: DataFrame) -> DataFrame:
+    """``name, class, present, share``: the class of each column by its name (``key``, ``known_at`` or ``value``), and how much of it is there."""
+    kinds = {c: "key" if c.lower().startswith(KEY_PREFIXES) else "known_at" if c.lower().endswith(KNOWN_ENDINGS) else "value" for c in df.columns}
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kinds)])
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("class"), F.col(f"c{i}").alias("present"), ratio(f"c{i}", "n").alias("share")) for i, (c, k) in enumerate(kinds.items())])
+    return counts.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def revision_proxy(events: DataFrame, surprise: str, entity: str = "entity", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """Adds ``acceleration``, the change of the surprise since the event before, and its ``direction``; events without one before go."""
+    before = F.lag(surprise).over(Window.partitionBy(entity).orderBy(*order))
+    rows = events.withColumn("acceleration", F.col(surprise) - before).where("acceleration is not null")
+    return rows.withColumn("direction", F.when(F.col("acceleration") > 0, "up").when(F.col("acceleration") < 0, "down").otherwise("flat"))

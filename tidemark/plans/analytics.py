@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from tidemark.operators import inference as I
 from tidemark.operators import models as M
 from tidemark.operators import regimes as R
 from tidemark.operators import windows as W
-from tidemark.plans.base import benched, eligible, prices, register, signals
+from tidemark.plans.base import benched, eligible, prices, register, scratch, signals
 from tidemark.plans.evaluation import a1, a13, b1
 from tidemark.sources import panels
 from tidemark.streaming import ingest
@@ -278,12 +275,6 @@ def v5(spark, sf):
     return forecasts.replay(prices(spark, sf), 12, 5)
 
 
-def stream_root(spark) -> str:
-    """A new folder for a stream's state and output, in the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/stream-{uuid4().hex}"
-
-
 def streamed_events(spark, sf):
     """The events table as a stream. Its times have no zone; as instants of UTC they don't depend on the session's."""
     instant = F.timestamp_seconds(F.unix_date(F.to_date("ts")) * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), F.col("ts")))
@@ -294,7 +285,7 @@ def streamed_events(spark, sf):
 @register("x1_deduplicated_ingest", "SELECT event_id, entity, type, value FROM evt", "value")
 def x1(spark, sf):
     """Every event twice through a stream that keeps the first of each; batches are appended, and read back."""
-    at = stream_root(spark)
+    at = scratch(spark, "stream")
     twice = streamed_events(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     rows = ingest.deduplicated(twice, ["event_id"], "ts", "40 days").select("event_id", F.col("user_id").alias("entity"), F.col("event_type").alias("type"), "value")
     ingest.upsert_into(rows, lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}"), f"{at}/state").awaitTermination()
@@ -304,7 +295,7 @@ def x1(spark, sf):
 @register("x2_streamed_bars", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, type, arg_min(value, {'a': ts, 'b': event_id}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {'a': ts, 'b': event_id}) AS close, count(*) AS n FROM evt GROUP BY 1, 2", "open high low close")
 def x2(spark, sf):
     """Daily bars of the stream; each batch replaces the bars so far, and the last are read back."""
-    at = stream_root(spark)
+    at = scratch(spark, "stream")
     daily = ingest.bars(streamed_events(spark, sf).withColumnRenamed("event_type", "type"), "ts", "value", "1 day", None, "type")
     publish = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/bars/batch={number}")
     daily.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +100,16 @@ def register(name: str, sql: str | None = None, doubles: str = ""):
     return keep
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a local session may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.monthly_prices(spark, sf_dir).withColumnRenamed("month_idx", "t")
 

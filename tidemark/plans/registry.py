@@ -1,6 +1,6 @@
 """All queries of the panel library; importing the modules fills the registry."""
 
-from tidemark.plans import analytics, compositions, data, evaluation, features
+from tidemark.plans import analytics, compositions, data, evaluation, features, files, models
 from tidemark.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "compositions", "data", "evaluation", "features"]
+__all__ = ["QUERIES", "SQL", "analytics", "compositions", "data", "evaluation", "features", "files", "models"]
