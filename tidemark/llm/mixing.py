@@ -38,24 +38,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     return table_.select("source", "source_size", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, repeats``.
 
     ``size`` is the number of words (null text: 0). Every document is taken the
-    whole number of epochs its source's target asks for, and once more if its
-    middle lies within the rest of the target when the source's documents are
-    laid out by a seeded hash of their id (ties by id). So a source's taken
-    words differ from its target by at most half a document, and reruns agree.
+    whole number of epochs its source's target asks for, and once more if it
+    ends within the rest of the target when the source's documents are laid out
+    by a seeded hash of their id (ties by id, size and a hash of the text).
+    What is then still missing is met by the one document left that comes
+    nearest to it. So a source's taken words differ from its target by less
+    than half of the document in which the rest ends, and mostly by far less.
 
     The point on that layout is found by selection, two digits of the hash at a
     time: sums by source and digit, then only the documents of the one cell
-    that holds the point. No source is ordered whole. Rows that repeat an id
-    are laid out beside each other in one unstated order. Empty sources have
-    target 0; an empty table gives no rows.
+    that holds the point. No source is ordered whole. Rows that are equal in
+    all of these are alike: which of them is taken makes no difference. A very
+    long text is read whole, for its size alone. Empty sources have target 0; a
+    null source is a source; an empty table gives no rows. Other columns are
+    ignored, whatever their names, or travel in a struct column named
+    ``carry``: the plan's rows, one a source, are joined to the documents where
+    those are read.
     """
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     size = F.size(F.regexp_extract_all(text_of(text_col), F.lit(WORD), F.lit(0))).cast("long")
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), digest.alias("h")), "sizes")
+    carried = [] if carry is None else [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry)]
+    columns = [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), digest.alias("h"), F.xxhash64(text_of(text_col)).alias("x")]
+    rows = materialize(docs.select(*columns), "sizes")
     plan = materialize(source_targets(rows, weights, max_epochs), "targets")
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -77,18 +85,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
         found = F.when(done, F.col("cell")).when(F.col("next").isNotNull(), F.col("next")).otherwise(F.concat(F.lit("="), F.coalesce("last", F.col("cell"))))
         plan = plan.select("source", "source_size", "target", "epochs", "rest", found.alias("cell"), F.when(done | F.col("next").isNull(), F.col("base")).otherwise(F.col("start")).alias("base"))
         plan = materialize(plan, f"cells{level}")
+    placed = _placed(rows, plan)
+    # What the open cell adds before the point; the document that comes nearest to what is then missing.
+    added = placed.where("side = 0").groupBy("source").agg(F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("added"))
+    gap = F.col("rest") - F.col("base") - F.coalesce("added", F.lit(0))
+    gaps = plan.where(~F.col("cell").startswith("=")).join(added.withColumnRenamed("source", "at"), F.col("source").eqNullSafe(F.col("at")), "left")
+    gaps = gaps.select(F.col("source").alias("at"), gap.alias("gap")).where("gap > 0")
+    left = placed.where(~F.col("within")).select("source", "size", "h", "doc_id", "x")
+    left = left.join(broadcast_within(materialize(gaps, "gaps"), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("at"))).where("size < 2 * gap and size > 0")
+    nearest = left.groupBy("at").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "doc_id", "size", "x")).alias("k"))
+    nearest = materialize(nearest.select(F.col("at").alias("n_source"), F.col("k.h").alias("n_h"), F.col("k.doc_id").alias("n_id"), F.col("k.size").alias("n_size"), F.col("k.x").alias("n_x")), "nearest")
+    base = rows if carry is None else docs.select(*columns, *carried)
+    placed = _placed(base, plan)
+    key = F.col("source").eqNullSafe(F.col("n_source")) & (F.col("h") == F.col("n_h")) & F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("size") == F.col("n_size")) & (F.col("x") == F.col("n_x"))
+    placed = placed.join(broadcast_within(nearest, BROADCAST_SOURCES), key, "left")
+    # Of rows that are equal in all of these one is taken.
+    chosen = F.col("n_h").isNotNull() & ~F.col("within")
+    first = F.row_number().over(Window.partitionBy("source", "h", "doc_id", "size", "x").orderBy(F.lit(1)))
+    extra = placed.where(~chosen).withColumn("extra", F.col("within").cast("int")).unionByName(placed.where(chosen).withColumn("extra", (first == 1).cast("int")))
+    return extra.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.when(F.col("rest") > 0, F.col("extra")).otherwise(0)).cast("int").alias("repeats"), *([carry] if carry else []))
+
+
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with their source's plan, ``side`` of the open cell, and whether they end within the rest of the target."""
     small = broadcast_within(plan.withColumnRenamed("source", "of"), BROADCAST_SOURCES)
     placed = rows.join(small, rows["source"].eqNullSafe(small["of"])).drop("of")
-    exact = F.col("cell").startswith("=")
-    cell = F.regexp_replace("cell", "^=", "")
+    exact, cell = F.col("cell").startswith("="), F.regexp_replace("cell", "^=", "")
     head = F.substring(F.col("h"), F.lit(1), F.length(cell))
     placed = placed.withColumn("side", F.when(head < cell, -1).when(head > cell, 1).when(exact & (cell != ""), -1).when(exact, 1).otherwise(0))
-    settled = placed.where("side <> 0").withColumn("extra", F.when(F.col("side") < 0, 1).otherwise(0))
-    order = Window.partitionBy("source", "cell").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("base") + F.sum("size").over(order) - F.col("size") / 2
-    open_ = placed.where("side = 0").withColumn("extra", F.when(middle <= F.col("rest"), 1).otherwise(0))
-    both = settled.unionByName(open_)
-    return both.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("rest") > 0, F.col("epochs") + F.col("extra")).otherwise(F.col("epochs")).cast("int").alias("repeats"))
+    settled = placed.where("side <> 0").withColumn("within", F.col("side") < 0)
+    order = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size", "x").rowsBetween(Window.unboundedPreceding, 0)
+    return settled.unionByName(placed.where("side = 0").withColumn("within", F.col("base") + F.sum("size").over(order) <= F.col("rest")))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -117,11 +144,16 @@ c AS (
               ELSE CAST(w * (total - sum(CASE WHEN clamped THEN cap ELSE 0 END) OVER ()) AS DOUBLE) / CAST(nullif(sum(CASE WHEN clamped THEN 0 ELSE w END) OVER (), 0) AS DOUBLE) END AS target
   FROM b
 ), e AS (
-  SELECT d.doc_id, d.size, c.source_size, c.target, coalesce(floor(c.target / nullif(c.source_size, 0)), 0) AS epochs,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size / 2.0 AS middle
+  SELECT d.doc_id, d.source, d.h, d.size, c.source_size, c.target, coalesce(floor(c.target / nullif(c.source_size, 0)), 0) AS epochs,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+), f AS (SELECT *, target - epochs * source_size AS rest, target - epochs * source_size > 0 AND upto <= target - epochs * source_size AS within FROM e),
+g AS (SELECT *, rest - coalesce(sum(CASE WHEN within THEN size END) OVER (PARTITION BY source), 0) AS gap FROM f),
+i AS (
+  SELECT *, NOT within AND size > 0 AND gap > 0 AND size < 2 * gap AS open FROM g
+), j AS (
+  SELECT *, open AND row_number() OVER (PARTITION BY source, open ORDER BY abs(size - gap), h, doc_id, size) = 1 AS nearest FROM i
 )
-SELECT doc_id, size, source_size, target,
-       CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0 AND middle <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM e
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN within OR nearest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM j
 """
