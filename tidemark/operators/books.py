@@ -27,8 +27,9 @@ def numbered(book: DataFrame, *by: str, date: str = "t") -> DataFrame:
 def churn(book: DataFrame, date: str = "t", entity: str = "entity") -> DataFrame:
     """``date, i, side, new``: the share of a leg that the rebalance before didn't hold."""
     held = numbered(book, date=date).select(date, "i", "side", entity)
-    before = held.select((F.col("i") + 1).alias("i"), "side", entity, F.lit(1).alias("was"))
-    return held.join(before, ["i", "side", entity], "left").groupBy(date, "i", "side").agg(F.avg(F.when(F.col("was").isNull(), 1.0).otherwise(0.0)).alias("new"))
+    before = F.lag("i").over(Window.partitionBy("side", entity).orderBy("i"))
+    new = F.when(before == F.col("i") - 1, 0.0).otherwise(1.0)
+    return held.withColumn("_new", new).groupBy(date, "i", "side").agg(F.avg("_new").alias("new"))
 
 
 def long_short(book: DataFrame, y: str = "fwd", date: str = "t", entity: str = "entity", first: float | None = 1.0) -> DataFrame:

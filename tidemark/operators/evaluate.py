@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +60,25 @@ def bucket_means(df: DataFrame, x: str, y: str, n: int, *by: str, entity: str =
     return means.withColumn("rises", F.col("mean") > F.lag("mean").over(Window.partitionBy(*by).orderBy("bucket")))
 
 
+def quantiles(df: DataFrame, x: str, shares: list[float]) -> list[float]:
+    """Exact interpolated quantiles over all rows, from places by ranges of values: no task holds all values."""
+    from tidemark.operators.tables import placed
+
+    rows = df.where(F.col(x).isNotNull()).select(x)
+    if not (n := rows.count()):
+        return []
+    at = [q * (n - 1) for q in shares]
+    wanted = sorted({int(k) for a in at for k in (np.floor(a), np.ceil(a))})
+    found = placed(rows, x, x).withColumn("_i", n - F.col("place")).where(F.col("_i").isin(wanted))
+    value = {r["_i"]: r[x] for r in found.collect()}  # two rows a quantile at most
+    return [value[int(np.floor(a))] + (a - np.floor(a)) * (value[int(np.ceil(a))] - value[int(np.floor(a))]) for a in at]
+
+
 def edge_buckets(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
     """Stats of y by bucket of x between exact quantile edges over all rows; equal edges collapse; a bucket is closed on the right."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)]))).alias("edges"))
-    placed = df.crossJoin(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(x))))
-    return placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.avg((F.col(y) > 0).cast("double")).alias("positive"))
+    edges = F.array(*[F.lit(float(e)) for e in sorted(set(quantiles(df, x, [i / n for i in range(1, n)])))]).cast("array<double>")
+    rows = df.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col(x))))
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.avg((F.col(y) > 0).cast("double")).alias("positive"))
 
 
 def precision_at(df: DataFrame, x: str, y: str, ns: list[int], date: str = "t", entity: str = "entity") -> DataFrame:
@@ -122,11 +137,17 @@ def coverage(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
     return df.select(*by, fields.alias("f")).groupBy(*by, "f.field").agg(F.count(F.lit(1)).alias("n"), F.sum("f.there").alias("present"), F.avg("f.there").alias("share"))
 
 
-def attribution(df: DataFrame, x: str, y: str, group: str, date: str = "t") -> DataFrame:
-    """IC summary over all rows, and with each group left out, in one grouped job."""
-    groups = F.broadcast(df.select(F.col(group).cast("string").alias("slice")).distinct().unionByName(df.sparkSession.createDataFrame([("all",)], "slice string")))
-    rows = df.join(groups, (F.col("slice") == "all") | (F.col("slice") != F.col(group).cast("string")))
-    return ic_summary(rank_ic(rows, x, y, "slice", date=date), "slice")
+def attribution(df: DataFrame, x: str, y: str, group: str, date: str = "t", entity: str = "entity") -> DataFrame:
+    """IC summary over all rows, and with each group left out, in one grouped job.
+
+    Ranks differ by slice, so each row goes to all slices but its own group's;
+    groups are few, as sectors are, and stand in one array beside the rows.
+    """
+    rows = df.select(date, entity, x, y, F.col(group).cast("string").alias("_g"))
+    groups = rows.agg(F.array_append(F.collect_set("_g"), F.lit("all")).alias("_all"))
+    slices = F.filter("_all", lambda s: (s == "all") | (s != F.col("_g")))
+    rows = rows.crossJoin(F.broadcast(groups)).where(F.col(x).isNotNull()).withColumn("slice", F.explode(F.when(F.col("_g").isNull(), F.array(F.lit("all"))).otherwise(slices)))
+    return ic_summary(rank_ic(rows, x, y, "slice", date=date, entity=entity), "slice")
 
 
 def sliced(stream: DataFrame, slices: dict[str, Column], x: str) -> DataFrame:

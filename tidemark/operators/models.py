@@ -97,23 +97,27 @@ def scored(df: DataFrame, model: DataFrame, features: list[str], fold: str = "fo
     return rows.withColumn("score", F.when(F.coalesce("rows", F.lit(0)) >= least_rows, linear).otherwise(plain)).select(*df.columns, "score")
 
 
-def logistic(df: DataFrame, features: list[str], y: str, steps: int = 8, penalty: float = 1e-6) -> list[float]:
-    """Coefficients, constant first, by Newton steps; each is one aggregate of gradient and curvature."""
+def logistic(df: DataFrame, features: list[str], y: str, steps: int = 50, penalty: float = 1e-6, tolerance: float = 1e-9) -> list[float]:
+    """Coefficients, constant first, by Newton steps, each one aggregate of gradient and curvature, until the mean gradient is within the tolerance; ValueError where it doesn't get there."""
     beta = np.zeros(len(features) + 1)
     value = lambda i: F.lit(1.0) if i == 0 else F.col(features[i - 1])
-    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*features, y)]))
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*features, y)])).select(*features, y).persist()
     for _ in range(steps):
         z = reduce(lambda a, b: a + b, [F.lit(float(b)) * value(i) for i, b in enumerate(beta)])
         p = 1 / (1 + F.exp(-z))
         held = rows.withColumns({"_p": p, "_w": p * (1 - p)})
         pairs = [(i, j) for i in range(len(beta)) for j in range(i, len(beta))]
-        r = held.agg(*[F.sum(value(i) * (F.col(y).cast("double") - F.col("_p"))).alias(f"g{i}") for i in range(len(beta))], *[F.sum(value(i) * value(j) * F.col("_w")).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        r = held.agg(F.count(F.lit(1)).alias("n"), *[F.sum(value(i) * (F.col(y).cast("double") - F.col("_p"))).alias(f"g{i}") for i in range(len(beta))], *[F.sum(value(i) * value(j) * F.col("_w")).alias(f"h{i}_{j}") for i, j in pairs]).first()
         h = np.zeros((len(beta), len(beta)))
         for i, j in pairs:
             h[i, j] = h[j, i] = r[f"h{i}_{j}"] or 0.0
         g = np.array([r[f"g{i}"] or 0.0 for i in range(len(beta))]) - penalty * beta
+        if np.abs(g).max() <= tolerance * max(1, r["n"]):
+            rows.unpersist()
+            return beta.tolist()
         beta = beta + np.linalg.solve(h + penalty * np.eye(len(beta)), g)
-    return beta.tolist()
+    rows.unpersist()
+    raise ValueError(f"no fit after {steps} steps")
 
 
 def ensemble_weights(ics: DataFrame, windows: DataFrame, signal: str = "signal", kind: str = "ic") -> DataFrame:

@@ -305,10 +305,12 @@ def x2(spark, sf):
     return found.join(F.broadcast(last), "batch").select(day.alias("day"), "type", "open", "high", "low", "close", "n")
 
 
-@register("x3_refresh_contract", "SELECT max(t) AS last, sum((t > 23980)::INT) AS after_cutoff, (SELECT count(*) FROM (SELECT DISTINCT entity FROM px_m WHERE t <= 23979 EXCEPT SELECT entity FROM px_m WHERE t <= 23980 AND entity <> 3)) AS lost_entities, CAST(0 AS BIGINT) AS lost_sessions, false AS ok FROM px_m WHERE t <= 23980 AND entity <> 3", "")
+@register("x3_refresh_contract", "SELECT max(t) AS last, sum((t > c)::INT) AS after_cutoff, (SELECT count(*) FROM (SELECT DISTINCT entity FROM px_m WHERE t < (SELECT max(t) - 1 FROM px_m) EXCEPT SELECT entity FROM px_m WHERE t < (SELECT max(t) FROM px_m) AND entity % 5 <> 3)) AS lost_entities, CAST(0 AS BIGINT) AS lost_sessions, false AS ok FROM px_m, (SELECT max(t) - 1 AS c FROM px_m) WHERE t <= c AND entity % 5 <> 3", "")
 def x3(spark, sf):
+    """A refresh up to the last month but one that has lost every fifth name."""
     px = prices(spark, sf)
-    return ingest.contract(px.where("t <= 23979"), px.where("t <= 23980 and entity <> 3"), "entity", "t", 23980)
+    cutoff = px.agg(F.max("t")).first()[0] - 1
+    return ingest.contract(px.where(F.col("t") < cutoff), px.where((F.col("t") <= cutoff) & (F.col("entity") % 5 != 3)), "entity", "t", cutoff)
 
 
 @register("scalar_functions", "SELECT entity, t, least(greatest(close, 900), 1100) AS clipped, dvol / nullif(n - 3, 0) AS safe FROM px_m", "clipped safe")
