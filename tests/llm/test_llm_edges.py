@@ -189,6 +189,21 @@ def test_secrets(spark):
     assert [k for k, _, _ in got[4]] == ["assign", "assign", "hex"]
 
 
+def test_secrets_of_rows_with_one_id_stay_apart(spark):
+    key, secret = "AKIA" + "ABCDEFGHIJ234567", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYab"
+    rows = [(1, f"id {key}"), (1, f"id xx {secret}"), (None, f"id {key} {secret}"), (None, f"see {secret}"), (None, None)]
+    got = sorted((str(r.doc_id), [(s.kind, s.start) for s in r.spans]) for r in secrets.scan_secrets(docs(spark, rows)).collect())
+    assert got == [("1", []), ("1", [("access", 3)]), ("None", []), ("None", []), ("None", [("access", 3), ("weak_secret", 24)])]
+
+
+def test_overlaps_of_weak_parts_equal_all_pairs():
+    text = " ".join(f"user=abcdefgh{i} token={'ab12' * (i % 12)} {'A1b2' * 9} AKIA{'Q' * (i % 20)}" for i in range(60))
+    found = secrets.parts(text)
+    base = [(a, b) for a, b, k in found if k in secrets.BASE]
+    weak = {(a, b) for pattern in (secrets.USER, secrets.OPAQUE, secrets.ENDPOINT) for a, b in [m.span() for m in pattern.finditer(text)]}
+    assert {(a, b) for a, b, k in found if k not in secrets.BASE} == {w for w in weak if not any(a < w[1] and w[0] < b for a, b in base)}
+
+
 def test_interval_join_equals_all_pairs(spark):
     import random
 
@@ -206,6 +221,23 @@ def test_html():
     assert html_extract.main_text("plain words") == "plain words"
 
 
+def test_ratio_decides_which_lines_stay(monkeypatch):
+    import numpy as np
+
+    links = "".join(f"<p><a href=/{i}>More about this {i}</a>" for i in range(6))
+    page = f"<body><div class=promo><p>Buy now, it is cheap and good.</div><div><h2>Head</h2><p>A first paragraph of the text.<p>And a second one, a bit longer.{links}</div></body>"
+    want = "Head\nA first paragraph of the text.\nAnd a second one, a bit longer."
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines: np.ones(len(lines), bool))
+    off = html_extract.main_text(page)
+    assert off != want and "More about" in off
+
+
+def test_deep_pages_and_open_paragraphs():
+    deep = "<div>" * 3000 + "<p>One<p>Two <b>and<p>three</b></p>" + "</div>" * 3000
+    assert html_extract.main_text(deep) == "One\nTwo and\nthree"
+
+
 def test_web_archives(spark, tmp_path):
     tricky = "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"
     rows = [(1, "http://a\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", tricky), (None, "u", "solo"), (6, "u", "é" * 100_000)]
@@ -221,6 +253,24 @@ def test_web_archives(spark, tmp_path):
     warc.write_archives(pages.where("false"), str(tmp_path / "none"))
 
 
+def test_web_archives_of_large_pages_repeated_and_named_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    rows = [("a", "u", "x" * 3000), ("b", "u", "x" * 3000), ("c", "u", "y" * 4000), ("c", "u", "y" * 4000), ("d", "u", "z"), (None, "u", "z")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1), str(tmp_path / "w"))
+    got = sorted((r.page_id or "", r.record_type, r.refers_to or "", len(r.payload or "")) for r in warc.read_archives(spark, str(tmp_path / "w"), id_type="string").collect())
+    assert got == [("", "revisit", "d", 0), ("a", "revisit", "b", 0), ("b", "response", "", 3000), ("c", "response", "", 4000), ("c", "response", "", 4000), ("d", "response", "", 1)]
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 5
+
+
+def test_web_archives_without_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    rows = [(i, "u", "same" if i % 3 else f"own {i}") for i in range(30)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: ("revisit", 29) if i % 3 and i != 29 else ("response", None) for i in range(30)}
+
+
 def test_quality(spark):
     clean = [(i, " ".join(f"the w{(i * 31 + j * j) % 400} of" if j % 4 == 0 else f"v{(i * 17 + j * 7) % 900}" for j in range(120))) for i in range(60)]
     rows = [*clean, (100, "### $$$ *** %%% &&& " * 3 + " ".join(f"{j}$$ %{j}" for j in range(90))), (101, "buy now cheap pills here today " * 40), (102, "too short"), (103, None)]
@@ -228,3 +278,32 @@ def test_quality(spark):
     assert all(got[i].kept for i, _ in clean)
     assert not got[100].kept and not got[100].base_failed and got[101].base_failed and got[102].base_failed and got[103].base_failed
     assert got[102].char_distance is None and got[103].n_words == 0
+
+
+def test_pipeline_keeps_one_row_of_copies_that_share_an_id(spark):
+    import corpus_pipeline
+
+    near = SENTENCE + " " + " ".join(f"more{i}" for i in range(30))
+    rows = [(1, "same text"), (1, "Same text"), (1, "other text"), (None, "third"), (None, "third"), (5, near), (5, near + " end"), (6, near + " stop"), (7, None), (7, "")]
+    exact = corpus_pipeline.exact_duplicates(spark, docs(spark, rows), "")
+    assert exact.columns == docs(spark, rows).columns
+    kept = [(r.doc_id, (r.text or "").lower()) for r in exact.collect()]
+    assert sorted(kept, key=str) == sorted([(1, "same text"), (1, "other text"), (None, "third"), (5, near), (5, near + " end"), (6, near + " stop"), (7, "")], key=str)
+    left = corpus_pipeline.near_duplicate_groups(spark, exact, "").collect()
+    assert len(left) == 5 and sum((r.text or "").startswith("one") for r in left) == 1
+    assert corpus_pipeline.near_duplicate_groups(spark, docs(spark, rows).where("false"), "").collect() == []
+
+
+def test_mix_breaks_ties_of_one_id_the_same_way_each_time(spark):
+    rows = [(1, "a " * k) for k in (5, 9, 2, 9, 30)] + [(None, "b " * k) for k in (7, 7, 3)] + [(i, "c " * (i % 5 + 1)) for i in range(2, 40)]
+    runs = [sorted((r.doc_id or 0, r.size, r.repeats) for r in mixing.mix(docs(spark, order)).collect()) for order in (rows, rows[::-1])]
+    assert runs[0] == runs[1]
+
+
+def test_joins_of_counted_groups_equal_a_plain_join(spark):
+    from tidemark.llm._common import join_counted
+
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else "hot" if i % 3 else f"k{i}") for i in range(3000)], "i int, k string")
+    groups = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("m")).where("m < 2900 or c > 1")
+    got = {(r.i, r.m) for r in join_counted(rows, groups, "k", "c", 3000).collect()}
+    assert got == {(r.i, r.m) for r in rows.join(groups, "k", "left").collect()} and len(got) == 3000

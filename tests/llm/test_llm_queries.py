@@ -63,16 +63,48 @@ def shingles(text, width):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def test_near(spark, texts):
-    sets = {d: shingles(t, 2) for d, t in texts.items()}
+def texts_of(spark, sf):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/{sf}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near(spark, sf):
+    sets = {d: shingles(t, 2) for d, t in texts_of(spark, sf).items()}
     want = components(sets)
-    assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in result(spark, "op3_near_dedup").items()} == {d: (len(sets[d]), want[d], want[d] == d) for d in texts}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op3_near_dedup"](spark, f"{DATA}/{sf}").collect()}
+    assert got == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()}
+
+
+def test_near_loses_no_link_on_a_larger_table(spark):
+    """All links of sf0.1, from a prefix filter over the whole sets, lie within components; nothing else is joined."""
+    sets = {d: shingles(t, 2) for d, t in texts_of(spark, "sf0.1").items()}
+    count = collections.Counter(x for s in sets.values() for x in s)
+    postings, links = collections.defaultdict(list), []
+    for d, s in sorted(sets.items(), key=lambda x: len(x[1])):
+        first = sorted(s, key=lambda x: (count[x], x))[: len(s) - -(-len(s) * 80 // 100) + 1]
+        for e in {e for x in first for e in postings[x]}:
+            if 100 * len(s & sets[e]) >= 80 * len(s | sets[e]):
+                links.append((d, e))
+        for x in first:
+            postings[x].append(d)
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.component_id for r in QUERIES["op3_near_dedup"](spark, f"{DATA}/sf0.1").collect()}
+    assert links and got == {d: find(d) for d in sets}
 
 
-def test_repeats(spark, texts):
-    data = {d: t.encode() for d, t in texts.items()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_repeats(spark, sf):
+    data = {d: t.encode() for d, t in texts_of(spark, sf).items()}
     seen = collections.Counter(hash(b[i : i + 400]) for b in data.values() for i in range(len(b) - 399))
-    got = result(spark, "op4_repeats")
+    got = {r.doc_id: r for r in QUERIES["op4_repeats"](spark, f"{DATA}/{sf}").collect()}
     for d, b in data.items():
         covered = bytearray(len(b))
         end = 0
@@ -108,11 +140,14 @@ def test_secrets(spark, texts):
         assert set(shown.split(",")) - {""} <= set(r.spans.split(","))
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_pages(spark, sf):
     import html
 
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    for r in QUERIES["op8_html_text"](spark, SF).collect():
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/{sf}/pages.parquet").collect()}
+    got = QUERIES["op8_html_text"](spark, f"{DATA}/{sf}").collect()
+    assert len(got) == len(pages)
+    for r in got:
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
@@ -139,3 +174,24 @@ def test_pipeline(spark, texts):
     assert set(mixed) <= set(near) and max(collections.Counter(mixed).values()) <= 3
     assert sorted(tokens) == sorted(mixed)
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in docs.collect())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_repeated_passages_of_words(spark, sf):
+    rows = spark.read.parquet(f"{DATA}/{sf}/documents.parquet").collect()
+    words = {r.doc_id: WORD.findall((r.text or "").translate(LOWER)) for r in rows}
+    seen = collections.Counter(hash(tuple(w[i : i + 50])) for w in words.values() for i in range(len(w) - 49))
+    want = {d: len({i + k for i in range(len(w) - 49) if seen[hash(tuple(w[i : i + 50]))] > 1 for k in range(50)}) for d, w in words.items()}
+    got = {r.doc_id: r for r in QUERIES["op4_repeats"](spark, f"{DATA}/{sf}").collect()}
+    assert {d: r.n_repeat_words for d, r in got.items()} == want and any(want.values())
+    assert all(r.n_left == r.n_bytes - r.n_removed for r in got.values())
+
+
+def test_mix_comes_near_its_targets(spark):
+    sources = {r.doc_id: r.source for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    taken, target = collections.Counter(), {}
+    for r in QUERIES["op10_mixing"](spark, f"{DATA}/sf0.01").collect():
+        taken[sources[r.doc_id]] += r.taken
+        target[sources[r.doc_id]] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - t) <= 0.02 * t for s, t in target.items())
