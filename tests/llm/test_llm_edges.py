@@ -236,6 +236,8 @@ def test_ratio_decides_which_lines_stay(monkeypatch):
 def test_deep_pages_and_open_paragraphs():
     deep = "<div>" * 3000 + "<p>One<p>Two <b>and<p>three</b></p>" + "</div>" * 3000
     assert html_extract.main_text(deep) == "One\nTwo and\nthree"
+    items = "<ul>" + "".join(f"<li>item number {i}</b>" for i in range(20_000)) + "</ul>"
+    assert html_extract.main_text(items).count("\n") == 19_999
 
 
 def test_web_archives(spark, tmp_path):

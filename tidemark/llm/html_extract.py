@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -20,6 +21,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIP = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input math menu nav noscript object option script select style svg template textarea title video".split())
 #: Elements that don't gather lines of their own: a line belongs to the nearest other element around it.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre summary caption figcaption".split())
+#: Those that end where another of the same kind begins.
+IMPLIED = frozenset("p li dt dd".split())
 #: Words of a class, id or role that mark what is seldom content: such a line's ratio counts for little.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies dialog disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 WORDS = re.compile(r"[a-z]+")
@@ -44,14 +47,15 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number of its gathering or 0, whether skipped, whether marked
         self.lines: list[Line] = []
-        self.numbers = self.skipped = self.marked = self.links = self.tags = self.linked = self.articles = self.paragraphs = 0
+        self.counts: Counter[str] = Counter()  # of open elements by tag
+        self.gatherings = [0]
+        self.numbers = self.skipped = self.marked = self.links = self.tags = self.linked = 0
         self.text: list[str] = []
 
     def flush(self) -> None:
         words = "".join(self.text).split()
         if words:
-            gathering = next((n for _, n, _, _ in reversed(self.open) if n), 0)
-            self.lines.append(Line(" ".join(words), self.tags, self.linked, self.marked > 0, gathering))
+            self.lines.append(Line(" ".join(words), self.tags, self.linked, self.marked > 0, self.gatherings[-1]))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -62,9 +66,9 @@ class Lines(HTMLParser):
         self.links += tag == "a"
         if tag in VOID:
             return
-        if tag == "p" and self.paragraphs:
-            self.close_paragraph()
-        skip = tag in SKIP or (tag == "header" and not self.articles) or self.hidden(attrs)
+        if tag in IMPLIED:
+            self.close_implied(tag)
+        skip = tag in SKIP or (tag == "header" and not self.counts["article"]) or self.hidden(attrs)
         mark = tag not in ("html", "body", "article", "main") and self.named(attrs)
         if tag in INLINE and not skip and not mark:
             return
@@ -76,28 +80,32 @@ class Lines(HTMLParser):
         self.open.append((tag, number, skip, mark))
         self.skipped += skip
         self.marked += mark
-        self.articles += tag == "article"
-        self.paragraphs += tag == "p"
+        self.counts[tag] += 1
+        if number:
+            self.gatherings.append(number)
 
     def close(self) -> None:
         super().close()
         self.flush()
 
     def close_to(self, at: int) -> None:
-        for tag, _, skip, mark in self.open[at:]:
+        for tag, number, skip, mark in self.open[at:]:
             self.skipped -= skip
             self.marked -= mark
-            self.articles -= tag == "article"
-            self.paragraphs -= tag == "p"
+            self.counts[tag] -= 1
+            if number:
+                self.gatherings.pop()
         del self.open[at:]
 
-    def close_paragraph(self) -> None:
-        """A paragraph ends where another begins, unless an element that gathers lines stands between them."""
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == "p":
-                return self.close_to(at)
-            if self.open[at][1]:
-                return None
+    def close_implied(self, tag: str) -> None:
+        """A paragraph or item ends where another begins, unless an element that gathers lines stands between them."""
+        if self.counts[tag]:
+            for at in range(len(self.open) - 1, -1, -1):
+                if self.open[at][0] == tag:
+                    return self.close_to(at)
+                if self.open[at][1]:
+                    return None
+        return None
 
     @staticmethod
     def hidden(attrs: list) -> bool:
@@ -113,11 +121,12 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag == "p":
-            return self.close_paragraph()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                return self.close_to(at)
+        if tag in IMPLIED:
+            return self.close_implied(tag)
+        if self.counts[tag]:
+            for at in range(len(self.open) - 1, -1, -1):
+                if self.open[at][0] == tag:
+                    return self.close_to(at)
         return None
 
     def handle_data(self, data: str) -> None:
