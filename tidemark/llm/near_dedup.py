@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, materialize, table, text_of, words_of
+from ._common import BROADCAST_ROWS, broadcast_within, discard, join_counted, lower_ascii, materialize, table, text_of, words_of
 from .components import components
 
 CHUNKS, SYMBOLS = 12, 6
@@ -121,7 +121,7 @@ def full_sets(docs: DataFrame, chosen: DataFrame, width: int, id_col: str, text_
                 found = [shingles(h, width) for h in lists(batch.column(0).slice(at, 200))]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    chosen = chosen.select(F.col("doc_id").alias("of"))
+    chosen = broadcast_within(chosen.select(F.col("doc_id").alias("of")), BROADCAST_ROWS)
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     some = some.join(chosen, F.col("id").eqNullSafe(F.col("of")), "left_semi")
     return word_hashes(some, "id", "t").where(F.size("h") > 0).select("h").mapInArrow(run, "node bigint, shingles array<bigint>")
@@ -151,6 +151,9 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = ordered.where(first > 0).select("node", "comp", "n", F.size("l").alias("c"), F.posexplode(F.slice("l", F.lit(1), first.cast("int"))["s"]).alias("i", "s"))
     # ``after``: how many shingles from this one on.
     rows = materialize(rows.select("s", "node", "comp", "n", (F.col("c") - F.col("i")).alias("after")), "first")
+    # Shingles of one component pair nothing; they are known from a minimum and a maximum, combined before the shuffle.
+    several = rows.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
+    rows = materialize(rows.join(several, "s", "left_semi"), "several")
     other = rows.select("s", F.col("node").alias("h"), F.col("comp").alias("hcomp"), F.col("n").alias("hn"), F.col("after").alias("hafter"))
     enough = (100 + percent) * F.least("after", "hafter") >= percent * (F.col("n") + F.col("hn"))
     return rows.join(other, "s").where((F.col("node") < F.col("h")) & (F.col("comp") != F.col("hcomp")) & enough).select(F.col("node").alias("a"), F.col("h").alias("b")).distinct()
@@ -185,24 +188,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     Documents whose sets of ``width``-word shingles (words lower-cased A-Z)
     share ``percent`` of their union are linked; a component's id is its
     smallest document id. A text with fewer words is one shingle; one without
-    words, or null, has none, and is linked with nothing. Equal sets are one
-    node, so copies make no pairs. Sets hold 64-bit hashes. Rows that repeat
-    are copies; a null id never names a component that has another, and is kept
-    where it has none. An empty table gives no rows; other columns are ignored.
+    words, or null, has none, and is linked with nothing. A very long text is
+    one set, made whole by one task. Equal sets are one node, so copies make no
+    pairs. Sets hold 64-bit hashes. Rows that repeat are copies; a null id
+    never names a component that has another, and is kept where it has none.
+    An empty table gives no rows; other columns are ignored.
     """
     prints = materialize(signatures(docs, width, id_col, text_col), "signatures")
-    nodes = materialize(prints.where("n_shingles > 0").groupBy("node").agg(F.min("signature").alias("signature"), F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = materialize(prints.where("n_shingles > 0").groupBy("node").agg(F.min("signature").alias("signature"), F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "nodes")
     keys = chunk_keys(nodes)
     shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
     rows = materialize(keys.join(shared, "key").select("key", "node", "n"), "rows")
-    chosen = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("doc_id", "node")
+    chosen = materialize(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "chosen")
     sets = full_sets(docs, chosen, width, id_col, text_col)
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
     labels = linked(rows, sets, percent)
-    known = prints.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("doc_id", "n_shingles", "comp")
-    known = materialize(known, "known")
-    names = materialize(known.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id")), "names")
-    out = known.join(names, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # A node knows its component's name, and a document its node's: neither a node of many copies nor a large component is a hot task.
+    labelled = materialize(nodes.join(labels, "node", "left").select("node", "copies", "doc_id", F.coalesce("comp", "node").alias("comp")), "labelled")
+    names = materialize(labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "names")
+    total, texts = labelled.count(), prints.where("n_shingles > 0").count()
+    named = materialize(join_counted(labelled.select("node", "copies", "comp"), names, "comp", "members", total).select("node", "copies", "component_id"), "named")
+    discard(nodes, shared, rows, chosen, sets, labelled, names)
+    out = join_counted(prints.select("doc_id", "n_shingles", "node"), named, "node", "copies", texts)
+    out = out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
