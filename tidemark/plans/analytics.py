@@ -105,7 +105,7 @@ def m12(spark, sf):
     return M.scored(rows, model, FEATURES, least_rows=50).select("fold", "entity", "t", "score", "fwd")
 
 
-@register("m13_ic_weighted_ensemble")
+@register("m13_ic_weighted_ensemble", "SELECT fold, signal, m / nullif(sum(abs(m)) OVER (PARTITION BY fold), 0) AS weight FROM (SELECT fold, signal, avg(ic) AS m FROM (SELECT *, dense_rank() OVER (PARTITION BY signal ORDER BY t) - 1 AS i FROM (SELECT signal, t, round(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0), 12) AS ic FROM (SELECT signal, t, rank() OVER (PARTITION BY signal, t ORDER BY x) + (count(*) OVER (PARTITION BY signal, t, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY signal, t ORDER BY y) + (count(*) OVER (PARTITION BY signal, t, y) - 1) / 2.0 AS b FROM (SELECT t, unnest(['mom', 'rev', 'rev3']) AS signal, unnest([mom, rev, rev3]) AS x, fwd AS y FROM el) WHERE x IS NOT NULL) GROUP BY signal, t)) JOIN (SELECT CAST(f AS INT) AS fold, f * 6 AS a, f * 6 + 23 AS b FROM (SELECT unnest(range((count(DISTINCT t) - 30) // 6 + 1)) AS f FROM el)) ON i BETWEEN a AND b GROUP BY 1, 2)", "weight")
 def m13(spark, sf):
     from tidemark.operators.evaluate import rank_ic
 
@@ -270,7 +270,7 @@ def v4(spark, sf):
     return forecasts.business_days(days, 5).select(F.col("date").cast("string").alias("date"), F.col("forecast_date").cast("string").alias("forecast_date"))
 
 
-@register("v5_replay")
+@register("v5_replay", "SELECT *, CASE WHEN change > 0.01 AND up >= 0.5 THEN 'BUY' WHEN change < -0.01 AND up <= 0.5 THEN 'SELL' ELSE 'HOLD' END AS recommendation FROM (SELECT entity, t, max(close) AS close, avg(forecast) AS mean, quantile_cont(forecast, 0.5) AS median, avg((forecast > close)::INT) AS up, quantile_cont(forecast, 0.5) / max(close) - 1 AS change FROM (SELECT entity, t, close, unnest([close * exp(mu * 5), close, close + (sma - close) * 5 / 5, sma + slope * (n + 5 - mid)]) AS forecast FROM (SELECT *, count(r) OVER w AS c, avg(r) OVER w AS mu, avg(close) OVER w AS sma, regr_slope(close, n) OVER w AS slope, avg(n) OVER w AS mid FROM (SELECT entity, t, close, row_number() OVER (PARTITION BY entity ORDER BY t) AS n, ln(close / lag(close) OVER (PARTITION BY entity ORDER BY t)) AS r FROM px_m) WINDOW w AS (PARTITION BY entity ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE c >= 12) GROUP BY entity, t)", "close mean median up change")
 def v5(spark, sf):
     return forecasts.replay(prices(spark, sf), 12, 5)
 

@@ -110,7 +110,7 @@ def a17(spark, sf):
     return A.stream_correlation(sector_streams(spark, sf))
 
 
-@register("a17_clusters")
+@register("a17_clusters", f"WITH RECURSIVE s AS (SELECT * FROM {STREAMS}), l AS (SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.t = b.t AND a.k < b.k GROUP BY a.k, b.k HAVING count(*) >= 12 AND abs(corr(a.ret, b.ret)) >= 0.1), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(k, c) AS (SELECT DISTINCT k, k FROM s UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.c) SELECT k, min(c) AS cluster FROM r GROUP BY k", "")
 def a17_clusters(spark, sf):
     return A.linked_clusters(a17(spark, sf), sector_streams(spark, sf).select("k").distinct(), 0.1)
 
