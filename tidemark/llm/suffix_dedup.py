@@ -207,11 +207,12 @@ def divide(pieces: DataFrame, depth: int, item: int) -> list[DataFrame]:
     return found
 
 
-def repeated_spans(texts: DataFrame, depth: int, gram: int) -> DataFrame:
-    """``doc_id, v, first, last``: runs of starts of windows that start elsewhere too, of ``doc_id, v, t`` (a string, or an array of words' hashes)."""
-    words = texts.schema["t"].dataType.typeName() == "array"
-    long_ = texts.where((F.size("t") if words else F.octet_length("t")) >= depth)
-    digits = materialize(first_digits(long_, depth, gram), "digits")
+def repeated_spans(texts: DataFrame, depth: int, gram: int, words: bool = False) -> DataFrame:
+    """``doc_id, v, first, last``: runs of starts of windows that start elsewhere too, of ``doc_id, v, t``; starts are bytes, or words."""
+    long_ = texts.where(F.octet_length("t") >= (2 * depth - 1 if words else depth))
+    # Words are hashed where a text is read on, so only those of texts that are joined are.
+    as_read = lambda df: df.withColumn("t", F.transform(words_of(lower_ascii(F.col("t"))), lambda w: F.xxhash64(w))) if words else df
+    digits = materialize(first_digits(as_read(long_), depth, gram), "digits")
     again = materialize(digits.join(several(digits, "digit"), "digit", "left_semi"), "again")
     wholes = several(again, "whole")
     equal = materialize(again.join(wholes, "whole", "left_semi"), "equal")
@@ -228,7 +229,7 @@ def repeated_spans(texts: DataFrame, depth: int, gram: int) -> DataFrame:
                 yield r["doc_id"], r["v"], x["low"], x["high"], x["anchor"], data[x["low"] : x["high"] + depth].tobytes()
 
     columns = id_type(texts) | {"v": pa.int64(), "low": pa.int64(), "high": pa.int64(), "anchor": pa.int64(), "data": pa.binary()}
-    pieces = mapped(texts_with(long_, rest).select("doc_id", "v", "t", "items"), rows_of, columns, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, data binary", 10_000)
+    pieces = mapped(as_read(texts_with(long_, rest)).select("doc_id", "v", "t", "items"), rows_of, columns, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, data binary", 10_000)
     pieces = materialize(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     for part in divide(pieces, depth, 8 if words else 1):
         equal = equal.unionByName(part)
@@ -249,8 +250,7 @@ def repeated_words(docs: DataFrame, width: int = PASSAGE, gram: int = PASSAGE_GR
     ``remove_repeats`` leaves alone. Rows that repeat are copies; texts of fewer
     words, null ones and empty tables have no repeats; ids may be null.
     """
-    texts = keyed(docs, id_col, text_col).withColumn("t", F.transform(words_of(lower_ascii(F.col("t"))), lambda w: F.xxhash64(w)))
-    spans = by_doc(repeated_spans(texts, width, gram), "first", "last").select("d", "dv", F.sort_array("items").alias("items"))
+    spans = by_doc(repeated_spans(keyed(docs, id_col, text_col), width, gram, words=True), "first", "last").select("d", "dv", F.sort_array("items").alias("items"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["last"] + width - F.greatest(a["end"], x["first"]))).alias("n"), F.greatest(a["end"], x["last"] + width).alias("end"))
     zero = F.lit(0).cast("bigint")
     return spans.select(F.col("d").alias("doc_id"), F.col("dv").alias("v"), F.aggregate("items", F.struct(zero.alias("n"), zero.alias("end")), step)["n"].alias("n_repeat_words"))
