@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, mixing, near_dedup, pitman_yor, quality, secrets, suffix_dedup, warc
+from . import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, pitman_yor, quality, secrets, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": html_extract.op8_html_text,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 SQL: dict[str, str] = {
