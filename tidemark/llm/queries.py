@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, pitman_yor, quality, secrets, spelling, suffix_dedup, warc
+from . import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, phrases, pitman_yor, quality, secrets, spelling, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": html_extract.op8_html_text,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_collocations": phrases.op11_collocations,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_language_id": language_id.op13_language_id,
 }
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_collocations": phrases.OP11_SQL,
 }
