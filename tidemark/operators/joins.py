@@ -111,3 +111,34 @@ def holdings_changes(book: DataFrame, entity: str = "entity", t: str = "t") -> D
     here = F.when(F.col(t) > F.col("_first"), F.struct(F.col(t).alias(t), F.when(F.col("_was"), "both").otherwise("entering").alias("kind")))
     gone = F.when((F.col(t) < F.col("_last")) & ~F.col("_stays"), F.struct((F.col(t) + 1).alias(t), F.lit("leaving").alias("kind")))
     return rows.select(entity, F.explode(F.array_compact(F.array(here, gone))).alias("x")).select("x.*", entity)
+
+
+def ranges_of(df: DataFrame, x: str, rows: int) -> list:
+    """Bounds that cut the values of ``x`` into ranges of about ``rows`` rows: quantiles of a bounded sketch, found once, so they are the same wherever they are used."""
+    parts = -(-df.count() // rows)
+    if parts < 2:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(x, F.array(*[F.lit(i / parts) for i in range(1, parts)]), max(10_000, 10 * parts))).first()[0] or []))
+
+
+def asof_ranged(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], rows: int = 1_000_000) -> DataFrame:
+    """``asof`` for keys with very many rows: time is cut into ranges, so a key's rows are many tasks.
+
+    The last fact before a range is carried into it, from a table with a row a
+    key and range. Of facts with one key and time the one with the largest
+    ``values`` counts.
+    """
+    key, fact = F.struct(*[F.col(c) for c in on]), F.struct(*[F.col(c) for c in (right_time, *values)])
+    latest = right.where(F.col(right_time).isNotNull()).groupBy(*on, right_time).agg(F.max(F.struct(*values)).alias("_v")).select(*on, right_time, "_v.*")
+    bounds = ranges_of(left, left_time, rows)
+    if not bounds:
+        return asof(left.withColumn("_k", key), latest.withColumn("_k", key), "_k", left_time, right_time, values).drop("_k")
+    kind = dict(left.dtypes)[left_time]
+    cut = lambda c: F.size(F.filter(F.array(*map(F.lit, bounds)).cast(f"array<{kind}>"), lambda b: b < c))
+    probes = left.withColumn("_r", F.when(F.col(left_time).isNull(), -1).otherwise(cut(F.col(left_time))))
+    facts = latest.withColumn("_r", cut(F.col(right_time)))
+    ends = facts.groupBy(*on, F.col("_r").alias("_at")).agg(F.max(fact).alias("_f")).withColumn("_k", key)
+    carried = asof(probes.select(*on, "_r").distinct().withColumn("_k", key), ends, "_k", "_r", "_at", ["_f"], strict=True).where("_f is not null").select(*on, "_r", "_f.*")
+    every = facts.select(*on, "_r", right_time, *values).unionByName(carried.select(*on, "_r", right_time, *values))
+    key = F.struct(*[F.col(c) for c in on], F.col("_r"))
+    return asof(probes.withColumn("_k", key), every.withColumn("_k", key), "_k", left_time, right_time, values).drop("_k", "_r")
