@@ -1,6 +1,6 @@
 """All queries of the panel library; importing the modules fills the registry."""
 
-from tidemark.plans import analytics, calibration, compositions, data, evaluation, features, files, identity, models
+from tidemark.plans import analytics, calibration, compositions, data, evaluation, features, files, history, identity, models
 from tidemark.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "calibration", "compositions", "data", "evaluation", "features", "files", "identity", "models"]
+__all__ = ["QUERIES", "SQL", "analytics", "calibration", "compositions", "data", "evaluation", "features", "files", "history", "identity", "models"]
