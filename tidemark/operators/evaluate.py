@@ -214,3 +214,37 @@ def feature_diagnostics(df: DataFrame, features: list[str], y: str, base: str, s
     sectors = top.groupBy("feature", sector).agg(F.count(F.lit(1)).alias("c")).groupBy("feature").agg(ratio(F.max("c"), F.sum("c")).alias("top_sector"))
     present = rows.groupBy("feature").agg(F.avg(F.col("_v").isNotNull().cast("double")).alias("coverage"))
     return ics.join(alike, "feature").join(spreads, "feature").join(sectors, "feature").join(present, "feature")
+
+
+def surface(df: DataFrame, params: dict[float, str], y: str, shares: list[float], date: str = "t", entity: str = "entity") -> DataFrame:
+    """``param, share, spread, months, near_best, near_mean, near_cells, peak``: mean spread of the top over the bottom ``share`` for each cell of a grid of signals (``params``: value, column) and shares.
+
+    All shares come from one ranked pass: a leg's mean is the difference of two
+    sums by rank. Then each cell is compared with the cells next to it in both
+    directions, itself included: ``peak`` where none is better. A signal's null
+    rows don't take part; a leg has one name at least.
+    """
+    long = df.select(date, entity, F.col(y).alias("_y"), F.explode(F.array(*[F.struct(F.lit(float(p)).alias("param"), F.col(c).alias("_x")) for p, c in params.items()])).alias("p")).select(date, entity, "_y", "p.*").where("_x is not null and _y is not null")
+    by = Window.partitionBy("param", date)
+    order = by.orderBy("_x", entity)
+    ranked = long.withColumns({"_r": F.row_number().over(order), "_n": F.count(F.lit(1)).over(by), "_s": F.sum("_y").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    size = lambda q: F.greatest(F.lit(1), F.floor(F.col("_n") * q + 1e-9)).cast("int")
+    at = lambda place: F.max(F.when(F.col("_r") == place, F.col("_s")))
+    ends = [f for i, q in enumerate(shares) for f in (at(size(q)).alias(f"_low{i}"), F.coalesce(at(F.col("_n") - size(q)), F.lit(0.0)).alias(f"_high{i}"), F.max(size(q)).alias(f"_k{i}"))]
+    dates = ranked.groupBy("param", date).agg(F.max_by("_s", "_r").alias("_all"), *ends)
+    spread = lambda i: (F.col("_all") - F.col(f"_high{i}") - F.col(f"_low{i}")) / F.col(f"_k{i}")
+    cells = dates.select("param", F.explode(F.array(*[F.struct(F.lit(float(q)).alias("share"), spread(i).alias("v")) for i, q in enumerate(shares)])).alias("c")).select("param", "c.*")
+    grid = cells.groupBy("param", "share").agg(F.avg("v").alias("spread"), F.count("v").alias("months"))
+    place = lambda values, c: F.array_position(F.array(*[F.lit(float(v)) for v in sorted(values)]), F.col(c))
+    grid = grid.withColumns({"_i": place(params, "param"), "_j": place(shares, "share")})
+    other = grid.select(F.col("_i").alias("_i2"), F.col("_j").alias("_j2"), F.col("spread").alias("_v"))
+    near = grid.join(F.broadcast(other), (F.abs(F.col("_i") - F.col("_i2")) <= 1) & (F.abs(F.col("_j") - F.col("_j2")) <= 1))  # cells of a grid
+    out = near.groupBy("param", "share", "spread", "months").agg(F.max("_v").alias("near_best"), F.avg("_v").alias("near_mean"), F.count(F.lit(1)).alias("near_cells"))
+    return out.withColumn("peak", F.col("spread") >= F.col("near_best"))
+
+
+def plateau(cells: DataFrame, x: str = "spread", band: float = 0.2) -> DataFrame:
+    """``cells, least, best, median, range, plateau_ratio, peaks``: the share of cells within ``band`` of the best one (of its absolute value), and the peaks; no cell is recommended."""
+    best = F.max(x).over(Window.partitionBy())
+    held = cells.withColumn("_ok", F.col(x) >= best - band * F.abs(best))
+    return held.agg(F.count(x).alias("cells"), F.min(x).alias("least"), F.max(x).alias("best"), F.percentile(x, F.lit(0.5)).alias("median"), (F.max(x) - F.min(x)).alias("range"), F.avg(F.col("_ok").cast("double")).alias("plateau_ratio"), F.sum(F.col("peak").cast("int")).alias("peaks"))

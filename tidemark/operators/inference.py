@@ -16,28 +16,46 @@ def indexed(stream: DataFrame, x: str, order: str = "t") -> DataFrame:
     return rows.select((F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("i"), F.col(x).alias("x"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
 
 
-def _dice(*parts) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40))
+def drawn(*parts) -> Column:
+    """A number below 2^32 for each combination of parts: the first eight digits of the md5 of them, joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _row(stream: DataFrame, x: str, order: str) -> DataFrame:
+    """One row ``n, xs, sums``: the stream in order, and its sums up to each place from 0 on. The stream has a row a date, so the calendar bounds it."""
+    rows = indexed(stream, x, order)
+    upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = F.array_sort(F.collect_list(F.struct("i", "x", "s")))
+    held = rows.withColumn("s", F.sum("x").over(upto)).agg(F.count(F.lit(1)).alias("n"), ordered.alias("r"))
+    return held.select("n", F.transform("r", lambda r: r["x"]).alias("xs"), F.concat(F.array(F.lit(0.0)), F.transform("r", lambda r: r["s"])).alias("sums"))
 
 
 def block_bootstrap(stream: DataFrame, x: str, block: int, replicates: int = 1000, alpha: float = 0.05, seed: int = 1, order: str = "t") -> DataFrame:
-    """Interval of the mean from moving blocks: each replicate strings blocks together to the stream's length."""
-    rows = indexed(stream, x, order).persist()
-    size = rows.agg(F.count(F.lit(1)).alias("n"))
-    draws = stream.sparkSession.range(replicates).select(F.col("id").alias("b")).crossJoin(F.broadcast(size)).withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
-    starts = draws.withColumn("s", F.pmod(_dice(F.lit(seed), "b", "k"), F.greatest(F.lit(1), F.col("n") - block + 1)))
-    picks = starts.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("k") * block + F.col("o") < F.col("n")).select("b", (F.col("s") + F.col("o")).alias("i"))
-    means = picks.join(F.broadcast(rows.select("i", "x")), "i").groupBy("b").agg(F.avg("x").alias("m"))
+    """Interval of the mean from moving blocks: each replicate strings blocks together to the stream's length, the last one cut.
+
+    A block's sum is the difference of two sums up to a place, so its length
+    costs nothing. Starts come from digests, so another engine can repeat them.
+    Without a row there is no interval.
+    """
+    held = _row(stream, x, order).where("n > 0")
+    blocks = stream.sparkSession.range(replicates).select(F.col("id").alias("b")).crossJoin(F.broadcast(held)).withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
+    start = (drawn(F.lit(seed), F.col("b"), F.col("k")) % F.greatest(F.lit(1), F.col("n") - block + 1)).cast("int")
+    end = F.least(F.col("s") + F.least(F.lit(block), F.col("n") - F.col("k") * block), F.col("n")).cast("int")
+    sums = blocks.withColumn("s", start).select("b", "n", (F.element_at("sums", end + 1) - F.element_at("sums", F.col("s") + 1)).alias("v"))
+    means = sums.groupBy("b").agg((F.sum("v") / F.first("n")).alias("m"))
     return means.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def sign_flip(stream: DataFrame, x: str, replicates: int = 1000, seed: int = 1, order: str = "t") -> DataFrame:
-    """Share of sign flips whose absolute mean reaches the stream's, one added to both counts."""
-    rows = indexed(stream, x, order)
-    mean = rows.agg(F.abs(F.avg("x")).alias("seen"))
-    flips = stream.sparkSession.range(replicates).select(F.col("id").alias("b")).join(F.broadcast(rows))
-    sums = flips.groupBy("b").agg(F.abs(F.avg(F.when(_dice(F.lit(seed), "b", "i") % 2 == 0, F.col("x")).otherwise(-F.col("x")))).alias("m")).crossJoin(F.broadcast(mean))
-    return sums.agg(((F.sum((F.col("m") >= F.col("seen")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.max("seen").alias("mean"))
+    """Share of sign flips whose absolute mean reaches the stream's, one added to both counts; signs are the halves of a digest's 32 digits."""
+    held = _row(stream, x, order).where("n > 0")
+    draws = stream.sparkSession.range(replicates).select(F.col("id").alias("b")).crossJoin(F.broadcast(held))
+    digests = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 32).cast("int")), lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), k.cast("string")).cast("binary")))
+    draws = draws.withColumn("d", F.array_join(digests, ""))
+    flipped = F.transform("xs", lambda v, i: F.when(F.substring("d", i + 1, F.lit(1)) >= "8", v).otherwise(-v))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
+    means = draws.select(F.round(F.abs(total(flipped) / F.col("n")), 12).alias("m"), F.round(F.abs(total(F.col("xs")) / F.col("n")), 12).alias("seen"))
+    return means.agg(((F.sum((F.col("m") >= F.col("seen")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.max("seen").alias("mean"))
 
 
 def leave_one_out(stream: DataFrame, x: str, period: Column) -> DataFrame:

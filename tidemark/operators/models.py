@@ -191,10 +191,37 @@ def year_folds(dates: DataFrame, embargo: int, least_years: int, t: str = "t") -
     return out.where((F.col("fold") - F.col("_first") >= least_years) & (F.col("train_end") >= 0)).select("fold", *[F.col(c).cast("int").alias(c) for c in ("train_end", "test_start", "test_end")])
 
 
+def ridge_path(df: DataFrame, features: list[str], y: str, strengths: list[float], fold: str = "fold") -> DataFrame:
+    """``fold, strength, rows, intercept, <feature>...``: ``ridge`` for all strengths from one pass over the training rows.
+
+    The sums of products are taken once a fold; the symmetric matrix of a fold
+    is decomposed once, and each strength only shifts its eigenvalues.
+    """
+    train = df.where(~F.col("is_test") & F.col(y).isNotNull())
+    names = [*features, y]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = train.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(f"s_{c}") for c in names], *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}") for a, b in pairs])
+
+    def solve(frames):
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                n = r["rows"]
+                cross = lambda a, b, r=r, n=n: r.get(f"p_{a}__{b}", r.get(f"p_{b}__{a}")) - r[f"s_{a}"] * r[f"s_{b}"] / n
+                values, vectors = np.linalg.eigh(np.array([[cross(i, j) for j in features] for i in features]))
+                turned = vectors.T @ np.array([cross(i, y) for i in features])
+                for s in strengths:
+                    beta = vectors @ (turned / (np.maximum(values, 0) + s))
+                    out.append([r[fold], float(s), n, r[f"s_{y}"] / n - sum(b * r[f"s_{c}"] / n for b, c in zip(beta, features, strict=True)), *beta])
+            yield type(frame)(out, columns=[fold, "strength", "rows", "intercept", *features])
+
+    return sums.mapInPandas(solve, f"{fold} int, strength double, rows bigint, intercept double, " + ", ".join(f"{c} double" for c in features))
+
+
 def chosen_strength(df: DataFrame, features: list[str], y: str, strengths: list[float], inner: float = 0.75, fold: str = "fold", date: str = "t", entity: str = "entity") -> DataFrame:
     """``fold, strength, ic, best``: each fold's training dates are split again in time; models of the earlier part are measured on the later one by their mean rank IC.
 
-    All folds and strengths are fitted and ranked in one job; ties go to the least strength.
+    One pass fits all folds and strengths, one scores them; ties go to the least strength. Strengths are above 0.
     """
     from tidemark.operators.evaluate import rank_ic
 
@@ -203,11 +230,11 @@ def chosen_strength(df: DataFrame, features: list[str], y: str, strengths: list[
     place = F.row_number().over(Window.partitionBy(fold).orderBy(date))
     dates = dates.withColumn("_late", place > F.ceil(F.count(F.lit(1)).over(Window.partitionBy(fold)) * inner))
     rows = train.join(F.broadcast(dates), [fold, date]).withColumn("is_test", F.col("_late"))
-    scored_ = []
-    for s in strengths:
-        model = ridge(rows, features, y, s, fold)
-        scored_.append(scored(rows, model, features, fold).select(fold, date, entity, "score", y, F.lit(float(s)).alias("strength")))
-    every = reduce(lambda a, b: a.unionByName(b), scored_)
+    path = ridge_path(rows, features, y, strengths, fold)
+    models = path.groupBy(F.col(fold).alias("_f")).agg(F.collect_list(F.struct("strength", "intercept", *features)).alias("_m"))  # as many as strengths
+    late = rows.where("is_test").join(F.broadcast(models), F.col(fold) == F.col("_f"))
+    linear = lambda m: reduce(lambda a, b: a + b, [m["intercept"], *[m[c] * F.col(c) for c in features]])
+    every = late.select(fold, date, entity, y, F.explode(F.transform("_m", lambda m: F.struct(m["strength"].alias("strength"), linear(m).alias("score")))).alias("s")).select(fold, date, entity, y, "s.*")
     ics = rank_ic(every, "score", y, fold, "strength", date=date, entity=entity).groupBy(fold, "strength").agg(F.round(F.avg("ic"), 12).alias("ic"))
     best = F.row_number().over(Window.partitionBy(fold).orderBy(F.desc_nulls_last("ic"), "strength")) == 1
     return ics.withColumn("best", best)

@@ -20,12 +20,16 @@ from tidemark.streaming import ingest
 FEATURES = ["mom", "rev", "rev3"]
 
 
-@register("t1_block_bootstrap")
+DRAWN = "CAST('0x' || substr(md5({}), 1, 8) AS UBIGINT)"
+STREAMED = "x AS (SELECT row_number() OVER (ORDER BY t) - 1 AS i, ic AS x, count(*) OVER () AS n FROM ic WHERE ic IS NOT NULL)"
+
+
+@register("t1_block_bootstrap", f"WITH {STREAMED}, p AS (SELECT i + 1 AS j, sum(x) OVER (ORDER BY i) AS s FROM x UNION ALL SELECT 0, 0), d AS (SELECT b, k, n, CAST({DRAWN.format("'1:' || b || ':' || k")} % greatest(1, n - 5) AS INT) AS a FROM (SELECT DISTINCT n FROM x), (SELECT unnest(range(500)) AS b), (SELECT unnest(range(1000)) AS k) WHERE k * 6 < n), m AS (SELECT b, sum(q.s - p.s) / any_value(n) AS m FROM d JOIN p ON p.j = a JOIN p q ON q.j = a + least(6, n - k * 6) GROUP BY b) SELECT count(*) AS replicates, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m", "low high")
 def t1(spark, sf):
     return I.block_bootstrap(a1(spark, sf), "ic", 6, 500)
 
 
-@register("t2_sign_flip")
+@register("t2_sign_flip", f"WITH {STREAMED}, m AS (SELECT b, round(abs(avg(CASE WHEN substr(md5('1:' || b || ':' || (i // 32)), CAST(i % 32 + 1 AS INT), 1) >= '8' THEN x ELSE -x END)), 12) AS m FROM x, (SELECT unnest(range(500)) AS b) GROUP BY b) SELECT (sum((m >= s)::INT) + 1) / (count(*) + 1) AS p, any_value(s) AS mean FROM m, (SELECT round(abs(avg(x)), 12) AS s FROM x)", "p mean")
 def t2(spark, sf):
     return I.sign_flip(a1(spark, sf), "ic", 500)
 

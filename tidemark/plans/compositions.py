@@ -60,6 +60,33 @@ def a23(spark, sf):
     return grid[0].unionByName(grid[1]).unionByName(grid[2]).groupBy("q").agg(F.avg("spread").alias("spread"), F.count(F.lit(1)).alias("months"))
 
 
+#: Trailing returns of one to four months against legs of four widths.
+LAGGED = "(SELECT e.t, e.entity, fwd, CAST(t.t - p.t AS DOUBLE) AS param, e.close / p.close - 1 AS x FROM el e JOIN px_m p ON p.entity = e.entity AND p.t BETWEEN e.t - 4 AND e.t - 1 JOIN (SELECT DISTINCT t FROM px_m) t ON t.t = e.t)"
+CELLS = f"""r AS (SELECT *, row_number() OVER (PARTITION BY param, t ORDER BY x, entity) AS i, count(*) OVER (PARTITION BY param, t) AS n FROM {LAGGED}),
+c AS (SELECT param, share, avg(s) AS spread, count(*) AS months FROM (SELECT param, share, t, avg(fwd) FILTER (i > n - k) - avg(fwd) FILTER (i <= k) AS s FROM (SELECT *, greatest(1, CAST(floor(n * share + 1e-9) AS INT)) AS k FROM r, (SELECT unnest([0.1, 0.2, 0.3, 0.4]) AS share)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+g AS (SELECT c.param, c.share, any_value(c.spread) AS spread, any_value(c.months) AS months, max(o.spread) AS near_best, avg(o.spread) AS near_mean, count(*) AS near_cells FROM c JOIN c o ON abs(c.param - o.param) <= 1 AND abs(c.share - o.share) <= 0.11 GROUP BY 1, 2)"""
+
+
+def lagged_surface(spark, sf):
+    from tidemark.operators.windows import lag_exact
+
+    back = {f"r{k}": ratio("close", lag_exact("close", k)) - 1 for k in range(1, 5)}
+    df = eligible(spark, sf).select("entity", "t", "fwd").join(prices(spark, sf).select("entity", "t", "close").withColumns(back), ["entity", "t"])
+    return A.surface(df, {k: f"r{k}" for k in range(1, 5)}, "fwd", [0.1, 0.2, 0.3, 0.4])
+
+
+@register("a23_surface_of_two", f"WITH {CELLS} SELECT *, spread >= near_best AS peak FROM g", "param share spread near_best near_mean")
+def a23_two(spark, sf):
+    """The whole surface over lookback and width, with each cell's neighbourhood."""
+    return lagged_surface(spark, sf)
+
+
+@register("a23_plateau", f"WITH {CELLS} SELECT count(*) AS cells, min(spread) AS least, max(spread) AS best, median(spread) AS median, max(spread) - min(spread) AS range, avg((spread >= b - 0.2 * abs(b))::INT) AS plateau_ratio, CAST(sum((spread >= near_best)::INT) AS BIGINT) AS peaks FROM (SELECT *, max(spread) OVER () AS b FROM g)", "least best median range plateau_ratio")
+def a23_plateau(spark, sf):
+    """How much of the surface is near its best cell."""
+    return A.plateau(lagged_surface(spark, sf))
+
+
 @register("a26_export_summaries", "SELECT sector, t // 12 AS year, count(*) AS n, avg(fwd) AS mean, avg((fwd > 0)::INT) AS hit FROM el GROUP BY 1, 2", "mean hit")
 def a26(spark, sf):
     return eligible(spark, sf).groupBy("sector", F.floor(F.col("t") / 12).cast("int").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean"), F.avg((F.col("fwd") > 0).cast("double")).alias("hit"))

@@ -53,6 +53,27 @@ def m7(spark, sf):
     return M.chosen_strength(rows, FEATURES, "fwd", [1.0, 100.0, 10_000.0])
 
 
+ONE = f"(SELECT fold, entity, t, is_test, fwd, (mom - avg(mom) FILTER (NOT is_test) OVER (PARTITION BY fold)) / stddev_pop(mom) FILTER (NOT is_test) OVER (PARTITION BY fold) AS z FROM {ROLES})"
+GRID_OF_STRENGTHS = "(SELECT unnest([1.0, 100.0, 10000.0]) AS strength)"
+
+
+@register("m7_strength_path", f"SELECT fold, strength, count(*) AS rows, avg(fwd) - covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + strength) * avg(z) AS intercept, covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + strength) AS slope FROM {ONE}, {GRID_OF_STRENGTHS} WHERE NOT is_test GROUP BY fold, strength", "strength intercept slope")
+def m7_path(spark, sf):
+    """A fold's models of all strengths from one decomposition."""
+    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    return M.ridge_path(rows, ["mom"], "fwd", [1.0, 100.0, 10_000.0]).withColumnRenamed("mom", "slope")
+
+
+@register("m7_chosen_strength_of_one", f"""WITH r AS (SELECT * FROM {ONE} WHERE NOT is_test), d AS (SELECT fold, t, row_number() OVER (PARTITION BY fold ORDER BY t) > ceil(count(*) OVER (PARTITION BY fold) * 0.75) AS late FROM (SELECT DISTINCT fold, t FROM r)),
+b AS (SELECT fold, sign(covar_pop(fwd, z)) AS s FROM r JOIN d USING (fold, t) WHERE NOT late GROUP BY fold),
+i AS (SELECT fold, t, round(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0), 12) AS ic FROM (SELECT fold, t, rank() OVER (PARTITION BY fold, t ORDER BY z) + (count(*) OVER (PARTITION BY fold, t, z) - 1) / 2.0 AS a, rank() OVER (PARTITION BY fold, t ORDER BY fwd) + (count(*) OVER (PARTITION BY fold, t, fwd) - 1) / 2.0 AS b FROM r JOIN d USING (fold, t) WHERE late) GROUP BY fold, t)
+SELECT fold, strength, round(avg(ic) * any_value(s), 9) AS ic, strength = 1 AS best FROM i JOIN b USING (fold), {GRID_OF_STRENGTHS} GROUP BY fold, strength""", "strength ic")
+def m7_one(spark, sf):
+    """With one feature a strength doesn't change ranks: all have the slope's sign times the feature's IC, and the least is chosen."""
+    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    return M.chosen_strength(rows, ["mom"], "fwd", [1.0, 100.0, 10_000.0])
+
+
 @register("m11_routed_scores", f"SELECT r.fold, r.entity, r.t, CASE WHEN o.n IS NOT NULL THEN o.y + o.b * (mom - o.x) ELSE w.y + w.b * (mom - w.x) END AS score, CASE WHEN o.n IS NOT NULL THEN 'own' ELSE 'whole' END AS model FROM (SELECT * FROM {ROLES} JOIN {STATE} USING (t)) r LEFT JOIN (SELECT fold, trend, count(*) AS n, avg(fwd) AS y, avg(mom) AS x, covar_pop(fwd, mom) * count(*) / (var_pop(mom) * count(*) + 10) AS b FROM {ROLES} JOIN {STATE} USING (t) WHERE NOT is_test GROUP BY 1, 2 HAVING count(*) >= 200) o ON o.fold = r.fold AND o.trend = r.trend LEFT JOIN (SELECT fold, avg(fwd) AS y, avg(mom) AS x, covar_pop(fwd, mom) * count(*) / (var_pop(mom) * count(*) + 10) AS b FROM {ROLES} WHERE NOT is_test GROUP BY 1) w ON w.fold = r.fold WHERE is_test", "score")
 def m11(spark, sf):
     rows = M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)).join(F.broadcast(e1(spark, sf)), "t")
