@@ -107,7 +107,7 @@ def walk_forward(df: DataFrame, score: str, y: str, least: int = 200, fold: str
     prior = folds.join(sums, F.col(fold) < F.col("_for"), "left").groupBy("_for").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), F.sum("s").alias("_s1"))
     fits = logistic_fits(df, score, y, least, fold).withColumnRenamed(fold, "_fit")
     within = Window.partitionBy(fold)
-    rank = F.row_number().over(within.orderBy(score, entity)) / (F.count(score).over(within) + 1)
+    rank = F.row_number().over(within.orderBy(F.col(score).asc_nulls_last(), entity)) / (F.count(score).over(within) + 1)
     first = df.agg(F.min(fold).alias("_first"))
     early = df.join(F.broadcast(first), F.col(fold) == F.col("_first"), "left_semi").withColumn("_rank", F.when(F.col(score).isNotNull(), rank))
     late = df.join(F.broadcast(first), F.col(fold) == F.col("_first"), "left_anti").withColumn("_rank", F.lit(None).cast("double"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,14 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
 
-def store(df: DataFrame, path: str, parts: dict[str, Column]) -> None:
-    """Writes a new table, a folder a value of ``parts`` (name: expression of the row)."""
-    df.withColumns(parts).repartition(*parts).write.partitionBy(*parts).parquet(path)
+def placed(df: DataFrame, parts: dict[str, str]) -> DataFrame:
+    """``df`` with its partition columns (name: SQL expression of the row)."""
+    return df.withColumns({name: F.expr(e) for name, e in parts.items()})
+
+
+def store(df: DataFrame, path: str, parts: dict[str, str]) -> None:
+    """Writes a new table, a folder a value of ``parts`` (name: SQL expression of the row)."""
+    placed(df, parts).repartition(*parts).write.partitionBy(*parts).parquet(path)
 
 
 def _replace(spark: SparkSession, path: str, journal: str, parts: list[str]) -> None:
@@ -53,19 +58,19 @@ def recover(spark: SparkSession, path: str, parts: list[str]) -> bool:
     return False
 
 
-def upsert_range(spark: SparkSession, path: str, block: DataFrame, entity: str, t: str, parts: dict[str, Column]) -> DataFrame:
+def upsert_range(spark: SparkSession, path: str, block: DataFrame, entity: str, t: str, parts: dict[str, str]) -> DataFrame:
     """Each entity's stored rows in the block's span are replaced by the block; returns the partitions that were touched.
 
     Only partitions that hold such rows, or get some, are read and written, by
     dynamic overwrite; the files of all others stay. What they will hold is
     written to a journal beside the table first, so a run that is broken off is
     finished by the next, and running again changes nothing. ``parts`` are
-    expressions of the row; of a block's rows with one key one counts.
+    SQL expressions of the row; of a block's rows with one key one counts.
     """
     names, journal = list(parts), f"{path.rstrip('/')}-journal"
     recover(spark, path, names)
     table = spark.read.parquet(path)
-    block.dropDuplicates([entity, t]).withColumns(parts).write.parquet(f"{journal}/block")
+    placed(block.dropDuplicates([entity, t]), parts).write.parquet(f"{journal}/block")
     block = spark.read.parquet(f"{journal}/block").select(*table.columns)
     spans = block.groupBy(entity).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
     inside = F.col("_a").isNotNull() & F.col(t).between(F.col("_a"), F.col("_b"))
@@ -81,11 +86,11 @@ def upsert_range(spark: SparkSession, path: str, block: DataFrame, entity: str,
     return out
 
 
-def insert_absent(spark: SparkSession, path: str, block: DataFrame, keys: list[str], parts: dict[str, Column]) -> None:
-    """Appends the block's rows of new keys; no stored file changes, and running again appends nothing. ``parts`` are expressions of the keys, so only the block's partitions are looked into."""
+def insert_absent(spark: SparkSession, path: str, block: DataFrame, keys: list[str], parts: dict[str, str]) -> None:
+    """Appends the block's rows of new keys; no stored file changes, and running again appends nothing. ``parts`` are SQL expressions of the keys, so only the block's partitions are looked into."""
     names = list(parts)
     table = spark.read.parquet(path)
-    block = block.dropDuplicates(keys).withColumns(parts)
+    block = placed(block.dropDuplicates(keys), parts)
     where = block.select(*names).distinct()
     known = table.select(*{*names, *keys}).join(F.broadcast(where), names, "left_semi").select(*keys)
     block.join(known, keys, "left_anti").select(*table.columns).repartition(*names).write.mode("append").partitionBy(*names).parquet(path)

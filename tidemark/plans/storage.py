@@ -10,7 +10,7 @@ from tidemark.plans.base import prices, register, scratch
 from tidemark.sources import panels
 from tidemark.streaming import ingest
 
-YEAR = {"year": F.floor(F.col("t") / 12).cast("int")}
+YEAR = {"year": "cast(floor(t / 12) as int)"}
 
 
 def upserted(spark, sf):
