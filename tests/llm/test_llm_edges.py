@@ -134,7 +134,7 @@ def test_seats_follow_their_conditional():
     want = weights / weights.sum()
     assert np.abs(np.bincount(drawn.astype(int), minlength=4)[1:] / n - want).max() < 0.01
     large = pitman_yor.seat(np.full(10, 5000), np.full(10, 2.0), np.arange(10, dtype=np.uint64), 1)
-    assert ((large >= 5000 / 64) & (large <= 5000)).all()
+    assert (large >= 1).all() and 2 <= large.mean() <= 8  # exact weights are compared below
 
 
 @pytest.mark.parametrize("new", [0.01, 1.0, 10.0, 100.0, 1000.0])
@@ -309,3 +309,24 @@ def test_joins_of_counted_groups_equal_a_plain_join(spark):
     groups = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("m")).where("m < 2900 or c > 1")
     got = {(r.i, r.m) for r in join_counted(rows, groups, "k", "c", 3000).collect()}
     assert got == {(r.i, r.m) for r in rows.join(groups, "k", "left").collect()} and len(got) == 3000
+
+
+@pytest.mark.parametrize("page", ["<a ", "<!--", '<p a="', "</a ", "<![CDATA[", "<![foo[", "<![if ", "<?x ", "<!x ", "<div>", "<b x='>", "&#x"])
+def test_unclosed_markup_takes_linear_time(page):
+    import time
+
+    from tidemark.llm import html_extract
+
+    began = time.time()
+    for end in ("", ">", "<p>some words of the page that go on for a while</p>"):
+        html_extract.main_text(page * (1_000_000 // len(page)) + end)
+    assert time.time() - began < 60
+
+
+def test_odd_declarations_are_comments():
+    from tidemark.llm import html_extract
+
+    text = "some words of the page that go on for a while, and on, and on"
+    for odd in ("<![foo[bar]]>", "<![CDATA[x]]>", "<![if x]>", "<![endif]-->", "<![>", "<!>", "<![", "<!x y>", "<!--", "<!-->", "<!doctype", "<![CDATA[ never ends >"):
+        assert text in html_extract.main_text(f"<html><body>{odd}<article><p>{text}</p></article></body></html>"), odd
+    assert html_extract.main_text(f"<p>{text} &amp; <a href='x") .startswith(text)

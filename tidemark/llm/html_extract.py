@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -51,6 +52,7 @@ class Lines(HTMLParser):
         self.gatherings = [0]
         self.numbers = self.skipped = self.marked = self.links = self.tags = self.linked = 0
         self.text: list[str] = []
+        self.endless: set[str] = set()  # kinds of markup whose ends don't come any more
 
     def flush(self) -> None:
         words = "".join(self.text).split()
@@ -88,6 +90,27 @@ class Lines(HTMLParser):
         super().close()
         self.flush()
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """As it was, but once no end of a comment is left it isn't looked for again."""
+        at = -1 if "comment" in self.endless else super().parse_comment(i, report)
+        if at < 0:
+            self.endless.add("comment")
+        return at
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        """A marked section of a kind that there isn't, or without an end, is a comment up to the next ``>``."""
+        kind = self.rawdata[i + 3 : i + 5].lower()
+        at = -1
+        if kind not in self.endless:
+            try:
+                at = super().parse_marked_section(i, report)
+            except AssertionError:
+                pass
+        if at < 0:
+            self.endless.add(kind)
+            at = self.parse_bogus_comment(i)
+        return at
+
     def close_to(self, at: int) -> None:
         for tag, number, skip, mark in self.open[at:]:
             self.skipped -= skip
@@ -176,8 +199,11 @@ def select(lines: list[Line]) -> list[str]:
 
 
 def main_text(html: str) -> str:
-    parser = Lines()
-    parser.feed(html)
+    parser, end = Lines(), html.rfind(">") + 1
+    parser.feed(html[:end])
+    parser.goahead(True)
+    # No markup ends after the last ``>``, so what follows is text.
+    parser.handle_data(unescape(html[end:]))
     parser.close()
     return "\n".join(select(parser.lines))
 
