@@ -50,7 +50,8 @@ def test_all_phrases(spark, monkeypatch, block, dense):
     monkeypatch.setattr(P, "BLOCK", block)
     monkeypatch.setattr(P, "DENSE", dense)
     monkeypatch.setattr(P, "TILE_BITS", 1 if dense == 1 else 10)
-    monkeypatch.setattr(P, "BYTES", 16 if dense == 1 else 1 << 22)
+    monkeypatch.setattr(P, "BYTES", 16 if dense == 1 else 1 << 20)
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 0 if dense == 1 else 1_000_000)
     df = spark.createDataFrame([(i, t, lang, "x", 1) for i, (t, lang) in enumerate(docs)], SCHEMA).repartition(3)
     want = plain(docs, 4)
     assert rows(P.collocations(df, least=4)) == want and len(want) > 300

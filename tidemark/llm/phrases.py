@@ -28,11 +28,12 @@ LEAST, LONGEST, SHARE, FIRST = 100, 5, 100, 2000
 #: Words of a block; a piece is never cut, so one with more makes a larger block.
 BLOCK = 1 << 20
 #: Bytes of a text that are split at a time (up to the next end of a piece).
-BYTES = 1 << 22
+BYTES = 1 << 20
 #: Ids by side of a tile (in bits), tiles by side that may be counted by direct addresses, and pairs that one needs for that.
 TILE_BITS, TILES, DENSE = 10, 16, 1 << 15
 #: Ends of pieces.
 STOPS = b".,;:!?\n\x0b\x0c\r"
+PAIRS = "block bigint, a bigint, b bigint, c bigint"
 #: Stands for the end of a piece; no byte of UTF-8.
 MARK = b"\xff"
 #: Lower-cases A-Z and puts the mark in the place of stops.
@@ -113,26 +114,77 @@ def recoded(block: pa.Table, names: pa.Table) -> pa.Table:
     return pa.table({"block": block.column("block"), "ids": pa.array([ids.tobytes()], pa.binary())}) if len(ids) else out.empty_table()
 
 
+def recoded_here(known: pa.Array) -> Callable:
+    """The same where the words are few enough for each task to have them all; ``known`` has language and word in the order of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data, langs, words in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                asked = pa.compute.binary_join_element_wise(langs.values, words.values, " ")
+                to = np.append(pa.compute.fill_null(pa.compute.index_in(asked, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64), -1)
+                if len(ids := compact(to[np.frombuffer(data.as_buffer(), np.int32)])):
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids.tobytes()], pa.binary())], ["block", "ids"])
+
+    return run
+
+
+def first_texts(held: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
+    """Texts as rows of the ids of frequent ``words``. At most ``BROADCAST_ROWS`` words go to all tasks; of more, each block gets those that it has."""
+    if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = words.orderBy("id").select(F.concat_ws(" ", "lang", "phrase").alias("w")).toArrow().column(0).combine_chunks()
+        return held.select("block", "ids", "langs", "words").mapInArrow(recoded_here(known), "block bigint, ids binary")
+    names = own.join(words.select(F.col("lang").alias("langs"), F.col("phrase").alias("words"), "id"), ["langs", "words"]).select(F.col("block").alias("of"), "own", "id")
+    return held.select("block", "ids").groupBy("block").cogroup(names.groupBy("of")).applyInArrow(recoded, "block bigint, ids binary")
+
+
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
 
 
+def named(ids: np.ndarray, key: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Row of ids with the names of pairs in the place of their first members; ``key`` is sorted."""
+    both = np.append((ids[:-1] >= 0) & (ids[1:] >= 0), False)
+    asked = joined(np.where(both, ids, 0), np.where(both, np.append(ids[1:], 0), 0))
+    at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+    return compact(np.where(both & (key[at] == asked), name[at], -1))
+
+
+def sorted_names(names: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key, name = joined(names.column("a").to_numpy(), names.column("b").to_numpy()), names.column("id").to_numpy()
+    order = np.argsort(key)
+    return key[order], name[order]
+
+
 def paired(block: pa.Table, names: pa.Table) -> pa.Table:
-    """A block with the ids of pairs in the place of their first members."""
+    """A block with the ids of pairs in the place of their first members; ``names`` are those that it has."""
     out = pa.schema([("block", pa.int64()), ("ids", pa.binary())])
     if not len(block) or not len(names):
         return out.empty_table()
-    ids = np.frombuffer(block.column("ids")[0].as_py(), np.int64)
-    key, name = joined(names.column("a").to_numpy(), names.column("b").to_numpy()), names.column("id").to_numpy()
-    order = np.argsort(key)
-    key, name = key[order], name[order]
-    both = np.append((ids[:-1] >= 0) & (ids[1:] >= 0), False)
-    asked = joined(np.where(both, ids, 0), np.where(both, np.append(ids[1:], 0), 0))
-    at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
-    ids = compact(np.where(both & (key[at] == asked), name[at], -1))
+    ids = named(np.frombuffer(block.column("ids")[0].as_py(), np.int64), *sorted_names(names))
     return pa.table({"block": block.column("block"), "ids": pa.array([ids.tobytes()], pa.binary())}) if len(ids) else out.empty_table()
 
 
+def paired_here(key: np.ndarray, name: np.ndarray) -> Callable:
+    """The same where the names are few enough for each task to have them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if len(ids := named(np.frombuffer(data.as_buffer(), np.int64), key, name) if len(key) else key):
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids.tobytes()], pa.binary())], ["block", "ids"])
+
+    return run
+
+
+def next_texts(texts: DataFrame, level: DataFrame) -> DataFrame:
+    """Texts as rows of the ids of ``level``'s pairs. At most ``BROADCAST_ROWS`` pairs go to all tasks; of more, each block gets those that it has."""
+    if level.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return texts.mapInArrow(paired_here(*sorted_names(level.select("a", "b", "id").toArrow())), "block bigint, ids binary")
+    own = texts.mapInArrow(counted, PAIRS)
+    names = own.join(level.select("a", "b", "id"), ["a", "b"]).select(F.col("block").alias("of"), "a", "b", "id")
+    return texts.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(paired, "block bigint, ids binary")
+
+
 def count_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs and how often each comes."""
     found = []
@@ -198,19 +250,15 @@ def phrase_levels(docs: DataFrame, text_col: str, lang_col: str, least: int, lon
     none = F.array().cast("array<bigint>")
     words = own.groupBy(F.col("langs").alias("lang"), F.col("words").alias("phrase")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
     words = materialize(numbered(words.select("f", "lang", "phrase", F.col("phrase").alias("last"), none.alias("pre"), none.alias("suf")), F.desc("f"), F.asc("lang"), F.asc("phrase")), "words")
-    names = own.join(broadcast_within(words.select(F.col("lang").alias("langs"), F.col("phrase").alias("words"), "id"), BROADCAST_ROWS), ["langs", "words"]).select(F.col("block").alias("of"), "own", "id")
-    texts = materialize(held.select("block", "ids").groupBy("block").cogroup(names.groupBy("of")).applyInArrow(recoded, "block bigint, ids binary"), "texts")
+    texts = materialize(first_texts(held, own, words), "texts")
     discard(held)
     levels = [words]
     while len(levels) < longest:
-        pairs = materialize(texts.mapInArrow(counted, "block bigint, a bigint, b bigint, c bigint"), "pairs")
-        level = longer(pairs, levels[-1], least)
-        levels.append(level)
-        old = [pairs, texts]
+        levels.append(longer(texts.mapInArrow(counted, PAIRS), levels[-1], least))
+        old = texts
         if len(levels) < longest:
-            names = pairs.join(broadcast_within(level.select("a", "b", "id"), BROADCAST_ROWS), ["a", "b"]).select(F.col("block").alias("of"), "a", "b", "id")
-            texts = materialize(texts.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(paired, "block bigint, ids binary"), "texts")
-        discard(*old)
+            texts = materialize(next_texts(texts, levels[-1]), "texts")
+        discard(old)
     return totals, levels
 
 
