@@ -135,9 +135,9 @@ def placebo_roll(df: DataFrame, x: str, shift: int, date: str = "t", entity: str
 
 
 def placebo_shuffle(df: DataFrame, x: str, seed: int, date: str = "t", entity: str = "entity") -> DataFrame:
-    """Adds ``placebo``: x dealt out anew within the date by a seeded hash."""
+    """Adds ``placebo``: x dealt out anew within the date, in the order of digests of seed, entity and date."""
     placed = df.withColumn("_i", F.row_number().over(Window.partitionBy(date).orderBy(entity)))
-    other = df.select(F.col(date).alias("_d"), F.col(x).alias("placebo"), F.row_number().over(Window.partitionBy(date).orderBy(F.xxhash64(F.lit(seed), entity, date), entity)).alias("_j"))
+    other = df.select(F.col(date).alias("_d"), F.col(x).alias("placebo"), F.row_number().over(Window.partitionBy(date).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(entity).cast("string"), F.col(date).cast("string")).cast("binary")), entity)).alias("_j"))
     return placed.join(other, (F.col(date) == F.col("_d")) & (F.col("_i") == F.col("_j"))).drop("_i", "_d", "_j")
 
 

@@ -62,3 +62,18 @@ def single_quarters(filed: DataFrame, entity: str = "entity", year: str = "year"
     ways = [("clean", F.col("_clean")), ("first", F.when(F.col(quarter) == 1, F.col("_total"))), ("difference", F.when(F.col(quarter) < 4, F.col("_total") - F.col("_before"))), ("annual_less", F.when(F.col(quarter) == 4, F.col("_total") - F.col("_before")))]
     source = F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for k, v in ways])
     return rows.select(entity, year, quarter, F.coalesce(*[v for _, v in ways]).alias("single"), source.alias("source")).where("single is not null")
+
+
+def implied_shares(income: DataFrame, per_share: DataFrame, keys: list[str], value: str, available: str, least: float = 0.01) -> DataFrame:
+    """``keys, income, per_share, shares, available``: shares as income over income a share of one period, known when both were; none where that is near 0 or the signs differ."""
+    a = income.select(*keys, F.col(value).alias("income"), F.col(available).alias("_a"))
+    b = per_share.select(*keys, F.col(value).alias("per_share"), F.col(available).alias("_b"))
+    both = a.join(b, keys).withColumn("shares", ratio("income", "per_share"))
+    return both.where((F.abs("per_share") > least) & (F.col("shares") > 0)).select(*keys, "income", "per_share", "shares", F.greatest("_a", "_b").alias(available))
+
+
+def share_yields(rows: DataFrame, price: str) -> DataFrame:
+    """``rows`` (``income, per_share, shares``) with ``market_value, earnings_yield, value_yield``; null without a price above 0."""
+    px = F.when(F.col(price) > 0, F.col(price))
+    rows = rows.withColumn("market_value", F.col("shares") * px)
+    return rows.withColumns({"earnings_yield": ratio("per_share", px), "value_yield": ratio("income", "market_value")})

@@ -332,3 +332,18 @@ def revision_proxy(events: DataFrame, surprise: str, entity: str = "entity", ord
     before = F.lag(surprise).over(Window.partitionBy(entity).orderBy(*order))
     rows = events.withColumn("acceleration", F.col(surprise) - before).where("acceleration is not null")
     return rows.withColumn("direction", F.when(F.col("acceleration") > 0, "up").when(F.col("acceleration") < 0, "down").otherwise("flat"))
+
+
+def truncation_probe(panel: DataFrame, feature, probes: DataFrame, entity: str = "entity", t: str = "t") -> DataFrame:
+    """``probe, rows, differences``: rows of each probe's date whose feature changes when all rows after the date are cut off.
+
+    ``feature(df, by)`` returns ``df`` with a column ``x`` made within ``by``. A
+    feature that reads no later row has no differences. There is a copy of the
+    panel up to each probe, so probes should be few.
+    """
+    times = F.broadcast(probes.select(F.col("probe")).distinct())
+    full = feature(panel, entity).join(times, F.col(t) == F.col("probe")).select(entity, "probe", F.col("x").alias("_all"))
+    cut = panel.join(times, F.col(t) <= F.col("probe")).withColumn("_id", F.struct(entity, "probe"))
+    cut = feature(cut, "_id").where(F.col(t) == F.col("probe")).select(entity, "probe", F.col("x").alias("_cut"))
+    both = full.join(cut, [entity, "probe"], "full")
+    return both.groupBy("probe").agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("_all").eqNullSafe(F.col("_cut"))).cast("long")).alias("differences"))

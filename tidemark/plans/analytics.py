@@ -50,7 +50,11 @@ def t5(spark, sf):
     return a1(spark, sf).select("t", (F.col("ic") >= bars["max_normal"] / F.sqrt(F.col("names") - 1)).alias("beats_max_normal"), (2 * F.exp(-F.abs("ic") * 9) <= bars["bonferroni"]).alias("bonferroni"))
 
 
-@register("t6_deflated_sharpe")
+#: The normal distribution function in SQL, by the formula of ``normal_cdf``.
+TAIL = "(0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * k * exp(-z * z / 2) / 2"
+
+
+@register("t6_deflated_sharpe", f"SELECT n, s AS sharpe, CASE WHEN z >= 0 THEN 1 - {TAIL} ELSE {TAIL} END AS odds FROM (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS k FROM (SELECT n, s, (s - {I.expected_max_sharpe(10, 0.01)!r}) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * s + (kurt - 1) / 4 * s * s)) AS z FROM (SELECT count(*) AS n, any_value(mu) / nullif(any_value(sd), 0) AS s, avg(pow(gross - mu, 3)) / pow(any_value(v), 1.5) AS skew, avg(pow(gross - mu, 4)) / pow(any_value(v), 2) AS kurt FROM (SELECT gross, avg(gross) OVER () AS mu, stddev_samp(gross) OVER () AS sd, var_pop(gross) OVER () AS v FROM stream WHERE gross IS NOT NULL))))", "sharpe odds")
 def t6(spark, sf):
     return I.deflated_sharpe(b1(spark, sf), "gross", 10, 0.01)
 

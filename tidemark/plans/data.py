@@ -159,6 +159,16 @@ def p16(spark, sf):
     return both.groupBy(F.col("probe").alias("t")).agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("all").eqNullSafe(F.col("mom"))).cast("long")).alias("differences"))
 
 
+@register("p16_violation_found", "SELECT kind, t, count(*) AS rows, CAST(sum((kind = 'next' AND t < last)::INT) AS BIGINT) AS differences FROM (SELECT entity, t, max(t) OVER (PARTITION BY entity) AS last, unnest(['next', 'before']) AS kind FROM px_m) WHERE t % 12 = 0 GROUP BY kind, t", "")
+def p16_found(spark, sf):
+    """The probe of a feature that reads the next row, and of one that reads the row before: the first differs wherever there is a next row."""
+    px = prices(spark, sf).select("entity", "t", "close")
+    probes = px.where("t % 12 = 0").select(F.col("t").alias("probe"))
+    feature = lambda f: lambda df, by: df.withColumn("x", f("close").over(Window.partitionBy(by).orderBy("t")))
+    found = [T.truncation_probe(px, feature(f), probes).select(F.lit(kind).alias("kind"), F.col("probe").alias("t"), "rows", "differences") for kind, f in (("next", F.lead), ("before", F.lag))]
+    return found[0].unionByName(found[1])
+
+
 @register("p17_symbols", "SELECT p_partkey, regexp_replace(upper(trim(s)), '-\\d{6}$', '') AS base, nullif(regexp_extract(s, '-(\\d{6})$', 1), '') AS delisted FROM (SELECT p_partkey, p_brand || CASE WHEN p_size % 2 = 0 THEN '-200' || CAST(100 + p_size AS VARCHAR) ELSE '' END AS s FROM part)", "")
 def p17(spark, sf):
     s = F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("-200"), (F.col("p_size") + 100).cast("string"))).otherwise(""))

@@ -259,7 +259,7 @@ def c15(spark, sf):
     return C.placebo_roll(eligible(spark, sf), "mom", 3).select("entity", "t", "placebo")
 
 
-@register("c15_placebo_shuffle_ic")
+@register("c15_placebo_shuffle_ic", "SELECT t, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) AS ic FROM (SELECT t, rank() OVER (PARTITION BY t ORDER BY x) + (count(*) OVER (PARTITION BY t, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY t ORDER BY fwd) + (count(*) OVER (PARTITION BY t, fwd) - 1) / 2.0 AS b FROM (SELECT p.t, p.fwd, o.mom AS x FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY entity) AS i FROM el) p JOIN (SELECT t, mom, row_number() OVER (PARTITION BY t ORDER BY md5('7:' || entity || ':' || t), entity) AS i FROM el) o ON o.t = p.t AND o.i = p.i)) GROUP BY t", "ic")
 def c15_shuffle(spark, sf):
     df = C.placebo_shuffle(eligible(spark, sf), "mom", 7)
     ranked = df.select("t", average_rank("placebo", "t").alias("x"), average_rank("fwd", "t").alias("y"))

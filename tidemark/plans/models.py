@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -74,28 +76,59 @@ def m7_one(spark, sf):
     return M.chosen_strength(rows, ["mom"], "fwd", [1.0, 100.0, 10_000.0])
 
 
+@register("m12_scores_of_one", f"SELECT fold, entity, t, y + b * (z - x) AS score FROM {ONE} JOIN (SELECT fold, avg(fwd) AS y, avg(z) AS x, covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + 10) AS b FROM {ONE} WHERE NOT is_test GROUP BY fold) USING (fold) WHERE is_test", "score")
+def m12_one(spark, sf):
+    """Every fold's test rows by the ridge of its training rows."""
+    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    return M.scored(rows, M.ridge(rows, ["mom"], "fwd", 10.0), ["mom"]).select("fold", "entity", "t", "score")
+
+
+@register("m14_stability_of_one", f"SELECT 'mom' AS feature, avg(b) AS mean, stddev_pop(b) AS std, avg((sign(b) = sign(m))::INT) AS same_sign FROM (SELECT *, avg(b) OVER () AS m FROM (SELECT fold, covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + 10) AS b FROM {ONE} WHERE NOT is_test GROUP BY fold))", "mean std same_sign")
+def m14_one(spark, sf):
+    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    return M.weight_stability(M.ridge(rows, ["mom"], "fwd", 10.0), ["mom"])
+
+
 @register("m11_routed_scores", f"SELECT r.fold, r.entity, r.t, CASE WHEN o.n IS NOT NULL THEN o.y + o.b * (mom - o.x) ELSE w.y + w.b * (mom - w.x) END AS score, CASE WHEN o.n IS NOT NULL THEN 'own' ELSE 'whole' END AS model FROM (SELECT * FROM {ROLES} JOIN {STATE} USING (t)) r LEFT JOIN (SELECT fold, trend, count(*) AS n, avg(fwd) AS y, avg(mom) AS x, covar_pop(fwd, mom) * count(*) / (var_pop(mom) * count(*) + 10) AS b FROM {ROLES} JOIN {STATE} USING (t) WHERE NOT is_test GROUP BY 1, 2 HAVING count(*) >= 200) o ON o.fold = r.fold AND o.trend = r.trend LEFT JOIN (SELECT fold, avg(fwd) AS y, avg(mom) AS x, covar_pop(fwd, mom) * count(*) / (var_pop(mom) * count(*) + 10) AS b FROM {ROLES} WHERE NOT is_test GROUP BY 1) w ON w.fold = r.fold WHERE is_test", "score")
 def m11(spark, sf):
     rows = M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)).join(F.broadcast(e1(spark, sf)), "t")
     return M.routed(rows, "mom", "fwd", "trend", 200).select("fold", "entity", "t", "score", "model")
 
 
+def scored_by_fold(spark, sf, df, columns, **kw):
+    """Test rows of every fold, scored by the trees of its own training rows; a fold is one fit of Spark ML."""
+    rows = M.assigned(df.select("entity", "t", "fwd", *columns), folds(spark, sf))
+    ids = sorted(r.fold for r in folds(spark, sf).select("fold").collect())  # folds, not rows
+    parts = [M.boosted(rows.where(F.col("fold") == f), columns, "fwd", **kw).select("fold", "entity", "t", "score") for f in ids]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+def judged_by_fold(scores, sf, spark):
+    """By fold: rows scored, dates, and whether all scores lie within the training outcomes."""
+    bounds = M.assigned(eligible(spark, sf).select("entity", "t", "fwd"), folds(spark, sf)).where("not is_test").groupBy("fold").agg(F.min("fwd").alias("a"), F.max("fwd").alias("b"))
+    out = scores.join(F.broadcast(bounds), "fold").groupBy("fold")
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("t").alias("dates"), F.min(F.col("score").between(F.col("a") - 1e-9, F.col("b") + 1e-9)).alias("within"))
+
+
 @register("m10_boosted_stumps")
 def m10(spark, sf):
-    last = folds(spark, sf).where("fold = 3")
-    rows = M.assigned(eligible(spark, sf).select("entity", "t", "fwd", *FEATURES), last)
-    return M.boosted(rows, FEATURES, "fwd").select("entity", "t", "score")
+    """Stumps of every fold on three features."""
+    return scored_by_fold(spark, sf, eligible(spark, sf), FEATURES)
+
+
+@register("m10_boosted_folds", f"SELECT fold, count(*) AS rows, count(DISTINCT t) AS dates, true AS within FROM {ROLES} WHERE is_test AND rev3 IS NOT NULL AND rev IS NOT NULL GROUP BY fold", "")
+def m10_folds(spark, sf):
+    """Every fold's test rows have a score, and none beyond what its training rows have seen."""
+    return judged_by_fold(m10(spark, sf), sf, spark)
 
 
 @register("v3_boosted_lags")
 def v3(spark, sf):
-    """Pooled trees on lagged returns, volatility and distance to the mean, in place of a model a name."""
-    last = folds(spark, sf).where("fold = 3")
+    """Pooled trees on lagged returns, volatility and distance to the mean, in place of a model a name; every fold."""
     lags = {f"lag{k}": W.row_lag("ret", k) for k in range(1, 4)}
     df = signals(spark, sf).where("ret is not null").withColumns(lags).withColumns({"vol": W.rolling(F.stddev_samp, "ret", 6, 3), "gap": ratio("close", W.rolling(F.avg, "close", 6, 3)) - 1})
     keep = eligible(spark, sf).select("entity", "t")
-    rows = M.assigned(df.join(keep, ["entity", "t"]).select("entity", "t", "fwd", *lags, "vol", "gap"), last)
-    return M.boosted(rows, [*lags, "vol", "gap"], "fwd", rounds=20, depth=3).select("entity", "t", "score")
+    return scored_by_fold(spark, sf, df.join(keep, ["entity", "t"]), [*lags, "vol", "gap"], rounds=20, depth=3)
 
 
 @register("q2_calibrated", "SELECT t // 12 AS fold, count(*) AS n FROM el GROUP BY 1", "")
