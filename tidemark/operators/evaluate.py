@@ -248,3 +248,23 @@ def plateau(cells: DataFrame, x: str = "spread", band: float = 0.2) -> DataFrame
     best = F.max(x).over(Window.partitionBy())
     held = cells.withColumn("_ok", F.col(x) >= best - band * F.abs(best))
     return held.agg(F.count(x).alias("cells"), F.min(x).alias("least"), F.max(x).alias("best"), F.percentile(x, F.lit(0.5)).alias("median"), (F.max(x) - F.min(x)).alias("range"), F.avg(F.col("_ok").cast("double")).alias("plateau_ratio"), F.sum(F.col("peak").cast("int")).alias("peaks"))
+
+
+def slice_report(df: DataFrame, slices: dict[str, Column], x: str, y: str, q: float = 0.2, date: str = "t", entity: str = "entity") -> DataFrame:
+    """``kind, slice, rows, dates, mean_ic, t_stat, hit, spread`` of a signal within slices (kind: name of a row's slice), all in one pass.
+
+    Names are ranked within their slice and date. Each row is read once a kind;
+    kinds are few. A row whose slice is null isn't in any of that kind.
+    """
+    parts = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("slice")) for k, c in slices.items()])
+    long = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(date, entity, F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(parts).alias("s")).select(date, entity, "_x", "_y", "s.*").where("slice is not null")
+    keys = ("kind", "slice", date)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    ranked = long.select(*keys, "_y", average_rank("_x", *keys).alias("_a"), average_rank("_y", *keys).alias("_b"), ordinal_rank("_x", entity, *keys).alias("_i"), n.alias("_n"))
+    k = F.greatest(F.lit(1), F.floor(F.col("_n") * q + 1e-9))
+    dates = ranked.groupBy(*keys).agg(
+        F.first("_n").alias("n"), F.round(safe_corr("_a", "_b"), 12).alias("ic"),
+        (F.avg(F.when(F.col("_i") > F.col("_n") - k, F.col("_y"))) - F.avg(F.when(F.col("_i") <= k, F.col("_y")))).alias("spread"),
+    )
+    t_stat = ratio(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0))) * F.sqrt(F.count("ic"))
+    return dates.groupBy("kind", "slice").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("dates"), F.avg("ic").alias("mean_ic"), t_stat.alias("t_stat"), F.avg((F.col("ic") > 0).cast("double")).alias("hit"), F.avg("spread").alias("spread"))

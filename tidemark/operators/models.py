@@ -300,3 +300,21 @@ def direction_label(expected: Column, agreement: Column, confidence: Column, lea
     label = F.when(open_ & (expected >= strong), "Strong Buy").when(open_ & (expected >= weak), "Buy").when(open_ & (expected <= -strong), "Strong Sell").when(open_ & (expected <= -weak), "Sell").otherwise("Hold")
     reason = F.when(label != "Hold", "actionable").when(agreement.isNull() | confidence.isNull(), "insufficient_eligible_models").when(agreement < least_agreement, "low_agreement").when(confidence < least_confidence, "low_confidence").when(F.abs(expected) < weak, "below_direction_band").otherwise("hold_other")
     return label, reason
+
+
+def direction_calls(df: DataFrame, parts: dict[str, tuple[str, float, float]], trend: str, vol: str, fall: str, up: float = 0.15, floor: float = 0.05, cap: float = 0.6, high_vol: float = 0.5, deep: float = -0.3) -> DataFrame:
+    """``df`` with ``signal, coverage, class, confidence, regime`` of parts (name: column, scale, weight; weights sum to one).
+
+    The signal is the weighted mean of tanh(x / scale) over the parts that are
+    there, ``coverage`` their weight. Confidence grows with the signal, shrinks
+    with what is missing, and stays between its floor and cap. The regime is
+    told by the name's own trend, volatility and fall from its peak.
+    """
+    there = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, _, w in parts.values()])
+    top = reduce(lambda a, b: a + b, [F.coalesce(w * F.tanh(F.col(c) / s), F.lit(0.0)) for c, s, w in parts.values()])
+    df = df.withColumn("coverage", there).withColumn("signal", F.round(ratio(top, F.nullif(F.col("coverage"), F.lit(0.0))), 12))
+    kind = F.when(F.col("signal").isNull(), "INSUFFICIENT_DATA").when(F.col("signal") >= up, "UP").when(F.col("signal") <= -up, "DOWN").otherwise("NEUTRAL")
+    raw = (0.15 + 0.45 * F.abs("signal")) * (0.5 + 0.5 * F.col("coverage"))
+    rough = F.coalesce(F.col(vol) > high_vol, F.lit(False)) | F.coalesce(F.col(fall) < deep, F.lit(False))
+    regime = F.when(F.col(trend).isNull() & F.col(vol).isNull(), "unknown").when((F.col(trend) > 0) & ~rough, "risk_on").when((F.col(trend) <= 0) & rough, "risk_off").otherwise("neutral")
+    return df.withColumns({"class": kind, "confidence": F.when(F.col("signal").isNull(), floor).otherwise(F.least(F.greatest(raw, F.lit(floor)), F.lit(cap))), "regime": regime})

@@ -347,3 +347,11 @@ def truncation_probe(panel: DataFrame, feature, probes: DataFrame, entity: str =
     cut = feature(cut, "_id").where(F.col(t) == F.col("probe")).select(entity, "probe", F.col("x").alias("_cut"))
     both = full.join(cut, [entity, "probe"], "full")
     return both.groupBy("probe").agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("_all").eqNullSafe(F.col("_cut"))).cast("long")).alias("differences"))
+
+
+def candidates(df: DataFrame, symbol: str, title: str, order: str) -> DataFrame:
+    """``df`` with ``verdict``: why a row isn't a common share, else ``candidate`` for the first row of its symbol in ``order`` and ``duplicate`` for later ones; an empty or null symbol is ``empty``."""
+    why = F.when(F.coalesce(F.trim(symbol), F.lit("")) == "", "empty").otherwise(symbol_class(F.col(symbol), F.coalesce(F.col(title), F.lit(""))))
+    rows = df.withColumn("_why", why)
+    again = F.row_number().over(Window.partitionBy(symbol, F.col("_why").isNull()).orderBy(order)) > 1
+    return rows.withColumn("verdict", F.coalesce("_why", F.when(again, "duplicate").otherwise("candidate"))).drop("_why")
