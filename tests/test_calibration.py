@@ -79,3 +79,23 @@ def test_asof_by_ranges(spark, size):
     for r in left.collect():
         u = max((u for u in facts.get(r.e, {}) if r.t is not None and u <= r.t), default=None)
         assert got[r.i] == (u, facts[r.e][u] if u is not None else None)
+
+
+@pytest.mark.parametrize("size", [1000, 9])
+def test_exact_quantiles_of_groups(spark, size):
+    from tidemark.operators import evaluate, tables
+
+    rnd = random.Random(8)
+    data = [(rnd.choice(["a", "b", None]), round(rnd.gauss(0, 1), 1) if rnd.random() < 0.9 else None) for _ in range(150)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, x double")
+    got = {r.g: (r.low, r.mid, r.top) for r in tables.exact_quantiles(df, "x", {"low": 0.1, "mid": 0.5, "top": 1.0}, "g", rows=size).collect()}
+    for g in ("a", "b", None, "one"):
+        x = [v for k, v in data if k == g and v is not None]
+        assert got[g] == pytest.approx(tuple(np.quantile(x, [0.1, 0.5, 1.0])))
+    assert "none" not in got
+    counts = df.groupBy("g", "x").agg(F.count("*").alias("w"))
+    again = {r.g: (r.low, r.mid, r.top) for r in tables.exact_quantiles(counts, "x", {"low": 0.1, "mid": 0.5, "top": 1.0}, "g", weight="w", rows=size).collect()}
+    assert again == got
+    pairs = df.where("x is not null").withColumn("y", F.abs("x"))
+    a, b = (evaluate.pooled_rank_ic(pairs, "x", "y", n).first() for n in (1000, 9))
+    assert tuple(a) == pytest.approx(tuple(b))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import average_rank, ordinal_rank, ratio, safe_corr
+from tidemark.operators.joins import ranges_of
 
 
 def rank_ic(df: DataFrame, x: str, y: str, *by: str, date: str = "t", ties: str = "average", entity: str = "entity", least: int = 1) -> DataFrame:
@@ -110,17 +111,22 @@ def stream_correlation(streams: DataFrame, key: str = "k", order: str = "t", x:
 def linked_clusters(corr: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
     """``k, cluster``: single linkage of streams whose absolute correlation reaches the threshold; the cluster's least name names it.
 
-    One row a stream: the smallest label spreads along links until nothing changes.
+    One row a stream: the smallest label spreads along links until nothing
+    changes. Each round's labels are held for the next, and then let go.
     """
     links = corr.where(F.abs("corr") >= threshold).select("a", "b")
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    labels = names.select("k", F.col("k").alias("cluster"))
+    labels, held = names.select("k", F.col("k").alias("cluster")), None
     while True:
         least = links.join(labels, links["b"] == labels["k"]).groupBy("a").agg(F.min("cluster").alias("m"))
         new = labels.join(least, labels["k"] == least["a"], "left").select("k", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"), (F.coalesce("m", "cluster") < F.col("cluster")).alias("moved")).cache()
         moved = new.where("moved").isEmpty()
         labels = new.select("k", "cluster")
+        if held is not None:
+            held.unpersist()
+        held = new
         if moved:
+            links.unpersist()
             return labels
 
 
@@ -163,17 +169,21 @@ def sweep(df: DataFrame, features: list[str], labels: list[str], date: str = "t"
     return ic_summary(rank_ic(rows, "x", "y", "feature", "horizon", date=date, entity=entity), "feature", "horizon")
 
 
-def pooled_rank_ic(df: DataFrame, x: str, y: str) -> DataFrame:
+def pooled_rank_ic(df: DataFrame, x: str, y: str, rows: int = 1_000_000) -> DataFrame:
     """Rank correlation over all rows, without a window over them all.
 
     Ranks come from counts by value: each value's rows and the rows below it,
-    from sums over ranges of values and then within a range.
+    from sums over ranges of values and then within a range. The ranges' bounds
+    are numbers in the plan, so a range is the same wherever it is worked on.
     """
 
     def ranks(c: str) -> DataFrame:
-        counts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        ranged = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()).cache()
-        starts = ranged.groupBy("p").agg(F.sum("c").alias("s")).withColumn("start", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        there = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        bounds = ranges_of(there, c, rows)
+        cut = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col("v"))) if bounds else F.lit(0)
+        ranged = there.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("p", cut)
+        before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        starts = ranged.groupBy("p").agg(F.sum("c").alias("s")).withColumn("start", F.coalesce(F.sum("s").over(before), F.lit(0)))
         upto = F.sum("c").over(Window.partitionBy("p").orderBy("v"))
         return ranged.join(F.broadcast(starts.select("p", "start")), "p").select("v", (F.col("start") + upto - (F.col("c") - 1) / 2).alias("r"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import ratio
+from tidemark.operators.tables import exact_quantiles
 
 
 def walk_forward_folds(dates: DataFrame, folds: int, embargo: int, least: int, t: str = "t", step: int = 1) -> DataFrame:
@@ -56,7 +57,9 @@ def assigned(df: DataFrame, folds: DataFrame, t: str = "t") -> DataFrame:
 def imputed(df: DataFrame, columns: list[str], fold: str = "fold") -> DataFrame:
     """Columns with the fold's training median for nulls, less its training mean, over its training deviation (ddof 0); dead columns are 0."""
     train = df.where(~F.col("is_test"))
-    medians = train.groupBy(fold).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
+    long = train.select(fold, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select(fold, "v.*")
+    middle = exact_quantiles(long, "x", {"m": 0.5}, fold, "name")
+    medians = train.select(fold).distinct().join(middle.groupBy(fold).agg(*[F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"_m_{c}") for c in columns]), fold, "left")
     filled = df.join(F.broadcast(medians), fold).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns})
     stats = filled.where(~F.col("is_test")).groupBy(fold).agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("a", F.avg), ("s", F.stddev_pop))])
     out = filled.join(F.broadcast(stats), fold)
@@ -152,7 +155,10 @@ def prior_folds(df: DataFrame, fold: str = "fold") -> DataFrame:
 
 def conformal(df: DataFrame, score: str, y: str, coverage: float, least: int, fold: str = "fold") -> DataFrame:
     """Rows with ``low, high``: the score plus quantiles of earlier folds' residuals; null where they are too few."""
-    q = prior_folds(df.where(F.col(y).isNotNull()).withColumn("_r", F.col(y) - F.col(score)), fold).groupBy("for_fold").agg(F.count(F.lit(1)).alias("_n"), F.percentile("_r", F.lit((1 - coverage) / 2)).alias("_a"), F.percentile("_r", F.lit((1 + coverage) / 2)).alias("_b")).where(F.col("_n") >= least)
+    counts = df.where(F.col(y).isNotNull()).groupBy(fold, (F.col(y) - F.col(score)).alias("_r")).agg(F.count(F.lit(1)).alias("_w"))
+    prior = prior_folds(counts, fold)
+    sizes = prior.groupBy("for_fold").agg(F.sum("_w").alias("_n")).where(F.col("_n") >= least)
+    q = exact_quantiles(prior, "_r", {"_a": (1 - coverage) / 2, "_b": (1 + coverage) / 2}, "for_fold", weight="_w").join(sizes, "for_fold", "left_semi")
     rows = df.join(F.broadcast(q), F.col(fold) == F.col("for_fold"), "left")
     return rows.select(*df.columns, (F.col(score) + F.col("_a")).alias("low"), (F.col(score) + F.col("_b")).alias("high"))
 
@@ -164,9 +170,10 @@ def brier(df: DataFrame, p: str, y: str, *by: str) -> DataFrame:
 
 def risk_bands(df: DataFrame, x: str, *by: str) -> DataFrame:
     """Adds ``band``: thirds of x by exact quantiles."""
-    over = Window.partitionBy(*by)
-    a, b = (F.percentile(F.col(x), F.lit(q)).over(over) for q in (1 / 3, 2 / 3))
-    return df.withColumns({"_a": a, "_b": b}).withColumn("band", F.when(F.col(x).isNull(), "unknown").when(F.col(x) <= F.col("_a"), "low").when(F.col(x) <= F.col("_b"), "medium").otherwise("high")).drop("_a", "_b")
+    edges = exact_quantiles(df, x, {"_a": 1 / 3, "_b": 2 / 3}, *by)
+    same = reduce(lambda a, b: a & b, [F.col(f"_l.{c}").eqNullSafe(F.col(f"_e.{c}")) for c in by], F.lit(True))
+    rows = df.alias("_l").join(edges.alias("_e"), same, "left").select("_l.*", "_e._a", "_e._b")
+    return rows.withColumn("band", F.when(F.col(x).isNull(), "unknown").when(F.col(x) <= F.col("_a"), "low").when(F.col(x) <= F.col("_b"), "medium").otherwise("high")).drop("_a", "_b")
 
 
 def recommendation(p: Column, excess: Column, band: Column, strong: float = 0.6, mild: float = 0.53) -> Column:

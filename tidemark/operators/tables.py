@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import finite, ratio
+from tidemark.operators.joins import ranges_of
 
 #: Header names that mean the same, in order of preference.
 ALIASES = {
@@ -355,3 +356,31 @@ def candidates(df: DataFrame, symbol: str, title: str, order: str) -> DataFrame:
     rows = df.withColumn("_why", why)
     again = F.row_number().over(Window.partitionBy(symbol, F.col("_why").isNull()).orderBy(order)) > 1
     return rows.withColumn("verdict", F.coalesce("_why", F.when(again, "duplicate").otherwise("candidate"))).drop("_why")
+
+
+def exact_quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str, weight: str | None = None, rows: int = 1_000_000) -> DataFrame:
+    """``by, <name>...``: exact quantiles (name: share) within groups of any size, between two values in proportion; nulls don't count.
+
+    Values are counted first, so ties are one row; then ranges of values are
+    counted, and only the places asked for are looked up within their range. No
+    task holds a group. ``weight`` is a column of counts, where ``df`` has them.
+    """
+    there = df.where(F.col(x).isNotNull())
+    counts = there.groupBy(*by, F.col(x).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
+    bounds = ranges_of(there, x, rows)
+    cut = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col("_v"))) if bounds else F.lit(0)
+    ranged = counts.withColumn("_r", cut)
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "_r").agg(F.sum("_c").alias("_s"))  # a row a group and range
+    totals = totals.withColumns({"_start": F.coalesce(F.sum("_s").over(upto), F.lit(0)), "_n": F.sum("_s").over(whole)}).drop("_s")
+    same = F.lit(True)
+    for c in (*by, "_r"):
+        same = same & F.col(f"_l.{c}").eqNullSafe(F.col(f"_t.{c}"))
+    held = ranged.alias("_l").join(totals.alias("_t"), same).select(*[F.col(f"_l.{c}") for c in (*by, "_r", "_v", "_c")], "_t._start", "_t._n")
+    end = F.col("_start") + F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_v"))
+    placed_ = held.withColumn("_end", end)
+    at = lambda k: F.max(F.when((F.col("_end") - F.col("_c") <= k) & (k < F.col("_end")), F.col("_v")))
+    place = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    ends = [f for name, q in shares.items() for f in (at(F.floor(place(q))).alias(f"_a_{name}"), at(F.ceil(place(q))).alias(f"_b_{name}"), F.max(place(q) - F.floor(place(q))).alias(f"_f_{name}"))]
+    out = placed_.groupBy(*by).agg(*ends)
+    return out.select(*by, *[(F.col(f"_a_{n}") + F.col(f"_f_{n}") * (F.col(f"_b_{n}") - F.col(f"_a_{n}"))).alias(n) for n in shares])

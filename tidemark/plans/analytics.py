@@ -12,7 +12,7 @@ from tidemark.operators import inference as I
 from tidemark.operators import models as M
 from tidemark.operators import regimes as R
 from tidemark.operators import windows as W
-from tidemark.plans.base import benched, eligible, prices, register, scratch, signals
+from tidemark.plans.base import benched, eligible, once, prices, register, scratch, signals
 from tidemark.plans.evaluation import a1, a13, b1
 from tidemark.sources import panels
 from tidemark.streaming import ingest
@@ -96,14 +96,14 @@ def m4(spark, sf):
 
 
 def ridged(spark, sf):
-    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", *FEATURES), folds(spark, sf)), FEATURES)
+    rows = M.imputed(once(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", *FEATURES), folds(spark, sf)), "folds"), FEATURES)
     model = M.ridge(rows, FEATURES, "fwd", 10.0)
     return rows, model
 
 
 @register("m6_ridge_by_fold", f"SELECT fold, count(*) AS rows, avg(fwd) - covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + 10) * avg(z) AS intercept, covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + 10) AS slope FROM (SELECT fold, fwd, (mom - avg(mom) OVER (PARTITION BY fold)) / stddev_pop(mom) OVER (PARTITION BY fold) AS z FROM el JOIN (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM el)) USING (t) JOIN {FOLDS} ON i <= train_end) GROUP BY fold", "intercept slope")
 def m6(spark, sf):
-    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    rows = M.imputed(once(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), "folds"), ["mom"])
     return M.ridge(rows, ["mom"], "fwd", 10.0).select("fold", "rows", "intercept", F.col("mom").alias("slope"))
 
 

@@ -110,6 +110,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid4().hex}"
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, where several passes follow that would each build it anew."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.monthly_prices(spark, sf_dir).withColumnRenamed("month_idx", "t")
 

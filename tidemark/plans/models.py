@@ -15,7 +15,7 @@ from tidemark.operators import models as M
 from tidemark.operators import regimes as R
 from tidemark.operators import windows as W
 from tidemark.plans.analytics import FEATURES, FOLDS, SHOCKS, STATE, e1, folds
-from tidemark.plans.base import eligible, register, signals
+from tidemark.plans.base import eligible, once, register, signals
 from tidemark.plans.data import CUST, cust_months
 from tidemark.plans.evaluation import a1, b1
 from tidemark.sources import panels
@@ -36,14 +36,14 @@ def m2(spark, sf):
 
 @register("m5_imputed", f"SELECT fold, entity, t, coalesce((x - avg(x) FILTER (NOT is_test) OVER (PARTITION BY fold)) / nullif(stddev_pop(x) FILTER (NOT is_test) OVER (PARTITION BY fold), 0), 0) AS rev3 FROM (SELECT fold, entity, t, is_test, coalesce(rev3, m) AS x FROM {ROLES} r JOIN (SELECT fold, quantile_cont(rev3, 0.5) AS m FROM {ROLES} WHERE NOT is_test GROUP BY fold) USING (fold))", "rev3")
 def m5(spark, sf):
-    rows = M.assigned(eligible(spark, sf).select("entity", "t", "rev3"), folds(spark, sf))
+    rows = once(M.assigned(eligible(spark, sf).select("entity", "t", "rev3"), folds(spark, sf)), "folds")
     return M.imputed(rows, ["rev3"]).select("fold", "entity", "t", "rev3")
 
 
 @register("m9_fallback_scores", f"SELECT fold, entity, t, CASE WHEN rows >= 0.5 * most THEN y + b * (mom - x) / s ELSE (mom - x) / s END AS score FROM {ROLES} JOIN (SELECT *, max(rows) OVER () AS most FROM (SELECT fold, count(*) AS rows, avg(fwd) AS y, avg(mom) AS x, stddev_pop(mom) AS s, covar_pop(fwd, mom) / stddev_pop(mom) * count(*) / (count(*) + 10) AS b FROM {ROLES} WHERE NOT is_test GROUP BY fold)) USING (fold) WHERE is_test", "score")
 def m9(spark, sf):
     """Ridge scores, but the plain standardized feature in folds with less than half of the last fold's training rows."""
-    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    rows = M.imputed(once(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), "folds"), ["mom"])
     model = M.ridge(rows, ["mom"], "fwd", 10.0)
     most = model.agg(F.max("rows")).first()[0]
     return M.scored(rows, model, ["mom"], least_rows=-(-most // 2)).select("fold", "entity", "t", "score")
@@ -51,7 +51,7 @@ def m9(spark, sf):
 
 @register("m7_chosen_strength")
 def m7(spark, sf):
-    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", *FEATURES), folds(spark, sf)), FEATURES)
+    rows = M.imputed(once(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", *FEATURES), folds(spark, sf)), "folds"), FEATURES)
     return M.chosen_strength(rows, FEATURES, "fwd", [1.0, 100.0, 10_000.0])
 
 
@@ -62,7 +62,7 @@ GRID_OF_STRENGTHS = "(SELECT unnest([1.0, 100.0, 10000.0]) AS strength)"
 @register("m7_strength_path", f"SELECT fold, strength, count(*) AS rows, avg(fwd) - covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + strength) * avg(z) AS intercept, covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + strength) AS slope FROM {ONE}, {GRID_OF_STRENGTHS} WHERE NOT is_test GROUP BY fold, strength", "strength intercept slope")
 def m7_path(spark, sf):
     """A fold's models of all strengths from one decomposition."""
-    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    rows = M.imputed(once(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), "folds"), ["mom"])
     return M.ridge_path(rows, ["mom"], "fwd", [1.0, 100.0, 10_000.0]).withColumnRenamed("mom", "slope")
 
 
@@ -72,20 +72,20 @@ i AS (SELECT fold, t, round(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b
 SELECT fold, strength, round(avg(ic) * any_value(s), 9) AS ic, strength = 1 AS best FROM i JOIN b USING (fold), {GRID_OF_STRENGTHS} GROUP BY fold, strength""", "strength ic")
 def m7_one(spark, sf):
     """With one feature a strength doesn't change ranks: all have the slope's sign times the feature's IC, and the least is chosen."""
-    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    rows = M.imputed(once(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), "folds"), ["mom"])
     return M.chosen_strength(rows, ["mom"], "fwd", [1.0, 100.0, 10_000.0])
 
 
 @register("m12_scores_of_one", f"SELECT fold, entity, t, y + b * (z - x) AS score FROM {ONE} JOIN (SELECT fold, avg(fwd) AS y, avg(z) AS x, covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + 10) AS b FROM {ONE} WHERE NOT is_test GROUP BY fold) USING (fold) WHERE is_test", "score")
 def m12_one(spark, sf):
     """Every fold's test rows by the ridge of its training rows."""
-    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    rows = M.imputed(once(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), "folds"), ["mom"])
     return M.scored(rows, M.ridge(rows, ["mom"], "fwd", 10.0), ["mom"]).select("fold", "entity", "t", "score")
 
 
 @register("m14_stability_of_one", f"SELECT 'mom' AS feature, avg(b) AS mean, stddev_pop(b) AS std, avg((sign(b) = sign(m))::INT) AS same_sign FROM (SELECT *, avg(b) OVER () AS m FROM (SELECT fold, covar_pop(fwd, z) * count(*) / (var_pop(z) * count(*) + 10) AS b FROM {ONE} WHERE NOT is_test GROUP BY fold))", "mean std same_sign")
 def m14_one(spark, sf):
-    rows = M.imputed(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), ["mom"])
+    rows = M.imputed(once(M.assigned(eligible(spark, sf).select("entity", "t", "fwd", "mom"), folds(spark, sf)), "folds"), ["mom"])
     return M.weight_stability(M.ridge(rows, ["mom"], "fwd", 10.0), ["mom"])
 
 
