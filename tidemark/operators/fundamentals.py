@@ -77,3 +77,22 @@ def share_yields(rows: DataFrame, price: str) -> DataFrame:
     px = F.when(F.col(price) > 0, F.col(price))
     rows = rows.withColumn("market_value", F.col("shares") * px)
     return rows.withColumns({"earnings_yield": ratio("per_share", px), "value_yield": ratio("income", "market_value")})
+
+
+def feature_set(rows: DataFrame, entity: str = "entity", end: str = "period_end", available: str = "available", late: int = 45) -> DataFrame:
+    """``rows`` (``revenue, income, cash, liabilities, assets`` by period) with ``margin, leverage, growth, cash_conversion, accruals, log_size, filing_lag, warnings``.
+
+    ``growth`` is against the period that ended a year before, if there is one.
+    What a feature lacks stands in ``warnings``; a feature without its parts, or
+    over nothing, is null. Cash conversion has no meaning without an income
+    above 0.
+    """
+    before = rows.select(F.col(entity), F.last_day(F.add_months(end, 12)).alias(end), F.col("revenue").alias("_before"))
+    df = rows.join(before, [entity, end], "left")
+    assets = F.when(F.col("assets") > 0, F.col("assets"))
+    df = df.withColumns({
+        "margin": ratio("income", F.nullif("revenue", F.lit(0.0))), "leverage": ratio("liabilities", assets), "growth": ratio(F.col("revenue") - F.col("_before"), F.nullif(F.abs("_before"), F.lit(0.0))),
+        "cash_conversion": ratio("cash", F.when(F.col("income") > 0, F.col("income"))), "accruals": ratio(F.col("income") - F.col("cash"), assets), "log_size": F.log(assets), "filing_lag": F.datediff(available, end),
+    })
+    why = {"no_assets": assets.isNull(), "no_year_before": F.col("_before").isNull(), "no_income": F.coalesce(F.col("income") <= 0, F.lit(True)), "late": F.col("filing_lag") > late}
+    return df.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in why.items()]))).drop("_before")

@@ -34,6 +34,11 @@ def paired(left: DataFrame, right: DataFrame, key: str, cell: int | None = None)
     return dealt(left, "_a", "_b").join(dealt(right, "_b", "_a"), [key, "_p_a", "_p_b"]).drop("_p_a", "_p_b")
 
 
+def spread(key: Column, there: Column, row: Column) -> Column:
+    """``key`` as a join key for rows of which many have none: those are told apart by ``row``, so they aren't one task, and match nothing."""
+    return F.struct(there.alias("there"), F.when(there, key).alias("key"), F.when(~there, row.cast("string")).alias("row"))
+
+
 def weighted_names(names: DataFrame, weights: DataFrame, share: float) -> DataFrame:
     """``tokens, weight, items, prefix`` of distinct token lists: their tokens with weights, rare ones first, and those of which two alike names share one.
 
@@ -96,9 +101,13 @@ def identity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     codes = b.where("_code is not null").groupBy("_code").agg(F.min("_match").alias("c_match"), n.alias("c_n"))
     symbols = b.where("_symbol is not null").groupBy("_symbol").agg(F.min("_match").alias("s_match"), n.alias("s_n"), F.min_by("tokens", "_match").alias("s_tokens"))
     names = b.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("_match").alias("match"), n.alias("copies"))
-    rows = a.join(codes, "_code", "left").join(symbols, "_symbol", "left")
+    own = lambda c: spread(F.col(c), F.col(c).isNotNull(), F.col("_id"))
+    of = lambda df, c: df.withColumn(f"{c}_of", spread(F.col(c), F.lit(True), F.lit(None))).drop(c)
+    rows = a.withColumns({"_code_of": own("_code"), "_symbol_of": own("_symbol")})
+    rows = rows.join(of(codes, "_code"), "_code_of", "left").join(of(symbols, "_symbol"), "_symbol_of", "left")
     asked = rows.where("c_n is null and s_n is null").where(F.size("tokens") > 0).select("tokens").distinct()
-    rows = rows.join(alike_names(asked, names, least).withColumnRenamed("match", "n_match"), "tokens", "left")
+    rows = rows.withColumn("_tokens_of", spread(F.col("tokens"), F.size("tokens") > 0, F.col("_id")))
+    rows = rows.join(of(alike_names(asked, names, least).withColumnRenamed("match", "n_match").withColumnRenamed("tokens", "_tokens"), "_tokens"), "_tokens_of", "left")
     shared = F.size(F.array_intersect("tokens", "s_tokens")) > 0
     by_code, by_symbol, by_name = F.col("c_n").isNotNull(), F.col("s_n").isNotNull(), F.col("copies").isNotNull()
     why = (

@@ -136,15 +136,17 @@ def planted_signal(panel: DataFrame, y: str, noise: float, seed: str, entity: st
     return panel.withColumn("signal", F.col(y) + noise * (unit - 0.5))
 
 
-def placed(df: DataFrame, x: str, entity: str, ranges: int = 64) -> DataFrame:
+def placed(df: DataFrame, x: str, entity: str, rows: int = 1_000_000) -> DataFrame:
     """Adds ``place``: rows by ``x`` from the largest on, nulls last, ties by entity; no task orders all rows.
 
-    Bounds of ranges are quantiles of a bounded sketch, and stand in the plan
-    as numbers: a row's range doesn't depend on where it is worked on. Places
-    are those within the range after the rows of the ranges before.
+    Ranges of about ``rows`` rows have quantiles of a bounded sketch as bounds,
+    which stand in the plan as numbers: a row's range doesn't depend on where it
+    is worked on. Places are those within the range after the rows of the ranges
+    before.
     """
-    bounds = df.agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).first()[0] or []
-    above = F.when(F.col(x).isNull(), ranges).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b > F.col(x))))
+    bounds = ranges_of(df, x, rows)
+    cut = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b > F.col(x))) if bounds else F.lit(0)
+    above = F.when(F.col(x).isNull(), len(bounds) + 1).otherwise(cut)
     rows = df.withColumn("_range", above)
     counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

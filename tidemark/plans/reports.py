@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import month_index, ratio
 from tidemark.operators import books as B
 from tidemark.operators import evaluate as A
+from tidemark.operators import fundamentals as FU
 from tidemark.operators import joins as J
 from tidemark.operators import models as M
 from tidemark.operators import tables as T
@@ -15,6 +16,7 @@ from tidemark.operators import windows as W
 from tidemark.plans.analytics import STATE, e1
 from tidemark.plans.base import eligible, prices, register, signals
 from tidemark.plans.data import CUST, cust_months
+from tidemark.plans.models import STATUS, items
 from tidemark.sources import panels
 
 RANKED = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
@@ -117,3 +119,28 @@ def f9_again(spark, sf):
     total = probes.agg(F.count(F.lit(1)).alias("total"))
     out = ics.groupBy("kind").agg(F.sum("names").alias("n"), F.count("ic").alias("dates"), F.avg("ic").alias("mean_ic"), (ratio(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0))) * F.sqrt(F.count("ic"))).alias("t_stat"))
     return out.crossJoin(F.broadcast(total)).select("kind", (F.col("n") / F.col("total")).alias("coverage"), "dates", "mean_ic", "t_stat")
+
+
+BOOKED = f"(SELECT *, filled - coalesce(open, 0) AS income, CASE WHEN count(*) OVER w = 4 THEN sum(revenue) OVER w END AS assets FROM (SELECT entity, period_end, sum(v) FILTER (status = 'F') AS filled, sum(v) FILTER (status = 'O') AS open, sum(v) AS revenue, max(a) AS available FROM {STATUS} GROUP BY 1, 2) WINDOW w AS (PARTITION BY entity ORDER BY period_end ROWS 3 PRECEDING))"
+FEATURED = f"(SELECT b.*, p.revenue AS before FROM {BOOKED} b LEFT JOIN {BOOKED} p ON p.entity = b.entity AND last_day(p.period_end + INTERVAL 12 MONTH) = b.period_end)"
+
+
+def featured(spark, sf):
+    i = items(spark, sf)
+    status = lambda s: F.sum(F.when(F.col("status") == s, F.col("v")))
+    wide = i.groupBy("entity", "period_end").agg(status("F").alias("cash"), status("O").alias("liabilities"), F.sum("v").alias("revenue"), F.max("a").alias("available"))
+    four = Window.partitionBy("entity").orderBy("period_end").rowsBetween(-3, 0)
+    wide = wide.withColumns({"income": F.col("cash") - F.coalesce("liabilities", F.lit(0.0)), "assets": F.when(F.count(F.lit(1)).over(four) == 4, F.sum("revenue").over(four))})
+    return FU.feature_set(wide, late=30)
+
+
+@register("f2_feature_set", f"SELECT entity, CAST(period_end AS VARCHAR) AS period_end, income / nullif(revenue, 0) AS margin, open / nullif(assets, 0) AS leverage, (revenue - before) / nullif(abs(before), 0) AS growth, filled / CASE WHEN income > 0 THEN income END AS cash_conversion, (income - filled) / nullif(assets, 0) AS accruals, ln(assets) AS log_size, date_diff('day', period_end, available) AS filing_lag FROM {FEATURED}", "margin leverage growth cash_conversion accruals log_size")
+def f2_set(spark, sf):
+    """Margins, leverage, growth, cash conversion, accruals, size and lag of every period."""
+    return featured(spark, sf).select("entity", F.col("period_end").cast("string").alias("period_end"), "margin", "leverage", "growth", "cash_conversion", "accruals", "log_size", "filing_lag")
+
+
+@register("f2_warnings", f"SELECT warning, count(*) AS n, count(DISTINCT entity) AS entities FROM (SELECT entity, unnest(list_filter([CASE WHEN assets IS NULL THEN 'no_assets' END, CASE WHEN before IS NULL THEN 'no_year_before' END, CASE WHEN coalesce(income <= 0, true) THEN 'no_income' END, CASE WHEN date_diff('day', period_end, available) > 30 THEN 'late' END], lambda x: x IS NOT NULL)) AS warning FROM {FEATURED}) GROUP BY warning", "")
+def f2_warnings(spark, sf):
+    """How often a feature lacks what it needs."""
+    return featured(spark, sf).select("entity", F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"))
