@@ -67,7 +67,7 @@ def s14_footers(spark, sf):
 KIND = "CASE entity % 6 WHEN 0 THEN 'symbol_adjusted' WHEN 1 THEN 'title_case' WHEN 2 THEN 'bracketed' WHEN 3 THEN 'day_first' WHEN 4 THEN 'tabbed' END"
 
 
-@register("s6_sniffed_folder", f"SELECT layout, CASE WHEN entity % 6 IN (1, 5) THEN NULL ELSE 'S' || entity END AS ticker, reason, count(*) AS n, sum(CASE WHEN reason IS NULL THEN round(close, 4) END) AS total FROM (SELECT entity, close, {KIND} AS layout, CASE WHEN entity % 6 = 5 THEN 'unknown_layout:date' WHEN n % 5 = 4 THEN 'bad_date' WHEN n % 5 = 3 THEN 'bad_price' WHEN n % 5 = 2 THEN 'not_positive' WHEN entity % 6 = 1 AND row_number() OVER (PARTITION BY entity % 6, date, n % 5 < 2 ORDER BY entity) > 1 THEN 'repeated' END AS reason FROM px_d) GROUP BY 1, 2, 3", "total")
+@register("s6_sniffed_folder", f"SELECT layout, CASE WHEN entity % 6 IN (1, 5) THEN NULL ELSE 'S' || entity END AS ticker, reason, count(*) AS n, CAST(sum(CASE WHEN reason IS NULL THEN CAST(round(close * 10000) AS BIGINT) END) AS BIGINT) AS total FROM (SELECT entity, close, {KIND} AS layout, CASE WHEN entity % 6 = 5 THEN 'unknown_layout:date' WHEN n % 5 = 4 THEN 'bad_date' WHEN n % 5 = 3 THEN 'bad_price' WHEN n % 5 = 2 THEN 'not_positive' WHEN entity % 6 = 1 AND row_number() OVER (PARTITION BY entity % 6, date, n % 5 < 2 ORDER BY entity) > 1 THEN 'repeated' END AS reason FROM px_d) GROUP BY 1, 2, 3", "")
 def s6_sniffed(spark, sf):
     """One read of a folder of files of five layouts and one unknown."""
     at = scratch(spark, "mixed")
@@ -89,7 +89,7 @@ def s6_sniffed(spark, sf):
     found = FI.sniffed_prices(spark, at)
     # Two files have no column for tickers; their names, which Spark makes up, stand for it.
     ticker = F.when(F.coalesce("layout", F.lit("")).isin("", "title_case"), None).otherwise(F.col("ticker"))
-    return found.withColumn("ticker", ticker).groupBy("layout", "ticker", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("reason").isNull(), F.round("adj_close", 4))).alias("total"))
+    return found.withColumn("ticker", ticker).groupBy("layout", "ticker", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("reason").isNull(), F.round(F.col("adj_close") * 10000).cast("long"))).alias("total"))
 
 
 #: Events come in four files by day; one in 53 comes a file late. The stream stops after two files and is started again.
