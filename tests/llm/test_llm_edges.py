@@ -330,3 +330,52 @@ def test_odd_declarations_are_comments():
     for odd in ("<![foo[bar]]>", "<![CDATA[x]]>", "<![if x]>", "<![endif]-->", "<![>", "<!>", "<![", "<!x y>", "<!--", "<!-->", "<!doctype", "<![CDATA[ never ends >"):
         assert text in html_extract.main_text(f"<html><body>{odd}<article><p>{text}</p></article></body></html>"), odd
     assert html_extract.main_text(f"<p>{text} &amp; <a href='x") .startswith(text)
+
+
+def exact_tables(worlds, words):
+    """Distribution of the tables of each (restaurant, word) of a small world, by enumeration of all tables of dishes and of the parent."""
+    import itertools
+
+    import numpy as np
+
+    d, a = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    up = lambda x, n, step: float(np.prod([x + step * i for i in range(int(n))]))
+    seats = np.exp(pitman_yor.log_seatings(d, 64))
+    dishes = [(r, w, c) for r, dish in enumerate(worlds) for w, c in enumerate(dish) if c]
+    found = {(r, w): np.zeros(c + 1) for r, w, c in dishes}
+    for ts in itertools.product(*[range(1, c + 1) for _, _, c in dishes]):
+        weight = np.prod([seats[c, t] for (_, _, c), t in zip(dishes, ts, strict=True)])
+        for r in range(len(worlds)):
+            weight *= up(a, sum(t for (q, _, _), t in zip(dishes, ts, strict=True) if q == r), d)
+        guests = [sum(t for (_, q, _), t in zip(dishes, ts, strict=True) if q == w) for w in range(words)]
+        parents = sum(
+            np.prod([seats[g, k] for g, k in zip(guests, ks, strict=True)]) * up(a, sum(ks), d) / (words + 1) ** sum(ks)
+            for ks in itertools.product(*[range(min(g, 1), g + 1) for g in guests])
+        )
+        weight *= parents / up(a, sum(guests), 1)
+        for (r, w, _), t in zip(dishes, ts, strict=True):
+            found[r, w][t] += weight
+    return {k: v / v.sum() for k, v in found.items()}
+
+
+@pytest.mark.parametrize("worlds", [[(3, 0), (0, 3)], [(5, 1), (3, 2)], [(8, 0), (2, 1)]])
+def test_tables_of_small_worlds_follow_their_enumeration(worlds):
+    import numpy as np
+
+    want, n, words = exact_tables(worlds, 2), 20_000, 2
+    c = np.array(worlds)[:, :, None] * np.ones(n, int)
+    t = np.minimum(c, 1)  # n worlds side by side, each with totals of its own
+    seen = {k: np.zeros(len(v)) for k, v in want.items()}
+    key = pitman_yor.mix(np.arange(c.size, dtype=np.uint64)).reshape(c.shape)
+    top = np.ones((words, n), int)
+    for sweep in range(40):
+        guests, tables = t.sum(0), t.sum(1)
+        top = pitman_yor.seat(guests.ravel(), pitman_yor.word_weight((top.sum(0) - top).ravel(), words), key[0].ravel(), 2 * sweep).astype(int).reshape(top.shape)
+        others = np.broadcast_to((top.sum(0) - top)[None], c.shape)
+        own = pitman_yor.dish_weight((tables[:, None] - t).ravel(), (guests[None] - t).ravel(), (guests.sum(0) - t).ravel(), others.ravel(), words)
+        t = pitman_yor.seat(c.ravel(), own, key.ravel(), 2 * sweep + 1).astype(int).reshape(c.shape)
+        if sweep >= 10:
+            for (r, w), counts in seen.items():
+                counts += np.bincount(t[r, w], minlength=len(counts))
+    for k, counts in seen.items():
+        assert np.abs(counts / counts.sum() - want[k]).max() < 0.01, (k, counts / counts.sum(), want[k])

@@ -5,9 +5,13 @@ text. Each context is a restaurant whose customers are the training tokens
 after it; all restaurants share one parent, whose customers are their tables,
 and whose base is uniform over the known words and one unknown. A Gibbs sweep
 seats the customers of every dish of every restaurant anew, given all others as
-the sweep before left them: how many tables a dish has is drawn from its full
-conditional, whose weights are those of all seatings with so many tables.
-Predictive probabilities are averaged over the last states.
+the sweep before left them: how many tables a dish has is drawn given the other
+dishes' tables in its restaurant and the word's tables in the others. A number
+of tables weighs what all seatings with so many do: of the customers, of the
+new tables among the restaurant's, and of the guests they send to the parent,
+whose own tables for the word are summed out. All dishes of a sweep are drawn
+at once, so they see one another as they were before it. Predictive
+probabilities are averaged over the last states.
 
 A sweep is a pass over the pairs of context and word: its dishes' tables are
 written, and the next sums them by context and by word. So all probabilities of
@@ -18,7 +22,7 @@ all tokens are joined by broadcast, and their pairs are spread over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,8 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 3, 5
 #: Up to so many customers of a dish have a table of exact weights; above, weights are those of the saddlepoint, set right by the table's last row.
 EXACT = 256
-#: Numbers of tables, and what they spread over in square roots of the mean, at which the weights of a dish with more customers are taken.
-NODES, SPREAD = 128, 8.0
+#: Numbers of tables at which the weights of a dish with more customers are taken, and the share of the heaviest below which they are left out.
+NODES, NEGLIGIBLE = 128, 1e-12
 
 
 def log_seatings(discount: float, most: int = EXACT) -> np.ndarray:
@@ -74,6 +78,18 @@ def saddlepoint(c: np.ndarray, t: np.ndarray) -> np.ndarray:
     return log_factorial(c) - log_factorial(t) + t * np.log(-np.expm1(d * z) / d) - c * np.log1p(-np.exp(z)) - np.log(2 * np.pi * spread) / 2
 
 
+def log_rising(x: np.ndarray, t: np.ndarray, step: float = 1.0) -> np.ndarray:
+    """log x (x + step) ... of ``t`` factors, x above 0: a difference of Stirling's series, with 8 factors more below it."""
+    x = x / step
+    y = x + 8
+    rest = lambda z: (1 / 12 - 1 / (360 * z**2)) / z
+    above = (y - 0.5) * np.log1p(t / y) + t * (np.log(y + t) - 1) + rest(y + t) - rest(y)
+    ratio = 1.0
+    for i in range(8):
+        ratio = ratio * ((x + t + i) / (x + i))
+    return above - np.log(ratio) + t * np.log(step)
+
+
 SEATINGS = log_seatings(DISCOUNT)
 #: What the saddlepoint lacks, and log t more (which is flat for small t): a function of t / c^discount, for many customers.
 LACKS = np.log(np.arange(1, EXACT // 2) / EXACT**DISCOUNT) + SEATINGS[EXACT, 1 : EXACT // 2] - saddlepoint(np.full(EXACT // 2 - 1, float(EXACT)), np.arange(1.0, EXACT // 2))
@@ -90,8 +106,13 @@ def drawn(log_weights: np.ndarray, u: np.ndarray) -> np.ndarray:
     return (weights < (u * weights[:, -1])[:, None]).sum(1)
 
 
-def seat(customers: np.ndarray, new: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
-    """Tables of each dish, all its customers seated jointly, drawn given its customers and the weight of a new table."""
+def seat(customers: np.ndarray, weight: np.ndarray | Callable[[np.ndarray, np.ndarray], np.ndarray], key: np.ndarray, salt: int) -> np.ndarray:
+    """Tables of each dish, all its customers seated jointly.
+
+    ``weight(rows, t)`` is the log of what t tables weigh in each of ``rows``
+    beside the seatings of the customers; an array is the weight of each table.
+    """
+    of = weight if callable(weight) else lambda at, t: np.log(weight[at])[:, None] * t
     tables = np.minimum(customers, 1).astype(np.float64)
     many = np.flatnonzero(customers > 1)
     order = many[np.argsort(customers[many], kind="stable")]
@@ -100,33 +121,88 @@ def seat(customers: np.ndarray, new: np.ndarray, key: np.ndarray, salt: int) ->
         if c > EXACT:
             break
         for at in np.split(order[a:b], range(1_000_000 // c, b - a, 1_000_000 // c)):
-            tables[at] = 1 + drawn(np.log(new[at])[:, None] * np.arange(1, c + 1) + SEATINGS[c, 1 : c + 1], uniform(key[at], salt))
+            tables[at] = 1 + drawn(of(at, np.arange(1.0, c + 1)[None, :]) + SEATINGS[c, 1 : c + 1], uniform(key[at], salt))
     large = np.flatnonzero(customers > EXACT)
-    for at in np.split(large, range(8192, len(large), 8192)):
+    for at in np.split(large, range(4096, len(large), 4096)):
         if len(at):
-            tables[at] = seat_many(customers[at].astype(np.float64), new[at], uniform(key[at], salt), uniform(key[at], salt + 104_729))
+            tables[at] = seat_many(customers[at].astype(np.float64), lambda t, at=at: of(at, t), uniform(key[at], salt), uniform(key[at], salt + 104_729))
     return tables
 
 
-def seat_many(c: np.ndarray, new: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Tables of dishes with many customers: a node by its weight, then a number about the node."""
-    d = DISCOUNT
-    z = newton(lambda z: np.log(-np.expm1(z)) + (d - 1) * z, lambda z: np.exp(z) / np.expm1(z) + d - 1, np.log(c / new), np.where(c < new, -c / new, np.log(c / new) / (d - 1)))
-    mean = np.maximum(-np.expm1(d * z) * new / d, 1.0)  # of the tables, but for the 1 that is there at least
-    low = np.clip(np.floor(mean - SPREAD * np.sqrt(mean) - 2), 1, c - 1)
-    high = np.clip(np.ceil(mean + SPREAD * np.sqrt(mean) + 12), low, c - 1)
-    step = np.ceil((high - low + 1) / NODES)
-    t = low[:, None] + step[:, None] * np.arange(NODES)
-    inside = t <= high[:, None]
-    t = np.where(inside, t, high[:, None])
-    share = np.log(t) - d * np.log(c)[:, None]
-    known = np.log(np.arange(1, EXACT // 2) / EXACT**d)
-    lacks = np.interp(share, known, LACKS) - np.minimum(share, known[-1])
-    weights = np.log(new)[:, None] * t + saddlepoint(np.broadcast_to(c[:, None], t.shape), t) + lacks
-    node = t[np.arange(len(c)), drawn(np.where(inside, weights, -np.inf), u)]
+def log_many(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``log_seatings`` of dishes with many customers, by row, but for a factor of each row."""
+    share = np.log(t) - DISCOUNT * np.log(c)[:, None]
+    known = np.log(np.arange(1, EXACT // 2) / EXACT**DISCOUNT)
+    return saddlepoint(np.broadcast_to(c[:, None], t.shape), t) + np.interp(share, known, LACKS) - np.minimum(share, known[-1])
+
+
+def seat_many(c: np.ndarray, of: Callable[[np.ndarray], np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Tables of dishes with many customers: a node by its weight, then a number about the node.
+
+    Nodes first lie at equal ratios over all numbers of tables; then evenly, twice, between
+    the neighbours of those that weigh more than ``NEGLIGIBLE`` of the heaviest.
+    """
+    low, high = np.ones_like(c), c - 1
+    places = np.arange(NODES) / (NODES - 1)
+    t = np.maximum(np.floor(np.exp(np.log(high)[:, None] * places)), 1)
+    step = np.ones_like(c)
+    for last in (False, False, True):
+        inside = t <= high[:, None]
+        t = np.minimum(t, high[:, None])
+        weights = np.where(inside, of(t) + log_many(c, t), -np.inf)
+        if last:
+            break
+        heavy = weights > weights.max(1, keepdims=True) + np.log(NEGLIGIBLE)
+        first, final = heavy.argmax(1), NODES - 1 - heavy[:, ::-1].argmax(1)
+        rows = np.arange(len(c))
+        low, high = t[rows, np.maximum(first - 1, 0)], t[rows, np.minimum(final + 1, NODES - 1)]
+        step = np.ceil((high - low + 1) / NODES)
+        t = low[:, None] + step[:, None] * np.arange(NODES)
+    node = t[np.arange(len(c)), drawn(weights, u)]
     return np.clip(node + np.floor((v - 0.5) * step + 0.5), 1, c)
 
 
+def log_parent(others: float, words: int) -> np.ndarray:
+    """Log weight of 0, 1, ... ``EXACT`` guests of one word at the parent, over all their seatings, beside the other words' tables."""
+    t = np.arange(1.0, EXACT + 1)
+    weights = SEATINGS[:, 1:] + (log_rising(np.float64(STRENGTH + DISCOUNT * others), t, DISCOUNT) - t * np.log(words + 1))[None, :]
+    weights[0] = -np.inf
+    most = weights.max(1, initial=-1e300)
+    out = most + np.log(np.exp(weights - most[:, None]).sum(1), where=np.arange(EXACT + 1) > 0, out=np.zeros(EXACT + 1))
+    out[0] = 0.0
+    return out
+
+
+def guest_weight(parents: np.ndarray, kind: np.ndarray, guests: np.ndarray) -> np.ndarray:
+    """Row ``kind`` of ``parents`` at any number of guests: beyond its end, the tables of a word hardly change, and each guest weighs one more than the last."""
+    beyond = np.maximum(guests - EXACT, 0.0)
+    step = np.exp(parents[:, EXACT] - parents[:, EXACT - 1])[kind]
+    return parents[kind, np.minimum(guests, EXACT).astype(np.int64)] + np.where(beyond > 0, log_rising(step + 1, beyond), 0.0)
+
+
+def dish_weight(tables: np.ndarray, guests: np.ndarray, all_guests: np.ndarray, others: np.ndarray, words: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Log weight of t tables of a dish, given what there is without it.
+
+    Those are the restaurant's ``tables``, the word's ``guests`` from other
+    restaurants, ``all_guests`` of the parent, and the parent's tables of
+    ``others`` among the ``words``.
+    """
+    values, kinds = np.unique(others, return_inverse=True)
+    parents = np.array([log_parent(x, words) for x in values.tolist()]).reshape(-1, EXACT + 1)
+
+    def of(at: np.ndarray, t: np.ndarray) -> np.ndarray:
+        own, sent, every = (x[at].astype(np.float64)[:, None] for x in (tables, guests, all_guests))
+        kind = kinds[at][:, None]
+        return log_rising(STRENGTH + DISCOUNT * own, t, DISCOUNT) + guest_weight(parents, kind, sent + t) - guest_weight(parents, kind, sent) - log_rising(STRENGTH + every, t)
+
+    return of
+
+
+def word_weight(others: np.ndarray, words: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Log weight of t tables of a word at the parent, which has ``others`` for the other words."""
+    return lambda at, t: log_rising(STRENGTH + DISCOUNT * others[at].astype(np.float64)[:, None], t, DISCOUNT) - t * np.log(words + 1)
+
+
 def flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
@@ -215,23 +291,24 @@ def remove(df: DataFrame) -> None:
 
 def seatings(pairs: DataFrame) -> tuple[DataFrame, int, int]:
     """``pairs`` (``ctx, w, c``, one row each) with ``p``, the mean probability of the word after the context, and ``known``, the word's training tokens; the number of those, and of known words."""
-    state = materialize(pairs.select("ctx", "w", "c", F.least("c", F.lit(1)).alias("t"), F.lit(0.0).alias("p")), "state")
+    seen = F.least("c", F.lit(1))
+    state = materialize(pairs.select("ctx", "w", "c", seen.alias("t"), seen.alias("of_word"), F.lit(0.0).alias("p")), "state")
     counts = materialize(state.groupBy("w").agg(F.sum("c").alias("known")), "counts")
     total, words = counts.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
     frequent = [r.w for r in counts.where((F.col("known") > 0) & (F.col("known") >= FREQUENT_SHARE * total)).collect()]
     remove(counts)
-    parent_tables, last = float(words), BURN_IN + SAMPLES - 1
+    parent_tables, last = words, BURN_IN + SAMPLES - 1
     for sweep in range(last + 1):
         contexts = materialize(state.groupBy("ctx").agg(F.sum("c").alias("all"), F.sum("t").alias("tables")), "contexts")
-        guests = state.groupBy("w").agg(F.sum("c").alias("known"), F.sum("t").alias("guests"))
-        parents = materialize(guests.mapInArrow(seated_parents((STRENGTH + DISCOUNT * parent_tables) / (words + 1), 2 * sweep), "w bigint, known bigint, guests bigint, top double"), "parents")
-        all_guests, parent_tables = parents.agg(F.coalesce(F.sum("guests"), F.lit(0)), F.coalesce(F.sum("top"), F.lit(0.0))).first()
+        guests = state.groupBy("w").agg(F.sum("c").alias("known"), F.sum("t").alias("guests"), F.max("of_word").alias("top"))
+        parents = materialize(guests.mapInArrow(seated_parents(parent_tables, words, 2 * sweep), guests.schema), "parents")
+        all_guests, parent_tables = parents.agg(F.coalesce(F.sum("guests"), F.lit(0)), F.coalesce(F.sum("top"), F.lit(0))).first()
         base = (STRENGTH + DISCOUNT * parent_tables) / (words + 1)
         share = (F.col("guests") - DISCOUNT * F.col("top") + base) / (STRENGTH + all_guests)
-        joined = attach(attach(state, contexts, "ctx", frequent), parents.select("w", "known", share.alias("share")), "w", frequent)
+        joined = attach(attach(state, contexts, "ctx", frequent), parents.select("w", "known", "guests", "top", share.alias("share")), "w", frequent)
         old = [state, contexts, parents]
         if sweep < last:
-            state = materialize(joined.mapInArrow(seated(2 * sweep + 1, sweep >= BURN_IN), state.schema), "state")
+            state = materialize(joined.mapInArrow(seated(parent_tables, all_guests, words, 2 * sweep + 1, sweep >= BURN_IN), state.schema), "state")
         else:
             new = STRENGTH + DISCOUNT * F.col("tables")
             p = (F.col("c") - DISCOUNT * F.col("t") + new * F.col("share")) / (STRENGTH + F.col("all"))
@@ -241,26 +318,29 @@ def seatings(pairs: DataFrame) -> tuple[DataFrame, int, int]:
     return state, total, words
 
 
-def seated_parents(base: float, salt: int):
+def seated_parents(parent_tables: int, words: int, salt: int):
+    """The parent's tables of each word drawn anew, given those of the other words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in in_lots(batches, PAIRS):
-            w, guests = lot.column(0).to_numpy().view(np.uint64), lot.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([*lot.columns, pa.array(seat(guests, np.full(len(w), base), mix(w), salt))], ["w", "known", "guests", "top"])
+            w, _, guests, top = (x.to_numpy() for x in lot.columns)
+            top = seat(guests, word_weight(parent_tables - top, words), mix(w.view(np.uint64)), salt).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(top)], ["w", "known", "guests", "top"])
 
     return run
 
 
-def seated(salt: int, sampled: bool):
+def seated(parent_tables: int, all_guests: int, words: int, salt: int, sampled: bool):
     """A sweep: the tables of each pair drawn anew; with ``sampled`` the probability under those before is added to ``p``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in in_lots(batches, PAIRS):
-            ctx, w, c, t, p, all_, tables, _, share = (x.to_numpy() for x in lot.columns)
-            new = (STRENGTH + DISCOUNT * tables) * share
+            ctx, w, c, t, _, p, all_, tables, _, guests, top, share = (x.to_numpy() for x in lot.columns)
             if sampled:
-                p = p + (c - DISCOUNT * t + new) / (STRENGTH + all_)
-            t = seat(c, new, mix(mix(w.view(np.uint64)) + ctx.view(np.uint64)), salt).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(t), pa.array(p)], ["ctx", "w", "c", "t", "p"])
+                p = p + (c - DISCOUNT * t + (STRENGTH + DISCOUNT * tables) * share) / (STRENGTH + all_)
+            of = dish_weight(tables - t, guests - t, all_guests - t, parent_tables - top, words)
+            t = seat(c, of, mix(mix(w.view(np.uint64)) + ctx.view(np.uint64)), salt).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(t), pa.array(top), pa.array(p)], ["ctx", "w", "c", "t", "of_word", "p"])
 
     return run
 
