@@ -13,10 +13,12 @@ whose own tables for the word are summed out. All dishes of a sweep are drawn
 at once, so they see one another as they were before it. Predictive
 probabilities are averaged over the last states.
 
-A sweep is a pass over the pairs of context and word: its dishes' tables are
-written, and the next sums them by context and by word. So all probabilities of
-a state come from the tables of that state, and sum to one. Sums are combined
-within tasks first; those of the bounded number of words with a fixed share of
+A sweep is a pass over the pairs of context and word that were seen twice or
+more (a single customer has one table): its dishes' tables are written, and the
+next sums them by context and by word. So all probabilities of a state come from
+the tables of that state, and sum to one; those of the last states are kept as a
+list by context and by word, and meet the pairs once. Sums are combined within
+tasks first; those of the bounded number of words with a fixed share of
 all tokens are joined by broadcast, and their pairs are spread over all tasks.
 """
 
@@ -289,33 +291,55 @@ def remove(df: DataFrame) -> None:
     jvm.System.gc()  # Spark deletes shuffle files of plans that are gone
 
 
+def summed(sums: DataFrame, state: DataFrame, key: str, name: str) -> DataFrame:
+    """``sums`` with ``name``: the tables of ``key`` in ``state``, and those of pairs seen once, which have one each."""
+    drawn = state.groupBy(F.col(key).alias("_key")).agg(F.sum("t").alias("_more"))
+    found = sums.join(drawn, F.col(key) == F.col("_key"), "left")
+    return found.select(*[c for c in sums.columns if c != name], (F.col("ones") + F.coalesce("_more", F.lit(0))).alias(name))
+
+
 def seatings(pairs: DataFrame) -> tuple[DataFrame, int, int]:
-    """``pairs`` (``ctx, w, c``, one row each) with ``p``, the mean probability of the word after the context, and ``known``, the word's training tokens; the number of those, and of known words."""
-    seen = F.least("c", F.lit(1))
-    state = materialize(pairs.select("ctx", "w", "c", seen.alias("t"), seen.alias("of_word"), F.lit(0.0).alias("p")), "state")
-    counts = materialize(state.groupBy("w").agg(F.sum("c").alias("known")), "counts")
-    total, words = counts.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
-    frequent = [r.w for r in counts.where((F.col("known") > 0) & (F.col("known") >= FREQUENT_SHARE * total)).collect()]
-    remove(counts)
+    """``pairs`` (``ctx, w, c``, one row each) with ``p``, the mean probability of the word after the context, and ``known``, the word's training tokens; the number of those, and of known words.
+
+    A pair seen once has one table in every state, so sweeps pass over the others only.
+    """
+    pairs = materialize(pairs.select("ctx", "w", "c"), "pairs")
+    zero = F.lit(0).cast("bigint")
+    state = materialize(pairs.where("c > 1").select("ctx", "w", "c", (zero + 1).alias("t"), zero.alias("seated")), "state")
+    ones = F.count_if(F.col("c") == 1).alias("ones")
+    contexts = materialize(pairs.groupBy("ctx").agg(F.sum("c").alias("all"), ones).withColumn("past", F.array().cast("array<bigint>")), "contexts")
+    parents = pairs.groupBy("w").agg(F.sum("c").alias("known"), ones).withColumn("top", F.least("known", F.lit(1)))
+    parents = materialize(parents.withColumn("past", F.array().cast("array<double>")), "parents")
+    total, words = parents.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
+    frequent = [r.w for r in parents.where((F.col("known") > 0) & (F.col("known") >= FREQUENT_SHARE * total)).select("w").collect()]
     parent_tables, last = words, BURN_IN + SAMPLES - 1
     for sweep in range(last + 1):
-        contexts = materialize(state.groupBy("ctx").agg(F.sum("c").alias("all"), F.sum("t").alias("tables")), "contexts")
-        guests = state.groupBy("w").agg(F.sum("c").alias("known"), F.sum("t").alias("guests"), F.max("of_word").alias("top"))
-        parents = materialize(guests.mapInArrow(seated_parents(parent_tables, words, 2 * sweep), guests.schema), "parents")
-        all_guests, parent_tables = parents.agg(F.coalesce(F.sum("guests"), F.lit(0)), F.coalesce(F.sum("top"), F.lit(0))).first()
-        base = (STRENGTH + DISCOUNT * parent_tables) / (words + 1)
-        share = (F.col("guests") - DISCOUNT * F.col("top") + base) / (STRENGTH + all_guests)
-        joined = attach(attach(state, contexts, "ctx", frequent), parents.select("w", "known", "guests", "top", share.alias("share")), "w", frequent)
         old = [state, contexts, parents]
+        sampled = sweep >= BURN_IN
+        contexts = summed(contexts, state, "ctx", "tables")
+        contexts = materialize(contexts.withColumn("past", F.concat("past", F.array("tables"))) if sampled else contexts, "contexts")
+        parents = summed(parents, state, "w", "guests").select("w", "known", "ones", "past", "guests", "top")
+        parents = materialize(parents.mapInArrow(seated_parents(parent_tables, words, 2 * sweep), parents.schema), "parents")
+        all_guests, parent_tables = parents.agg(F.coalesce(F.sum("guests"), F.lit(0)), F.coalesce(F.sum("top"), F.lit(0))).first()
+        if sampled:
+            base = (STRENGTH + DISCOUNT * parent_tables) / (words + 1)
+            share = (F.col("guests") - DISCOUNT * F.col("top") + base) / (STRENGTH + all_guests)
+            parents = parents.withColumn("past", F.concat("past", F.array(share)))
         if sweep < last:
-            state = materialize(joined.mapInArrow(seated(parent_tables, all_guests, words, 2 * sweep + 1, sweep >= BURN_IN), state.schema), "state")
-        else:
-            new = STRENGTH + DISCOUNT * F.col("tables")
-            p = (F.col("c") - DISCOUNT * F.col("t") + new * F.col("share")) / (STRENGTH + F.col("all"))
-            state = materialize(joined.select("ctx", "w", ((F.col("p") + p) / SAMPLES).alias("p"), "known"), "chances")
-        for df in old:
-            remove(df)
-    return state, total, words
+            joined = attach(attach(state, contexts.select("ctx", "tables"), "ctx", frequent), parents.select("w", "guests", "top"), "w", frequent)
+            state = materialize(joined.mapInArrow(seated(parent_tables, all_guests, words, 2 * sweep + 1, sampled), state.schema), "state")
+            for df in old:
+                remove(df)
+    rows = state.select("ctx", "w", "c", (F.col("seated") + F.col("t")).alias("seated"))
+    rows = rows.unionByName(pairs.where("c < 2").select("ctx", "w", "c", (F.col("c") * SAMPLES).alias("seated")))
+    joined = attach(rows, contexts.select("ctx", "all", F.col("past").alias("tables")), "ctx", frequent)
+    joined = attach(joined, parents.select("w", "known", F.col("past").alias("shares")), "w", frequent)
+    shared = sum((STRENGTH + DISCOUNT * F.col("tables")[i]) * F.col("shares")[i] for i in range(SAMPLES))
+    p = (F.col("c") * SAMPLES - DISCOUNT * F.col("seated") + shared) / (STRENGTH + F.col("all")) / SAMPLES
+    chances = materialize(joined.select("ctx", "w", p.alias("p"), "known"), "chances")
+    for df in [*old, pairs, contexts, parents]:
+        remove(df)
+    return chances, total, words
 
 
 def seated_parents(parent_tables: int, words: int, salt: int):
@@ -323,24 +347,24 @@ def seated_parents(parent_tables: int, words: int, salt: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in in_lots(batches, PAIRS):
-            w, _, guests, top = (x.to_numpy() for x in lot.columns)
+            w, guests, top = (lot.column(i).to_numpy() for i in (0, 4, 5))
             top = seat(guests, word_weight(parent_tables - top, words), mix(w.view(np.uint64)), salt).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(top)], ["w", "known", "guests", "top"])
+            yield pa.RecordBatch.from_arrays([*lot.columns[:5], pa.array(top)], ["w", "known", "ones", "past", "guests", "top"])
 
     return run
 
 
 def seated(parent_tables: int, all_guests: int, words: int, salt: int, sampled: bool):
-    """A sweep: the tables of each pair drawn anew; with ``sampled`` the probability under those before is added to ``p``."""
+    """A sweep: the tables of each pair drawn anew; with ``sampled`` those before are added to ``seated``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in in_lots(batches, PAIRS):
-            ctx, w, c, t, _, p, all_, tables, _, guests, top, share = (x.to_numpy() for x in lot.columns)
+            ctx, w, c, t, before, tables, guests, top = (x.to_numpy() for x in lot.columns)
             if sampled:
-                p = p + (c - DISCOUNT * t + (STRENGTH + DISCOUNT * tables) * share) / (STRENGTH + all_)
+                before = before + t
             of = dish_weight(tables - t, guests - t, all_guests - t, parent_tables - top, words)
             t = seat(c, of, mix(mix(w.view(np.uint64)) + ctx.view(np.uint64)), salt).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(t), pa.array(top), pa.array(p)], ["ctx", "w", "c", "t", "of_word", "p"])
+            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(t), pa.array(before)], ["ctx", "w", "c", "t", "seated"])
 
     return run
 
