@@ -76,7 +76,9 @@ FIELDS = ["ticker", "date", "close", "adj_close", "volume"]
 def cells(line: Column, separator: Column) -> Column:
     """The fields of a line, without blanks and quotes at their ends; a separator within quotes is part of a field."""
     parts = F.split(line, F.concat(F.lit("["), separator, F.lit('](?=(?:[^"]*"[^"]*")*[^"]*$)')))
-    return F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', "")))
+    quoted = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', "")))
+    plain = F.transform(F.split(line, F.concat(F.lit("["), separator, F.lit("]"))), lambda x: F.trim(x))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
 def layouts_of(headers: DataFrame, spark: SparkSession, layouts: dict | None = None) -> DataFrame:
@@ -107,24 +109,29 @@ def sniffed_prices(spark: SparkSession, path: str, glob: str = "*.csv") -> DataF
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i")).where(F.trim("value") != "")
     headers = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "i").alias("header"))  # combined where the lines are
-    found = lines.join(F.broadcast(layouts_of(headers, spark)), "file").where(F.col("value") != F.col("header"))  # a row a file
-    parts = cells(F.col("value"), F.col("separator"))
+    named = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
+    told = layouts_of(headers, spark).withColumns({"_f": F.monotonically_increasing_id(), "_named": F.when(~F.coalesce(F.array_contains("names", "ticker"), F.lit(False)), named)})
+    found = lines.join(F.broadcast(told), "file").where(F.col("value") != F.col("header"))  # a row a file
+    # A generated column is built once a line; a projected one would be built anew wherever a later column or filter names it.
+    once = lambda c: F.explode(F.array(c))
+    parts = once(cells(F.col("value"), F.col("separator")))
     field = lambda name: F.nullif(F.try_element_at("_parts", F.nullif(F.array_position("names", F.lit(name)), F.lit(0)).cast("int")), F.lit(""))
     number = lambda c: finite(F.when(F.col("decimal") == ",", F.translate(F.regexp_replace(c, r"\.", ""), ",", ".")).otherwise(F.col(c)).try_cast("double"))
-    named = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
-    has_ticker = F.exists(F.col("names"), lambda x: x == "ticker")
-    rows = found.withColumn("_parts", parts).select("file", "layout", "missing", "pattern", "decimal", "at", "i", has_ticker.alias("_own"), *[field(c).alias(c) for c in FIELDS])
+    # A pattern that is a column would be built anew for each line; no pattern has a date without a digit.
+    dated = F.lit(None).cast("timestamp")
+    for pattern in sorted({layout[1] for layout in LAYOUTS.values()}):
+        dated = F.when((F.col("pattern") == pattern) & F.col("date").rlike("[0-9]"), F.try_to_timestamp("date", F.lit(pattern))).otherwise(dated)
+    rows = found.withColumn("_parts", parts).withColumn("_v", once(F.struct(*[field(c).alias(c) for c in FIELDS]))).select("file", "_f", "layout", "missing", "pattern", "decimal", "at", "i", "_named", "_v.*")
     close, adjusted = number("close"), number("adj_close")
     rows = rows.select(
-        "file", "layout", "missing", "at", "i", F.upper(F.when(F.col("_own"), F.col("ticker")).otherwise(named)).alias("ticker"),
-        F.to_date(F.try_to_timestamp("date", F.col("pattern"))).alias("date"), F.coalesce(close, adjusted).alias("close"), F.coalesce(adjusted, close).alias("adj_close"), number("volume").alias("volume"),
+        "file", "_f", "layout", "missing", "at", "i", F.upper(F.coalesce("_named", "ticker")).alias("ticker"),
+        F.to_date(dated).alias("date"), F.coalesce(close, adjusted).alias("close"), F.coalesce(adjusted, close).alias("adj_close"), number("volume").alias("volume"),
     )
     bad = (
         F.when(F.col("layout").isNull(), F.concat(F.lit("unknown_layout:"), "missing")).when(F.col("ticker").isNull(), "no_ticker").when(F.col("date").isNull(), "bad_date")
         .when(F.col("adj_close").isNull(), "bad_price").when(F.col("adj_close") <= 0, "not_positive")
     )
-    rows = rows.withColumn("_bad", bad)
-    again = F.row_number().over(Window.partitionBy("file", "ticker", "date").orderBy("at", "i")) > 1
-    good = rows.where("_bad is null").withColumn("reason", F.when(again, "repeated"))
-    every = good.unionByName(rows.where("_bad is not null").withColumn("reason", F.col("_bad")))
-    return every.select("file", "layout", *FIELDS, "reason")
+    # Lines that can't be used are no one's repetition: each is a group of its own.
+    rows = rows.withColumn("_bad", once(bad)).withColumn("_alone", F.when(F.col("_bad").isNotNull(), F.col("i")))
+    again = F.row_number().over(Window.partitionBy("_f", "ticker", "date", "_alone").orderBy("at", "i")) > 1
+    return rows.withColumn("reason", F.coalesce("_bad", F.when(again, "repeated"))).select("file", "layout", *FIELDS, "reason")

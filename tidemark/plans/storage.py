@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import files as FI
 from tidemark.operators import storage as ST
-from tidemark.plans.base import prices, register, scratch
+from tidemark.plans.base import once, prices, register, scratch
 from tidemark.sources import panels
 from tidemark.streaming import ingest
 
@@ -84,7 +84,7 @@ def s6_sniffed(spark, sf):
         5: (",", {"ticker": F.col("ticker"), "when": day("yyyy-MM-dd"), "Close": bad(close)}),
     }
     for kind, (sep, columns) in forms.items():
-        rows = px.where(F.col("entity") % 6 == kind).coalesce(1).sortWithinPartitions("date", "entity").select(*[c.alias(name) for name, c in columns.items()])
+        rows = px.where(F.col("entity") % 6 == kind).repartitionByRange("date").sortWithinPartitions("date", "entity").select(*[c.alias(name) for name, c in columns.items()])
         rows.write.option("header", True).option("sep", sep).csv(f"{at}/kind={kind}")
     found = FI.sniffed_prices(spark, at)
     # Two files have no column for tickers; their names, which Spark makes up, stand for it.
