@@ -27,3 +27,12 @@ def test_lines_are_parsed_once_by_constant_patterns(spark, tmp_path):
     assert sorted(got, key=key) == sorted(want, key=key)
     plan = plan_of(found)
     assert "Union" not in plan and not re.search(r"gettimestamp\([^,]*, pattern#", plan)
+
+
+def test_next_row_is_found_in_one_pass(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 2), ("a", 5), ("a", None), ("b", 1), (None, 1)], "e string, t int")
+    right = spark.createDataFrame([("a", 2, 2.0), ("a", 4, 4.0), ("a", 5, 5.0), ("c", 9, 9.0)], "e string, u int, v double")
+    found = J.next_after(left, right, "e", "t", "u", ["v"])
+    got = {(r.e, r.t): (r.u, r.v) for r in found.collect() if r.t is not None}
+    assert got == {("a", 1): (2, 2.0), ("a", 2): (4, 4.0), ("a", 5): (None, None), ("b", 1): (None, None), (None, 1): (None, None)}
+    assert "unboundedfollowing" not in plan_of(found).lower()
