@@ -131,16 +131,21 @@ def v3(spark, sf):
     return scored_by_fold(spark, sf, df.join(keep, ["entity", "t"]), [*lags, "vol", "gap"], rounds=20, depth=3)
 
 
+def by_year(spark, sf):
+    """Scores and outcomes with their year as fold, written once: each fold's fit reads them again."""
+    return once(eligible(spark, sf).select("entity", "t", "mom", (F.col("fwd") > 0).alias("y"), F.floor(F.col("t") / 12).cast("int").alias("fold")), "by-year")
+
+
 @register("q2_calibrated", "SELECT t // 12 AS fold, count(*) AS n FROM el GROUP BY 1", "")
 def q2(spark, sf):
-    df = eligible(spark, sf).select("entity", "t", "mom", (F.col("fwd") > 0).alias("y"), F.floor(F.col("t") / 12).cast("int").alias("fold"))
+    df = by_year(spark, sf)
     p = M.calibrated(df, "mom", "y", 30)
     return p.where("p between 0 and 1").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("q2_rank_fallback", "SELECT entity, t, row_number() OVER (ORDER BY mom, entity) / (count(*) OVER () + 1) AS p, 'rank' AS kind FROM (SELECT * FROM el WHERE t // 12 = (SELECT min(t // 12) FROM el))", "p")
 def q2_first(spark, sf):
-    df = eligible(spark, sf).select("entity", "t", "mom", (F.col("fwd") > 0).alias("y"), F.floor(F.col("t") / 12).cast("int").alias("fold"))
+    df = by_year(spark, sf)
     first = F.broadcast(df.agg(F.min("fold").alias("first")))
     return M.calibrated(df, "mom", "y", 30).crossJoin(first).where("fold = first").select("entity", "t", "p", "kind")
 
