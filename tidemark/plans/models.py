@@ -97,7 +97,7 @@ def m11(spark, sf):
 
 def scored_by_fold(spark, sf, df, columns, **kw):
     """Test rows of every fold, scored by the trees of its own training rows; a fold is one fit of Spark ML."""
-    rows = M.assigned(df.select("entity", "t", "fwd", *columns), folds(spark, sf))
+    rows = once(M.assigned(df.select("entity", "t", "fwd", *columns), folds(spark, sf)), "boosted")
     ids = sorted(r.fold for r in folds(spark, sf).select("fold").collect())  # folds, not rows
     parts = [M.boosted(rows.where(F.col("fold") == f), columns, "fwd", **kw).select("fold", "entity", "t", "score") for f in ids]
     return reduce(lambda x, y: x.unionByName(y), parts)
