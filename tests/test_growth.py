@@ -36,3 +36,19 @@ def test_next_row_is_found_in_one_pass(spark):
     got = {(r.e, r.t): (r.u, r.v) for r in found.collect() if r.t is not None}
     assert got == {("a", 1): (2, 2.0), ("a", 2): (4, 4.0), ("a", 5): (None, None), ("b", 1): (None, None), (None, 1): (None, None)}
     assert "unboundedfollowing" not in plan_of(found).lower()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 50, 101])
+def test_places_within_bounds(spark, n):
+    bounds = [3 * i for i in range(n)]
+    df = spark.createDataFrame([(i,) for i in range(-2, 3 * n + 3)] + [(None,)], "x int").withColumn("p", J.place_in(bounds, "int", F.col("x")))
+    assert all(r.p == bisect.bisect_left(bounds, r.x) for r in df.collect() if r.x is not None)
+
+
+def test_ranged_joins_size_their_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(J, "TASK_ROWS", 10)
+    left = spark.createDataFrame([(i % 7, i) for i in range(95)], "e int, t int")
+    right = spark.createDataFrame([(i % 7, i, float(i)) for i in range(95)], "e int, u int, v double")
+    for rows in (1000, 20):
+        found = J.asof_ranged(left, right, ["e"], "t", "u", ["v"], rows)
+        assert "RepartitionByExpression [_e" in plan_of(found) and {(r.t, r.u) for r in found.collect()} == {(i, i) for i in range(95)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import calibration as Q
-from tidemark.plans.base import eligible, register
+from tidemark.plans.base import eligible, once, register
 
 #: Momentum in thousandths against a rising price, in years as folds. Blocks by the max-min formula: the largest, over starts, of the least mean to any later end.
 SCORED = "(SELECT entity, t, CAST(t // 12 AS INT) AS fold, CAST(round(mom * 1000) AS INT) AS s, (fwd > 0)::INT AS y FROM el)"
@@ -19,7 +19,7 @@ fit AS (SELECT l.fold, c.s, max(l.m) AS v, any_value(c.y) AS y, any_value(c.w) A
 
 def scored(spark, sf):
     s = F.round(F.col("mom") * 1000).cast("int")
-    return eligible(spark, sf).select("entity", "t", F.floor(F.col("t") / 12).cast("int").alias("fold"), s.alias("s"), (F.col("fwd") > 0).cast("int").alias("y"))
+    return once(eligible(spark, sf).select("entity", "t", F.floor(F.col("t") / 12).cast("int").alias("fold"), s.alias("s"), (F.col("fwd") > 0).cast("int").alias("y")), "scored")
 
 
 @register("q1_isotonic_prior_folds", f"WITH {FITTED} SELECT fold, CAST(min(s) AS DOUBLE) AS low, CAST(max(s) AS DOUBLE) AS high, sum(y) / sum(w) AS mean, CAST(sum(w) AS BIGINT) AS rows FROM (SELECT *, round(v, 12) AS r FROM fit) GROUP BY fold, r", "low high mean")
