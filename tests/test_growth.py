@@ -52,3 +52,12 @@ def test_ranged_joins_size_their_tasks_by_rows(spark, monkeypatch):
     for rows in (1000, 20):
         found = J.asof_ranged(left, right, ["e"], "t", "u", ["v"], rows)
         assert "RepartitionByExpression [_e" in plan_of(found) and {(r.t, r.u) for r in found.collect()} == {(i, i) for i in range(95)}
+
+
+def test_slices_are_dealt_apart(spark):
+    from tidemark.operators import evaluate
+
+    df = spark.createDataFrame([(t, e, float(e % 4), 0.1 * e) for t in range(3) for e in range(10)], "t int, entity int, a double, y double")
+    report = evaluate.slice_report(df.repartition("t"), {"all": F.lit("all"), "half": F.when(F.col("entity") < 5, "low")}, "a", "y")
+    assert "RepartitionByExpression [kind" in plan_of(report)
+    assert {(r.kind, r.slice, r.rows, r.dates) for r in report.collect()} == {("all", "all", 30, 3), ("half", "low", 15, 3)}

@@ -260,6 +260,10 @@ def plateau(cells: DataFrame, x: str = "spread", band: float = 0.2) -> DataFrame
     return held.agg(F.count(x).alias("cells"), F.min(x).alias("least"), F.max(x).alias("best"), F.percentile(x, F.lit(0.5)).alias("median"), (F.max(x) - F.min(x)).alias("range"), F.avg(F.col("_ok").cast("double")).alias("plateau_ratio"), F.sum(F.col("peak").cast("int")).alias("peaks"))
 
 
+#: Tasks over which slices by date are dealt; Spark sizes tasks by compressed bytes, and these rows grow manifold when they are read.
+SLICE_TASKS = 200
+
+
 def slice_report(df: DataFrame, slices: dict[str, Column], x: str, y: str, q: float = 0.2, date: str = "t", entity: str = "entity") -> DataFrame:
     """``kind, slice, rows, dates, mean_ic, t_stat, hit, spread`` of a signal within slices (kind: name of a row's slice), all in one pass.
 
@@ -269,8 +273,9 @@ def slice_report(df: DataFrame, slices: dict[str, Column], x: str, y: str, q: fl
     parts = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("slice")) for k, c in slices.items()])
     long = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(date, entity, F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(parts).alias("s")).select(date, entity, "_x", "_y", "s.*").where("slice is not null")
     keys = ("kind", "slice", date)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = long.select(*keys, "_y", average_rank("_x", *keys).alias("_a"), average_rank("_y", *keys).alias("_b"), ordinal_rank("_x", entity, *keys).alias("_i"), n.alias("_n"))
+    # A slice's month is dealt as such, not with its date's other slices. Places by score and name come first: all that goes by score then needs no sort of its own.
+    placed = long.repartition(SLICE_TASKS, *keys).withColumn("_i", ordinal_rank("_x", entity, *keys)).drop(entity)
+    ranked = placed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("_a", average_rank("_x", *keys)).drop("_x").withColumn("_b", average_rank("_y", *keys))
     k = F.greatest(F.lit(1), F.floor(F.col("_n") * q + 1e-9))
     dates = ranked.groupBy(*keys).agg(
         F.first("_n").alias("n"), F.round(safe_corr("_a", "_b"), 12).alias("ic"),
