@@ -61,3 +61,8 @@ def test_slices_are_dealt_apart(spark):
     report = evaluate.slice_report(df.repartition("t"), {"all": F.lit("all"), "half": F.when(F.col("entity") < 5, "low")}, "a", "y")
     assert "RepartitionByExpression [kind" in plan_of(report)
     assert {(r.kind, r.slice, r.rows, r.dates) for r in report.collect()} == {("all", "all", 30, 3), ("half", "low", 15, 3)}
+
+
+@pytest.mark.parametrize("name", ["q2_calibrated", "q2_rank_fallback", "q1_q2_walk_forward_calibrated", "m10_boosted_stumps", "v3_boosted_lags", "s14_footer_inventory", "s6_sniffed_folder"])
+def test_panels_are_built_once(spark, name):
+    assert "l_suppkey" not in plan_of(QUERIES[name](spark, f"{DATA}/sf0.001"))

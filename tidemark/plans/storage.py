@@ -56,9 +56,10 @@ def s16_stored(spark, sf):
 def s14_footers(spark, sf):
     """A folder of four files, two of them equal, from their footers alone."""
     at = scratch(spark, "folder")
-    px = panels.daily_prices(spark, sf).select("entity", "date", "close", "n")
+    # Sorted by ranges and written once, so the one task of a file passes rows on and sorts none; equal files read the same rows in the same order.
+    px = once(panels.daily_prices(spark, sf).select("entity", "date", "close", "n").repartitionByRange("entity", "date").sortWithinPartitions("entity", "date"), "daily")
     for folder, part in (("part=0", 0), ("part=1", 1), ("part=2", 2), ("again", 0)):
-        px.where(F.col("entity") % 3 == part).coalesce(1).sortWithinPartitions("entity", "date").write.parquet(f"{at}/{folder}")
+        px.where(F.col("entity") % 3 == part).coalesce(1).write.parquet(f"{at}/{folder}")
     found = FI.footer_inventory(spark, at, "date")
     return found.select(F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1).alias("folder"), "rows", "first", "last", "nulls", F.col("copies").cast("int").alias("copies"), "columns")
 
@@ -69,9 +70,9 @@ KIND = "CASE entity % 6 WHEN 0 THEN 'symbol_adjusted' WHEN 1 THEN 'title_case' W
 
 @register("s6_sniffed_folder", f"SELECT layout, CASE WHEN entity % 6 IN (1, 5) THEN NULL ELSE 'S' || entity END AS ticker, reason, count(*) AS n, CAST(sum(CASE WHEN reason IS NULL THEN CAST(round(close * 10000) AS BIGINT) END) AS BIGINT) AS total FROM (SELECT entity, close, {KIND} AS layout, CASE WHEN entity % 6 = 5 THEN 'unknown_layout:date' WHEN n % 5 = 4 THEN 'bad_date' WHEN n % 5 = 3 THEN 'bad_price' WHEN n % 5 = 2 THEN 'not_positive' WHEN entity % 6 = 1 AND row_number() OVER (PARTITION BY entity % 6, date, n % 5 < 2 ORDER BY entity) > 1 THEN 'repeated' END AS reason FROM px_d) GROUP BY 1, 2, 3", "")
 def s6_sniffed(spark, sf):
-    """One read of a folder of files of five layouts and one unknown."""
+    """One read of a folder of files of five layouts and one unknown; a day's rows of a layout are in one file."""
     at = scratch(spark, "mixed")
-    px = panels.daily_prices(spark, sf).withColumn("ticker", F.concat(F.lit(" s"), F.col("entity").cast("string")))
+    px = once(panels.daily_prices(spark, sf).select("entity", "date", "close", "n"), "daily").withColumn("ticker", F.concat(F.lit(" s"), F.col("entity").cast("string")))
     bad = lambda c: F.when(F.col("n") % 5 == 3, "none").when(F.col("n") % 5 == 2, "-1").otherwise(c)
     close = F.col("close").cast("string")
     day = lambda pattern: F.when(F.col("n") % 5 == 4, "soon").otherwise(F.date_format("date", pattern))
