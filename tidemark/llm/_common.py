@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,66 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all 64 bits, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+#: A random number for each byte, the same for a letter A-Z and its lower case, and for each place in a word.
+LETTERS = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+PLACES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, lower-cased A-Z, of texts that lie one after another in ``data`` (UTF-8) between ``edges``; and the words of each text."""
+    before = np.append(True, IS_BLANK[data[:-1]])
+    before[edges[:-1][edges[:-1] < len(data)]] = True
+    inside = np.flatnonzero(~IS_BLANK[data])
+    heads = np.flatnonzero(before[inside]) if len(inside) else inside
+    if not len(heads):
+        return np.zeros(0, np.uint64), np.zeros(len(edges) - 1, np.int64)
+    sizes = np.diff(np.append(heads, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(heads, sizes)
+    most = int(sizes.max())
+    places = PLACES if most <= len(PLACES) else mixed(np.arange(1, most + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    hashes = mixed(np.add.reduceat(LETTERS[data[inside]] * places[place], heads))
+    return hashes, np.diff(np.searchsorted(inside[heads], edges))
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts without nulls, and the edges of each."""
+    column = column.cast(pa.large_binary())
+    _, edges, data = column.buffers()
+    edges = np.frombuffer(edges, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), edges
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one value: whole numbers in the least type that holds them, all byte by byte, compressed."""
+    out = []
+    for a in arrays:
+        a = np.asarray(a)
+        if a.dtype.kind != "f":
+            a = a.view(np.uint64) if a.dtype == np.int64 else a
+            a = a.astype(np.min_scalar_type(a.max())) if a.size else a.astype(np.uint8)
+        out.append((a.dtype.str, a.size, np.ascontiguousarray(a).view(np.uint8).reshape(a.size, -1).T.tobytes() if a.size else b""))
+    data = pickle.dumps(out)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """What ``pack`` was given: 64-bit whole numbers, and floats."""
+    out = []
+    for kind, n, planes in pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)):
+        kind = np.dtype(kind)
+        a = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+        out.append(a if kind.kind == "f" else a.view(np.int64) if kind.itemsize == 8 else a.astype(np.int64))
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

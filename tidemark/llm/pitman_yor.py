@@ -13,13 +13,17 @@ whose own tables for the word are summed out. All dishes of a sweep are drawn
 at once, so they see one another as they were before it. Predictive
 probabilities are averaged over the last states.
 
-A sweep is a pass over the pairs of context and word that were seen twice or
-more (a single customer has one table): its dishes' tables are written, and the
-next sums them by context and by word. So all probabilities of a state come from
-the tables of that state, and sum to one; those of the last states are kept as a
-list by context and by word, and meet the pairs once. Sums are combined within
-tasks first; those of the bounded number of words with a fixed share of
-all tokens are joined by broadcast, and their pairs are spread over all tasks.
+Texts are read in chunks. A chunk sends its pairs, and which texts have them, to
+parts by context (those of frequent words by context and word), where equal pairs
+are counted; a word's totals are kept in parts by word. A sweep passes over the
+pairs that were seen twice or more (a single customer has one table): a part of
+words adds the tables that it was sent and seats the parent, then tells the parts
+of pairs, in the order in which they first named their words; those seat their
+dishes and send the new tables. All messages of a sweep go by one shuffle either
+way, and are as long as the words of the parts. So all probabilities of a state
+come from the tables of that state, and sum to one. After the last each part adds
+up what its pairs score by text. Only the totals of the frequent words' own
+restaurants, at most 1,000, and of the parent pass the driver.
 """
 
 from __future__ import annotations
@@ -31,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, materialize, table, text_of, words_of
+from ._common import bytes_of, materialize, pack, table, text_of, unpack, word_hashes
 from .near_dedup import mix
 
-#: A frequent word has at least this share of the training tokens; so there are at most 1,000.
+#: A frequent word has at least this share of the tokens; so there are at most 1,000.
 FREQUENT_SHARE = 0.001
-#: Tokens that a worker indexes, pairs that it seats, and postings whose scores it sums by text, at a time.
-TOKENS, PAIRS, SUMMED = 1_000_000, 200_000, 65_536
+#: Tokens that a worker pairs at a time, bytes of text that it hashes at a time, and the least and the most tokens of a part, of which there are 32 between.
+TOKENS, HASHED, LEAST, MOST = 2_000_000, 1 << 20, 100_000, 2_000_000
 #: Discount and strength of the restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 3, 5
@@ -175,6 +179,22 @@ def log_parent(others: float, words: int) -> np.ndarray:
     return out
 
 
+def log_parents(others: np.ndarray, words: int) -> np.ndarray:
+    """``log_parent`` of each of ``others``, by the weights of the largest times what each number of tables weighs less."""
+    t = np.arange(1.0, EXACT + 1)
+    rising = lambda x: log_rising(np.asarray(STRENGTH + DISCOUNT * x, float)[..., None], t, DISCOUNT)
+    ref = others.max()
+    weights = SEATINGS[1:, 1:] + (rising(ref) - t * np.log(words + 1))[None, :]
+    most = weights.max(1)
+    less = rising(others) - rising(ref)
+    out = np.zeros((len(others), EXACT + 1))
+    near = less.min(1) > -200
+    out[near, 1:] = most + np.log(np.exp(less[near]) @ np.exp(weights - most[:, None]).T)
+    for i in np.flatnonzero(~near).tolist():
+        out[i] = log_parent(others[i], words)
+    return out
+
+
 def guest_weight(parents: np.ndarray, kind: np.ndarray, guests: np.ndarray) -> np.ndarray:
     """Row ``kind`` of ``parents`` at any number of guests: beyond its end, the tables of a word hardly change, and each guest weighs one more than the last."""
     beyond = np.maximum(guests - EXACT, 0.0)
@@ -182,6 +202,11 @@ def guest_weight(parents: np.ndarray, kind: np.ndarray, guests: np.ndarray) -> n
     return parents[kind, np.minimum(guests, EXACT).astype(np.int64)] + np.where(beyond > 0, log_rising(step + 1, beyond), 0.0)
 
 
+def counts_up(t: np.ndarray) -> bool:
+    """Whether ``t`` is one row 1, 2, 3 and so on, whose weights are sums of what each table adds."""
+    return len(t) == 1 and np.array_equal(t[0], np.arange(1, t.shape[1] + 1))
+
+
 def dish_weight(tables: np.ndarray, guests: np.ndarray, all_guests: np.ndarray, others: np.ndarray, words: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Log weight of t tables of a dish, given what there is without it.
 
@@ -190,11 +215,20 @@ def dish_weight(tables: np.ndarray, guests: np.ndarray, all_guests: np.ndarray,
     ``others`` among the ``words``.
     """
     values, kinds = np.unique(others, return_inverse=True)
-    parents = np.array([log_parent(x, words) for x in values.tolist()]).reshape(-1, EXACT + 1)
+    parents = log_parents(values, words) if len(values) else np.zeros((0, EXACT + 1))
+    gains, steps = np.diff(parents, axis=1), np.exp(parents[:, EXACT] - parents[:, EXACT - 1])
 
     def of(at: np.ndarray, t: np.ndarray) -> np.ndarray:
         own, sent, every = (x[at].astype(np.float64)[:, None] for x in (tables, guests, all_guests))
         kind = kinds[at][:, None]
+        if counts_up(t):
+            i = t - 1
+            before = sent + i
+            gain = gains[kind, np.minimum(before, EXACT - 1).astype(np.int64)]
+            beyond = before >= EXACT
+            if beyond.any():
+                gain = np.where(beyond, np.log(steps[kind] + np.maximum(before - EXACT, 0) + 1), gain)
+            return np.cumsum(np.log((STRENGTH + DISCOUNT * (own + i)) / (STRENGTH + every + i)) + gain, 1)
         return log_rising(STRENGTH + DISCOUNT * own, t, DISCOUNT) + guest_weight(parents, kind, sent + t) - guest_weight(parents, kind, sent) - log_rising(STRENGTH + every, t)
 
     return of
@@ -202,84 +236,294 @@ def dish_weight(tables: np.ndarray, guests: np.ndarray, all_guests: np.ndarray,
 
 def word_weight(others: np.ndarray, words: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Log weight of t tables of a word at the parent, which has ``others`` for the other words."""
-    return lambda at, t: log_rising(STRENGTH + DISCOUNT * others[at].astype(np.float64)[:, None], t, DISCOUNT) - t * np.log(words + 1)
 
+    def of(at: np.ndarray, t: np.ndarray) -> np.ndarray:
+        own = others[at].astype(np.float64)[:, None]
+        if counts_up(t):
+            return np.cumsum(np.log((STRENGTH + DISCOUNT * (own + t - 1)) / (words + 1)), 1)
+        return log_rising(STRENGTH + DISCOUNT * own, t, DISCOUNT) - t * np.log(words + 1)
 
-def flat(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False)
+    return of
+
+
+END = np.uint64(0x2545F4914F6CDD1D)
+#: Rows that travel between parts: ``src`` is the sender, ``a`` and ``b`` are packed arrays, ``x`` and ``y`` totals.
+MESSAGE = "part int, kind string, src bigint, a binary, b binary, x bigint, y bigint"
+COLUMNS = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("src", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("x", pa.int64()), ("y", pa.int64())])
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """A row per text (``row, doc_id, held_out, n_tokens``), and rows per pair with its training tokens, and the texts that have it."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["ctx", "w", "row", "doc_id", "held_out", "n_tokens", "c", "rows", "n"]
+    """``ctx, w, c``: pairs of neighbouring tokens, with their training tokens, of texts given as hashes ``h``; all texts end alike, so the first word's context is the end."""
+    ctx = F.concat(F.slice("h", -1, 1), F.slice("h", 1, F.size("h") - 1))
+    pairs = docs.select("held_out", F.explode(F.arrays_zip(ctx.alias("ctx"), F.col("h").alias("w"))).alias("x"))
+    return pairs.groupBy("x.ctx", "x.w").agg(F.count_if(~F.col("held_out")).alias("c"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            at = 0
-            sizes = np.cumsum(pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOKENS - n, "right")))
-                held.append(batch.slice(at, to - at))
-                n += int(sizes[to - 1] - (sizes[at - 1] if at else 0))
-                at = to
-                if n >= TOKENS:
-                    yield from made(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                    held, n = [], 0
-        if held:
-            yield from made(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-    def made(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, words = batch.column(0).to_numpy(), flat(batch.column(3))
-        sizes = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
-        none = lambda n, t: pa.nulls(n, t)
-        big, many, few = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays([none(n, big), none(n, big), *batch.columns[:3], pa.array(sizes), none(n, big), none(n, many), none(n, few)], columns)
-        # All texts end alike, so the first word's context is the end of a text.
-        ctx, text = np.roll(words, 1), np.repeat(np.arange(len(rows)), sizes)
-        order = np.lexsort((text, words, ctx))
-        ctx, words, text = ctx[order], words[order], text[order]
-        pair = np.append(True, (ctx[1:] != ctx[:-1]) | (words[1:] != words[:-1]))
-        first = np.flatnonzero(pair | np.append(True, text[1:] != text[:-1]))
-        counts, heads = np.diff(np.append(first, len(words))), np.flatnonzero(pair)
-        edges = pa.array(np.append(np.searchsorted(first, heads), len(first)), pa.int32())
-        train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        c = np.add.reduceat(train[text].astype(np.int64), heads)
-        n = len(heads)
-        for at in range(0, n, SUMMED):
-            k = slice(at, at + SUMMED)
-            own = edges[at : at + SUMMED + 1]
-            lists = [pa.ListArray.from_arrays(own, pa.array(x, t)) for x, t in ((rows[text[first]], big), (counts, pa.int32()))]
-            size = len(own) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(ctx[heads[k]]), pa.array(words[heads[k]]), none(size, big), none(size, batch.schema.types[1]), none(size, pa.bool_()), none(size, big), pa.array(c[k]), *lists], columns)
-
-    schema = f"ctx bigint, w bigint, row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, c bigint, rows array<bigint>, n array<int>"
-    return docs.select("row", "doc_id", "held_out", "h").mapInArrow(run, schema)
-
-
-def in_lots(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
+
+def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Chunks of whole texts of about ``TOKENS`` tokens: their rows without ``t``, the tokens' hashes, and the tokens of each text."""
+    rows, words, sizes, n = [], [], [], 0
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= least:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def attach(pairs: DataFrame, sums: DataFrame, key: str, frequent: list[int]) -> DataFrame:
-    """``pairs`` with the columns of ``sums`` by ``key``: those of frequent words by broadcast, their pairs spread over all tasks."""
-    often = F.col(key).isin(frequent)
-    names = [c for c in sums.columns if c != key]
-    few = F.broadcast(sums.where(often).select(F.col(key).alias("_few"), *[F.col(c).alias(f"_{c}") for c in names]))
-    rest = sums.where(~often).select(F.col(key).alias("_rest"), *names)
-    spread = pairs.withColumn("_often", often).withColumn("_key", F.when(often, F.xxhash64("ctx", "w")).otherwise(F.col(key)))
-    joined = spread.join(rest, (F.col("_key") == F.col("_rest")) & ~F.col("_often"), "left").join(few, F.col(key) == F.col("_few"), "left")
-    return joined.select(*pairs.columns, *[F.coalesce(c, f"_{c}").alias(c) for c in names])
+        data, edges = bytes_of(batch.column(batch.num_columns - 1))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + HASHED, "right")) - 1)
+            w, size = word_hashes(data[edges[at] : edges[to]], edges[at : to + 1] - edges[at])
+            words.append(np.insert(w, np.cumsum(size), END))
+            sizes.append(size + 1)
+            rows.append(batch.slice(at, to - at).select(batch.schema.names[:-1]))
+            n += len(words[-1])
+            at = to
+            if n >= TOKENS:
+                yield pa.Table.from_batches(rows), np.concatenate(words), np.concatenate(sizes)
+                rows, words, sizes, n = [], [], [], 0
+    if rows:
+        yield pa.Table.from_batches(rows), np.concatenate(words), np.concatenate(sizes)
+
+
+def placing(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of parts, and the frequent words. Both only say where the work is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, _ in tokens(batches):
+            found, n = np.unique(words, return_counts=True)
+            often = n >= FREQUENT_SHARE * len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *found[often].view(np.int64).tolist()], pa.int64()), pa.array([len(words), *n[often].tolist()], pa.int64())], ["w", "n"])
+
+    counts = texts.select("t").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.col("w").isNull().desc(), F.col("n").desc()).limit(1 + round(1 / FREQUENT_SHARE)).collect()
+    total = top[0].n if top else 0
+    return parts_of(total), np.array(sorted(r.w % (1 << 64) for r in top[1:] if r.n >= FREQUENT_SHARE * total), np.uint64)
+
+
+def parts_of(total: int) -> int:
+    return max(1, -(-total // min(max(total // 32, LEAST), MOST)))
+
+
+def among(keys: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``keys`` are in ``some`` (sorted), and where."""
+    at = np.minimum(np.searchsorted(some, keys), max(len(some) - 1, 0))
+    return some[at] == keys if len(some) else np.zeros(len(keys), bool), at
+
+
+def sending(ctx: np.ndarray, w: np.ndarray, c: np.ndarray, parts: int, hot: np.ndarray, src: int, posts: tuple[np.ndarray, ...] | None) -> list[dict]:
+    """A message to each part with its pairs, sorted; with ``posts`` (texts of each pair, then text and tokens of each) also those."""
+    key = mix(ctx)
+    often, _ = among(ctx, hot)
+    key[often] = mix(mix(w[often]) + ctx[often])
+    part = (key % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    ctx, w, c, part = ctx[order], w[order], c[order], part[order]
+    own, starts = np.unique(part, return_index=True)
+    ends = np.append(starts[1:], len(part))
+    if posts:
+        posted, text, n = posts
+        first = (np.cumsum(posted) - posted)[order]
+        posted = posted[order]
+        edges = np.append(0, np.cumsum(posted))
+        at = np.repeat(first - edges[:-1], posted) + np.arange(edges[-1])
+        text, n = text[at], n[at]
+    out = []
+    for p, a, b in zip(own.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        heads = np.flatnonzero(np.append(True, ctx[a + 1 : b] != ctx[a : b - 1]))
+        words, wi = np.unique(w[a:b], return_inverse=True)
+        row = {"part": p, "kind": "pairs", "src": src, "a": pack(ctx[a:b][heads], np.diff(np.append(heads, b - a)), words, wi, c[a:b])}
+        if posts:
+            k = slice(edges[a], edges[b])
+            row["b"] = pack(posted[a:b], text[k], n[k])
+        out.append(row)
+    return out
+
+
+def chunks(texts: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """Of ``row, doc_id, held_out, t``: a row per text, and what each chunk sends to each part."""
+    kind = texts.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, words, sizes in tokens(batches):
+            ids, of = rows["row"].to_numpy(), rows.schema.field("doc_id").type
+            columns = COLUMNS.append(pa.field("doc_id", of)).append(pa.field("held_out", pa.bool_()))
+            none = [pa.nulls(len(ids), t) for t in (pa.binary(), pa.binary(), pa.int64(), pa.int64())]
+            yield from pa.Table.from_arrays([pa.array(ids % parts, pa.int32()), pa.array(["text"] * len(ids)), pa.array(ids), *none, rows["doc_id"], rows["held_out"]], schema=columns).combine_chunks().to_batches()
+            vocabulary, w = np.unique(words, return_inverse=True)
+            v = len(vocabulary)
+            code = np.roll(w, 1) * v + w
+            order = np.argsort(code, kind="stable")
+            code, text = code[order], np.repeat(np.arange(len(ids)), sizes)[order]
+            pair = np.append(True, code[1:] != code[:-1])
+            first = np.flatnonzero(pair | np.append(True, text[1:] != text[:-1]))
+            heads = np.flatnonzero(pair)
+            n, text = np.diff(np.append(first, len(code))), text[first]
+            begins = np.searchsorted(first, heads)
+            train = ~rows["held_out"].to_numpy()
+            c = np.add.reduceat(n * train[text], begins)
+            sent = sending(vocabulary[code[heads] // v], vocabulary[code[heads] % v], c, parts, hot, int(ids[0]), (np.diff(np.append(begins, len(first))), text, n))
+            yield from pa.Table.from_pylist(sent, schema=columns).to_batches()
+
+    return texts.mapInArrow(run, f"{MESSAGE}, doc_id {kind.simpleString()}, held_out boolean")
+
+
+def received(table: pa.Table, kind: str) -> list[dict]:
+    """Rows of a kind, by sender."""
+    rows = table.filter(pa.compute.equal(table["kind"], kind)).select(COLUMNS.names).to_pylist()
+    return sorted(rows, key=lambda r: r["src"])
+
+
+def counting(parts: int, hot: np.ndarray):
+    """A part's pairs, from what the chunks sent: those of all, the texts that have them, what sweeps need, and which words it asks the parts of words about."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, out = table["part"][0].as_py(), []
+        sent = received(table, "pairs")
+        texts = table.filter(pa.compute.equal(table["kind"], "text"))
+        if not sent:
+            return texts
+        lots = [unpack(r["a"]) for r in sent]
+        ctx = np.concatenate([np.repeat(x[0], x[1]) for x in lots]).view(np.uint64)
+        w = np.concatenate([x[2][x[3]] for x in lots]).view(np.uint64)
+        order = np.lexsort((w, ctx))
+        ctx, w = ctx[order], w[order]
+        new = np.append(True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1]))
+        place = np.empty(len(ctx), np.int64)
+        place[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        c = np.add.reduceat(np.concatenate([x[4] for x in lots])[order], heads)
+        ctx, w = ctx[heads], w[heads]
+        ends = np.cumsum([len(x[4]) for x in lots])
+        for r, x, end in zip(sent, lots, ends.tolist(), strict=True):
+            if r["b"] is not None:
+                out.append({"part": part, "kind": "posts", "src": r["src"], "a": pack(np.diff(place[end - len(x[4]) : end], prepend=0)), "b": r["b"]})
+        many = c > 1
+        words, wi = np.unique(w, return_inverse=True)
+        swept = np.bincount(wi[many], minlength=len(words)) > 0
+        home = (mix(words + END) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((words, ~swept, home))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        wi, words, swept, home = rank[wi], words[order], swept[order], home[order]
+        homes, starts = np.unique(home, return_index=True)
+        firsts = np.append(True, ctx[1:] != ctx[:-1])
+        ci, contexts = np.cumsum(firsts) - 1, ctx[firsts]
+        ones = np.bincount(ci[c == 1], minlength=len(contexts))
+        often, _ = among(contexts, hot)
+        needed = np.flatnonzero((np.bincount(ci[many], minlength=len(contexts)) > 0) | often)
+        tables = ones + np.bincount(ci[many], minlength=len(contexts))
+        alls = np.bincount(ci, c, len(contexts)).astype(np.int64)
+        for i in np.flatnonzero(often).tolist():
+            out.append({"part": part, "kind": "hot", "src": int(contexts[i : i + 1].view(np.int64)[0]), "x": int(tables[i]), "y": int(alls[i])})
+        sums, swept_of = np.bincount(wi[many], minlength=len(words)), np.add.reduceat(swept.astype(np.int64), starts)
+        t = np.ones(int(many.sum()), np.int64)
+        state = pack(np.searchsorted(needed, ci[many]), wi[many], c[many], ones[needed], contexts[needed], needed, homes, starts, swept_of)
+        out.append({"part": part, "kind": "state", "src": part, "a": state, "b": pack(t, 0 * t)})
+        posts = sent[0]["b"] is not None
+        out.append({"part": part, "kind": "all", "src": part, "a": pack(contexts, np.diff(np.append(np.flatnonzero(firsts), len(ctx))), wi, c), "b": None if posts else pack(words)})
+        known, single = np.bincount(wi, c, len(words)).astype(np.int64), np.bincount(wi[c == 1], minlength=len(words))
+        for q, a, b, m in zip(homes.tolist(), starts.tolist(), [*starts.tolist(), len(words)][1:], swept_of.tolist(), strict=True):
+            out.append({"part": q, "kind": "ask", "src": part, "a": pack(words[a:b], known[a:b], single[a:b], [m])})
+            out.append({"part": q, "kind": "sums", "src": part, "a": pack(sums[a : a + m])})
+        return pa.concat_tables([texts, pa.Table.from_pylist(out, schema=texts.schema)])
+
+    return run
+
+
+def naming(table: pa.Table) -> pa.Table:
+    """A part of words, from what the parts of pairs ask about."""
+    part, sent = table["part"][0].as_py(), received(table, "ask")
+    lots = [unpack(r["a"]) for r in sent]
+    words, of = np.unique(np.concatenate([x[0] for x in lots]).view(np.uint64), return_inverse=True)
+    known, ones = (np.bincount(of, np.concatenate([x[i] for x in lots]), len(words)).astype(np.int64) for i in (1, 2))
+    a = pack(words, known, ones, of, [r["src"] for r in sent], [len(x[0]) for x in lots], [x[3][0] for x in lots])
+    rows = [{"part": part, "kind": "words", "src": part, "a": a, "b": pack(np.minimum(known, 1))}, {"part": part, "kind": "total", "src": part, "x": int(known.sum()), "y": int((known > 0).sum())}]
+    return pa.Table.from_pylist(rows, schema=COLUMNS)
+
+
+def seated_words(parent_tables: int, words: int, salt: int, sampled: bool, last: bool):
+    """A part of words, with the parent's tables drawn anew given those of the other words; tells the parts of pairs, after the last sweep about all samples."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = received(table, "words")[0]
+        part, (w, known, ones, of, srcs, sizes, swept) = own["part"], unpack(own["a"])
+        top, *past = unpack(own["b"])
+        sent = {r["src"]: unpack(r["a"])[0] for r in received(table, "sums")}
+        asked = dict(zip(srcs.tolist(), zip(np.split(of, np.cumsum(sizes)[:-1]), swept.tolist(), strict=True), strict=True))
+        guests = ones.copy()
+        for src, (at, m) in asked.items():
+            guests[at[:m]] += sent[src]
+        top = seat(guests, word_weight(parent_tables - top, words), mix(w.view(np.uint64)), salt).astype(np.int64)
+        if sampled:
+            past += [guests, top]
+        out = [{"part": part, "kind": "words", "src": part, "a": own["a"], "b": pack(top, *past)}]
+        out.append({"part": part, "kind": "total", "src": part, "x": int(guests.sum()), "y": int(top.sum())})
+        for src, (at, m) in asked.items():
+            told = [known[at], *[x[at] for x in past]] if last else [guests[at[:m]], top[at[:m]]]
+            out.append({"part": src, "kind": "told", "src": part, "a": pack(*told)})
+        return pa.Table.from_pylist(out, schema=COLUMNS)
+
+    return run
+
+
+def tables_of(contexts: np.ndarray, ones: np.ndarray, ci: np.ndarray, t: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Tables of restaurants; those of frequent words have them in all parts."""
+    tables = ones + np.bincount(ci, t, len(contexts)).astype(np.int64)
+    often, at = among(contexts.view(np.uint64), hot[0])
+    tables[often] = hot[1][at[often]]
+    return tables
+
+
+def seated(parent_tables: int, all_guests: int, words: int, salt: int, sampled: bool, hot: tuple[np.ndarray, np.ndarray]):
+    """A part's pairs with their tables drawn anew, sent to the parts of words; with ``sampled`` the tables before are kept."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = received(table, "state")[0]
+        part, (ci, wi, c, ones, contexts, _, homes, starts, swept) = own["part"], unpack(own["a"])
+        t, before, *past = unpack(own["b"])
+        guests, top = np.zeros((2, int((starts + swept).max())), np.int64)
+        begins = dict(zip(homes.tolist(), starts.tolist(), strict=True))
+        for r in received(table, "told"):
+            x, y = unpack(r["a"])
+            a = begins[r["src"]]
+            guests[a : a + len(x)], top[a : a + len(x)] = x, y
+        tables = tables_of(contexts, ones, ci, t, hot)
+        if sampled:
+            before, past = before + t, [*past, tables]
+        if len(t):
+            key = mix(mix(np.arange(len(t), dtype=np.uint64)) + np.uint64(part))
+            of = dish_weight(tables[ci] - t, guests[wi] - t, all_guests - t, parent_tables - top[wi], words)
+            t = seat(c, of, key, salt).astype(np.int64)
+        out = [{"part": part, "kind": "state", "src": part, "a": own["a"], "b": pack(t, before, *past)}]
+        sums = np.bincount(wi, t, len(guests)).astype(np.int64)
+        for q, a, m in zip(homes.tolist(), starts.tolist(), swept.tolist(), strict=True):
+            out.append({"part": q, "kind": "sums", "src": part, "a": pack(sums[a : a + m])})
+        mine = ones + np.bincount(ci, t, len(contexts)).astype(np.int64)
+        for i in np.flatnonzero(among(contexts.view(np.uint64), hot[0])[0]).tolist():
+            out.append({"part": part, "kind": "hot", "src": int(contexts[i]), "x": int(mine[i])})
+        return pa.Table.from_pylist(out, schema=COLUMNS)
+
+    return run
+
+
+def chances(table: pa.Table, hot: tuple[np.ndarray, np.ndarray], hot_all: np.ndarray, parents: list[tuple[int, int]], words: int) -> tuple[np.ndarray, ...]:
+    """A part's pairs in order: context's place, word's place, mean probability, and the word's training tokens; and the contexts."""
+    contexts, sizes, wi, c = unpack(received(table, "all")[0]["a"])
+    own = received(table, "state")[0]
+    ci, _, _, ones_, contexts_, needed, homes, starts, _ = unpack(own["a"])
+    t, before, *past = unpack(own["b"])
+    past = [*past, tables_of(contexts_, ones_, ci, t, hot)]
+    begins = dict(zip(homes.tolist(), starts.tolist(), strict=True))
+    told = sorted(((begins[r["src"]], unpack(r["a"])) for r in received(table, "told")), key=lambda x: x[0])
+    known, *states = (np.concatenate(x) for x in zip(*[x for _, x in told], strict=True))
+    ci = np.repeat(np.arange(len(contexts)), sizes)
+    alls, ones = np.bincount(ci, c, len(contexts)), np.bincount(ci[c == 1], minlength=len(contexts))
+    often, at = among(contexts.view(np.uint64), hot[0])
+    alls[often] = hot_all[at[often]]
+    taken = np.where(c == 1, SAMPLES, 0)
+    taken[c > 1] = before + t
+    shared = 0.0
+    for i, (all_guests, parent_tables) in enumerate(parents):
+        tables = ones.copy()
+        tables[needed] = past[i]
+        share = (states[2 * i] - DISCOUNT * states[2 * i + 1] + (STRENGTH + DISCOUNT * parent_tables) / (words + 1)) / (STRENGTH + all_guests)
+        shared = shared + (STRENGTH + DISCOUNT * tables)[ci] * share[wi]
+    return ci, wi, (c * SAMPLES - DISCOUNT * taken + shared) / (STRENGTH + alls[ci]) / SAMPLES, known[wi], contexts
 
 
 def remove(df: DataFrame) -> None:
@@ -291,99 +535,96 @@ def remove(df: DataFrame) -> None:
     jvm.System.gc()  # Spark deletes shuffle files of plans that are gone
 
 
-def summed(sums: DataFrame, state: DataFrame, key: str, name: str) -> DataFrame:
-    """``sums`` with ``name``: the tables of ``key`` in ``state``, and those of pairs seen once, which have one each."""
-    drawn = state.groupBy(F.col(key).alias("_key")).agg(F.sum("t").alias("_more"))
-    found = sums.join(drawn, F.col(key) == F.col("_key"), "left")
-    return found.select(*[c for c in sums.columns if c != name], (F.col("ones") + F.coalesce("_more", F.lit(0))).alias(name))
+def by_part(name: str, run, *tables: DataFrame) -> DataFrame:
+    """The rows that a step makes of each part's, written."""
+    rows = tables[0].select(COLUMNS.names)
+    for df in tables[1:]:
+        rows = rows.unionByName(df.select(COLUMNS.names))
+    return materialize(rows.groupBy("part").applyInArrow(run, MESSAGE), name)
 
 
-def seatings(pairs: DataFrame) -> tuple[DataFrame, int, int]:
-    """``pairs`` (``ctx, w, c``, one row each) with ``p``, the mean probability of the word after the context, and ``known``, the word's training tokens; the number of those, and of known words.
+def sampled_parts(sent: DataFrame, parts: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame, Callable, int, int]:
+    """All sweeps over what the chunks sent: the parts' pairs and texts, what the last step reads, how it gets probabilities, the number of training tokens, and of known words."""
+    base = materialize(sent.groupBy("part").applyInArrow(counting(parts, hot), sent.schema), "parts")
+    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
 
-    A pair seen once has one table in every state, so sweeps pass over the others only.
-    """
-    pairs = materialize(pairs.select("ctx", "w", "c"), "pairs")
-    zero = F.lit(0).cast("bigint")
-    state = materialize(pairs.where("c > 1").select("ctx", "w", "c", (zero + 1).alias("t"), zero.alias("seated")), "state")
-    ones = F.count_if(F.col("c") == 1).alias("ones")
-    contexts = materialize(pairs.groupBy("ctx").agg(F.sum("c").alias("all"), ones).withColumn("past", F.array().cast("array<bigint>")), "contexts")
-    parents = pairs.groupBy("w").agg(F.sum("c").alias("known"), ones).withColumn("top", F.least("known", F.lit(1)))
-    parents = materialize(parents.withColumn("past", F.array().cast("array<double>")), "parents")
-    total, words = parents.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
-    frequent = [r.w for r in parents.where((F.col("known") > 0) & (F.col("known") >= FREQUENT_SHARE * total)).select("w").collect()]
-    parent_tables, last = words, BURN_IN + SAMPLES - 1
+    def totals(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = sorted((r.src % (1 << 64), r.x, r.y or 0) for r in of(df, "hot").groupBy("src").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect())
+        return tuple(np.array([r[i] for r in found], t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+
+    def total(df: DataFrame) -> tuple[int, int]:
+        return tuple(of(df, "total").agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first())
+
+    state, *tables, hot_all = base, *totals(base)
+    words = by_part("words", naming, of(base, "ask"))
+    tokens_, vocabulary = total(words)
+    parent_tables, parents, last = vocabulary, [], BURN_IN + SAMPLES - 1
     for sweep in range(last + 1):
-        old = [state, contexts, parents]
-        sampled = sweep >= BURN_IN
-        contexts = summed(contexts, state, "ctx", "tables")
-        contexts = materialize(contexts.withColumn("past", F.concat("past", F.array("tables"))) if sampled else contexts, "contexts")
-        parents = summed(parents, state, "w", "guests").select("w", "known", "ones", "past", "guests", "top")
-        parents = materialize(parents.mapInArrow(seated_parents(parent_tables, words, 2 * sweep), parents.schema), "parents")
-        all_guests, parent_tables = parents.agg(F.coalesce(F.sum("guests"), F.lit(0)), F.coalesce(F.sum("top"), F.lit(0))).first()
+        sampled, old = sweep >= BURN_IN, [words, *([] if state is base else [state])]
+        words = by_part("words", seated_words(parent_tables, vocabulary, 2 * sweep, sampled, sweep == last), of(words, "words"), of(state, "sums"))
+        all_guests, parent_tables = total(words)
         if sampled:
-            base = (STRENGTH + DISCOUNT * parent_tables) / (words + 1)
-            share = (F.col("guests") - DISCOUNT * F.col("top") + base) / (STRENGTH + all_guests)
-            parents = parents.withColumn("past", F.concat("past", F.array(share)))
+            parents.append((all_guests, parent_tables))
         if sweep < last:
-            joined = attach(attach(state, contexts.select("ctx", "tables"), "ctx", frequent), parents.select("w", "guests", "top"), "w", frequent)
-            state = materialize(joined.mapInArrow(seated(parent_tables, all_guests, words, 2 * sweep + 1, sampled), state.schema), "state")
+            state = by_part("state", seated(parent_tables, all_guests, vocabulary, 2 * sweep + 1, sampled, tuple(tables)), of(words, "told"), of(state, "state"))
+            tables = totals(state)[:2]
             for df in old:
                 remove(df)
-    rows = state.select("ctx", "w", "c", (F.col("seated") + F.col("t")).alias("seated"))
-    rows = rows.unionByName(pairs.where("c < 2").select("ctx", "w", "c", (F.col("c") * SAMPLES).alias("seated")))
-    joined = attach(rows, contexts.select("ctx", "all", F.col("past").alias("tables")), "ctx", frequent)
-    joined = attach(joined, parents.select("w", "known", F.col("past").alias("shares")), "w", frequent)
-    shared = sum((STRENGTH + DISCOUNT * F.col("tables")[i]) * F.col("shares")[i] for i in range(SAMPLES))
-    p = (F.col("c") * SAMPLES - DISCOUNT * F.col("seated") + shared) / (STRENGTH + F.col("all")) / SAMPLES
-    chances = materialize(joined.select("ctx", "w", p.alias("p"), "known"), "chances")
-    for df in [*old, pairs, contexts, parents]:
-        remove(df)
-    return chances, total, words
+    rows = of(base, "all", "posts").select(COLUMNS.names).unionByName(of(state, "state")).unionByName(of(words, "told"))
+    return base, rows, lambda table: chances(table, tuple(tables), hot_all, parents, vocabulary), tokens_, vocabulary
 
 
-def seated_parents(parent_tables: int, words: int, salt: int):
-    """The parent's tables of each word drawn anew, given those of the other words."""
+def seatings(pairs: DataFrame) -> tuple[DataFrame, int, int]:
+    """``pairs`` (``ctx, w, c``, one row each) with ``p``, the mean probability of the word after the context, and ``known``, the word's training tokens; the number of those, and of known words."""
+    pairs = materialize(pairs.select("ctx", "w", "c"), "pairs")
+    parts = parts_of(pairs.count())
+    contexts = pairs.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"))
+    often = contexts.where(F.col("n") >= max(1.0, FREQUENT_SHARE * pairs.count())).orderBy(F.col("n").desc()).limit(round(1 / FREQUENT_SHARE)).collect()
+    hot = np.array(sorted(r.ctx % (1 << 64) for r in often), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in in_lots(batches, PAIRS):
-            w, guests, top = (lot.column(i).to_numpy() for i in (0, 4, 5))
-            top = seat(guests, word_weight(parent_tables - top, words), mix(w.view(np.uint64)), salt).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*lot.columns[:5], pa.array(top)], ["w", "known", "ones", "past", "guests", "top"])
+        for i, batch in enumerate(batches):
+            ctx, w, c = (x.to_numpy() for x in batch.columns)
+            order = np.lexsort((w.view(np.uint64), ctx.view(np.uint64)))
+            sent = sending(ctx[order].view(np.uint64), w[order].view(np.uint64), c[order], parts, hot, i, None)
+            yield from pa.Table.from_pylist(sent, schema=COLUMNS).to_batches()
 
-    return run
+    _, rows, probabilities, total, words = sampled_parts(pairs.mapInArrow(run, MESSAGE), parts, hot)
 
+    def told(table: pa.Table) -> pa.Table:
+        ci, wi, p, known, contexts = probabilities(table)
+        vocabulary = unpack(received(table, "all")[0]["b"])[0]
+        return pa.table({"ctx": contexts[ci], "w": vocabulary[wi], "p": p, "known": known})
 
-def seated(parent_tables: int, all_guests: int, words: int, salt: int, sampled: bool):
-    """A sweep: the tables of each pair drawn anew; with ``sampled`` those before are added to ``seated``."""
+    return materialize(rows.groupBy("part").applyInArrow(told, "ctx bigint, w bigint, p double, known bigint"), "chances"), total, words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in in_lots(batches, PAIRS):
-            ctx, w, c, t, before, tables, guests, top = (x.to_numpy() for x in lot.columns)
-            if sampled:
-                before = before + t
-            of = dish_weight(tables - t, guests - t, all_guests - t, parent_tables - top, words)
-            t = seat(c, of, mix(mix(w.view(np.uint64)) + ctx.view(np.uint64)), salt).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(t), pa.array(before)], ["ctx", "w", "c", "t", "seated"])
 
-    return run
+def scores(probabilities: Callable, total: int, words: int):
+    """What a part's pairs score in each chunk's texts: sums of the base's and the model's log10 probabilities, known tokens and tokens."""
 
+    def run(table: pa.Table) -> pa.Table:
+        _, _, p, known, _ = probabilities(table)
+        part, out = table["part"][0].as_py(), []
+        values = np.log10((known + 1) / (total + words + 1)), np.log10(p), (known > 0).astype(np.float64)
+        for r in received(table, "posts"):
+            posted, text, n = unpack(r["b"])
+            pair = np.repeat(np.cumsum(unpack(r["a"])[0]), posted)
+            sums = [np.bincount(text, n * x[pair]) for x in values]
+            out.append({"part": part, "kind": "score", "src": r["src"], "a": pack(*sums[:2], sums[2].astype(np.int64), np.bincount(text, n).astype(np.int64))})
+        return pa.Table.from_pylist(out, schema=COLUMNS)
 
-def scores(total: int, words: int):
-    """Sums by text, in small lots, of what its pairs' tokens score; Spark's partial aggregation combines those of a task."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pa.compute.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
-            rows, n = flat(batch.column(0)), flat(batch.column(1)).astype(np.int64)
-            p, known = (np.repeat(x.to_numpy(), sizes) for x in batch.columns[2:])
-            for at in range(0, len(rows), SUMMED):
-                k = slice(at, at + SUMMED)
-                texts, inverse = np.unique(rows[k], return_inverse=True)
-                sums = [np.bincount(inverse, n[k] * x, len(texts)) for x in (np.log10((known[k] + 1) / (total + words + 1)), np.log10(p[k]), known[k] > 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["of", "base", "score", "known"])
 
-    return run
+def added(table: pa.Table) -> pa.Table:
+    """The texts of a chunk with all parts' sums."""
+    rows = sorted(table.select(["part", "src", "a"]).to_pylist(), key=lambda r: r["part"])
+    lots = [unpack(r["a"]) for r in rows]
+    sums = [np.zeros(max(len(x[0]) for x in lots), t) for t in (float, float, np.int64, np.int64)]
+    for lot in lots:
+        for to, x in zip(sums, lot, strict=True):
+            to[: len(x)] += x
+    return pa.table({"of": rows[0]["src"] + np.arange(len(sums[0])), "base": sums[0], "score": sums[1], "known": sums[2], "n": sums[3]})
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,19 +637,15 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     training all words are unknown. An empty table gives no rows. Other columns are
     ignored.
     """
-    end = F.array(F.lit("\n"))  # no word holds a line feed
-    hashes = F.transform(F.concat(words_of(lower_ascii(text_of(text_col))), end), lambda w: F.xxhash64(w))
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), hashes.alias("h"))
-    indexed = materialize(index(read), "index")
-    postings = indexed.where("w is not null")
-    chances, total, words = seatings(postings.groupBy("ctx", "w").agg(F.sum("c").alias("c")))
-    found = postings.select("ctx", "w", "rows", "n").join(chances, ["ctx", "w"]).select("rows", "n", "p", "known")
-    sums = found.mapInArrow(scores(total, words), "of bigint, base double, score double, known bigint")
-    sums = sums.groupBy("of").agg(F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("known").alias("known"))
-    texts = indexed.where("w is null").select("row", "doc_id", "held_out", "n_tokens")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(text_col).alias("t"))
+    parts, hot = placing(texts)
+    base, rows, probabilities, total, words = sampled_parts(chunks(texts, parts, hot), parts, hot)
+    sums = materialize(rows.groupBy("part").applyInArrow(scores(probabilities, total, words), MESSAGE), "scores")
+    sums = sums.groupBy("src").applyInArrow(added, "of bigint, base double, score double, known bigint, n bigint")
+    texts = base.where("kind = 'text'").select(F.col("src").alias("row"), "doc_id", "held_out")
     return texts.join(sums, F.col("row") == F.col("of"), "left").select(
-        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),
-        F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n")).alias("perplexity"),
     )
 
 
