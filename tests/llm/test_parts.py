@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import _common, pitman_yor
+from tidemark.llm import _common, pitman_yor, suffix_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,3 +70,21 @@ def test_parts_and_chunks_change_no_count_and_what_is_written_stays_small(spark,
     held = [d for d, r in few.items() if r.held_out]
     mean = [sum(x[d].score for d in held) / sum(x[d].n_tokens for d in held) for x in (few, many)]
     assert mean[0] == pytest.approx(mean[1], abs=0.002)
+
+
+def test_first_digits_read_words_from_bytes(spark):
+    """No list of words or of their hashes is made by the JVM or for Python; equal runs have equal keys and others have not."""
+    text = " ".join(f"w{i * i % 101}" for i in range(300))
+    rows = [(1, f"x y {text}"), (2, f"Other START {text.upper()} end"), (3, text.replace("w5 ", "v5 "))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, t string").withColumn("v", F.col("doc_id"))
+    digits = suffix_dedup.first_digits(docs, 50, 8, True)
+    plan = digits._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan
+    words = {d: re.findall(_common.WORD, t.lower()) for d, t in rows}
+    found = digits.collect()
+    assert {(r.doc_id, i) for r in found for i in range(r.low, r.high + 1)} == {(d, i) for d, w in words.items() for i in range(len(w) - 49)}
+    of = {}
+    for r in found:
+        held = (r.anchor - r.low, r.anchor - r.high, *words[r.doc_id][r.low : r.high + 50])
+        assert of.setdefault(bytes(r.whole), held) == held
+    assert len(of) == len(set(of.values())) < len(found)

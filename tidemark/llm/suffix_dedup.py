@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import BROADCAST_ROWS, broadcast_within, discard, lower_ascii, materialize, table, text_of, words_of
+from ._common import BROADCAST_ROWS, broadcast_within, bytes_of, discard, materialize, table, text_of, word_hashes
 from .near_dedup import mix
 
 #: Bytes of a repeated string and of its first digit; words of a repeated passage and of its first digit; widths of the blocks that the passes divide.
@@ -54,9 +54,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def symbols(text: str | list[int]) -> np.ndarray:
-    """The bytes of a text, or the hashes of its words."""
-    return np.frombuffer(text.encode(), np.uint8) if isinstance(text, str) else np.array(text, np.int64).view(np.uint64)
+def symbols(column: pa.Array, words: bool) -> Iterator[np.ndarray]:
+    """Of each text its bytes, or the hashes of its words."""
+    data, edges = bytes_of(column)
+    if words and len(column):
+        data, counts = word_hashes(data[edges[0] : edges[-1]], edges - edges[0])
+        edges = np.append(0, np.cumsum(counts))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield data[a:b]
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -78,8 +83,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
-    """``low, high, anchor, hash``: windows from ``low`` to ``high`` have their first digit at ``anchor``."""
+def runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``low, high, anchor, hash`` of a part's runs: windows from ``low`` to ``high`` have their first digit at ``anchor``."""
     place = np.uint64((1 << 24) - 1)
     for at in range(0, len(data) - depth + 1, SEGMENT):
         part = data[at : at + SEGMENT + depth - 1]
@@ -87,7 +92,7 @@ def runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tup
         least = sliding_least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), depth - gram + 1) & place
         edges = np.flatnonzero(np.diff(least, prepend=least[:1] + np.uint64(1), append=least[-1:] + np.uint64(1)))
         anchors = least[edges[:-1]].astype(np.int64)
-        yield from zip((edges[:-1] + at).tolist(), (edges[1:] - 1 + at).tolist(), (anchors + at).tolist(), hashes[anchors].view(np.int64).tolist(), strict=True)
+        yield edges[:-1] + at, edges[1:] - 1 + at, anchors + at, hashes[anchors].view(np.int64)
 
 
 def mapped(df: DataFrame, rows_of, columns: dict[str, pa.DataType], schema: str, most: int = 100_000) -> DataFrame:
@@ -117,17 +122,40 @@ def key_of(*parts: bytes | int) -> bytes:
     return h.digest()
 
 
-def first_digits(texts: DataFrame, depth: int, gram: int) -> DataFrame:
-    """The runs of all texts, with a key of all that a run's windows hold."""
+def whole_keys(data: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int) -> pa.Array:
+    """128 bits of all that the windows of each run hold, and of the digit's places in them."""
+    size = data.itemsize
+    held = memoryview(np.ascontiguousarray(data)).cast("B")
+    digests = b"".join([blake2b(held[a:b], digest_size=16).digest() for a, b in zip((low * size).tolist(), ((high + depth) * size).tolist(), strict=True)])
+    places = mix(((anchor - low) << 32 | (anchor - high)).astype(np.uint64) + np.uint64(BASE))
+    keys = np.frombuffer(digests, np.uint64).reshape(-1, 2) ^ np.stack([places, mix(places)], 1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(low), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
 
-    def rows_of(batch):
-        for r in batch:
-            data = symbols(r["t"])
-            for low, high, anchor, digit in runs(data, depth, gram):
-                yield r["doc_id"], r["v"], low, high, anchor, digit, key_of(anchor - low, anchor - high, data[low : high + depth].tobytes())
 
-    columns = id_type(texts) | {"v": pa.int64(), "low": pa.int64(), "high": pa.int64(), "anchor": pa.int64(), "digit": pa.int64(), "whole": pa.binary()}
-    return mapped(texts.select("doc_id", "v", "t"), rows_of, columns, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, digit bigint, whole binary")
+def first_digits(texts: DataFrame, depth: int, gram: int, words: bool) -> DataFrame:
+    """The runs of all texts, with a key of all that a run's windows hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, lots, n = batch.slice(at, 500), [], 0
+                for i, data in enumerate(symbols(part.column(2), words)):
+                    for low, high, anchor, digit in runs(data, depth, gram):
+                        lots.append((np.full(len(low), i), low, high, anchor, digit, whole_keys(data, low, high, anchor, depth)))
+                        n += len(low)
+                        if n >= 100_000:
+                            yield made(part, lots)
+                            lots, n = [], 0
+                if lots:
+                    yield made(part, lots)
+
+    def made(part: pa.RecordBatch, lots: list[tuple]) -> pa.RecordBatch:
+        *numbers, keys = zip(*lots, strict=True)
+        of, *numbers = (pa.array(np.concatenate(x)) for x in numbers)
+        return pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *numbers, pa.concat_arrays(keys)], names)
+
+    names = ["doc_id", "v", "low", "high", "anchor", "digit", "whole"]
+    return texts.select("doc_id", "v", "t").mapInArrow(run, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, digit bigint, whole binary")
 
 
 def id_type(df: DataFrame) -> dict[str, pa.DataType]:
@@ -210,9 +238,7 @@ def divide(pieces: DataFrame, depth: int, item: int) -> list[DataFrame]:
 def repeated_spans(texts: DataFrame, depth: int, gram: int, words: bool = False) -> DataFrame:
     """``doc_id, v, first, last``: runs of starts of windows that start elsewhere too, of ``doc_id, v, t``; starts are bytes, or words."""
     long_ = texts.where(F.octet_length("t") >= (2 * depth - 1 if words else depth))
-    # Words are hashed where a text is read on, so only those of texts that are joined are.
-    as_read = lambda df: df.withColumn("t", F.transform(words_of(lower_ascii(F.col("t"))), lambda w: F.xxhash64(w))) if words else df
-    digits = materialize(first_digits(as_read(long_), depth, gram), "digits")
+    digits = materialize(first_digits(long_, depth, gram, words), "digits")
     again = materialize(digits.join(several(digits, "digit"), "digit", "left_semi"), "again")
     wholes = several(again, "whole")
     equal = materialize(again.join(wholes, "whole", "left_semi"), "equal")
@@ -222,14 +248,30 @@ def repeated_spans(texts: DataFrame, depth: int, gram: int, words: bool = False)
     discard(digits, again)
     equal = equal.select("doc_id", "v", F.col("low").alias("first"), F.col("high").alias("last"))
 
-    def rows_of(batch):
-        for r in batch:
-            data = symbols(r["t"])
-            for x in r["items"]:
-                yield r["doc_id"], r["v"], x["low"], x["high"], x["anchor"], data[x["low"] : x["high"] + depth].tobytes()
-
-    columns = id_type(texts) | {"v": pa.int64(), "low": pa.int64(), "high": pa.int64(), "anchor": pa.int64(), "data": pa.binary()}
-    pieces = mapped(as_read(texts_with(long_, rest)).select("doc_id", "v", "t", "items"), rows_of, columns, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, data binary", 10_000)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part, lots, n = batch.slice(at, 100), [], 0
+                items = part.column(3)
+                low, high, anchor = (items.flatten().field(name).to_numpy() for name in ("low", "high", "anchor"))
+                ends = np.cumsum(pa.compute.list_value_length(items).to_numpy())
+                for i, data in enumerate(symbols(part.column(2), words)):
+                    for a in range(int(ends[i - 1]) if i else 0, int(ends[i]), 10_000):
+                        k = slice(a, min(a + 10_000, int(ends[i])))
+                        lots.append((np.full(k.stop - a, i), low[k], high[k], anchor[k], pa.array([data[x : y + depth].tobytes() for x, y in zip(low[k].tolist(), high[k].tolist(), strict=True)], pa.binary())))
+                        n += k.stop - a
+                        if n >= 10_000:
+                            yield made(part, lots)
+                            lots, n = [], 0
+                if lots:
+                    yield made(part, lots)
+
+    def made(part: pa.RecordBatch, lots: list[tuple]) -> pa.RecordBatch:
+        *numbers, held = zip(*lots, strict=True)
+        of, *numbers = (pa.array(np.concatenate(x)) for x in numbers)
+        return pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *numbers, pa.concat_arrays(held)], ["doc_id", "v", "low", "high", "anchor", "data"])
+
+    pieces = texts_with(long_, rest).select("doc_id", "v", "t", "items").mapInArrow(run, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, data binary")
     pieces = materialize(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     for part in divide(pieces, depth, 8 if words else 1):
         equal = equal.unionByName(part)
