@@ -54,14 +54,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def symbols(column: pa.Array, words: bool) -> Iterator[np.ndarray]:
-    """Of each text its bytes, or the hashes of its words."""
+def symbols(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts, or the hashes of their words, one text after another; and the edges of each."""
     data, edges = bytes_of(column)
-    if words and len(column):
-        data, counts = word_hashes(data[edges[0] : edges[-1]], edges - edges[0])
+    data, edges = data[edges[0] : edges[-1]], edges - edges[0]
+    if words:
+        data, counts = word_hashes(data, edges)
         edges = np.append(0, np.cumsum(counts))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield data[a:b]
+    return data, edges
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -83,16 +83,22 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``low, high, anchor, hash`` of a part's runs: windows from ``low`` to ``high`` have their first digit at ``anchor``."""
+def runs(data: np.ndarray, edges: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """``text, low, high, anchor, hash`` of a part's runs: windows from ``low`` to ``high`` of a text have their first digit at ``anchor``; places in ``data``, which has the texts between ``edges``."""
     place = np.uint64((1 << 24) - 1)
     for at in range(0, len(data) - depth + 1, SEGMENT):
         part = data[at : at + SEGMENT + depth - 1]
         hashes = gram_hashes(part, gram)
         least = sliding_least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), depth - gram + 1) & place
-        edges = np.flatnonzero(np.diff(least, prepend=least[:1] + np.uint64(1), append=least[-1:] + np.uint64(1)))
-        anchors = least[edges[:-1]].astype(np.int64)
-        yield edges[:-1] + at, edges[1:] - 1 + at, anchors + at, hashes[anchors].view(np.int64)
+        starts = np.arange(at, at + len(least))
+        text = np.searchsorted(edges, starts, "right") - 1
+        whole = starts + depth <= edges[text + 1]  # other windows run into the next text
+        starts, text, least = starts[whole], text[whole], least[whole].astype(np.int64)
+        if not len(starts):
+            continue
+        first = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])))
+        last = np.append(first[1:], len(starts)) - 1
+        yield text[first], starts[first], starts[last], least[first] + at, hashes[least[first]].view(np.int64)
 
 
 def mapped(df: DataFrame, rows_of, columns: dict[str, pa.DataType], schema: str, most: int = 100_000) -> DataFrame:
@@ -138,21 +144,12 @@ def first_digits(texts: DataFrame, depth: int, gram: int, words: bool) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part, lots, n = batch.slice(at, 500), [], 0
-                for i, data in enumerate(symbols(part.column(2), words)):
-                    for low, high, anchor, digit in runs(data, depth, gram):
-                        lots.append((np.full(len(low), i), low, high, anchor, digit, whole_keys(data, low, high, anchor, depth)))
-                        n += len(low)
-                        if n >= 100_000:
-                            yield made(part, lots)
-                            lots, n = [], 0
-                if lots:
-                    yield made(part, lots)
-
-    def made(part: pa.RecordBatch, lots: list[tuple]) -> pa.RecordBatch:
-        *numbers, keys = zip(*lots, strict=True)
-        of, *numbers = (pa.array(np.concatenate(x)) for x in numbers)
-        return pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *numbers, pa.concat_arrays(keys)], names)
+                part = batch.slice(at, 500)
+                data, edges = symbols(part.column(2), words)
+                for of, low, high, anchor, digit in runs(data, edges, depth, gram):
+                    keys, begin = whole_keys(data, low, high, anchor, depth), edges[of]
+                    of = pa.array(of)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *[pa.array(x) for x in (low - begin, high - begin, anchor - begin, digit)], keys], names)
 
     names = ["doc_id", "v", "low", "high", "anchor", "digit", "whole"]
     return texts.select("doc_id", "v", "t").mapInArrow(run, f"{id_schema(texts)}, v bigint, low bigint, high bigint, anchor bigint, digit bigint, whole binary")
@@ -255,7 +252,9 @@ def repeated_spans(texts: DataFrame, depth: int, gram: int, words: bool = False)
                 items = part.column(3)
                 low, high, anchor = (items.flatten().field(name).to_numpy() for name in ("low", "high", "anchor"))
                 ends = np.cumsum(pa.compute.list_value_length(items).to_numpy())
-                for i, data in enumerate(symbols(part.column(2), words)):
+                texts_, edges = symbols(part.column(2), words)
+                for i in range(part.num_rows):
+                    data = texts_[edges[i] : edges[i + 1]]
                     for a in range(int(ends[i - 1]) if i else 0, int(ends[i]), 10_000):
                         k = slice(a, min(a + 10_000, int(ends[i])))
                         lots.append((np.full(k.stop - a, i), low[k], high[k], anchor[k], pa.array([data[x : y + depth].tobytes() for x, y in zip(low[k].tolist(), high[k].tolist(), strict=True)], pa.binary())))
