@@ -1,12 +1,16 @@
 """The model of word pairs over several parts, and what it writes; hashes of words from bytes."""
 
 import re
+import tracemalloc
+from collections import Counter
 from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm import _common, pitman_yor, suffix_dedup
 
@@ -88,3 +92,34 @@ def test_first_digits_read_words_from_bytes(spark):
         held = (r.anchor - r.low, r.anchor - r.high, *words[r.doc_id][r.low : r.high + 50])
         assert of.setdefault(bytes(r.whole), held) == held
     assert len(of) == len(set(of.values())) < len(found)
+
+
+def test_pairs_of_texts_are_the_same_however_they_are_sorted():
+    words = np.array([5, 9, 5, 9, 1, 2**64 - 1, 9, 5, 9, 1], np.uint64)
+    sizes = np.array([4, 1, 5])
+    vocabulary, code, text, times = pitman_yor.text_pairs(words, sizes)
+    assert vocabulary.tolist() == [1, 5, 9, 2**64 - 1]
+    before = np.roll(words, 1)
+    want = sorted(Counter((b, w, t) for b, w, t in zip(before.tolist(), words.tolist(), np.repeat([0, 1, 2], sizes).tolist(), strict=True)).items())
+    assert [((vocabulary[c // 4], vocabulary[c % 4], t), n) for c, t, n in zip(code.tolist(), text.tolist(), times.tolist(), strict=True)] == want
+    for x, y in zip((vocabulary, code, text, times), pitman_yor.text_pairs(words, sizes, 0), strict=True):
+        assert x.tolist() == y.tolist()
+
+
+def test_a_chunk_takes_few_bytes_a_token():
+    class Texts:
+        schema = StructType([StructField("doc_id", LongType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rnd, n = np.random.default_rng(1), 800
+    texts = [" ".join(f"w{x}" for x in rnd.zipf(1.3, 500) % 100_000) for _ in range(n)]
+    rows = pa.table({"row": range(n), "doc_id": range(n), "held_out": [False] * n, "t": texts})
+    run, sent = pitman_yor.chunks(Texts(), 32, np.zeros(0, np.uint64)), 0
+    tracemalloc.start()
+    for batch in run(iter(rows.combine_chunks().to_batches())):
+        sent += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == n + 32 and peak < 90 * 501 * n  # 113 bytes before

@@ -42,6 +42,8 @@ from .near_dedup import mix
 FREQUENT_SHARE = 0.001
 #: Tokens that a worker pairs at a time, bytes of text that it hashes at a time, and the least and the most tokens of a part, of which there are 32 between.
 TOKENS, HASHED, LEAST, MOST = 2_000_000, 1 << 20, 100_000, 2_000_000
+#: Bytes of messages that a worker holds before it passes them on.
+SENT = 1 << 21
 #: Discount and strength of the restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 3, 5
@@ -274,10 +276,48 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
             n += len(words[-1])
             at = to
             if n >= TOKENS:
-                yield pa.Table.from_batches(rows), np.concatenate(words), np.concatenate(sizes)
+                chunk = [pa.Table.from_batches(rows), np.concatenate(words), np.concatenate(sizes)]
                 rows, words, sizes, n = [], [], [], 0
+                yield tuple(chunk.pop(0) for _ in range(3))  # nothing is held here while a chunk is worked on
     if rows:
-        yield pa.Table.from_batches(rows), np.concatenate(words), np.concatenate(sizes)
+        chunk = [pa.Table.from_batches(rows), np.concatenate(words), np.concatenate(sizes)]
+        rows, words, sizes = [], [], []
+        yield tuple(chunk.pop(0) for _ in range(3))
+
+
+def ranks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, and where among them each is, in 32 bits if they do."""
+    order = np.argsort(words)
+    words = words[order]
+    new = np.append(True, words[1:] != words[:-1])
+    out = np.empty(len(words), np.int32 if len(words) < 1 << 31 else np.int64)
+    out[order] = np.cumsum(new, dtype=out.dtype) - 1
+    return words[new], out
+
+
+def text_pairs(words: np.ndarray, sizes: np.ndarray, most: int = 1 << 63) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, and sorted: the pairs of a word's place and its next one's (as one number, the word before times the number of words), the text, and how often the text has the pair."""
+    vocabulary, w = ranks(words)
+    v, n = len(vocabulary), len(sizes)
+    code = np.roll(w, 1).astype(np.int64)
+    code *= v
+    code += w
+    text = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    del words, w
+    if v * v * n < most:  # sorted as one number with the text
+        code *= n
+        code += text
+        code.sort()
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        times = np.diff(np.append(first, len(code)))
+        code = code[first]
+        text = (code % n).astype(np.int32)
+        code //= n
+        return vocabulary, code, text, times
+    order = np.argsort(code, kind="stable")
+    code, text = code[order], text[order]
+    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])))
+    return vocabulary, code[first], text[first], np.diff(np.append(first, len(code)))
 
 
 def placing(texts: DataFrame) -> tuple[int, np.ndarray]:
@@ -305,33 +345,43 @@ def among(keys: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some[at] == keys if len(some) else np.zeros(len(keys), bool), at
 
 
-def sending(ctx: np.ndarray, w: np.ndarray, c: np.ndarray, parts: int, hot: np.ndarray, src: int, posts: tuple[np.ndarray, ...] | None) -> list[dict]:
-    """A message to each part with its pairs, sorted; with ``posts`` (texts of each pair, then text and tokens of each) also those."""
+def sending(ctx: np.ndarray, w: np.ndarray, c: np.ndarray, parts: int, hot: np.ndarray, src: int, posts: list[np.ndarray] | None) -> Iterator[list[dict]]:
+    """A message to each part with its pairs, sorted, some megabytes at a time; with ``posts`` (texts of each pair, then text and tokens of each; the list is emptied) also those."""
     key = mix(ctx)
     often, _ = among(ctx, hot)
     key[often] = mix(mix(w[often]) + ctx[often])
-    part = (key % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    key %= np.uint64(parts)
+    part = key.astype(np.uint16 if parts < 1 << 16 else np.int64)
+    del key, often
     order = np.argsort(part, kind="stable")
-    ctx, w, c, part = ctx[order], w[order], c[order], part[order]
+    ctx = ctx[order]
+    w = w[order]
+    c, part = c[order], part[order]
     own, starts = np.unique(part, return_index=True)
     ends = np.append(starts[1:], len(part))
     if posts:
         posted, text, n = posts
-        first = (np.cumsum(posted) - posted)[order]
-        posted = posted[order]
-        edges = np.append(0, np.cumsum(posted))
-        at = np.repeat(first - edges[:-1], posted) + np.arange(edges[-1])
-        text, n = text[at], n[at]
-    out = []
+        posts[:2] = []
+        first = np.cumsum(posted)
+        first -= posted
+        first, posted = first[order], posted[order]
+    del order
+    out, held = [], 0
     for p, a, b in zip(own.tolist(), starts.tolist(), ends.tolist(), strict=True):
         heads = np.flatnonzero(np.append(True, ctx[a + 1 : b] != ctx[a : b - 1]))
         words, wi = np.unique(w[a:b], return_inverse=True)
         row = {"part": p, "kind": "pairs", "src": src, "a": pack(ctx[a:b][heads], np.diff(np.append(heads, b - a)), words, wi, c[a:b])}
         if posts:
-            k = slice(edges[a], edges[b])
-            row["b"] = pack(posted[a:b], text[k], n[k])
+            ends_ = np.cumsum(posted[a:b])
+            at = np.repeat(first[a:b] - ends_ + posted[a:b], posted[a:b]) + np.arange(ends_[-1])
+            row["b"] = pack(posted[a:b], text[at], n[at])
         out.append(row)
-    return out
+        held += len(row["a"]) + len(row.get("b", b""))
+        if held >= SENT:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
 
 
 def chunks(texts: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
@@ -339,25 +389,24 @@ def chunks(texts: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     kind = texts.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, words, sizes in tokens(batches):
+        for rows, *read in tokens(batches):
             ids, of = rows["row"].to_numpy(), rows.schema.field("doc_id").type
             columns = COLUMNS.append(pa.field("doc_id", of)).append(pa.field("held_out", pa.bool_()))
             none = [pa.nulls(len(ids), t) for t in (pa.binary(), pa.binary(), pa.int64(), pa.int64())]
             yield from pa.Table.from_arrays([pa.array(ids % parts, pa.int32()), pa.array(["text"] * len(ids)), pa.array(ids), *none, rows["doc_id"], rows["held_out"]], schema=columns).combine_chunks().to_batches()
-            vocabulary, w = np.unique(words, return_inverse=True)
+            vocabulary, code, text, n = text_pairs(read.pop(0), read.pop(0))
             v = len(vocabulary)
-            code = np.roll(w, 1) * v + w
-            order = np.argsort(code, kind="stable")
-            code, text = code[order], np.repeat(np.arange(len(ids)), sizes)[order]
-            pair = np.append(True, code[1:] != code[:-1])
-            first = np.flatnonzero(pair | np.append(True, text[1:] != text[:-1]))
-            heads = np.flatnonzero(pair)
-            n, text = np.diff(np.append(first, len(code))), text[first]
-            begins = np.searchsorted(first, heads)
+            n = n.astype(np.min_scalar_type(n.max()))
+            begins = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            posted = np.diff(np.append(begins, len(code))).astype(np.int32)
+            code = code[begins]
             train = ~rows["held_out"].to_numpy()
-            c = np.add.reduceat(n * train[text], begins)
-            sent = sending(vocabulary[code[heads] // v], vocabulary[code[heads] % v], c, parts, hot, int(ids[0]), (np.diff(np.append(begins, len(first))), text, n))
-            yield from pa.Table.from_pylist(sent, schema=columns).to_batches()
+            c = np.add.reduceat(np.where(train[text], n, 0), begins, dtype=np.int64)
+            read = [vocabulary[code // v], vocabulary[code % v], c.astype(np.min_scalar_type(c.max()))]
+            posts = [posted, text, n]
+            del begins, code, vocabulary, c, posted, text, n
+            for sent in sending(read.pop(0), read.pop(0), read.pop(0), parts, hot, int(ids[0]), posts):
+                yield from pa.Table.from_pylist(sent, schema=columns).to_batches()
 
     return texts.mapInArrow(run, f"{MESSAGE}, doc_id {kind.simpleString()}, held_out boolean")
 
@@ -586,8 +635,8 @@ def seatings(pairs: DataFrame) -> tuple[DataFrame, int, int]:
         for i, batch in enumerate(batches):
             ctx, w, c = (x.to_numpy() for x in batch.columns)
             order = np.lexsort((w.view(np.uint64), ctx.view(np.uint64)))
-            sent = sending(ctx[order].view(np.uint64), w[order].view(np.uint64), c[order], parts, hot, i, None)
-            yield from pa.Table.from_pylist(sent, schema=COLUMNS).to_batches()
+            for sent in sending(ctx[order].view(np.uint64), w[order].view(np.uint64), c[order], parts, hot, i, None):
+                yield from pa.Table.from_pylist(sent, schema=COLUMNS).to_batches()
 
     _, rows, probabilities, total, words = sampled_parts(pairs.mapInArrow(run, MESSAGE), parts, hot)
 
