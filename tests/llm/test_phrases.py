@@ -3,8 +3,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import phrases as P
@@ -83,3 +85,38 @@ def test_edges(spark):
     assert rows(P.collocations(df, least=2)) == plain(docs, 2)
     assert P.collocations(df.limit(0), least=2).collect() == []
     assert P.collocations(df, least=10**9).collect() == []
+
+
+def test_a_block_takes_few_bytes_a_word():
+    rnd, n, words = np.random.default_rng(1), 1 << 19, [f"w{i}" for i in range(30_000)]
+    own = (rnd.zipf(1.2, n) % len(words)).astype(np.int32)
+    own[::12] = -1
+    held = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([own.tobytes()], pa.binary()), pa.array([["en"] * len(words)]), pa.array([words])], ["block", "ids", "langs", "words"])
+    (texts,) = P.recoded_here(pa.array([f"en {w}" for w in words]))(iter([held]))
+    assert texts.column(1).nbytes <= 4 * n + 64  # twice that before
+    (pairs,) = P.counted(iter([texts]))
+    a, b, c = (x.to_numpy() for x in pairs.columns[1:])
+    both = (own[:-1] >= 0) & (own[1:] >= 0)
+    assert dict(zip(zip(a.tolist(), b.tolist(), strict=True), c.tolist(), strict=True)) == collections.Counter(zip(own[:-1][both].tolist(), own[1:][both].tolist(), strict=True))
+    key = np.sort(P.joined(a, b)[c >= 5])
+    # Bytes a word, before: 34 and 68.
+    for step, most in ((P.paired_here(key, np.arange(len(key))), 24), (P.counted, 50)):
+        tracemalloc.start()
+        for _ in step(iter([texts])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * n, (step, peak / n)
+
+
+def test_slices_of_a_block_change_no_name(monkeypatch):
+    rnd = np.random.default_rng(2)
+    ids = rnd.integers(0, 6, 500).astype(np.uint32)
+    ids[rnd.random(500) < 0.1] = P.NONE
+    names = {(a, b): 10 * a + b for a in range(6) for b in range(6) if (a + b) % 3}
+    key = np.array([a << 32 | b for a, b in names], np.uint64)
+    want = [names.get(x) for x in zip(ids.tolist(), ids[1:].tolist(), strict=False)] + [None]
+    want = P.compact(np.array([P.NONE if x is None else x for x in want], np.uint32))
+    for step in (1, 7, 499, 500, 1 << 17):
+        monkeypatch.setattr(P, "STEP", step)
+        assert P.named(ids, key, np.array([*names.values()])).tolist() == want.tolist()

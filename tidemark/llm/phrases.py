@@ -34,6 +34,10 @@ TILE_BITS, TILES, DENSE = 10, 16, 1 << 15
 #: Ends of pieces.
 STOPS = b".,;:!?\n\x0b\x0c\r"
 PAIRS = "block bigint, a bigint, b bigint, c bigint"
+#: Stands for the end of a piece, and for what has no id, in a text's ids of 32 bits.
+NONE = np.uint32(0xFFFFFFFF)
+#: Ids of a block that are looked up at a time.
+STEP = 1 << 17
 #: Stands for the end of a piece; no byte of UTF-8.
 MARK = b"\xff"
 #: Lower-cases A-Z and puts the mark in the place of stops.
@@ -96,19 +100,19 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compact(ids: np.ndarray) -> np.ndarray:
-    """Rows of two or more neighbouring ids, with -1 after each; all else is left out."""
-    there = ids >= 0
+    """Rows of two or more neighbouring ids, with ``NONE`` after each; all else is left out."""
+    there = ids != NONE
     kept = there & (np.append(there[1:], False) | np.append(False, there[:-1]))
     return ids[kept | (~there & np.append(False, kept[:-1]))]
 
 
 def recoded(block: pa.Table, names: pa.Table) -> pa.Table:
-    """A block with ids in the place of its own numbers; -1 for those that have none."""
+    """A block with ids in the place of its own numbers; ``NONE`` for those that have none."""
     out = pa.schema([("block", pa.int64()), ("ids", pa.binary())])
     if not len(block) or not len(names):
         return out.empty_table()
-    own = np.frombuffer(block.column("ids")[0].as_py(), np.int32)
-    to = np.full(max(own.max(initial=0), pa.compute.max(names.column("own")).as_py()) + 2, -1, np.int64)
+    own = np.frombuffer(block.column("ids")[0].as_buffer(), np.int32)
+    to = np.full(max(own.max(initial=0), pa.compute.max(names.column("own")).as_py()) + 2, NONE)
     to[names.column("own").to_numpy()] = names.column("id").to_numpy()
     ids = compact(to[own])  # the number -1 is the last place, which has no name
     return pa.table({"block": block.column("block"), "ids": pa.array([ids.tobytes()], pa.binary())}) if len(ids) else out.empty_table()
@@ -121,7 +125,7 @@ def recoded_here(known: pa.Array) -> Callable:
         for batch in batches:
             for block, data, langs, words in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
                 asked = pa.compute.binary_join_element_wise(langs.values, words.values, " ")
-                to = np.append(pa.compute.fill_null(pa.compute.index_in(asked, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64), -1)
+                to = np.append(pa.compute.fill_null(pa.compute.index_in(asked, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32), NONE)
                 if len(ids := compact(to[np.frombuffer(data.as_buffer(), np.int32)])):
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids.tobytes()], pa.binary())], ["block", "ids"])
 
@@ -143,10 +147,16 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def named(ids: np.ndarray, key: np.ndarray, name: np.ndarray) -> np.ndarray:
     """Row of ids with the names of pairs in the place of their first members; ``key`` is sorted."""
-    both = np.append((ids[:-1] >= 0) & (ids[1:] >= 0), False)
-    asked = joined(np.where(both, ids, 0), np.where(both, np.append(ids[1:], 0), 0))
-    at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
-    return compact(np.where(both & (key[at] == asked), name[at], -1))
+    out = np.full(len(ids), NONE)
+    for i in range(0, len(ids) - 1, STEP):
+        b = ids[i + 1 : i + 1 + STEP]
+        a = ids[i : i + len(b)]
+        both = np.flatnonzero((a != NONE) & (b != NONE))
+        asked = joined(a[both], b[both])
+        at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        same = key[at] == asked
+        out[i + both[same]] = name[at[same]]
+    return compact(out)
 
 
 def sorted_names(names: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +170,7 @@ def paired(block: pa.Table, names: pa.Table) -> pa.Table:
     out = pa.schema([("block", pa.int64()), ("ids", pa.binary())])
     if not len(block) or not len(names):
         return out.empty_table()
-    ids = named(np.frombuffer(block.column("ids")[0].as_py(), np.int64), *sorted_names(names))
+    ids = named(np.frombuffer(block.column("ids")[0].as_buffer(), np.uint32), *sorted_names(names))
     return pa.table({"block": block.column("block"), "ids": pa.array([ids.tobytes()], pa.binary())}) if len(ids) else out.empty_table()
 
 
@@ -170,7 +180,7 @@ def paired_here(key: np.ndarray, name: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if len(ids := named(np.frombuffer(data.as_buffer(), np.int64), key, name) if len(key) else key):
+                if len(ids := named(np.frombuffer(data.as_buffer(), np.uint32), key, name) if len(key) else key):
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids.tobytes()], pa.binary())], ["block", "ids"])
 
     return run
@@ -190,7 +200,9 @@ def count_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     found = []
     ta, tb = a >> TILE_BITS, b >> TILE_BITS
     near = (ta < TILES) & (tb < TILES)
-    tile = np.where(near, ta * TILES + tb, TILES * TILES)
+    tile = np.full(len(a), TILES * TILES, np.uint16)
+    tile[near] = ta[near] * TILES + tb[near]
+    del ta, tb, near
     sizes = np.bincount(tile, minlength=TILES * TILES + 1)
     side, low = 1 << TILE_BITS, (1 << TILE_BITS) - 1
     rest = np.ones(len(a), bool)
@@ -200,6 +212,7 @@ def count_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         at = np.flatnonzero(counts)
         found.append((at // side + (t // TILES) * side, at % side + (t % TILES) * side, counts[at]))
         rest &= ~here
+    del tile
     key, counts = np.unique(joined(a[rest], b[rest]), return_counts=True)
     found.append(((key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), counts))
     return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
@@ -209,9 +222,9 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``block, a, b, c``: the pairs of neighbours of each block, and how often each comes there."""
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.frombuffer(data.as_buffer(), np.int64)
+            ids = np.frombuffer(data.as_buffer(), np.uint32)
             a, b = ids[:-1], ids[1:]
-            both = (a >= 0) & (b >= 0)
+            both = (a != NONE) & (b != NONE)
             a, b, c = count_pairs(a[both], b[both])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block)), pa.array(a), pa.array(b), pa.array(c)], ["block", "a", "b", "c"])
 
