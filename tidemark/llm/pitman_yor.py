@@ -595,6 +595,7 @@ def by_part(name: str, run, *tables: DataFrame) -> DataFrame:
 def sampled_parts(sent: DataFrame, parts: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame, Callable, int, int]:
     """All sweeps over what the chunks sent: the parts' pairs and texts, what the last step reads, how it gets probabilities, the number of training tokens, and of known words."""
     base = materialize(sent.groupBy("part").applyInArrow(counting(parts, hot), sent.schema), "parts")
+    base.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of what the chunks sent before sweeps write more
     of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
 
     def totals(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -619,6 +620,8 @@ def sampled_parts(sent: DataFrame, parts: int, hot: np.ndarray) -> tuple[DataFra
             tables = totals(state)[:2]
             for df in old:
                 remove(df)
+        else:
+            remove(old[0])
     rows = of(base, "all", "posts").select(COLUMNS.names).unionByName(of(state, "state")).unionByName(of(words, "told"))
     return base, rows, lambda table: chances(table, tuple(tables), hot_all, parents, vocabulary), tokens_, vocabulary
 
